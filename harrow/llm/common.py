@@ -28,3 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, modulus: int):
     """crc32 of an integer column written as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))
+
+
+def stretches(text: str, limit: int = 1 << 20):
+    """``text`` in pieces of about ``limit`` characters, each cut after white space.
+
+    Bounds the memory that word lists of a very long text take; no word is split.
+    """
+    at, n = 0, len(text)
+    while n - at > limit:
+        end = at + limit
+        while end < n and not text[end - 1].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+    if at < n or not n:
+        yield text[at:]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import chat, exact_dedup, langid, sharding
 
 
 def queries():
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_chat_formatting": chat.op4_chat_formatting,
+        "op6_language_id": langid.op6_language_id,
         "op7_sharding": sharding.op7_sharding,
     }
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL}
