@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, sharding
+from . import chat, exact_dedup, langid, packing, sharding
 
 
 def queries():
     return {
+        "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op6_language_id": langid.op6_language_id,
