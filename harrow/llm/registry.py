@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, packing, sharding
+from . import chat, exact_dedup, langid, packing, quality, sharding
 
 
 def queries():
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_chat_formatting": chat.op4_chat_formatting,
