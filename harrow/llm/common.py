@@ -44,3 +44,25 @@ def stretches(text: str, limit: int = 1 << 20):
         at = end
     if at < n or not n:
         yield text[at:]
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``links`` (columns a, b, never null).
+
+    component is the smallest node that can be reached. Large-star and small-star
+    steps alternate until nothing changes: each is one aggregation and one join,
+    which adaptive execution can split where a node has very many links.
+    """
+    links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    last = None
+    while True:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        links = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        down = links.join(least, "a")
+        links = cut(down.select("a", F.col("m").alias("b")).union(down.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == last:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        last = now

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, packing, quality, sharding
+from . import chat, exact_dedup, langid, packing, quality, sharding, simhash
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op6_language_id": langid.op6_language_id,
         "op7_sharding": sharding.op7_sharding,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
