@@ -66,3 +66,11 @@ def components(links: DataFrame) -> DataFrame:
         if now == last:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         last = now
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps, which it does once the driver has dropped them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

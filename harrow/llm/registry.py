@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, packing, quality, sharding, simhash
+from . import chat, exact_dedup, langid, packing, quality, sharding, simhash, substring
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_chat_formatting": chat.op4_chat_formatting,
+        "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_language_id": langid.op6_language_id,
         "op7_sharding": sharding.op7_sharding,
         "op9_simhash": simhash.op9_simhash,
