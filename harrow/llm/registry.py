@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, packing, quality, sharding, simhash, substring
+from . import chat, decontam, exact_dedup, langid, packing, quality, sharding, simhash, substring
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_substring_dedup": substring.op5_substring_dedup,
         "op6_language_id": langid.op6_language_id,
         "op7_sharding": sharding.op7_sharding,
+        "op8_decontamination": decontam.op8_decontamination,
         "op9_simhash": simhash.op9_simhash,
     }
 
