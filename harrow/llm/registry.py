@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, packing, quality, sharding, simhash, substring
+from . import chat, decontam, exact_dedup, langid, packing, pii, quality, sharding, simhash, substring
 
 
 def queries():
     return {
+        "op10_pii": pii.op10_pii,
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
