@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut, stretches, table
 
@@ -206,12 +207,32 @@ def links(nodes: DataFrame, bits: int = BITS, pairwise: int = 64, searched: int
 
 
 def near_groups(prints: DataFrame, bits: int = BITS, pairwise: int = 64, searched: int = 20_000) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``prints`` (id, fp)."""
+    """(fp, component_id, component) for each distinct fingerprint of ``prints`` (id, fp).
+
+    component: the smallest fingerprint of the component, a key that is never null.
+    """
     nodes = prints.groupBy("fp").agg(F.min("id").alias("id"))
     found = cut(components(links(nodes.select("fp"), bits, pairwise, searched)))
     least = found.join(nodes, found["node"] == nodes["fp"]).groupBy("component").agg(F.min("id").alias("least"))
-    linked = found.join(least, "component").select(F.col("node").alias("fp"), "least")
-    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
+    linked = found.join(least, "component").select(F.col("node").alias("fp"), "least", "component")
+    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+
+
+def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 4, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id; all columns stay."""
+    prints = cut(fingerprints(docs, id_col, text_col, words))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("first")
+    keep = prints.join(near_groups(prints, bits).select("fp", "component"), "fp").groupBy("component").agg(first).select(F.col("first.id").alias("_id"), F.col("first.fp").alias("_fp"))
+    at_text = docs.columns.index(text_col)
+
+    def add(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(at_text)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "_fp"])
+
+    mine = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])).withColumn("_id", F.col(id_col))
+    same = mine["_id"].eqNullSafe(keep["_id"]) & (mine["_fp"] == keep["_fp"])
+    return mine.join(keep, same, "left_semi").dropDuplicates(["_id", "_fp"]).select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
