@@ -1 +1 @@
-"""Part of the crawl analytics package."""
+"""Reading and writing pages: JSON, CSV, SQLite; the sinks never raise for a failed write."""
