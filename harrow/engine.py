@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow import config as conf
 from harrow import logs, report
@@ -138,7 +139,7 @@ class CrawlEngine:
             self.sink.close()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_sitemaps(body):
     """Locations of a body that is a sitemap index, none for other bodies."""
     from harrow.functions.text import sitemap_locations

@@ -10,6 +10,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_json_text(value: Column) -> Column:
@@ -64,7 +65,7 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzip(body: pd.Series) -> pd.Series:
     """Decompressed where the bytes start as gzip does, else as they are; null if broken."""
     return body.map(unzip)
@@ -93,7 +94,7 @@ def sitemap_locations(data: bytes | None) -> tuple[str, list[str], str | None]:
     return ("sitemapindex" if bare(root.tag) == "sitemapindex" else "urlset"), found, None
 
 
-@F.pandas_udf("kind string, locations array<string>, error string")
+@F.pandas_udf(T.StructType().add("kind", "string").add("locations", T.ArrayType(T.StringType())).add("error", "string"))
 def parse_sitemap(body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sitemap_locations(b) for b in body], columns=["kind", "locations", "error"])
 

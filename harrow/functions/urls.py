@@ -7,6 +7,7 @@ from urllib.parse import urldefrag, urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: scheme, authority, path, parameters and query without the fragment (RFC 3986, appendix B).
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -89,7 +90,7 @@ def resolve(base: str, href: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def join_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """General resolution of a href (relative paths, "..", "//host") for whole Arrow batches."""
     return pd.Series([None if b is None or h is None else resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)

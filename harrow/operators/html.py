@@ -266,7 +266,7 @@ def select_text(pages: DataFrame, selector: str, url_col="url", html_col="html")
 
 
 #: Character references that the expressions below know.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&bull;": "•", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&reg;": "®", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&amp;": "&"}
 
 
 def unescape(text: Column) -> Column:

@@ -88,7 +88,7 @@ def allowed(pages: DataFrame, rules: DataFrame, user_agent: str = "*", url_col:
     per_domain = mine.groupBy("domain").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("ok"), "regex")).alias("rules"))
     sites = rules.filter("kind = 'site'").select("domain", "mode").distinct().join(per_domain, "domain", "left")
     judged = key.join(sites, key["_domain"] == sites["domain"], "left")
-    hits = F.filter("rules", lambda r: F.col("_target").rlike(r["regex"]))
+    hits = F.filter("rules", lambda r: F.rlike(F.col("_target"), r["regex"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["n"], r["ok"])))
     verdict = (
         F.when(F.col("mode").isNull() | (urls.path_of(F.col("_url")) == "/robots.txt") | (F.col("mode") == "allow_all"), True)
