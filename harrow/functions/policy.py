@@ -64,8 +64,8 @@ def classify_exception(name: Column) -> Column:
 
 def parse_retry_after(value: Column) -> Column:
     """Seconds (0 at least); null for a date or anything else that is no number."""
-    number = F.expr("null") if value is None else F.trim(value).try_cast("double")
-    return F.when(F.isnan(number), 0.0).otherwise(F.greatest(F.lit(0.0), number))
+    number = F.trim(value).try_cast("double")
+    return F.when(F.isnan(number), 0.0).when(number.isNotNull(), F.greatest(F.lit(0.0), number))
 
 
 def backoff_delay(attempt: Column, policy: RetryPolicy, error: Column | None = None, retry_after: Column | None = None) -> Column:

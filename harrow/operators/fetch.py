@@ -124,7 +124,7 @@ def fetch_one(url: str, agents, state: Domain, options: FetchOptions, get=http_g
                 error, reason = kind_of_exception(e), f"{type(e).__name__}: {e}"
             state.over(error)
         r, delay = options.retry, 0.0
-        limit = min([r.max_retries, *[r.max_by_type[error]] * (error in r.max_by_type), *[r.max_by_status[status]] * (status in r.max_by_status)]) if r and error else 0
+        limit = min(r.max_retries, r.max_by_type.get(error, r.max_retries), r.max_by_status.get(status, r.max_retries)) if r else 0
         again = bool(r and error in r.retry_on and attempt <= limit)
         if again:
             delay = r.base_delay * r.backoff_factor ** (attempt - 1)
