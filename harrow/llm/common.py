@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,19 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` compressed, for a join that moves it."""
+
+    def run(batches):
+        for b in batches:
+            packed = [None if not t.is_valid else zstandard.compress(t.as_py().encode("utf-8", "replace"), 3) for t in b.column("text")]
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, "text", pa.array(packed, pa.binary()))
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema))
+
+
+def unpacked(cell) -> str | None:
+    return zstandard.decompress(cell.as_py()).decode() if cell.is_valid else None

@@ -11,12 +11,12 @@ the highest symbol that depends on words of the window alone (of several, the on
 of least name), so equal windows always take the same symbol at the same place.
 
 Round one of the exchange finds the symbols that more than one document has.
-Round two compares only the windows whose symbol is shared, by 128-bit hashes of
+Round two compares only the windows whose symbol is shared, by 96-bit hashes of
 their words, which settles which of them also start in a document of smaller id.
 Before each exchange a task keeps one entry for each name, that of its smallest
 id: for all others of the task the answer is known already. So a passage that a
-third of all documents share sends one entry from each task, and an entry is 16
-to 24 bytes in a packed block.
+third of all documents share sends one entry from each task, and an entry is 8
+to 15 bytes in a packed block. Texts are compressed before a join moves them.
 
 Defined cases: a null text has no words; a null id counts as larger than all
 others; rows with equal ids count as one document for the rule (neither is
@@ -30,10 +30,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, stretches, table
+from .common import cut, packed, release, stretches, table, unpacked
 
 ROUNDS = 4
 #: Words of one segment, and about how many are handled at once.
@@ -167,48 +168,64 @@ def _laid_out(held):
     return words, wall, of
 
 
-def _sent(keys: list[np.ndarray], ids: np.ndarray, buckets: int, all_shared: bool):
+def _planes(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Numbers as planes of their low bytes, compressed: planes of small numbers all but vanish."""
+    return zstandard.compress(b"".join(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() for x, width in columns), 1)
+
+
+def _unplaned(data: bytes, widths: list[int]) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n, at, out = len(raw) // sum(widths), 0, []
+    for width in widths:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(x.view(np.uint64).ravel())
+        at += n * width
+    return out
+
+
+def _low(x: np.ndarray, width: int) -> np.ndarray:
+    return x if width == 8 else x & np.uint64((1 << 8 * width) - 1)
+
+
+def _sent(keys: list[np.ndarray], ids: np.ndarray, buckets: int, all_shared: bool, widths: list[int]):
     """Blocks to exchange for entries (keys, id): what this task knows already, and one entry for each key.
 
     all_shared: every document of a key that several have is told; else only those that are not the smallest.
-    Yields (bucket, known, id, data).
+    widths: how many low bytes of each key are kept. Yields (bucket, known, id, data).
     """
+    bucket = (keys[0] >> np.uint64(11)) % np.uint64(buckets)
+    keys = [_low(k, w) for k, w in zip(keys, widths, strict=True)]
     order = np.lexsort((ids, *reversed(keys)))
-    keys, ids = [k[order] for k in keys], ids[order]
+    keys, ids, bucket = [k[order] for k in keys], ids[order], bucket[order]
     new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])] if len(ids) else np.zeros(0, bool)
     one = new | np.r_[True, ids[1:] != ids[:-1]] if len(ids) else new  # one entry for each key and id
-    keys, ids, new = [k[one] for k in keys], ids[one], new[one]
+    keys, ids, new, bucket = [k[one] for k in keys], ids[one], new[one], bucket[one]
     if not len(ids):
         return
     size = np.diff(np.r_[np.flatnonzero(new), len(ids)])
     told = np.repeat(size > 1, size) & (True if all_shared else ~new)
-    for i, blob in _by_id(keys[0][told], ids[told]):
+    for i, blob in _by_id(keys[0][told], ids[told], widths[0]):
         yield int(i % buckets), True, i, blob
-    keys, ids = [k[new] for k in keys], ids[new]
-    bucket = (keys[0] >> np.uint64(11)) % np.uint64(buckets)
+    keys, ids, bucket = [k[new] for k in keys], ids[new], bucket[new]
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
     for a, b in zip(edges, np.r_[edges[1:], len(order)], strict=True):
         own = order[a:b]
-        yield int(bucket[own[0]]), False, 0, b"".join([*[k[own].tobytes() for k in keys], ids[own].tobytes()])
+        yield int(bucket[own[0]]), False, 0, _planes([*((k[own], w) for k, w in zip(keys, widths, strict=True)), (ids[own], 8)])
 
 
-def _by_id(keys: np.ndarray, ids: np.ndarray):
+def _by_id(keys: np.ndarray, ids: np.ndarray, width: int):
     order = np.argsort(ids, kind="stable")
     keys, ids = keys[order], ids[order]
     edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
     for a, b in zip(edges, np.r_[edges[1:], len(ids)] if len(ids) else [], strict=True):
-        yield int(ids[a]), keys[a:b].tobytes()
+        yield int(ids[a]), _planes([(np.sort(keys[a:b]), width)])
 
 
-def _met(blobs: list[bytes], parts: int, all_shared: bool):
+def _met(blobs: list[bytes], widths: list[int], all_shared: bool):
     """(id, keys) of what an exchange bucket settles."""
-    cols = [[] for _ in range(parts + 1)]
-    for data in blobs:
-        n = len(data) // (8 * (parts + 1))
-        for k in range(parts + 1):
-            cols[k].append(np.frombuffer(data, np.uint64, n, 8 * n * k))
-    *keys, ids = (np.concatenate(c) for c in cols)
+    *keys, ids = (np.concatenate(c) for c in zip(*(_unplaned(data, [*widths, 8]) for data in blobs), strict=True))
     ids = ids.view(np.int64)
     order = np.lexsort((ids, *reversed(keys)))
     keys, ids = [k[order] for k in keys], ids[order]
@@ -221,7 +238,7 @@ def _met(blobs: list[bytes], parts: int, all_shared: bool):
         told = most > least
     else:
         told = ids > least
-    yield from _by_id(keys[0][told], ids[told])
+    yield from _by_id(keys[0][told], ids[told], widths[0])
 
 
 _SCHEMA = "bucket int, known boolean, id long, data binary"
@@ -233,7 +250,7 @@ def _rows(items) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["bucket", "known", "id", "data"])
 
 
-def _exchange(sent: DataFrame, buckets: int, parts: int, all_shared: bool) -> DataFrame:
+def _exchange(sent: DataFrame, buckets: int, widths: list[int], all_shared: bool) -> DataFrame:
     """(id, data): what each document is told, its blocks of one document together."""
 
     def settle(batches):
@@ -245,15 +262,15 @@ def _exchange(sent: DataFrame, buckets: int, parts: int, all_shared: bool) -> Da
                 if not k:
                     held.setdefault(bucket, []).append(data.as_py())
         for blobs in held.values():
-            found = list(_met(blobs, parts, all_shared))
+            found = list(_met(blobs, widths, all_shared))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["id", "data"])
 
     met = sent.repartition(buckets, "bucket").mapInArrow(settle, "id long, data binary")
     return cut(met.groupBy("id").agg(F.collect_list("data").alias("told")))
 
 
-def _told(cell) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(cell.as_py() or []), np.uint64))
+def _told(cell, width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unplaned(x, [width])[0] for x in cell.as_py() or [])]))
 
 
 def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13, bucket_mb: int = 32) -> DataFrame:
@@ -264,6 +281,8 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("oid"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (bucket_mb << 20)))
+    # a shared name only proposes windows, so it may be cut to some bits more than it takes to number all words
+    name_width = min(8, -(-(int(total).bit_length() + 8) // 8))
 
     def names(batches):
         for b in batches:
@@ -272,15 +291,15 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
                 starts, name = window_names(words, wall, window)
                 ids = np.array([i for i, _ in held], np.int64)[of[starts]]
                 fresh = np.r_[True, (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
-                yield _rows(_sent([name[fresh]], ids[fresh], buckets, True))
+                yield _rows(_sent([name[fresh]], ids[fresh], buckets, True, [name_width]))
 
-    shared = _exchange(rows.select("oid", "text").mapInArrow(names, _SCHEMA), buckets, 1, True)
+    shared = _exchange(rows.select("oid", "text").mapInArrow(names, _SCHEMA), buckets, [name_width], True)
     release(docs.sparkSession)
 
     def windows(batches):
         for b in batches:
             told = b.column("told")
-            for held in _grouped(((k, i), hashes_of(t.as_py()), window) for k, (i, t) in enumerate(zip(b.column("oid").to_pylist(), b.column("text"), strict=True))):
+            for held in _grouped(((k, i), hashes_of(unpacked(t)), window) for k, (i, t) in enumerate(zip(b.column("oid").to_pylist(), b.column("text"), strict=True))):
                 words, wall, of = _laid_out(held)
                 starts, name = window_names(words, wall, window)
                 place = of[starts]
@@ -290,14 +309,14 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
                 for a, z in zip(edges, np.r_[edges[1:], len(place)] if len(place) else [], strict=True):
                     k = held[place[a]][0][0]
                     if k not in known:
-                        known[k] = _told(told[k])
-                    some[a:z] = np.isin(name[a:z], known[k])
+                        known[k] = _told(told[k], name_width)
+                    some[a:z] = np.isin(_low(name[a:z], name_width), known[k])
                 starts, place = starts[some], place[some]
                 ids = np.array([key[1] for key, _ in held], np.int64)[place]
-                yield _rows(_sent([window_hash(words, starts, window, f) for f in FACTORS], ids, buckets, False))
+                yield _rows(_sent([window_hash(words, starts, window, f) for f in FACTORS], ids, buckets, False, WIDTHS))
 
-    both = rows.select("oid", "text").join(shared.withColumnRenamed("id", "oid").hint("shuffle_hash"), "oid")
-    found = _exchange(both.mapInArrow(windows, _SCHEMA), buckets, 2, False)
+    both = packed(rows.select("oid", "text")).join(shared.withColumnRenamed("id", "oid").hint("shuffle_hash"), "oid")
+    found = _exchange(both.mapInArrow(windows, _SCHEMA), buckets, WIDTHS, False)
     release(docs.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -305,14 +324,15 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
         for b in batches:
             out = []
             for t, told in zip(b.column("text"), b.column("told"), strict=True):
-                out.append(without(t.as_py(), _told(told) if told.is_valid else None, window))
+                out.append(without(unpacked(t), _told(told, WIDTHS[0]) if told.is_valid else None, window))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    last = rows.join(found.withColumnRenamed("id", "oid").hint("shuffle_hash"), "oid", "left").select("id", "text", "told")
+    last = packed(rows).join(found.withColumnRenamed("id", "oid").hint("shuffle_hash"), "oid", "left").select("id", "text", "told")
     return last.mapInArrow(remove, f"id {kind}, n_words long, n_removed long, kept string")
 
 
-#: Odd factors of the two window hashes.
+#: Odd factors of the two window hashes, and the bytes of each that are compared (96 bits).
+WIDTHS = [8, 4]
 FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
