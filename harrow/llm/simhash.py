@@ -16,6 +16,10 @@ list, or, for lists of more than ``searched`` entries, by the fingerprints half
 way between two linked ones (two differ in 4 bits or fewer exactly if some value
 is within 2 bits of both), which is linear in the length of the list.
 
+For deduplication at a similarity of five-word shingles the same index runs over
+several fingerprints of the distinct words and proposes pairs, which are verified
+on the whole texts (``similar_pairs``).
+
 Defined cases: null and empty texts, and texts without a word, have fingerprint
 0 and are linked like any other; texts with fewer words than a shingle are one
 shingle; a null id takes part and is never the smallest of a component that has
@@ -32,9 +36,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import components, cut, stretches, table
+from .common import components, cut, packed, stretches, table, unpacked
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 4
@@ -57,16 +60,26 @@ TRIPLES = _triples()
 MASKS = [sum(0xFF << 8 * p for p in t) for t in TRIPLES]
 
 
+def _majority(h: np.ndarray) -> np.ndarray:
+    """For each of 64 bits in how many hashes it is set."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _written(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """The 64-bit fingerprint of a whole text."""
     ones, n, carry = np.zeros(64, np.int64), 0, []
 
     def add(shingles: list[bytes]) -> None:
         nonlocal ones, n
-        h = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(h)
+        ones += _majority(np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64))
+        n += len(shingles)
 
     for part in stretches(text or ""):
         own = carry + part.encode("utf-8", "replace").translate(LOWER).split()
@@ -80,7 +93,20 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         if not carry:
             return 0
         add([b" ".join(carry)])
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return _written(ones, n)
+
+
+def word_prints(text: str | None, count: int) -> list[int]:
+    """``count`` independent fingerprints of a text's distinct words."""
+    seen: set[bytes] = set()
+    for part in stretches(text or ""):
+        seen.update(part.encode("utf-8", "replace").translate(LOWER).split())
+    h, out = np.array([xxhash.xxh64_intdigest(w, 42) for w in seen], np.uint64), []
+    for _ in range(count):
+        out.append(_written(_majority(h), len(h)))
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 4, seed: int = 42) -> DataFrame:
@@ -207,35 +233,91 @@ def links(nodes: DataFrame, bits: int = BITS, pairwise: int = 64, searched: int
 
 
 def near_groups(prints: DataFrame, bits: int = BITS, pairwise: int = 64, searched: int = 20_000) -> DataFrame:
-    """(fp, component_id, component) for each distinct fingerprint of ``prints`` (id, fp).
-
-    component: the smallest fingerprint of the component, a key that is never null.
-    """
+    """(fp, component_id) for each distinct fingerprint of ``prints`` (id, fp)."""
     nodes = prints.groupBy("fp").agg(F.min("id").alias("id"))
     found = cut(components(links(nodes.select("fp"), bits, pairwise, searched)))
     least = found.join(nodes, found["node"] == nodes["fp"]).groupBy("component").agg(F.min("id").alias("least"))
-    linked = found.join(least, "component").select(F.col("node").alias("fp"), "least", "component")
-    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    linked = found.join(least, "component").select(F.col("node").alias("fp"), "least")
+    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of a text's word shingles (one of all words if there are fewer)."""
+    found, carry, any_ = [], [], False
+    for part in stretches(text or ""):
+        own = carry + [xxhash.xxh64_intdigest(w, 3) for w in part.encode("utf-8", "replace").translate(LOWER).split()]
+        carry = own[max(0, len(own) - words + 1) :]
+        if len(own) >= words:
+            any_ = True
+            found.append(_rolled(np.array(own, np.uint64), words))
+    if not any_ and carry:
+        found.append(_rolled(np.array(carry, np.uint64), len(carry)))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out = (out ^ out >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
+    return out
+
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - both
+    return both / total if total else 1.0
 
-def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 4, bits: int = BITS) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest id; all columns stay."""
-    prints = cut(fingerprints(docs, id_col, text_col, words))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("first")
-    keep = prints.join(near_groups(prints, bits).select("fp", "component"), "fp").groupBy("component").agg(first).select(F.col("first.id").alias("_id"), F.col("first.fp").alias("_fp"))
-    at_text = docs.columns.index(text_col)
 
-    def add(batches):
+def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, prints: int = 6, pairwise: int = 24) -> DataFrame:
+    """Links (a, b) of ids whose texts have a similarity of ``least`` or more.
+
+    Candidates come from ``prints`` independent fingerprints of the distinct
+    words, which stay close where an edit spoils five shingles: two documents are
+    candidates if any of their fingerprints differs in 4 bits at most. Lists of more than ``pairwise`` fingerprints give a spanning forest
+    of candidates. Every candidate pair is verified on the five-word shingles of
+    both whole texts, so no false link is left; rows without an id are not linked.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+
+    def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(at_text)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "_fp"])
+            fps = np.array([word_prints(t.as_py(), prints) for t in b.column("text")], np.uint64).reshape(-1, prints)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(prints))], ["id", *(f"f{k}" for k in range(prints))])
+
+    held = cut(rows.mapInArrow(run, "id long, " + ", ".join(f"f{k} long" for k in range(prints))).withColumn("run", F.spark_partition_id()))
+    found = None
+    for k in range(prints):
+        mine = held.select("id", F.col(f"f{k}").alias("fp"), "run")
+        nodes = cut(mine.groupBy("fp").agg(F.min("id").alias("first")))
+        dealt = mine.select("fp", "run").distinct().join(nodes, "fp")
+        same = mine.join(dealt, ["fp", "run"]).filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+        ends = links(nodes.select("fp"), BITS, pairwise)
+        far = ends.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        one = same.union(far.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+        found = one if found is None else found.union(one)
+    pairs = cut(found.filter("a != b").distinct())
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = cut(packed(rows.join(ids, "id", "left_semi")).dropDuplicates(["id"]))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+
+    def verify(batches):
+        for b in batches:
+            keep = [similarity(shingle_set(unpacked(x), words), shingle_set(unpacked(y), words)) >= least for x, y in zip(b.column("s"), b.column("t"), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long")
 
-    mine = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])).withColumn("_id", F.col(id_col))
-    same = mine["_id"].eqNullSafe(keep["_id"]) & (mine["_fp"] == keep["_fp"])
-    return mine.join(keep, same, "left_semi").dropDuplicates(["_id", "_fp"]).select(*docs.columns)
+
+def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with the smallest id of each group of similar documents; all columns stay.
+
+    Rows with equal ids count as one document; rows without an id all stay.
+    """
+    gone = components(similar_pairs(docs, id_col, text_col, words, least)).filter("node != component").select(F.col("node").alias("_gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     prints = cut(fingerprints(table(spark, sf_dir, "documents")))
-    groups = near_groups(prints)
-    return prints.join(groups, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(near_groups(prints), "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

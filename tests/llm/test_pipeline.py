@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -5,7 +7,11 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from harrow.llm import decontam, quality
 
-from .test_simhash import brute_components, plain_fingerprint
+
+
+def plain_shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def test_stages_match_plain_versions(spark, tiny):
@@ -32,8 +38,18 @@ def test_stages_match_plain_versions(spark, tiny):
             return {i: kept[i] for _, i in best.values()}
         if name == "simhash_near_dedup":
             ids = sorted(kept)
-            least = brute_components([plain_fingerprint(kept[i]) for i in ids], ids)
-            return {i: kept[i] for i, x in zip(ids, least, strict=True) if i == x}
+            sets = {i: plain_shingles(kept[i]) for i in ids}
+            root = {i: i for i in ids}
+
+            def find(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for a, b in combinations(ids, 2):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+            return {i: kept[i] for i in ids if find(i) == i}
         shingles = [(set(decontam.shingles(decontam.word_hashes(x)).tolist()), decontam.Index([(k, x)], 0.8, 64).parts[0]) for k, x in items]
         out = {}
         for i, t in kept.items():

@@ -88,3 +88,12 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(0, 200).selectExpr("id + 1 as a", "id as b")
     got = components(links)
     assert got.count() == 201 and got.filter("component != 0").count() == 0
+
+
+def test_deduplicate_keeps_one_of_similar_rows(spark):
+    words = [f"w{k}" for k in range(300)]
+    edited = words[:150] + ["other"] + words[151:]
+    docs = spark.createDataFrame([(5, " ".join(words), 1), (3, " ".join(edited), 1), (4, " ".join(words[:200]), 1), (6, None, 1), (7, "", 1), (None, " ".join(words), 1), (8, "w1 w2", 1), (9, "W1  w2", 1)], "doc_id long, text string, fp int")
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns and sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 3, 4, 6, 8]
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
