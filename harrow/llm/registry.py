@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL, "op5_substring_dedup": substring.SQL}

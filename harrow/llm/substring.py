@@ -273,14 +273,16 @@ def _told(cell, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unplaned(x, [width])[0] for x in cell.as_py() or [])]))
 
 
-def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13, bucket_mb: int = 32) -> DataFrame:
+def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13, bucket_mb: int = 32, least_buckets: int = 32) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept (the words left, one space between).
 
     A word goes when a window that covers it also starts in a document of smaller id.
+    bucket_mb: text for one bucket of an exchange, which bounds a task's memory;
+    least_buckets: so many at least, that a small input is spread as well.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("oid"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // (bucket_mb << 20)))
+    buckets = max(least_buckets, -(-total // (bucket_mb << 20)))
     # a shared name only proposes windows, so it may be cut to some bits more than it takes to number all words
     name_width = min(8, -(-(int(total).bit_length() + 8) // 8))
 
@@ -368,3 +370,15 @@ def without(text: str | None, told: np.ndarray | None, window: int) -> tuple[int
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM d),
+win AS (SELECT doc_id, s, array_to_string(ws[s:s + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM d)),
+least AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, s + k AS i FROM win JOIN least USING (g) CROSS JOIN range(13) AS r(k) WHERE first_id < doc_id),
+marked AS (SELECT word.doc_id, word.i, word.w, gone.i IS NOT NULL AS out FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i),
+whole AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (out) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT out) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN whole ON whole.doc_id = d.doc_id
+"""
