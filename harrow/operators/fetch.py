@@ -9,6 +9,7 @@ number of task slots. Every outcome is a row, never an exception.
 from __future__ import annotations
 
 import itertools
+import random
 import socket
 import time
 import urllib.error
@@ -91,7 +92,7 @@ class Domain:
     def slot(self) -> float:
         """How long to wait for the next start."""
         start = max(self.clock(), self.next)
-        self.next = start + max(self.gap, self.backoff)
+        self.next = start + max(self.gap, self.backoff) + random.uniform(0, self.options.rate.jitter)
         return start - self.clock()
 
     def over(self, error: str | None) -> None:
