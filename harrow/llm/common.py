@@ -55,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
     steps alternate until nothing changes: each is one aggregation and one join,
     which adaptive execution can split where a node has very many links.
     """
-    links = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
