@@ -241,6 +241,17 @@ def near_groups(prints: DataFrame, bits: int = BITS, pairwise: int = 64, searche
     return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
 
 
+def near_groups_of(prints: DataFrame, bits: int = BITS) -> DataFrame:
+    """``prints`` (id, fp, run) with component_id.
+
+    run: the partition a row came from. A fingerprint that a third of all rows
+    share goes back to them by (fp, run), so no task gets all of them.
+    """
+    groups = near_groups(prints, bits)
+    dealt = prints.select("fp", "run").distinct().join(groups.select("fp", "component_id"), "fp")
+    return prints.join(dealt, ["fp", "run"])
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Distinct hashes of a text's word shingles (one of all words if there are fewer)."""
     found, carry, any_ = [], [], False
@@ -319,5 +330,5 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    prints = cut(fingerprints(table(spark, sf_dir, "documents")))
-    return prints.join(near_groups(prints), "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = cut(fingerprints(table(spark, sf_dir, "documents")).withColumn("run", F.spark_partition_id()))
+    return near_groups_of(prints).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
