@@ -137,3 +137,16 @@ def test_hub_group_whose_copies_are_not_similar_to_each_other(spark):
     want = similar_components(texts)
     assert set(want.values()) == {0}
     assert got_components(docs, pairwise=2) == want
+
+
+def test_copies_that_lost_or_gained_a_block(spark):
+    rng = np.random.default_rng(2)
+    texts = {}
+    for i in range(40):
+        own = [f"t{i}_{k}" if k % 3 else f"common{k % 50}" for k in range(int(rng.integers(80, 600)))]
+        share = rng.uniform(0.05, 0.19)
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join(own[: int(len(own) * (1 - share))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = similar_components(texts)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(40)) >= 35
+    assert got_components(docs) == want
