@@ -150,3 +150,16 @@ def test_copies_that_lost_or_gained_a_block(spark):
     want = similar_components(texts)
     assert sum(want[2 * i + 1] == 2 * i for i in range(40)) >= 35
     assert got_components(docs) == want
+
+
+def test_equal_words_in_another_order_hide_no_copy(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(200)]
+    swapped = words[:90] + [words[91], words[90]] + words[92:]
+    texts = {1: " ".join(rng.permutation(words)), 2: " ".join(words), 3: " ".join(swapped)}
+    other = [w if k != 50 else "new" for k, w in enumerate(rng.permutation(words).tolist())]  # another fingerprint near by
+    texts |= {4: " ".join(other), 5: " ".join(w if k != 50 else "new" for k, w in enumerate(words))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = similar_components(texts)
+    assert want == {1: 1, 2: 2, 3: 2, 4: 4, 5: 2}
+    assert got_components(docs) == want
