@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, packed, stretches, table
+from .common import components, cut, packed, release, stretches, table
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 4
@@ -375,15 +375,21 @@ def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int
             sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
             fps = np.array([word_prints(t.as_py(), prints) for t in b.column("text")], np.uint64).reshape(-1, prints)
             cells = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_tally(x) for x in sets], pa.binary())]
-            first = pa.array([prefix(x, least, *shared.value).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cells, first, *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(prints))], ["id", "sum", "n", "tally", "prefix", *(f"f{k}" for k in range(prints))])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cells, *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(prints))], ["id", "sum", "n", "tally", *(f"f{k}" for k in range(prints))])
 
-    schema = "id long, sum binary, n long, tally binary, prefix array<long>, " + ", ".join(f"f{k} long" for k in range(prints))
+    def index(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
+            cells = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cells, pa.array([prefix(x, least, *shared.value).view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "sum", "n", "prefix"])
+
+    schema = "id long, sum binary, n long, tally binary, " + ", ".join(f"f{k} long" for k in range(prints))
     held = cut(rows.mapInArrow(run, schema).withColumn("run", F.spark_partition_id()))
     least_id = held.groupBy("sum", "run").agg(F.min("id").alias("id"))
     dealt = cut(least_id.select("sum", "run").join(least_id.groupBy("sum").agg(F.min("id").alias("first")), "sum"))
     of_sets = held.join(dealt, ["sum", "run"])
-    equal = cut(of_sets.filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
+    others = cut(of_sets.filter("id != first").select("id", "sum", "first").distinct())
+    equal = others.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     nodes = cut(of_sets.filter("id = first").dropDuplicates(["id", "sum"]).drop("sum", "run", "first"))
     tallies = nodes.select("id", "n", "tally")
 
@@ -406,9 +412,12 @@ def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int
         both = pairs.join(tallies.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tally").alias("s")), "a").join(tallies.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tally").alias("t")), "b")
         likely = cut(both.select("a", "b", "s", "t", (F.col("na") + F.col("nb")).alias("m")).mapInArrow(near, "a long, b long").distinct())
         ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        texts = cut(packed(rows.join(ids, "id", "left_semi")).dropDuplicates(["id", "text"]))
+        texts = cut(packed(rows).join(ids, "id", "left_semi").dropDuplicates(["id", "text"]))
         both = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-        return cut(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long").distinct())
+        out = cut(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long").distinct())
+        del both, likely, ids, texts
+        release(rows.sparkSession)
+        return out
 
     tried = None
     for k in range(prints):
@@ -419,12 +428,15 @@ def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int
         ends = ends.union(ends.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
         far = ends.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
         one = same.union(far.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
-        tried = one if tried is None else tried.union(one)
-    tried = cut(tried.filter("a != b").distinct())
+        tried = cut((one if tried is None else tried.union(one)).filter("a != b").distinct())
+        del mine, firsts, same, ends, far, one
+        release(rows.sparkSession)
     found = equal.union(verified(tried))
 
-    entries = nodes.select(F.explode("prefix").alias("s"), "id", "n")
+    entries = rows.mapInArrow(index, "id long, sum binary, n long, prefix array<long>").join(others, ["id", "sum"], "left_anti").select(F.explode("prefix").alias("s"), "id", "n")
     lists = cut(entries.repartition("s").sortWithinPartitions("s", "id").mapInArrow(_shared, "s long, id long, n long"))
+    del entries, held, of_sets
+    release(rows.sparkSession)
     led = None
     for r in range(rounds + 1):
         found = cut(found)
