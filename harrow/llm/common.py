@@ -33,14 +33,14 @@ def crc_mod(column: str, modulus: int):
 
 
 def stretches(text: str, limit: int = 1 << 20):
-    """``text`` in pieces of about ``limit`` characters, each cut after white space.
+    """``text`` in pieces of about ``limit`` characters, each cut after one of six ASCII blanks.
 
     Bounds the memory that word lists of a very long text take; no word is split.
     """
     at, n = 0, len(text)
     while n - at > limit:
         end = at + limit
-        while end < n and not text[end - 1].isspace():
+        while end < n and text[end - 1] not in " \t\n\x0b\x0c\r":
             end += 1
         yield text[at:end]
         at = end

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from harrow.llm import simhash
-from harrow.llm.common import components
+from harrow.llm.common import components, stretches
 
 
 def brute_components(fps, ids, bits=4):
@@ -163,3 +163,11 @@ def test_equal_words_in_another_order_hide_no_copy(spark):
     want = similar_components(texts)
     assert want == {1: 1, 2: 2, 3: 2, 4: 4, 5: 2}
     assert got_components(docs) == want
+
+
+def test_long_texts_are_cut_only_after_contract_blanks():
+    words = ["a" * (1 << 20 >> 1), "b" * ((1 << 20 >> 1) - 2) + "\u00a0" + "c" * 30, "d", "e", "f"]
+    text = " ".join(words)
+    assert text[(1 << 20) - 1] == "\u00a0"
+    assert [w for part in stretches(text) for w in part.encode().split()] == [w.encode() for w in words]
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
