@@ -392,6 +392,7 @@ def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     equal = others.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     nodes = cut(of_sets.filter("id = first").dropDuplicates(["id", "sum"]).drop("sum", "run", "first"))
     tallies = nodes.select("id", "n", "tally")
+    block = max(500_000, 2 * nodes.count())
 
     def near(batches):
         for b in batches:
@@ -409,8 +410,14 @@ def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(tallies.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tally").alias("s")), "a").join(tallies.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tally").alias("t")), "b")
-        likely = cut(both.select("a", "b", "s", "t", (F.col("na") + F.col("nb")).alias("m")).mapInArrow(near, "a long, b long").distinct())
+        blocks, likely = 1 + pairs.count() // block, None
+        for k in range(blocks):  # one after another, so that no disk holds the tallies of all pairs
+            part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == k)
+            both = part.join(tallies.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tally").alias("s")), "a").join(tallies.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tally").alias("t")), "b")
+            one = cut(both.select("a", "b", "s", "t", (F.col("na") + F.col("nb")).alias("m")).mapInArrow(near, "a long, b long").distinct())
+            likely = one if likely is None else likely.union(one)
+            del part, both, one
+            release(rows.sparkSession)
         ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
         texts = cut(packed(rows).join(ids, "id", "left_semi").dropDuplicates(["id", "text"]))
         both = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
@@ -442,23 +449,27 @@ def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int
         found = cut(found)
         group = components(found)
         ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-        known = group.join(ends, "node", "left")
-        known = known.withColumn("led", F.lit(False)) if led is None else known.join(led, "node", "left")
-        at = lists.join(known.withColumnRenamed("node", "id"), "id", "left")
-        at = cut(at.select("s", "id", "n", F.coalesce("component", "id").alias("of"), F.struct(F.coalesce("led", F.lit(False)), -F.coalesce("degree", F.lit(0)), F.xxhash64("id", F.lit(r)), "id", "n", F.coalesce("component", "id").alias("of")).alias("key")))
-        open_ = cut(at.groupBy("s").agg(F.min("key").alias("lead"), F.count("*").alias("size"), F.min("of").alias("low"), F.max("of").alias("high")).filter("low != high"))
-        square, total = open_.agg(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).first()
+        known = group.join(ends, "node", "left").withColumnRenamed("node", "id")
+        of = lists.join(known.select("id", "component"), "id", "left").select("s", "id", "n", F.coalesce("component", "id").alias("of"))
+        at = cut(of.join(of.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low != high").select("s"), "s"))
+        lists = at.select("s", "id", "n")
+        del of
+        release(rows.sparkSession)
+        sizes = at.groupBy("s").agg(F.count("*").alias("size"))
+        square, total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).first()
         if not total:
             break
         last = r == rounds or square <= 16 * total
         if last:
-            left = at.join(open_.select("s"), "s").select("s", "id", "n", "of")
-            other = left.select("s", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("of").alias("of2"))
-            pairs = left.join(other, "s").filter("id > id2 and of != of2")
+            other = at.select("s", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("of").alias("of2"))
+            pairs = at.join(other, "s").filter("id > id2 and of != of2")
         else:
-            lead = open_.select("s", F.col("lead.id").alias("id2"), F.col("lead.n").alias("n2"), F.col("lead.of").alias("of2"))
+            known = known.withColumn("led", F.lit(False)) if led is None else known.join(led, "id", "left")
+            ranked = at.join(known.drop("component"), "id", "left")
+            key = F.struct(F.coalesce("led", F.lit(False)).alias("led"), (-F.coalesce("degree", F.lit(0))).alias("degree"), F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "of")
+            lead = ranked.groupBy("s").agg(F.min(key).alias("lead")).select("s", F.col("lead.id").alias("id2"), F.col("lead.n").alias("n2"), F.col("lead.of").alias("of2"))
             pairs = at.join(lead, "s").filter("of != of2")
-            now = lead.select(F.col("id2").alias("node"), F.lit(True).alias("led")).distinct()
+            now = lead.select(F.col("id2").alias("id"), F.lit(True).alias("led")).distinct()
             led = cut(now if led is None else led.union(now).distinct())
         pairs = pairs.filter(F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6).select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
