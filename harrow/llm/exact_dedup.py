@@ -1,12 +1,13 @@
-"""Exact deduplication by a tree merge of sorted digest runs.
-
-Every input partition makes one run: its distinct digests in order, each with
-the best row seen and a count. In each round ``fan_in`` neighbouring runs merge
-into one (a multiway merge of the sorted runs that the exchange brings), always
-keeping the best row, until one run is left. A run is spread over tasks by
-digest, so no task ever holds a whole run, and a digest that a third of all
-rows share takes part with one row per run. The result goes back down the same
-way: by (digest, run), so a hot digest is dealt out over its runs.
+"""Exact deduplication by rounds of grouped aggregations.
+
+Every input partition makes one run: its distinct digests, each with the best
+row seen and a count. In each round ``fan_in`` neighbouring runs become one by
+an aggregation grouped by digest, length and run number // ``fan_in``, always
+keeping the best row, until one run is left: up to ``fan_in`` partitions take a
+single round. Nothing is sorted or merged by own code. A run is spread over
+tasks by digest, so no task ever holds a whole run, and a digest that a third of
+all rows share takes part with one row per run. The result goes back down the
+same way: by (digest, run), so a hot digest is dealt out over its runs.
 
 Two texts are equal when they are identical after all of space, tab, line feed,
 vertical tab, form feed and carriage return are deleted. Digests are SHA-256 and
