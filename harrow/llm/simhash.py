@@ -485,7 +485,8 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", words: int =
 
     Rows with equal ids count as one document; rows without an id all stay.
     """
-    gone = components(similar_pairs(docs, id_col, text_col, words, least)).filter("node != component").select(F.col("node").alias("_gone"))
+    gone = cut(components(similar_pairs(docs, id_col, text_col, words, least)).filter("node != component").select(F.col("node").alias("_gone")))
+    release(docs.sparkSession)
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
 
