@@ -18,26 +18,30 @@ from harrow.streaming.progress import Reporter
 
 
 class CrawlEngine:
-    """Crawls with a fetcher: HTTP, or any function of (url, agent, timeout)."""
+    """Crawls with a fetcher: HTTP, or any function of (url, agent, timeouts); and a parser, see ``html.parse_html``."""
 
-    def __init__(self, spark: SparkSession, config: conf.Config, get: Callable = fetch.http_get, fields=tuple(html.FIELDS), on_page_done: Callable[[DataFrame], None] | None = None):
+    def __init__(self, spark: SparkSession, config: conf.Config, get: Callable = fetch.http_get, fields=tuple(html.FIELDS), on_page_done: Callable[[DataFrame], None] | None = None, parser: Callable = html.parse_page):
         if problems := conf.validate(config):
             raise conf.ConfigError("; ".join(problems))
         self.spark, self.config, self.get, self.fields, self.hook = spark, config, get, fields, on_page_done
+        self.parser = parser
         c = config.crawler
         self.log = logs.setup(**vars(config.logging))
         self.agents = c.user_agents or [c.user_agent or "harrow/1.0"]
         self.sink = sinks.make_sink(config.storage.type, config.storage.path, config.storage.batch_size, config.storage.overwrite)
         r = config.retry
         self.options = fetch.FetchOptions(
-            user_agents=self.agents, connect_timeout=c.connect_timeout, total_timeout=c.total_timeout,
+            user_agents=self.agents, connect_timeout=c.connect_timeout, read_timeout=c.read_timeout, total_timeout=c.total_timeout, max_concurrent=c.max_concurrent, max_per_domain=c.max_per_domain,
             retry=policy.RetryPolicy(r.max_retries, r.backoff_factor, r.base_delay, r.max_delay) if r.enabled else None,
-            rate=policy.RatePolicy(c.rate_limit, c.min_delay, c.jitter, c.error_backoff),
+            rate=policy.RatePolicy(c.rate_limit, c.min_delay, c.jitter, c.error_backoff, per_domain=c.rate_per_domain),
             failure_threshold=config.circuit_breaker.failure_threshold if config.circuit_breaker.enabled else None, recovery_timeout=config.circuit_breaker.recovery_timeout,
         )
-        self.rules = self.pages = self.seen = None
+        self.rules = self.pages = self.seen = self.states = None
         self.run_id = 0
 
+    #: Failed URLs that the statistics list one by one.
+    MOST = 1000
+
     @classmethod
     def from_config(cls, spark: SparkSession, path: str, **more) -> CrawlEngine:
         return cls(spark, conf.load(path), **more)
@@ -47,18 +51,24 @@ class CrawlEngine:
         sites = of.select(urls.domain_of(F.col("url")).alias("domain"), urls.scheme_of(F.col("url")).alias("scheme")).dropDuplicates(["domain"])
         if self.rules is not None:
             sites = sites.join(self.rules.select("domain").distinct(), "domain", "left_anti")
-        wanted = sites.select("domain", F.concat("scheme", F.lit("://"), "domain", F.lit("/robots.txt")).alias("url"))
-        got = wanted.join(fetch.raw_bodies(wanted, 10.0, get=self.get), "url").select("domain", "status", F.expr("decode(body, 'utf-8')").alias("text"))
+        wanted = sites.select(F.concat("scheme", F.lit("://"), "domain", F.lit("/robots.txt")).alias("url"))
+        plain = fetch.FetchOptions(self.agents, total_timeout=10.0, max_concurrent=self.options.max_concurrent)
+        got = fetch.raw_bodies(wanted, plain, get=self.get).select("domain", "status", text_of("body").alias("text"))
         fresh = frontier.cut(robots.parse_robots(got))
         self.rules = fresh if self.rules is None else self.rules.unionByName(fresh)
         return self.rules
 
+    def _remember(self, results: DataFrame) -> None:
+        """Limiters and breakers go on with the next fetch where this one left them."""
+        self.states = frontier.cut(fetch.latest_states(results, self.states))
+
     def _fetch(self, wanted: DataFrame) -> DataFrame:
         if self.rules is not None:
             self.options.crawl_delay = {r["domain"]: r["crawl_delay"] for r in robots.crawl_delays(self.rules, self.agents[0]).filter("crawl_delay > 0").toLocalIterator()}
-        got = frontier.cut(wanted.join(fetch.fetch(wanted, self.options, get=self.get), "url").withColumn("t", F.unix_micros(F.current_timestamp()) / 1e6 - self.began))
-        pages = html.parse_html(got.filter("error is null").select("url", F.expr("decode(body, 'utf-8')").alias("html")), self.fields)
-        out = frontier.cut(got.drop("body").join(pages, "url", "left").withColumn("run_id", F.lit(self.run_id)))
+        got = frontier.cut(fetch.fetch(wanted, self.options, get=self.get, states=self.states).drop("body"))
+        self._remember(got)
+        rows = wanted.join(got.drop("state"), "url").withColumn("t", F.col("ended") - self.began)
+        out = frontier.cut(html.parse_html(rows, self.fields, parser=self.parser).withColumn("run_id", F.lit(self.run_id)))
         if self.sink is not None:
             self.sink.save(out)
         if self.hook is not None:
@@ -83,7 +93,9 @@ class CrawlEngine:
         frame = self.spark.createDataFrame(list(enumerate(dict.fromkeys(roots))), "seq long, sitemap string")
         files, known = None, frame.select(F.col("sitemap").alias("url"))
         for _ in range(4):  # indexes are read before their files, three levels deep
-            got = frontier.cut(fetch.raw_bodies(known, 15.0, get=self.get)).withColumnRenamed("url", "sitemap")
+            got = frontier.cut(fetch.raw_bodies(known, self.options, get=self.get, states=self.states))
+            self._remember(got)
+            got = got.select(F.col("url").alias("sitemap"), "status", "body")
             files = got if files is None else files.unionByName(got)
             found, _ = frontier.expand_sitemaps(self.spark, frame, files, max_urls=self.config.limits.max_pages)
             inner = files.select("sitemap", F.explode(html_sitemaps(F.col("body"))).alias("loc")).select(urls.join_url(F.col("sitemap"), F.col("loc")).alias("url")).distinct()
@@ -94,7 +106,7 @@ class CrawlEngine:
 
     def crawl(self) -> DataFrame:
         """Successful pages of a run; a second call is a new run with fresh statistics into the same sink."""
-        self.run_id, self.began, self.done = self.run_id + 1, time.time(), 0
+        self.run_id, self.began, self.done, self.states = self.run_id + 1, time.time(), 0, None
         start = list(dict.fromkeys([*self.config.start_urls, *self.sitemap_urls()]))
         if not start:
             raise conf.ConfigError("start_urls: at least one address or sitemap is wanted")
@@ -124,7 +136,12 @@ class CrawlEngine:
             "start_urls": list(self.config.start_urls), "totals": t, "status": rows(stats.status_histogram(p).orderBy(*stats.status_order())),
             "top_domains": rows(stats.top_domains(p, top_n)), "errors": rows(stats.errors_by_type(p).orderBy(F.desc("pages"))), "depth": rows(stats.depth_distribution(p).orderBy("depth")),
             "timeline": rows(stats.timeline(p, max(self.duration, 0.001)).orderBy("bin")), "failures": rows(stats.failures_head(p)), "permanent_urls": [r["url"] for r in rows(stats.permanent_urls(p))],
-            "queue": rows(stats.queue_stats(self.seen))[0], "retries": rows(stats.retry_stats(attempts))[0], "skipped_by_depth": rows(stats.skipped_by_depth(p, self.config.limits.max_depth))[0]["skipped"],
+            "queue": rows(stats.queue_stats(self.seen, p))[0], "retries": rows(stats.retry_stats(attempts))[0] | {"errors": rows(stats.attempt_errors(attempts).orderBy("error"))},
+            "errors_of": rows(p.filter("error is not null").select("url", "error", "status", "reason", F.size("attempts").alias("attempts")).orderBy("url").limit(self.MOST)),
+            "rates": rows(stats.rate_stats(p.withColumns({"ts": F.timestamp_seconds("began"), "id": F.col("url")}), time.time(), wait=F.col("wait")).orderBy("domain")),
+            "backoff": rows(self.states.filter("state.backoff > 0").select("domain", "state.backoff").orderBy("domain")), "breaker": rows(fetch.breaker_stats(self.states))[0],
+            "peaks": {"total": rows(stats.peak_concurrency(p.withColumn("all", F.lit("")), "all", "began", "ended"))[0]["peak"], "by_domain": rows(stats.peak_concurrency(p, "domain", "began", "ended").orderBy("domain"))},
+            "partial_parses": p.filter("error is null and size(parse_errors) > 0").count(), "skipped_by_depth": rows(stats.skipped_by_depth(p, self.config.limits.max_depth))[0]["skipped"],
             "storage": self.sink.stats() if self.sink else None,
         }
 
@@ -139,6 +156,11 @@ class CrawlEngine:
             self.sink.close()
 
 
+@F.pandas_udf(T.StringType())
+def text_of(body):
+    return body.map(fetch.decode)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def html_sitemaps(body):
     """Locations of a body that is a sitemap index, none for other bodies."""

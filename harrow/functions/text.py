@@ -24,8 +24,11 @@ def format_int(n: Column) -> Column:
 
 
 def format_seconds(s: Column) -> Column:
-    """Seconds, minutes or hours, whichever reads best."""
-    return F.when(s < 60, F.format_string("%.1f s", s.cast("double"))).when(s < 3600, F.format_string("%.1f min", s / 60.0)).otherwise(F.format_string("%.1f h", s / 3600.0))
+    """Tenths of a second up to a minute, then minutes and seconds, then hours and minutes."""
+    n = F.round(s).cast("long")
+    minutes = F.format_string("%d min %02d s", F.floor(n / 60), n % 60)
+    hours = F.format_string("%d h %02d min", F.floor(n / 3600), F.floor(n / 60) % 60)
+    return F.when(s < 60, F.format_string("%.1f s", s.cast("double"))).when(n < 3600, minutes).otherwise(hours)
 
 
 def nice_step(x: Column) -> Column:
@@ -65,12 +68,6 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(T.BinaryType())
-def gunzip(body: pd.Series) -> pd.Series:
-    """Decompressed where the bytes start as gzip does, else as they are; null if broken."""
-    return body.map(unzip)
-
-
 def unzip(data: bytes | None) -> bytes | None:
     if data is None or bytes(data[:2]) != b"\x1f\x8b":
         return data

@@ -1,52 +1,134 @@
 """Fetching pages over HTTP inside tasks, with retries, rate slots and a breaker for each domain.
 
-URLs are dealt by domain, so the requests of one domain are ordered in one task
-and its limits hold without coordination; a domain with very many URLs is a
-sequence by nature of its rate limit. The global cap on concurrency is the
-number of task slots. Every outcome is a row, never an exception.
+URLs are dealt by domain, so the limits of a domain hold inside one task without
+coordination. Each task has its share of ``max_concurrent`` threads and takes
+URLs of its domains in turn, never more of one domain than ``max_per_domain`` at
+a time, so a slow domain does not hold up the others. What limiter and breaker
+know of a domain comes back with every row (``state``) and is handed to the next
+fetch (``states``), so it lasts for a whole crawl. With one rate for all domains
+each task takes its share of the rate. Every outcome is a row, never an exception.
 """
 
 from __future__ import annotations
 
+import codecs
+import http.client
 import itertools
 import random
+import re
 import socket
+import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections import deque
+from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import policy, urls
+from harrow.streaming.limits import Breaker, Limiter
 
-RESULT = "url string, status int, content_type string, body binary, error string, reason string, attempts array<struct<attempt:int,status:int,error:string,delay:double>>"
+STATE = "next:double,backoff:double,streak:int,opened:double,is_open:int,probing:int,times_opened:long,rejected:long"
+RESULT = f"url string, status int, content_type string, body binary, html string, error string, reason string, began double, ended double, wait double, attempts array<struct<attempt:int,status:int,error:string,delay:double>>, domain string, state struct<{STATE}>"
+STATES = f"domain string, state struct<{STATE}>"
+#: Rows that a task hands on at once.
+ROWS = 64
+
+
+class Timeouts(NamedTuple):
+    """Seconds for connecting, for each wait for data, and for the whole request."""
+
+    connect: float
+    read: float
+    total: float
+
+    def times(self, growth: float) -> Timeouts:
+        return Timeouts(*(x * growth for x in self))
 
 
 @dataclass
 class FetchOptions:
     user_agents: list[str] = field(default_factory=lambda: ["harrow/1.0"])
     connect_timeout: float = 10.0
+    read_timeout: float = 15.0
     total_timeout: float = 30.0
     retry: policy.RetryPolicy | None = field(default_factory=policy.RetryPolicy)
     rate: policy.RatePolicy = field(default_factory=policy.RatePolicy)
     failure_threshold: int | None = None
     recovery_timeout: float = 30.0
     crawl_delay: dict[str, float] = field(default_factory=dict)
+    max_concurrent: int = 10
+    max_per_domain: int | None = None
+
+    @property
+    def timeouts(self) -> Timeouts:
+        return Timeouts(self.connect_timeout, self.read_timeout, self.total_timeout)
+
+
+def _opener(read: float) -> urllib.request.OpenerDirector:
+    """Connects within the request's own timeout, then waits ``read`` seconds for data at most."""
+
+    def timed(base):
+        class Timed(base):
+            def connect(self):
+                super().connect()
+                self.sock.settimeout(read)
+
+        return Timed
+
+    class Plain(urllib.request.HTTPHandler):
+        def http_open(self, req):
+            return self.do_open(timed(http.client.HTTPConnection), req)
 
+    class Secure(urllib.request.HTTPSHandler):
+        def https_open(self, req):
+            return self.do_open(timed(http.client.HTTPSConnection), req, context=self._context)
 
-def http_get(url: str, agent: str, timeout: float) -> tuple[int, str | None, bytes, str | None]:
+    return urllib.request.build_opener(Plain, Secure)
+
+
+def _read(response, until: float) -> bytes:
+    parts = []
+    while part := response.read1(1 << 16):
+        parts.append(part)
+        if time.monotonic() > until:
+            raise TimeoutError("total timeout")
+    return b"".join(parts)
+
+
+def http_get(url: str, agent: str, timeout: Timeouts) -> tuple[int, str | None, bytes, str | None]:
     """(status, content type, body, Retry-After) of one GET; a status is never an exception."""
     request = urllib.request.Request(url, headers={"User-Agent": agent})
+    until = time.monotonic() + timeout.total
     try:
-        with urllib.request.urlopen(request, timeout=timeout) as r:
-            return r.status, r.headers.get("Content-Type"), r.read(), None
+        with _opener(min(timeout.read, timeout.total)).open(request, timeout=min(timeout.connect, timeout.total)) as r:
+            return r.status, r.headers.get("Content-Type"), _read(r, until), None
     except urllib.error.HTTPError as e:
-        return e.code, e.headers.get("Content-Type"), e.read(), e.headers.get("Retry-After")
+        return e.code, e.headers.get("Content-Type"), _read(e, until), e.headers.get("Retry-After")
+
+
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+
+
+def decode(body: bytes | None, content_type: str | None = None) -> str | None:
+    """Text of a body: byte order mark, charset of the header, then of a meta tag, else UTF-8; bad bytes are replaced."""
+    if body is None:
+        return None
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if body.startswith(mark):
+            return body.decode(name, "replace")
+    said = _CHARSET.search(content_type or "") or _CHARSET.search(body[:2048].decode("latin-1"))
+    try:
+        return body.decode(said.group(1) if said else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
 
 
 def kind_of(status: int) -> str | None:
@@ -63,7 +145,7 @@ def kind_of_exception(e: BaseException) -> str:
         e = e.reason
     if isinstance(e, (TimeoutError, socket.timeout)):
         return policy.TRANSIENT
-    if isinstance(e, OSError):
+    if isinstance(e, (OSError, http.client.HTTPException)):
         return policy.NETWORK
     return policy.BY_EXCEPTION.get(type(e).__name__.lower(), policy.OTHER)
 
@@ -77,103 +159,187 @@ def wait_seconds(value: str | None) -> float | None:
 
 
 class Domain:
-    """Rate slots, backoff and breaker of one domain."""
+    """Limiter and breaker of one domain, for the threads of one task; ``known`` is an earlier ``state``."""
 
-    def __init__(self, options: FetchOptions, name: str, clock=time.monotonic):
+    def __init__(self, options: FetchOptions, name: str, clock=time.time, known=None, share: float = 1.0):
         r = options.rate
-        self.gap = max(1.0 / r.requests_per_second if r.requests_per_second else 0.0, r.min_delay, options.crawl_delay.get(name, 0.0))
-        self.options, self.clock = options, clock
-        self.next, self.backoff, self.streak, self.opened = 0.0, 0.0, 0, None
+        gap = max(share / r.requests_per_second if r.requests_per_second else 0.0, r.min_delay, options.crawl_delay.get(name, 0.0))
+        self.limiter = Limiter(gap, r.error_backoff, r.max_backoff)
+        self.breaker = Breaker(options.failure_threshold, options.recovery_timeout) if options.failure_threshold else None
+        self.clock, self.jitter, self.lock = clock, r.jitter, threading.Lock()
+        for m in (self.limiter, self.breaker):
+            for k in vars(m) if m and known else ():
+                if known.get(k) is not None and k in STATE_FIELDS:
+                    setattr(m, k, known[k])
+        if self.breaker:
+            self.breaker.probing = 0  # no probe outlives its fetch
 
     def admits(self) -> bool:
         """False while the breaker is open; after the timeout one probe goes through."""
-        return self.opened is None or self.clock() - self.opened >= self.options.recovery_timeout
+        with self.lock:
+            return self.breaker is None or self.breaker.admits(self.clock())
 
     def slot(self) -> float:
         """How long to wait for the next start."""
-        start = max(self.clock(), self.next)
-        self.next = start + max(self.gap, self.backoff) + random.uniform(0, self.options.rate.jitter)
-        return start - self.clock()
+        with self.lock:
+            now = self.clock()
+            return self.limiter.take(now, random.uniform(0, self.jitter) if self.jitter else 0.0) - now
 
     def over(self, error: str | None) -> None:
-        slow = error in (policy.TRANSIENT, policy.RATE_LIMITED, policy.NETWORK)
-        base = self.options.rate.error_backoff
-        self.backoff = min(self.options.rate.max_backoff, max(base, 2 * self.backoff)) if slow and base else 0.0
-        if self.backoff:
-            self.next = max(self.next, self.clock() + self.backoff)
-        self.streak = self.streak + 1 if error in (policy.TRANSIENT, policy.NETWORK) else 0
-        limit = self.options.failure_threshold
-        self.opened = self.clock() if limit and self.streak >= limit else None
+        """Timeouts, 5xx, 429 and network errors are failures; other errors count as neither."""
+        outcome = True if error is None else False if error in policy.FAILURES else None
+        with self.lock:
+            for m in (self.limiter, self.breaker):
+                if m:
+                    m.report(self.clock(), outcome)
+
+    def state(self) -> dict:
+        with self.lock:
+            return {k: v for m in (self.limiter, self.breaker) if m for k, v in vars(m).items() if k in STATE_FIELDS}
+
+
+STATE_FIELDS = [c.split(":")[0] for c in STATE.split(",")]
 
 
 def fetch_one(url: str, agents, state: Domain, options: FetchOptions, get=http_get, sleep=time.sleep) -> dict:
-    """One URL with its retries; every attempt asks the breaker and takes a slot."""
-    tries, attempt = [], 0
+    """One URL with its retries; every attempt asks the breaker and takes a slot. Waits before retries hold no slot."""
+    tries, attempt, waited, began, p = [], 0, 0.0, None, options.retry
     while True:
         attempt += 1
         status = ctype = body = after = reason = None
         if not state.admits():
             error, reason = policy.BREAKER, "circuit open"
         else:
-            sleep(max(0.0, state.slot()))
-            growth = options.retry.timeout_growth ** (attempt - 1) if options.retry else 1.0
+            waited += (slot := max(0.0, state.slot()))
+            sleep(slot)
+            began = state.clock() if began is None else began
+            growth = p.timeout_growth ** (attempt - 1) if p else 1.0
             try:
-                status, ctype, body, after = get(url, next(agents), options.total_timeout * growth)
+                status, ctype, body, after = get(url, next(agents), options.timeouts.times(growth))
                 error = kind_of(status)
                 reason = f"HTTP {status}" if error else None
             except Exception as e:
                 error, reason = kind_of_exception(e), f"{type(e).__name__}: {e}"
             state.over(error)
-        r, delay = options.retry, 0.0
-        limit = min(r.max_retries, r.max_by_type.get(error, r.max_retries), r.max_by_status.get(status, r.max_retries)) if r else 0
-        again = bool(r and error in r.retry_on and attempt <= limit)
-        if again:
-            delay = r.base_delay * r.backoff_factor ** (attempt - 1)
-            if error == policy.RATE_LIMITED and (asked := wait_seconds(after)) is not None:
-                delay = max(delay, asked)
-            delay = min(delay, r.max_delay)
+        again = bool(p and error in p.retried and attempt <= p.retries(error, status))
+        delay = p.delay(attempt, error, wait_seconds(after)) if again else 0.0
         tries.append({"attempt": attempt, "status": status, "error": error, "delay": delay})
         if not again:
-            return {"url": url, "status": status, "content_type": ctype, "body": None if error else body, "error": error, "reason": reason, "attempts": tries}
+            ended = state.clock()
+            return {"url": url, "status": status, "content_type": ctype, "body": None if error else body, "error": error, "reason": reason, "began": ended if began is None else began, "ended": ended, "wait": waited, "attempts": tries}
         sleep(delay)
 
 
-def fetch(wanted: DataFrame, options: FetchOptions | None = None, url_col: str = "url", get: Callable = http_get) -> DataFrame:
-    """A result row for each distinct URL; successes have ``error`` null."""
-    options = options or FetchOptions()
-    each = wanted.select(F.col(url_col).alias("url")).distinct().withColumn("_d", urls.domain_of(F.col("url"))).repartition("_d").sortWithinPartitions("_d", "url")
+def bytes_of_one(url: str, agents, state: Domain, options: FetchOptions, get=http_get, sleep=time.sleep) -> dict:
+    """One answer as it is: any status is one, none is tried again; the rate slot counts, the breaker does not."""
+    sleep(slot := max(0.0, state.slot()))
+    began, status, body, reason = state.clock(), None, None, None
+    try:
+        status, _, body, _ = get(url, next(agents), options.timeouts)
+    except Exception as e:
+        reason = f"{type(e).__name__}: {e}"
+    return {"url": url, "status": status, "body": body, "reason": reason, "began": began, "ended": state.clock(), "wait": slot}
+
+
+def _in_turn(todo: dict[str, deque], threads: int, per_domain: int, one: Callable[[str, str], dict]) -> Iterator[dict]:
+    """Results as they come; a domain has ``per_domain`` requests under way at most, all together ``threads``."""
+    active, busy = dict.fromkeys(todo, 0), {}
+    with ThreadPoolExecutor(threads) as pool:
+        while todo or busy:
+            for name in list(todo):
+                while todo[name] and len(busy) < threads and active[name] < per_domain:
+                    busy[pool.submit(one, name, todo[name].popleft())] = name
+                    active[name] += 1
+                if not todo[name]:
+                    del todo[name]
+                if len(busy) == threads:
+                    break
+            for f in wait(busy, return_when=FIRST_COMPLETED).done:
+                active[busy.pop(f)] -= 1
+                yield f.result()
+
+
+def _fetched(wanted: DataFrame, options: FetchOptions, url_col: str, get: Callable, one: Callable, states: DataFrame | None, text: bool) -> DataFrame:
+    each = wanted.select(F.col(url_col).alias("url")).distinct().withColumn("domain", urls.domain_of(F.col("url")))
+    if states is not None:
+        each = each.join(states, "domain", "left")
+    else:
+        each = each.withColumn("state", F.lit(None).cast(f"struct<{STATE}>"))
+    tasks = min(options.max_concurrent, each.sparkSession.sparkContext.defaultParallelism)
+    turn = F.row_number().over(Window.partitionBy("domain").orderBy("url"))
+    dealt = each.repartition(tasks, "domain").withColumn("turn", turn).sortWithinPartitions("turn", "domain")
+    threads = max(1, options.max_concurrent // tasks)
+    per_domain, share = options.max_per_domain or threads, 1.0 if options.rate.per_domain else float(tasks)
 
     def run(batches):
-        states, agents = {}, itertools.cycle(options.user_agents)
-        for b in batches:
-            rows = []
-            for u in b["url"]:
-                name = urlsplit(u).netloc.lower()
-                rows.append(fetch_one(u, agents, states.setdefault(name, Domain(options, name)), options, get))
-            out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ("url", "status", "content_type", "body", "error", "reason", "attempts")])
-            out["status"] = out["status"].astype("Int32")
-            yield out
+        domains, agents, lock = {}, itertools.cycle(options.user_agents), threading.Lock()
+        names = [c.split(" ")[0] for c in RESULT.split(", ")]
 
-    return each.mapInPandas(run, RESULT)
+        def agent():
+            while True:
+                with lock:
+                    name = next(agents)
+                yield name
 
+        def shown(rows):
+            out = pd.DataFrame(rows, columns=names)
+            out["status"] = out["status"].astype("Int32")
+            return out
 
-def raw_bodies(wanted: DataFrame, timeout: float = 15.0, url_col: str = "url", get: Callable = http_get) -> DataFrame:
-    """(url, status, body) without retries or limits: any status is an answer, null means none came."""
+        def do(name, url):
+            state = domains[name if options.rate.per_domain else ""]
+            got = dict.fromkeys(names) | one(url, agent(), state, options, get) | {"domain": name, "state": state.state()}
+            if text:
+                got["html"] = decode(got["body"], got["content_type"])
+            return got
 
-    def run(batches):
         for b in batches:
-            rows = []
-            for u in b[url_col]:
-                try:
-                    status, _, body, _ = get(u, "harrow/1.0", timeout)
-                except Exception:
-                    status, body = None, None
-                rows.append((u, status, body))
-            yield pd.DataFrame(rows, columns=["url", "status", "body"]).astype({"status": "Int32"})
+            todo, rows = {}, []
+            for name, url, known in zip(b["domain"], b["url"], b["state"], strict=True):
+                todo.setdefault(name, deque()).append(url)
+                key = name if options.rate.per_domain else ""
+                if key not in domains:
+                    domains[key] = Domain(options, name, known=None if known is None else dict(known), share=share)
+            for got in _in_turn(todo, threads, per_domain, do):
+                rows.append(got)
+                if len(rows) == ROWS:
+                    yield shown(rows)
+                    rows = []
+            yield shown(rows)
+
+    return dealt.mapInPandas(run, RESULT)
+
+
+def fetch(wanted: DataFrame, options: FetchOptions | None = None, url_col: str = "url", get: Callable = http_get, states: DataFrame | None = None) -> DataFrame:
+    """A result row for each distinct URL; successes have ``error`` null and ``html`` decoded.
+
+    began and ended are seconds since the epoch, wait is for rate slots. states:
+    (domain, state) of an earlier fetch, see ``latest_states``.
+    """
+    return _fetched(wanted, options or FetchOptions(), url_col, get, fetch_one, states, text=True)
+
+
+def raw_bodies(wanted: DataFrame, options: FetchOptions | None = None, url_col: str = "url", get: Callable = http_get, states: DataFrame | None = None) -> DataFrame:
+    """(url, status, body, domain, ended, state) without retries or breaker: any status is an answer, null means none came."""
+    options = replace(options or FetchOptions(), failure_threshold=None)
+    return _fetched(wanted, options, url_col, get, bytes_of_one, states, text=False).select("url", "status", "body", "domain", "ended", "state")
+
+
+def latest_states(results: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(domain, state) after ``results``; what ``before`` says of other domains stays."""
+    now = results.groupBy("domain").agg(F.max_by("state", "ended").alias("state"))
+    if before is None:
+        return now
+    return now.unionByName(before.join(now, "domain", "left_anti"))
+
 
-    return wanted.select(url_col).distinct().mapInPandas(run, "url string, status int, body binary")
+def breaker_stats(states: DataFrame) -> DataFrame:
+    """One row: times_opened, rejected, open_domains."""
+    s = F.col("state")
+    opened = F.array_sort(F.collect_list(F.when(s["is_open"] == 1, F.col("domain"))))
+    return states.agg(F.coalesce(F.sum(s["times_opened"]), F.lit(0)).alias("times_opened"), F.coalesce(F.sum(s["rejected"]), F.lit(0)).alias("rejected"), opened.alias("open_domains"))
 
 
 def successes(results: DataFrame) -> DataFrame:
     """(url, html) of what was fetched without error, each URL once."""
-    return results.filter("error is null").select("url", F.decode("body", "utf-8").alias("html")).dropDuplicates(["url"])
+    return results.filter("error is null").select("url", "html").dropDuplicates(["url"])

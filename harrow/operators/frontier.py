@@ -37,11 +37,6 @@ def follow_filter(url: Column, exclude=(), include=(), domains: list[str] | None
     return ok
 
 
-def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row of each key by ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")
-
-
 def rank_rows(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """``df`` with a gapless global rank from 1 without bringing all rows to one task.
 

@@ -14,12 +14,15 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from harrow.functions import urls
 
+# Tag names as HTML defines them.
 HIDDEN = {"script", "style", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -237,29 +240,42 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if id(n) in found]
 
 
-def parse_html(pages: DataFrame, fields=tuple(FIELDS), url_col="url", html_col="html", same_domain: bool = False) -> DataFrame:
-    """``url`` and the asked fields of each page (title comes with metadata)."""
-    schema = "url string, " + ", ".join(f"{f} {FIELDS[f]}" for f in fields) + ", parse_errors array<string>" + (", title string" if "metadata" in fields else "")
+def parse_html(pages: DataFrame, fields=tuple(FIELDS), url_col="url", html_col="html", same_domain: bool = False, parser: Callable = parse_page) -> DataFrame:
+    """``pages`` without the HTML, with the asked fields of each page (title comes with metadata).
+
+    All other columns pass through, so nothing has to be joined back. Columns
+    that have a field's name give way to the field. parser: any function of
+    (url, html, fields, same_domain) to a dict of the fields and ``parse_errors``.
+    """
+    new = {f: FIELDS[f] for f in fields} | {"parse_errors": "array<string>"} | ({"title": "string"} if "metadata" in fields else {})
+    kept = [c for c in pages.columns if c not in new and c != html_col]
+    rows = pages.select(*kept, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    shape = T.StructType([*(pages.schema[c] for c in kept), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in new.items())])
+    own = to_arrow_schema(shape)
 
     def run(batches):
         for b in batches:
-            rows = [{"url": u} | parse_page(u or "", h, fields, same_domain) for u, h in zip(b[url_col], b[html_col], strict=True)]
-            out = pd.DataFrame(rows, columns=["url", *fields, "parse_errors"])
-            if "metadata" in fields:
-                out["title"] = [r["metadata"]["title"] for r in rows]
-            yield out
+            got = [parser(u or "", h, fields, same_domain) for u, h in zip(b.column("_url").to_pylist(), b.column("_html").to_pylist(), strict=True)]
+            for r in got if "metadata" in fields else ():
+                r["title"] = r["metadata"]["title"]
+            found = [pa.array([list(r[k].items()) if k == "headings" else r[k] for r in got], own.field(k).type) for k in new]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(own.field(c).type) for c in kept), *found], schema=own)
 
-    return pages.select(url_col, html_col).mapInPandas(run, schema)
+    return rows.mapInArrow(run, shape)
 
 
-def select_text(pages: DataFrame, selector: str, url_col="url", html_col="html") -> DataFrame:
-    """Text of the elements a selector finds, one to a line; "" if none."""
+def select_text(pages: DataFrame, selector: str, html_col="html") -> DataFrame:
+    """``pages`` without the HTML, with ``text``: that of the elements a selector finds, one to a line; "" if none."""
+    kept = [c for c in pages.columns if c not in (html_col, "text")]
+    shape = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType())])
+    own = to_arrow_schema(shape)
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"url": b[url_col], "text": ["\n".join(visible_text(n) for n in select(tree(h or ""), selector)).strip() for h in b[html_col]]})
+            said = ["\n".join(visible_text(n) for n in select(tree(h or ""), selector)).strip() for h in b.column("_html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(own.field(c).type) for c in kept), pa.array(said, pa.string())], schema=own)
 
-    return pages.select(url_col, html_col).mapInPandas(run, "url string, text string")
+    return pages.select(*kept, F.col(html_col).alias("_html")).mapInArrow(run, shape)
 
 
 # ---- the same for pages of simple form, without Python

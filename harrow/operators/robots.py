@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import urls
@@ -79,24 +79,23 @@ def target_of(url: Column) -> Column:
 def allowed(pages: DataFrame, rules: DataFrame, user_agent: str = "*", url_col: str = "url") -> DataFrame:
     """``pages`` with ``allowed``: the longest matching rule decides, Allow on a tie.
 
-    A domain without a robots file allows all. Rules join by domain; the number
-    of a domain's own rules bounds the rows of one page, and they are reduced to
-    one before anything else.
+    A domain without a robots file allows all. The rules of a domain are one
+    row; each page meets that row once and is judged in place, so pages are
+    neither made distinct nor joined back. Rules are broadcast where their
+    measured size allows; else adaptive execution splits domains of many pages.
     """
-    key = pages.select(F.col(url_col).alias("_url")).distinct().withColumns({"_domain": urls.domain_of(F.col("_url")), "_target": target_of(F.col("_url"))})
     mine = rules.join(pick_groups(rules, user_agent), ["domain", "agent"]).filter("kind in ('allow', 'disallow')").select("domain", "kind", "pattern", urls.robots_regex(F.col("pattern")).alias("regex")).distinct()
-    per_domain = mine.groupBy("domain").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("ok"), "regex")).alias("rules"))
-    sites = rules.filter("kind = 'site'").select("domain", "mode").distinct().join(per_domain, "domain", "left")
-    judged = key.join(sites, key["_domain"] == sites["domain"], "left")
-    hits = F.filter("rules", lambda r: F.rlike(F.col("_target"), r["regex"]))
+    per_domain = mine.groupBy("domain").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), (F.col("kind") == "allow").alias("ok"), "regex")).alias("_rules"))
+    sites = rules.filter("kind = 'site'").select("domain", "mode").distinct().join(per_domain, "domain", "left").select(F.col("domain").alias("_domain"), F.col("mode").alias("_mode"), "_rules")
+    judged = pages.withColumns({"_domain": urls.domain_of(F.col(url_col)), "_target": target_of(F.col(url_col))}).join(sites, "_domain", "left")
+    hits = F.filter("_rules", lambda r: F.rlike(F.col("_target"), r["regex"]))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["n"], r["ok"])))
     verdict = (
-        F.when(F.col("mode").isNull() | (urls.path_of(F.col("_url")) == "/robots.txt") | (F.col("mode") == "allow_all"), True)
-        .when(F.col("mode") == "disallow_all", False)
+        F.when(F.col("_mode").isNull() | (urls.path_of(F.col(url_col)) == "/robots.txt") | (F.col("_mode") == "allow_all"), True)
+        .when(F.col("_mode") == "disallow_all", False)
         .otherwise(F.coalesce(best["ok"], F.lit(True)))
     )
-    judged = judged.select("_url", verdict.alias("allowed"))
-    return pages.join(judged, pages[url_col] == judged["_url"], "left").drop("_url")
+    return judged.withColumn("allowed", verdict).drop("_domain", "_target", "_mode", "_rules")
 
 
 def crawl_delays(rules: DataFrame, user_agent: str = "*") -> DataFrame:
@@ -112,8 +111,3 @@ def sitemaps_of(sites: DataFrame, rules: DataFrame) -> DataFrame:
     said = rules.filter("kind = 'sitemap'").select("domain", "sitemap").distinct()
     joined = sites.join(said, "domain", "left")
     return joined.select("domain", F.coalesce("sitemap", F.concat("scheme", F.lit("://"), "domain", F.lit("/sitemap.xml"))).alias("sitemap"))
-
-
-def newest_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the last by ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")

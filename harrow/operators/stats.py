@@ -95,10 +95,18 @@ def skipped_by_depth(results: DataFrame, max_depth: int) -> DataFrame:
     return results.filter(F.col("depth") == max_depth).agg(F.coalesce(F.sum(F.size("links")), F.lit(0)).alias("skipped"))
 
 
-def queue_stats(frontier: DataFrame) -> DataFrame:
-    """queued, processed, failed, skipped, seen, duplicates over a frontier with ``state`` and ``duplicates``."""
+def queue_stats(frontier: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """queued, processed, failed, skipped, seen, duplicates over a frontier with ``state`` and ``duplicates``.
+
+    Whether a fetched page failed is in ``results``; without these none has.
+    """
     is_ = lambda s: F.count_if(F.col("state") == s)
-    return frontier.agg(is_("over_limit").alias("queued"), is_("fetched").alias("processed"), is_("failed").alias("failed"), is_("blocked").alias("skipped"), F.count("*").alias("seen"), F.sum("duplicates").alias("duplicates"))
+    of = frontier.agg(is_("over_limit").alias("queued"), is_("fetched").alias("fetched"), is_("blocked").alias("skipped"), F.count("*").alias("seen"), F.sum("duplicates").alias("duplicates"))
+    if results is None:
+        of = of.withColumn("failed", F.lit(0).cast("long"))
+    else:
+        of = of.crossJoin(F.broadcast(results.agg(F.count_if(failed()).alias("failed"))))  # one row each
+    return of.select("queued", (F.col("fetched") - F.col("failed")).alias("processed"), "failed", "skipped", "seen", "duplicates")
 
 
 def retry_stats(attempts: DataFrame) -> DataFrame:
@@ -118,27 +126,75 @@ def storage_stats(runs: DataFrame) -> DataFrame:
 
 
 # ---- logic over ordered rows
+#
+# A key may hold a large share of all rows, so no window below runs over all rows of a key. Rows are windowed by
+# (key, stretch of ``DAY`` seconds); what a stretch passes on to the next (its last start, its sum, its streak) is
+# worked out over one row for each stretch and joined back.
+
+DAY = 86_400.0
+
+
+def _seconds(ts: str) -> Column:
+    return F.col(ts).cast("timestamp").cast("double")
+
+
+def _stretches(log: DataFrame, at: Column) -> DataFrame:
+    return log.withColumn("_b", F.floor(at / DAY))
+
+
+def _passed_on(rows: DataFrame, key: str, of: dict[str, Column], onward: dict) -> DataFrame:
+    """``rows`` with the columns of ``onward``: functions of the window over a key's stretches, by what ``of`` says of each."""
+    order = Window.partitionBy("_k").orderBy("_c")
+    per = rows.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_c")).agg(*[v.alias(k) for k, v in of.items()])
+    per = per.select("_k", "_c", *[f(order).alias(k) for k, f in onward.items()])
+    return rows.join(per, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c")), "left").drop("_k", "_c")
+
+
+def _before(order):
+    return order.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def request_gaps(log: DataFrame, key: str = "domain", ts: str = "ts", tie: str = "id") -> DataFrame:
     """``log`` with ``gap``: seconds since the start before of the same key."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts, tie))
-    return log.withColumn("gap", F.col(ts).cast("timestamp").cast("double") - before.cast("timestamp").cast("double"))
+    rows = _stretches(log.withColumn("_at", _seconds(ts)), F.col("_at"))
+    rows = _passed_on(rows, key, {"_last": F.max("_at")}, {"_prior": lambda order: F.max("_last").over(_before(order))})
+    here = F.lag("_at").over(Window.partitionBy(key, "_b").orderBy(ts, tie))
+    return rows.withColumn("gap", F.col("_at") - F.coalesce(here, F.col("_prior"))).drop("_at", "_b", "_prior")
 
 
 def trailing_count(log: DataFrame, seconds: float = 5.0, key: str = "domain", ts: str = "ts") -> DataFrame:
-    """``log`` with ``recent``: starts of the key in the ``seconds`` up to each row, and ``rps``."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    over = Window.partitionBy(key).orderBy("_at").rangeBetween(-int(seconds * 1_000_000), 0)
-    return log.withColumn("_at", at).withColumn("recent", F.count("*").over(over)).withColumn("rps", F.col("recent") / seconds).drop("_at")
+    """``log`` with ``recent``: starts of the key in the ``seconds`` up to each row, and ``rps``. ``seconds``: a day at most.
+
+    A row that later rows of the next stretch look back to is counted there as well.
+    """
+    if not 0 <= seconds <= DAY:
+        raise ValueError("seconds: 0 to a day")
+    micros, width = int(seconds * 1_000_000), int(DAY * 1_000_000)
+    rows = log.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    mine, later = F.floor(F.col("_at") / width), F.floor((F.col("_at") + micros) / width)
+    where = F.when(later > mine, F.array(F.struct(mine.alias("b"), F.lit(True).alias("own")), F.struct(later.alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(mine.alias("b"), F.lit(True).alias("own"))))
+    rows = rows.withColumn("_w", F.explode(where))
+    over = Window.partitionBy(key, "_w.b").orderBy("_at").rangeBetween(-micros, 0)
+    return rows.withColumn("recent", F.count("*").over(over)).filter("_w.own").withColumn("rps", F.col("recent") / seconds).drop("_at", "_w")
 
 
 def failure_streak(log: DataFrame, key: str = "domain", ts: str = "ts", tie: str = "id", ok: str = "ok") -> DataFrame:
     """``log`` with ``streak``: failures in a row up to each row, 0 on success (two running sums)."""
-    order = Window.partitionBy(key).orderBy(ts, tie)
-    island = F.sum(F.col(ok).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    run = Window.partitionBy(key, "_island").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("_island", island).withColumn("streak", F.sum((~F.col(ok)).cast("int")).over(run)).drop("_island")
+    rows = _stretches(log, _seconds(ts))
+    order = Window.partitionBy(key, "_b").orderBy(ts, tie)
+    rows = rows.withColumn("_island", F.sum(F.col(ok).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(key, "_b", "_island").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.sum((~F.col(ok)).cast("int")).over(run))
+    # the streak at the end of the stretch before: the failures at its end, and those at the ends of stretches before it back to a success
+    tails = {"_tail": F.max_by("_run", F.struct(ts, tie)), "_oks": F.max(F.col(ok).cast("int"))}
+    per = rows.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_c")).agg(*[v.alias(k) for k, v in tails.items()])
+    by = Window.partitionBy("_k").orderBy("_c")
+    per = per.withColumn("_part", F.sum("_oks").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    per = per.withColumn("_end", F.sum("_tail").over(Window.partitionBy("_k", "_part").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)))
+    per = per.select("_k", "_c", F.coalesce(F.lag("_end").over(by), F.lit(0)).alias("_before"))
+    rows = rows.join(per, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c")), "left")
+    streak = F.col("_run") + F.when(F.col("_island") == 0, F.col("_before")).otherwise(0)
+    return rows.withColumn("streak", streak).drop("_b", "_k", "_c", "_island", "_run", "_before")
 
 
 def backoff_schedule(log: DataFrame, base: float, cap: float = 60.0, **keys) -> DataFrame:
@@ -152,21 +208,27 @@ def rate_schedule(log: DataFrame, gap: float, key: str = "domain", at: str = "t"
 
     Closed form of start = max(arrival, start before + gap): a running maximum.
     """
-    order = Window.partitionBy(key).orderBy(at, tie)
-    k = (F.row_number().over(order) - 1) * gap
-    return log.withColumn("_k", k).withColumn("start", F.col("_k") + F.max(F.col(at) - F.col("_k")).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("wait", F.col("start") - F.col(at)).drop("_k")
+    rows = _stretches(log, F.col(at))
+    rows = _passed_on(rows, key, {"_n": F.count("*")}, {"_rows": lambda order: F.coalesce(F.sum("_n").over(_before(order)), F.lit(0))})
+    order = Window.partitionBy(key, "_b").orderBy(at, tie)
+    rows = rows.withColumn("_slot", (F.col("_rows") + F.row_number().over(order) - 1) * F.lit(float(gap)))
+    rows = rows.withColumn("_late", F.col(at) - F.col("_slot"))
+    rows = _passed_on(rows, key, {"_most": F.max("_late")}, {"_prior": lambda order: F.max("_most").over(_before(order))})
+    late = F.greatest(F.col("_prior"), F.max("_late").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("start", F.col("_slot") + late).withColumn("wait", F.col("start") - F.col(at)).drop("_b", "_rows", "_slot", "_late", "_prior")
 
 
 def peak_concurrency(spans: DataFrame, key: str = "domain", start: str = "start", end: str = "end") -> DataFrame:
     """(key, peak): most spans open at once; one that ends frees its place before one that starts then."""
     steps = spans.select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("s")).groupBy(key, "s.at", "s.d").agg(F.sum("s.d").alias("n"))
-    open_ = F.sum("n").over(Window.partitionBy(key).orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("open", open_).groupBy(key).agg(F.max("open").alias("peak"))
+    steps = _passed_on(_stretches(steps, F.col("at")), key, {"_sum": F.sum("n")}, {"_open": lambda order: F.coalesce(F.sum("_sum").over(_before(order)), F.lit(0))})
+    here = F.sum("n").over(Window.partitionBy(key, "_b").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("open", F.col("_open") + here).groupBy(key).agg(F.max("open").alias("peak"))
 
 
-def rate_stats(log: DataFrame, now: str, seconds: float = 5.0, key: str = "domain", ts: str = "ts", tie: str = "id", wait: Column | None = None) -> DataFrame:
-    """Per key: total, current_rps (the last ``seconds``), avg_interval, avg_wait."""
-    recent = F.count_if(F.col(ts).cast("timestamp") > F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds)))
+def rate_stats(log: DataFrame, now: float, seconds: float = 5.0, key: str = "domain", ts: str = "ts", tie: str = "id", wait: Column | None = None) -> DataFrame:
+    """Per key: total, current_rps (the last ``seconds`` before ``now``, in seconds since the epoch), avg_interval, avg_wait."""
+    recent = F.count_if(F.col(ts).cast("timestamp").cast("double") >= F.lit(now - seconds))
     return request_gaps(log, key, ts, tie).groupBy(key).agg(F.count("*").alias("total"), (recent / seconds).alias("current_rps"), F.avg("gap").alias("avg_interval"), F.avg(wait if wait is not None else F.lit(0.0)).alias("avg_wait"))
 
 

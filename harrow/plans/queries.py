@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import gzip
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.functions import policy, text, urls
 from harrow.operators import frontier, html, robots, stats
@@ -142,17 +142,39 @@ def text_stats(spark, d):
 SELECT p.page_id, {TITLE} AS title, md5(t.text) AS text_md5, coalesce(l.n, 0) AS n_links, len({H1}) AS n_h1 FROM pages p JOIN t USING (page_id) LEFT JOIN l USING (page_id)""")
 def parse_pages(spark, d):
     """The tree builder's extraction; it must agree with the expressions on pages of simple form."""
-    pages = table(spark, d, "pages")
-    got = html.parse_html(pages, ("metadata", "text", "links", "headings"))
-    return pages.select("page_id", "url").join(got, "url").select("page_id", "title", F.md5("text").alias("text_md5"), F.size("links").cast("long").alias("n_links"), F.size(F.col("headings")["h1"]).cast("long").alias("n_h1"))
+    got = html.parse_html(table(spark, d, "pages"), ("metadata", "text", "links", "headings"))
+    return got.select("page_id", "title", F.md5("text").alias("text_md5"), F.size("links").cast("long").alias("n_links"), F.size(F.col("headings")["h1"]).cast("long").alias("n_h1"))
 
 
 @query(rf"""SELECT page_id, {trimmed(unescaped("regexp_replace(i, '<[^>]*>', '', 'g')"))} AS item FROM (
   SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1)) AS i FROM pages) WHERE {trimmed(unescaped("regexp_replace(i, '<[^>]*>', '', 'g')"))} <> ''""")
 def lists_items(spark, d):
-    pages = table(spark, d, "pages")
-    got = html.parse_html(pages, ("lists",))
-    return pages.select("page_id", "url").join(got, "url").select("page_id", F.explode(F.flatten("lists")).alias("item"))
+    got = html.parse_html(table(spark, d, "pages"), ("lists",))
+    return got.select("page_id", F.explode(F.flatten("lists")).alias("item"))
+
+
+#: Each page with a table and images of known content before it.
+MARKED = """'<table><tr><th>n<td>' || page_id::VARCHAR || '<tr></table><img src="/i/' || page_id::VARCHAR || '.png" alt=" a "><img src=""><p class="mark x">m <b>' || page_id::VARCHAR || '</b></p>' || html"""
+
+
+def _marked(spark, d):
+    return table(spark, d, "pages").selectExpr("page_id", "url", MARKED.replace("::VARCHAR", "").replace("page_id ||", "cast(page_id as string) ||") + " AS html")
+
+
+@query("SELECT page_id, 'n' AS head, page_id::VARCHAR AS cell FROM pages")
+def tables_cells(spark, d):
+    row = F.explode(F.flatten("tables"))
+    return html.parse_html(_marked(spark, d), ("tables",)).select("page_id", row.alias("r")).select("page_id", F.col("r")[0].alias("head"), F.col("r")[1].alias("cell"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || '/i/' || page_id::VARCHAR || '.png' AS src, 'a' AS alt FROM pages")
+def images_absolute(spark, d):
+    return html.parse_html(_marked(spark, d), ("images",)).select("page_id", F.explode("images").alias("i")).select("page_id", "i.src", "i.alt")
+
+
+@query("SELECT page_id, 'm ' || page_id::VARCHAR AS text FROM pages")
+def selector_text(spark, d):
+    return html.select_text(_marked(spark, d), "p.mark").select("page_id", "text")
 
 
 @query(f"SELECT page_id, link FROM ({ABSOLUTE}) WHERE NOT regexp_matches(link, '\\.(jpg|png|pdf)$') AND regexp_matches(link, '/[a-m]')")
@@ -258,7 +280,7 @@ PLAN = """least(3, CASE WHEN error = 'NetworkError' THEN 2 ELSE 3 END, CASE WHEN
 
 
 @query(f"""{WITH_LOG} SELECT id, coalesce(error IN ('TransientError', 'NetworkError', 'RateLimitedError'), false) AS again, {PLAN}::INT AS max_retries,
-least(CASE WHEN error = 'RateLimitedError' THEN greatest(0.5::DOUBLE * pow(2.0::DOUBLE, depth), 7.0::DOUBLE) ELSE 0.5::DOUBLE * pow(2.0::DOUBLE, depth) END, 30.0::DOUBLE) AS delay FROM log""")
+least(CASE WHEN error = 'RateLimitedError' THEN greatest(2.0::DOUBLE * pow(2.0::DOUBLE, depth), 7.0::DOUBLE) WHEN error = 'NetworkError' THEN pow(2.0::DOUBLE, depth) ELSE 0.5::DOUBLE * pow(2.0::DOUBLE, depth) END, 30.0::DOUBLE) AS delay FROM log""")
 def retry_plan(spark, d):
     p = policy.RetryPolicy()
     log = fetch_log(spark, d)
@@ -295,6 +317,54 @@ def formats(spark, d):
     return fetch_log(spark, d).select("id", text.format_duration(F.col("id")).alias("duration"), text.format_int(F.col("id")).alias("grouped"), text.escape_html(F.col("text")).alias("escaped"))
 
 
+NAMES = ["aiohttp.ServerTimeoutError", "socket.gaierror", "UnicodeDecodeError", "ConnectionResetError", "KeyError"]
+
+
+@query(f"""{WITH_LOG} SELECT id, CASE id % 5 WHEN 0 THEN 'TransientError' WHEN 1 THEN 'NetworkError' WHEN 2 THEN 'ParseError' WHEN 3 THEN 'NetworkError' ELSE 'CrawlerError' END AS kind FROM log""")
+def classify_exception(spark, d):
+    return fetch_log(spark, d).select("id", policy.classify_exception(policy.rotated(F.col("id"), NAMES)).alias("kind"))
+
+
+@query(f"""{WITH_LOG} SELECT id, CASE id % 5 WHEN 0 THEN id::DOUBLE WHEN 1 THEN 0::DOUBLE WHEN 2 THEN 0::DOUBLE END AS seconds FROM log""")
+def retry_after(spark, d):
+    said = F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).when(F.col("id") % 5 == 1, "-3").when(F.col("id") % 5 == 2, "nan").when(F.col("id") % 5 == 3, "Wed, 21 Oct 2015 07:28:00 GMT")
+    return fetch_log(spark, d).select("id", policy.parse_retry_after(said).alias("seconds"))
+
+
+@query(f"""{WITH_LOG} SELECT id, 15.0::DOUBLE * pow(1.5::DOUBLE, depth) AS timeout, greatest(0.5::DOUBLE, depth * 0.3::DOUBLE) AS gap, true AS jitter_in_bounds FROM log""")
+def request_timing(spark, d):
+    """Growing timeouts, the least gap between starts, and a random addition within its bounds."""
+    rate = policy.RatePolicy(requests_per_second=2.0, min_delay=0.25, jitter=0.2)
+    gap = policy.base_interval(rate, F.col("depth") * F.lit(0.3))
+    more = policy.jittered(gap, rate, 7) - gap
+    return fetch_log(spark, d).select("id", policy.timeout_for(F.col("depth") + 1, 15.0, policy.RetryPolicy()).alias("timeout"), gap.alias("gap"), ((more >= 0) & (more <= 0.2 + 1e-9)).alias("jitter_in_bounds"))
+
+
+@query(f"""{WITH_LOG}, p AS (SELECT id, pow(10, floor(log10(greatest(id, 1))))::BIGINT AS p FROM log)
+SELECT id, CASE WHEN greatest(id, 1) <= p THEN p WHEN id <= 2 * p THEN 2 * p WHEN id <= 5 * p THEN 5 * p ELSE 10 * p END AS step,
+CASE WHEN id < 60 THEN printf('%.1f s', id::DOUBLE) WHEN id < 3600 THEN printf('%d min %02d s', id // 60, id % 60) ELSE printf('%d h %02d min', id // 3600, id // 60 % 60) END AS seconds,
+'[' || repeat('#', (id % 100 * 30 // 100)::INT) || repeat('-', 30 - (id % 100 * 30 // 100)::INT) || '] ' || printf('%d/100 %d%% 2.0/s 0:50', id % 100, id % 100) AS line FROM p""")
+def report_formats(spark, d):
+    done = F.col("id") % 100
+    line = text.progress_line(done, F.lit(100), F.lit(2.0), F.lit(50))
+    return fetch_log(spark, d).select("id", text.nice_step(F.col("id")).alias("step"), text.format_seconds(F.col("id")).alias("seconds"), line.alias("line"))
+
+
+@query(f"""{WITH_LOG} SELECT domain, count(*) AS total, count(*) FILTER (sec >= (SELECT max(sec) FROM log) - 86400) / 86400::DOUBLE AS current_rps, avg(depth * 0.25::DOUBLE) AS avg_wait FROM log GROUP BY 1""")
+def rate_totals(spark, d):
+    log = fetch_log(spark, d)
+    now = log.agg(F.max("sec")).first()[0]
+    return stats.rate_stats(log, now, 86400.0, wait=F.col("depth") * 0.25).select("domain", "total", "current_rps", "avg_wait")
+
+
+@query(f"""{WITH_LOG}, b AS (SELECT id // 50 AS batch, count(*) AS n, max(id % 997 = 0) AS bad FROM log GROUP BY 1)
+SELECT coalesce(sum(n) FILTER (NOT bad), 0)::BIGINT AS saved, coalesce(sum(n) FILTER (bad), 0)::BIGINT AS failed, count(*) FILTER (NOT bad) AS batches, (3 * count(*) FILTER (bad))::BIGINT AS write_errors FROM b""")
+def storage_totals(spark, d):
+    """Batches of 50 rows; one that holds a row that cannot be written fails after three attempts."""
+    runs = fetch_log(spark, d).groupBy(F.floor(F.col("id") / 50)).agg(F.count("*").alias("rows"), (~F.max(F.col("id") % 997 == 0)).alias("ok"))
+    return stats.storage_stats(runs.withColumn("write_errors", F.when(F.col("ok"), 0).otherwise(3)))
+
+
 # ---- robots, crawling, sitemaps
 
 ROBOTS = {
@@ -309,34 +379,49 @@ def robots_rules(spark: SparkSession) -> DataFrame:
     return robots.parse_robots(spark.createDataFrame(files, "domain string, status int, text string"))
 
 
-def _robot_pages(spark, d):
-    sites = spark.createDataFrame([(s,) for s in ("a.test", "b.test", "c.test", "d.test", "e.test")], "site string")
-    paths = F.explode(F.array(*map(F.lit, ROBOT_PATHS)))
-    own = sites.select("site", paths.alias("path")).select(F.concat(F.lit("https://"), "site", "path").alias("url"))
-    return own.unionByName(table(spark, d, "pages").select("url"))
+_PATHS_SQL = ", ".join(f"('{p}')" for p in ROBOT_PATHS)
+#: A robots file for each domain of ``pages``, made of the length of its name.
+SITE = "length(domain)"
+LETTER = f"substr('abcdefghijklmnopqrstuvwxyz', {SITE} % 26 + 1, 1)"
+FILE = f"""concat('User-agent: other\nDisallow: /\n\nUser-agent: *\nCrawl-delay: ', {SITE} % 5, '\nDisallow: /', {LETTER}, '\nAllow: /', {LETTER}, '*e$\n', CASE WHEN {SITE} % 2 = 0 THEN concat('Sitemap: https://', domain, '/map.xml\n') ELSE '' END)"""
+DOMAINS = f"SELECT DISTINCT {DOMAIN} AS domain FROM pages"
+TARGET = r"regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"
 
 
-_PATHS_SQL = ", ".join(f"('{p}')" for p in ROBOT_PATHS)
+def site_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of all domains of ``pages``; every seventh by length has no file, every eleventh is down."""
+    sites = table(spark, d, "pages").select(urls.domain_of(F.col("url")).alias("domain")).distinct()
+    status = f"CASE WHEN {SITE} % 7 = 0 THEN 404 WHEN {SITE} % 11 = 0 THEN 503 ELSE 200 END"
+    return robots.parse_robots(sites.selectExpr("domain", f"cast({status} AS int) AS status", f"{FILE} AS text"))
 
 
 @query(rf"""WITH s(site) AS (VALUES ('a.test'), ('b.test'), ('c.test'), ('d.test'), ('e.test')), p(path) AS (VALUES {_PATHS_SQL}), r(site, n, ok, regex) AS (VALUES
 ('a.test', 8, false, '^/private'), ('a.test', 13, true, '^/private/open'), ('a.test', 7, false, '^/.*\.pdf$')),
-b AS (SELECT s.site, p.path, arg_max(ok, n) AS ok FROM s, p JOIN r ON r.site = s.site AND regexp_matches(p.path, r.regex) GROUP BY 1, 2)
+b AS (SELECT s.site, p.path, arg_max(ok, n) AS ok FROM s CROSS JOIN p JOIN r ON r.site = s.site AND regexp_matches(p.path, r.regex) GROUP BY 1, 2)
 SELECT 'https://' || s.site || p.path AS url, p.path = '/robots.txt' OR (s.site <> 'd.test' AND coalesce(b.ok, true)) AS allowed
-FROM s, p LEFT JOIN b ON b.site = s.site AND b.path = p.path UNION ALL SELECT url, true FROM pages""".replace("FROM s, p JOIN r ON", "FROM s CROSS JOIN p JOIN r ON").replace("FROM s, p LEFT JOIN", "FROM s CROSS JOIN p LEFT JOIN"))
+FROM s CROSS JOIN p LEFT JOIN b ON b.site = s.site AND b.path = p.path""")
+def robots_matrix(spark, d):
+    sites = spark.createDataFrame([(s,) for s in ("a.test", "b.test", "c.test", "d.test", "e.test")], "site string")
+    paths = F.explode(F.array(*map(F.lit, ROBOT_PATHS)))
+    own = sites.select("site", paths.alias("path")).select(F.concat(F.lit("https://"), "site", "path").alias("url"))
+    return robots.allowed(own, robots_rules(spark), "AnyBot/1.0")
+
+
+@query(rf"""WITH p AS (SELECT page_id, {DOMAIN} AS domain, CASE WHEN {TARGET} = '' THEN '/' ELSE {TARGET} END || CASE WHEN regexp_extract(url, '^[^?#]*\?([^#]*)', 1) = '' THEN '' ELSE '?' || regexp_extract(url, '^[^?#]*\?([^#]*)', 1) END AS target FROM pages)
+SELECT page_id, {SITE} % 7 = 0 OR ({SITE} % 11 <> 0 AND (NOT starts_with(target, '/' || {LETTER}) OR (starts_with(target, '/' || {LETTER}) AND ends_with(target, 'e') AND length(target) >= 3))) AS allowed FROM p""")
 def robots_allowed(spark, d):
-    return robots.allowed(_robot_pages(spark, d), robots_rules(spark), "AnyBot/1.0").select("url", "allowed")
+    return robots.allowed(table(spark, d, "pages").select("page_id", "url"), site_rules(spark, d), "AnyBot/1.0").select("page_id", "allowed")
 
 
-@query("SELECT * FROM (VALUES ('a.test', 2.0::DOUBLE), ('b.test', 0.0::DOUBLE), ('c.test', 0.0::DOUBLE), ('d.test', 0.0::DOUBLE)) t(domain, crawl_delay)")
+@query(f"SELECT domain, CASE WHEN {SITE} % 7 = 0 OR {SITE} % 11 = 0 THEN 0 ELSE {SITE} % 5 END::DOUBLE AS crawl_delay FROM ({DOMAINS})")
 def robots_delay(spark, d):
-    return robots.crawl_delays(robots_rules(spark), "AnyBot/1.0")
+    return robots.crawl_delays(site_rules(spark, d), "AnyBot/1.0")
 
 
-@query("SELECT * FROM (VALUES ('a.test', 'https://a.test/sitemap.xml'), ('b.test', 'https://b.test/map.xml')) t(domain, sitemap)")
+@query(f"SELECT domain, 'https://' || domain || CASE WHEN {SITE} % 7 = 0 OR {SITE} % 11 = 0 OR {SITE} % 2 = 1 THEN '/sitemap.xml' ELSE '/map.xml' END AS sitemap FROM ({DOMAINS})")
 def sitemap_discovery(spark, d):
-    sites = spark.createDataFrame([("a.test", "https"), ("b.test", "https")], "domain string, scheme string")
-    return robots.sitemaps_of(sites, robots_rules(spark))
+    sites = table(spark, d, "pages").select(urls.domain_of(F.col("url")).alias("domain"), F.lit("https").alias("scheme")).distinct()
+    return robots.sitemaps_of(sites, site_rules(spark, d))
 
 
 #: A link graph: every page names others of its list by arithmetic on its number, so both engines can build it.
@@ -362,12 +447,40 @@ def bfs_depths(spark, d):
     return pages.select("url", "depth")
 
 
-@query("SELECT 15::BIGINT AS pages, 15::BIGINT AS started")
+BFS_ALL = BFS.replace("w.depth < 4", "w.depth < 30")
+
+
+@query(f"{BFS_ALL} SELECT 'http://g.test/' || node AS url, min(depth)::INT AS depth FROM w GROUP BY 1")
+def bfs_whole(spark, d):
+    """The crawl goes on until the frontier is empty; neither limit binds."""
+    pages, _ = _crawl(spark, d, max_pages=1 << 40, max_depth=30)
+    return pages.select("url", "depth")
+
+
+@query(f"{BFS_ALL} SELECT least(15, count(DISTINCT node)) AS pages, least(15, count(DISTINCT node)) AS started FROM w")
 def crawl_limited(spark, d):
     pages, seen = _crawl(spark, d, max_pages=15, max_depth=10)
     return pages.agg(F.count("*").alias("pages")).crossJoin(F.broadcast(seen.agg(F.count_if(F.col("state") == "fetched").alias("started"))))
 
 
+@query(f"""WITH RECURSIVE e AS ({EDGES}), w(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 4 AND e.dst % 5 <> 1)
+SELECT 'http://g.test/' || node AS url, min(depth)::INT AS depth FROM w GROUP BY 1""")
+def start_exempt(spark, d):
+    """The start URL matches an exclude pattern and is fetched all the same; links that match it are not."""
+    start = spark.createDataFrame([("http://g.test/1", 0)], "url string, seq long")
+    pages, _ = frontier.crawl(start, frontier.corpus_fetch(_corpus(spark, d)), 1 << 40, 4, True, exclude=["[16]$"])
+    return pages.select("url", "depth")
+
+
+@query(f"{BFS}, m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) SELECT count(*) FILTER (node % 4 <> 0) AS processed, count(*) FILTER (node % 4 = 0) AS failed, 0::BIGINT AS queued, 0::BIGINT AS skipped, count(*) AS seen FROM m")
+def queue_totals(spark, d):
+    """Every fourth page fails but keeps its links' place in the graph, which is walked by stored links."""
+    pages, seen = _crawl(spark, d, max_pages=1 << 40, max_depth=4)
+    number = F.regexp_extract("url", r"(\d+)$", 1).cast("long")
+    got = pages.withColumn("error", F.when(number % 4 == 0, "PermanentError"))
+    return stats.queue_stats(seen, got).drop("duplicates")
+
+
 @query(f"{BFS}, m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) SELECT (count(*) * 3)::BIGINT AS skipped FROM m WHERE depth = 4")
 def skipped_by_depth(spark, d):
     pages, _ = _crawl(spark, d, max_pages=1_000_000, max_depth=4)
@@ -389,12 +502,57 @@ def sitemap_files(spark: SparkSession) -> DataFrame:
 
 
 @query("SELECT * FROM (VALUES ('http://s.test/a', 1::BIGINT), ('http://s.test/b', 2::BIGINT), ('http://s.test/relative', 3::BIGINT), ('http://s.test/c', 4::BIGINT), ('http://s.test/d', 5::BIGINT)) t(url, rank)")
-def sitemap_expand(spark, d):
+def sitemap_cases(spark, d):
+    """Nested, compressed, missing, broken and cyclic files."""
     roots = spark.createDataFrame([("http://s.test/index.xml", 0), ("http://s.test/broken.xml", 1)], "sitemap string, seq long")
     found, _ = frontier.expand_sitemaps(spark, roots, sitemap_files(spark))
     return found
 
 
+@F.pandas_udf(T.BinaryType())
+def _gzipped(body):
+    return body.map(gzip.compress)
+
+
+def _page_sitemaps(spark, d):
+    """An index of sitemaps of 50 pages each, by page number; every other one is compressed."""
+    loc = F.concat(F.lit("<url><loc>"), text.escape_html(F.col("url")), F.lit("</loc></url>"))
+    each = table(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 50).alias("k")).agg(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("x")))).alias("xs"))
+    body = F.encode(F.concat(F.lit("<urlset>"), F.array_join(F.col("xs.x"), ""), F.lit("</urlset>")), "UTF-8")
+    files = each.select(F.concat(F.lit("http://s.test/"), F.col("k").cast("string"), F.lit(".xml")).alias("sitemap"), F.lit(200).alias("status"), F.when(F.col("k") % 2 == 1, _gzipped(body)).otherwise(body).alias("body"))
+    last = table(spark, d, "pages").agg(F.max("page_id")).first()[0]
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>/{k}.xml</loc></sitemap>" for k in range(last // 50 + 1)) + "</sitemapindex>"
+    return files.unionByName(spark.createDataFrame([("http://s.test/index.xml", 200, index.encode())], files.schema))
+
+
+def _locations(spark, d, **more):
+    roots = spark.createDataFrame([("http://s.test/index.xml", 0)], "sitemap string, seq long")
+    return frontier.expand_sitemaps(spark, roots, _page_sitemaps(spark, d), **more)[0]
+
+
+LOCATIONS = "WITH l AS (SELECT regexp_replace(url, '#.*$', '') AS url, min(page_id) AS place FROM pages GROUP BY 1) SELECT url, row_number() OVER (ORDER BY place) AS rank FROM l"
+
+
+@query(LOCATIONS)
+def sitemap_expand(spark, d):
+    return _locations(spark, d)
+
+
+@query(f"SELECT * FROM ({LOCATIONS}) WHERE rank <= 20")
+def sitemap_capped(spark, d):
+    return _locations(spark, d, max_urls=20)
+
+
+@query(r"""WITH o AS (SELECT page_id AS place, url FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 1000000000 + page_id, url FROM pages WHERE page_id % 2 = 0), f AS (SELECT url, min(place) AS place FROM o GROUP BY 1)
+SELECT url, row_number() OVER (ORDER BY place) AS rank FROM f""")
+def start_union(spark, d):
+    """Start addresses, then those of sitemaps, each once, in order."""
+    pages = table(spark, d, "pages")
+    start = pages.filter("page_id % 3 = 0").select("url", F.col("page_id").alias("at"))
+    found = pages.filter("page_id % 2 = 0").select("url", (F.col("page_id") + 1000000000).alias("at"))
+    return frontier.rank_rows(start.unionByName(found).groupBy("url").agg(F.min("at").alias("at")), ["at"]).select("url", "rank")
+
+
 # ---- storage
 
 
@@ -455,34 +613,154 @@ def csv_roundtrip(spark, d):
 
 @query(STORED)
 def sqlite_roundtrip(spark, d):
-    """SQLite is a local file: this query is for one machine."""
-    path = os.path.join(tempfile.mkdtemp(), "pages.db")
+    """SQLite writes one file in the warehouse, through one task."""
+    path = _place(spark, "sqlite").removeprefix("file:") + ".db"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     sqlite.write_sqlite(_records(spark, d), path)
     return _shown(sqlite.read_sqlite(spark, path))
 
 
 # ---- state machines
 
+OUTCOME = "CASE WHEN error IS NULL THEN true WHEN error IN ('TransientError', 'NetworkError', 'RateLimitedError') THEN false END"
+STEPS = f"""{WITH_LOG.replace("WITH raw", "WITH RECURSIVE raw", 1)}, n AS (SELECT domain, id, t, {OUTCOME} AS outcome, row_number() OVER (PARTITION BY domain ORDER BY t, id) AS k FROM log)"""
+LIMITER = f"""{STEPS}, m AS (
+SELECT domain, 0::BIGINT AS k, 0::BIGINT AS id, 0::DOUBLE AS t, 0::DOUBLE AS start, '-Infinity'::DOUBLE AS next, 0::DOUBLE AS backoff FROM (SELECT DISTINCT domain FROM n)
+UNION ALL SELECT domain, k, id, t, start, CASE WHEN outcome = false THEN greatest(start + 60, start + backoff) ELSE start + 60 END, backoff FROM (
+  SELECT n.domain, n.k, n.id, n.t, n.outcome, greatest(n.t, m.next) AS start,
+    CASE WHEN n.outcome THEN 0::DOUBLE WHEN n.outcome = false THEN least(600::DOUBLE, CASE WHEN m.backoff = 0 THEN 30::DOUBLE ELSE 2 * m.backoff END) ELSE m.backoff END AS backoff
+  FROM m JOIN n ON n.domain = m.domain AND n.k = m.k + 1))
+SELECT domain, id, round(t, 3) AS t, round(start, 3) AS start, round(start - t, 3) AS wait, backoff FROM m WHERE k > 0"""
+BREAKER = f"""{STEPS}, m AS (
+SELECT domain, 0::BIGINT AS k, 0::BIGINT AS id, 0::DOUBLE AS t, true AS admitted, false AS is_open, 0::DOUBLE AS opened, 0::BIGINT AS streak, 0::BIGINT AS times_opened, 0::BIGINT AS rejected FROM (SELECT DISTINCT domain FROM n)
+UNION ALL SELECT domain, k, id, t, admitted, CASE WHEN NOT admitted THEN true ELSE trips END, CASE WHEN trips THEN t ELSE opened END, streak, times_opened + trips::INT, rejected + (NOT admitted)::INT FROM (
+  SELECT *, coalesce(admitted AND outcome = false AND (probe OR streak >= 2), false) AS trips FROM (
+    SELECT domain, k, id, t, outcome, admitted, opened, times_opened, rejected, is_open AND admitted AS probe,
+      CASE WHEN NOT admitted THEN streak WHEN outcome IS NULL THEN CASE WHEN is_open THEN 0 ELSE streak END WHEN outcome THEN 0 ELSE streak + 1 END AS streak
+    FROM (SELECT n.domain, n.k, n.id, n.t, n.outcome, m.is_open, m.opened, m.streak, m.times_opened, m.rejected, NOT m.is_open OR n.t - m.opened >= 3600 AS admitted FROM m JOIN n ON n.domain = m.domain AND n.k = m.k + 1))))
+SELECT domain, id, t, admitted, CASE WHEN is_open THEN 'open' ELSE 'closed' END AS state, times_opened, rejected FROM m WHERE k > 0"""
+
+
+def _outcomes(spark, d):
+    log = fetch_log(spark, d)
+    return log.select("domain", "id", "t", F.when(F.col("error").isNull(), True).when(F.col("error").isin(*policy.FAILURES), False).alias("outcome"))
+
 
 @query(f"""{WITH_LOG}, k AS (SELECT *, ((row_number() OVER (PARTITION BY domain ORDER BY t, id) - 1) * 3600.0)::DOUBLE AS k FROM log)
 SELECT id, round(k + max(t - k) OVER (PARTITION BY domain ORDER BY t, id ROWS UNBOUNDED PRECEDING), 3) AS start FROM k""")
 def limiter_trace(spark, d):
-    log = fetch_log(spark, d).select("domain", "id", "t", F.lit(False).alias("slow"))
-    return limits.limiter_trace(log, 3600.0).select("id", F.round("start", 3).alias("start"))
+    return limits.limiter_trace(_outcomes(spark, d), 3600.0).select("id", F.round("start", 3).alias("start"))
 
 
-@query()
+@query(LIMITER)
 def limiter_backoff_trace(spark, d):
-    log = fetch_log(spark, d)
-    slow = F.coalesce(F.col("error").isin(policy.TRANSIENT, policy.RATE_LIMITED, policy.NETWORK), F.lit(False))
-    return limits.limiter_trace(log.select("domain", "id", "t", slow.alias("slow")), 60.0, 30.0)
+    got = limits.limiter_trace(_outcomes(spark, d), 60.0, 30.0, 600.0)
+    return got.select("domain", "id", *[F.round(c, 3).alias(c) for c in ("t", "start", "wait")], "backoff")
 
 
-@query()
+@query(BREAKER)
 def breaker_trace(spark, d):
-    log = fetch_log(spark, d)
-    outcome = F.when(F.col("error").isNull(), True).when(F.col("error").isin(policy.TRANSIENT, policy.NETWORK), False)
-    return limits.breaker_trace(log.select("domain", "id", "t", outcome.alias("outcome")), 2, 3600.0)
+    return limits.breaker_trace(_outcomes(spark, d), 2, 3600.0)
+
+
+@query(f"""SELECT sum(opened)::BIGINT AS times_opened, sum(rejected)::BIGINT AS rejected, count(*) FILTER (state = 'open') AS open_now
+FROM (SELECT domain, max(times_opened) AS opened, max(rejected) AS rejected, arg_max(state, (t, id)) AS state FROM ({BREAKER}) GROUP BY 1)""")
+def breaker_totals(spark, d):
+    return limits.breaker_stats(limits.breaker_trace(_outcomes(spark, d), 2, 3600.0)).select("times_opened", "rejected", F.size("open_domains").cast("long").alias("open_now"))
+
+
+def _streamed(spark, d, name: str, build, *aggregate) -> DataFrame:
+    """What a stream over a table's file gives, run to its end into the warehouse, which all executors share."""
+    stream = spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parq*et")
+    out = _place(spark, f"stream_{name}")
+    run = build(stream).writeStream.format("parquet").option("checkpointLocation", out + "_state").trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT DISTINCT url FROM pages")
+def stream_seen(spark, d):
+    """Each URL of a stream once (streaming state that lasts)."""
+    return _streamed(spark, d, "pages", lambda s: s.select("url").dropDuplicates(["url"]))
+
+
+@query("SELECT domain, id, state, times_opened, rejected FROM (" + BREAKER + ")")
+def stream_breaker(spark, d):
+    """``breaker_trace`` over a stream of the request log."""
+    began = table(spark, d, "events").agg(F.min(F.col("ts").cast("timestamp").cast("double"))).first()[0]
+
+    def build(events):
+        log = spark.sql(FETCH_LOG.replace("FROM events", "FROM {events}"), events=events)
+        log = log.withColumn("error", policy.classify_status(F.col("status")))
+        outcome = F.when(F.col("error").isNull(), True).when(F.col("error").isin(*policy.FAILURES), False)
+        return limits.stream_breaker(log.select("domain", "id", (F.col("ts").cast("timestamp").cast("double") - F.lit(began)).alias("t"), outcome.alias("outcome")), 2, 3600.0)
+
+    return _streamed(spark, d, "events", build).select("domain", "id", "state", "times_opened", "rejected")
+
+
+# ---- fetching, with a fetcher that answers by arithmetic instead of a network
+
+
+def _answers(statuses: dict):
+    """A fetcher: the number at the end of a URL picks its answers, one for each attempt (the last one stays)."""
+    seen: dict[str, int] = {}
+
+    def get(url, agent, timeout):
+        seen[url] = k = seen.get(url, -1) + 1  # the attempts of a URL follow each other
+        number = int(url.rsplit("/", 1)[1])
+        said = statuses[number % len(statuses)]
+        status = said[min(k, len(said) - 1)]
+        if status is None:
+            raise ConnectionResetError("reset")
+        return status, "text/html; charset=latin-1", f"<title>café {number}</title>".encode("latin-1"), "0"
+
+    return get
+
+
+#: Answers by page number modulo 6.
+ANSWERS = {0: [200], 1: [404], 2: [503, 200], 3: [500], 4: [None], 5: [429, 429, 200]}
+_QUICK = policy.RetryPolicy(base_delay=0.0, delay_by_type={})
+
+
+def _wanted(spark, d):
+    return table(spark, d, "pages").select(F.concat(F.lit("http://f"), (F.col("page_id") % 16).cast("string"), F.lit(".test/"), F.col("page_id").cast("string")).alias("url"))
+
+
+def _fetched(spark, d):
+    from harrow.operators import fetch
+
+    return fetch.fetch(_wanted(spark, d), fetch.FetchOptions(retry=_QUICK, max_concurrent=16), get=_answers(ANSWERS))
+
+
+@query("""SELECT 'http://f' || (page_id % 16)::VARCHAR || '.test/' || page_id::VARCHAR AS url, CASE page_id % 6 WHEN 1 THEN 404 WHEN 3 THEN 500 WHEN 4 THEN NULL ELSE 200 END::INT AS status,
+CASE page_id % 6 WHEN 1 THEN 'PermanentError' WHEN 3 THEN 'TransientError' WHEN 4 THEN 'NetworkError' END AS error,
+CASE page_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 ELSE 3 END::BIGINT AS attempts,
+CASE WHEN page_id % 6 IN (0, 2, 5) THEN '<title>café ' || page_id::VARCHAR || '</title>' END AS html FROM pages""")
+def fetch_retried(spark, d):
+    return _fetched(spark, d).select("url", "status", "error", F.size("attempts").cast("long").alias("attempts"), "html")
+
+
+@query("SELECT 'http://f' || (page_id % 16)::VARCHAR || '.test/' || page_id::VARCHAR AS url, 'café ' || page_id::VARCHAR AS title FROM pages WHERE page_id % 6 IN (0, 2, 5)")
+def fetch_parsed(spark, d):
+    """Fetch, keep successes, parse."""
+    from harrow.operators import fetch
+
+    return html.parse_html(fetch.successes(_fetched(spark, d)), ("metadata",)).select("url", "title")
+
+
+@query("SELECT 'http://f' || (page_id % 16)::VARCHAR || '.test/' || page_id::VARCHAR AS url, CASE page_id % 6 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN 500 WHEN 4 THEN NULL WHEN 5 THEN 429 ELSE 200 END::INT AS status FROM pages")
+def fetch_bytes(spark, d):
+    """One attempt each; every status is an answer."""
+    from harrow.operators import fetch
+
+    return fetch.raw_bodies(_wanted(spark, d), get=_answers(ANSWERS)).select("url", "status")
+
+
+@query("""WITH a AS (SELECT page_id % 6 AS k, CASE page_id % 6 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 1 END AS n FROM pages)
+SELECT sum(n - 1)::BIGINT AS retries, count(*) FILTER (n > 1 AND k IN (2, 5)) AS recovered, count(*) FILTER (n > 1 AND k IN (3, 4)) AS exhausted FROM a""")
+def fetch_retry_stats(spark, d):
+    tries = _fetched(spark, d).select("url", F.explode("attempts").alias("a")).select("url", "a.*")
+    return stats.retry_stats(tries).select("retries", "recovered", "exhausted")
 
 
 def queries() -> dict:

@@ -13,7 +13,8 @@ def fmt_int(n: float) -> str:
 
 
 def fmt_seconds(s: float) -> str:
-    return f"{s:.1f} s" if s < 60 else f"{s / 60:.1f} min" if s < 3600 else f"{s / 3600:.1f} h"
+    n = round(s)
+    return f"{s:.1f} s" if s < 60 else f"{n // 60} min {n % 60:02d} s" if n < 3600 else f"{n // 3600} h {n // 60 % 60:02d} min"
 
 
 def nice_step(x: float) -> int:

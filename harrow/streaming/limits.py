@@ -1,19 +1,29 @@
-"""Rate limiter and circuit breaker as ordered state for each domain, in batch and streaming.
+"""Rate limiter and circuit breaker as ordered state for each domain: in batch, in a stream and in the fetch.
 
 Both are small state machines over the requests of a domain in order of (t, id).
-In batch a domain's rows are one sorted group; in a stream they are keyed state.
-The same machine runs in both, so the results are the same.
+In batch a domain's rows are a sorted stretch of a partition that is read once,
+row by row; in a stream they are keyed state; the fetch asks the same machines
+before and after each request. So all three agree. Where no error slows a
+domain down the limiter is a running maximum and needs no ordered pass at all.
+
+outcome of a request: True (success), False (a failure that counts), None (an
+answer that counts as neither, such as 404).
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout  # noqa: F401
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
+
+from harrow.operators import stats
 
 LIMITED = "domain string, id long, t double, start double, wait double, backoff double"
 BROKEN = "domain string, id long, t double, admitted boolean, state string, times_opened long, rejected long"
@@ -21,7 +31,7 @@ BROKEN = "domain string, id long, t double, admitted boolean, state string, time
 
 @dataclass
 class Limiter:
-    """Starts at least ``gap`` apart; errors double a backoff up to ``cap``, success clears it."""
+    """Starts at least ``gap`` apart; failures double a backoff up to ``cap``, success clears it."""
 
     gap: float
     base: float = 0.0
@@ -29,10 +39,23 @@ class Limiter:
     next: float = float("-inf")
     backoff: float = 0.0
 
-    def step(self, t: float, slow: bool) -> tuple[float, float, float]:
+    def take(self, t: float, more: float = 0.0) -> float:
+        """The start of a request that comes at ``t``; ``more`` is added to the gap after it."""
         start = max(t, self.next)
-        self.backoff = min(self.cap, max(self.base, 2 * self.backoff)) if slow and self.base else 0.0
-        self.next = start + max(self.gap, self.backoff)
+        self.next = start + self.gap + more
+        return start
+
+    def report(self, t: float, outcome: bool | None) -> None:
+        if outcome:
+            self.backoff = 0.0
+        elif outcome is False and self.base:
+            self.backoff = min(self.cap, 2 * self.backoff or self.base)
+            self.next = max(self.next, t + self.backoff)
+
+    def step(self, t: float, outcome: bool | None) -> tuple[float, float, float]:
+        """A request whose answer comes at once: (start, wait, backoff)."""
+        start = self.take(t)
+        self.report(start, outcome)
         return start, start - t, self.backoff
 
 
@@ -40,9 +63,8 @@ class Limiter:
 class Breaker:
     """Opens after ``threshold`` failures in a row, admits one probe after ``recovery`` seconds.
 
-    outcome: True (success), False (a failure that counts), None (an answer that
-    counts as neither). With ``strict`` a probe that ends in None keeps the probe
-    place taken, so the domain stays shut; else it closes the breaker.
+    With ``strict`` a probe that ends in None keeps the probe place taken, so the
+    domain stays shut; else it closes the breaker.
     """
 
     threshold: int
@@ -55,12 +77,15 @@ class Breaker:
     times_opened: int = 0
     rejected: int = 0
 
-    def step(self, t: float, outcome: bool | None) -> tuple[bool, str]:
+    def admits(self, t: float) -> bool:
         if self.is_open:
             if self.probing or t - self.opened < self.recovery:
                 self.rejected += 1
-                return False, "open"
+                return False
             self.probing = 1
+        return True
+
+    def report(self, t: float, outcome: bool | None) -> None:
         if outcome is None:
             if self.probing and not self.strict:
                 self.is_open = self.probing = self.streak = 0
@@ -69,56 +94,77 @@ class Breaker:
         else:
             self.streak += 1
             if self.probing or self.streak >= self.threshold:
+                if self.probing or not self.is_open:
+                    self.times_opened += 1
                 self.is_open, self.opened, self.probing = 1, t, 0
-                self.times_opened += 1
+
+    def step(self, t: float, outcome: bool | None) -> tuple[bool, str]:
+        """A request whose answer comes at once: (admitted, state)."""
+        if not self.admits(t):
+            return False, "open"
+        self.report(t, outcome)
         return True, "open" if self.is_open else "closed"
 
 
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["t", "id"], kind="stable")
+def _limited(m: Limiter, t: float, outcome: bool | None) -> tuple:
+    return m.step(t, outcome)
+
 
+def _broken(m: Breaker, t: float, outcome: bool | None) -> tuple:
+    admitted, state = m.step(t, outcome)
+    return admitted, state, m.times_opened, m.rejected
 
-def _limited(pdf: pd.DataFrame, m: Limiter) -> pd.DataFrame:
-    rows = [m.step(t, bool(s)) for t, s in zip(pdf["t"], pdf["slow"], strict=True)]
-    return pdf[["domain", "id", "t"]].assign(**{c: [r[k] for r in rows] for k, c in enumerate(("start", "wait", "backoff"))})
 
+def _trace(log: DataFrame, machine: Callable, step: Callable, schema: str) -> DataFrame:
+    """One pass over each domain's sorted rows; a domain may be longer than memory."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-def _broken(pdf: pd.DataFrame, m: Breaker) -> pd.DataFrame:
-    rows = []
-    for t, o in zip(pdf["t"], pdf["outcome"], strict=True):
-        ok, state = m.step(t, None if pd.isna(o) else bool(o))
-        rows.append((ok, state, m.times_opened, m.rejected))
-    return pdf[["domain", "id", "t"]].assign(**{c: [r[k] for r in rows] for k, c in enumerate(("admitted", "state", "times_opened", "rejected"))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        domain, m = None, machine()
+        for b in batches:
+            rows = []
+            for d, i, t, o in zip(*(b.column(c).to_pylist() for c in ("domain", "id", "t", "outcome")), strict=True):
+                if d != domain:
+                    domain, m = d, machine()
+                rows.append((d, i, t, *step(m, t, o)))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=shape)
+
+    shape = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]]) for n, c in zip(names, schema.split(", "), strict=True)])
+    return log.select("domain", "id", "t", "outcome").repartition("domain").sortWithinPartitions("domain", "t", "id").mapInArrow(run, schema)
 
 
 def limiter_trace(log: DataFrame, gap: float, base: float = 0.0, cap: float = 60.0) -> DataFrame:
-    """log (domain, id, t, slow) with start, wait and backoff of each request."""
-    return log.select("domain", "id", "t", "slow").groupBy("domain").applyInPandas(lambda pdf: _limited(_sorted(pdf), Limiter(gap, base, cap)), LIMITED)
+    """log (domain, id, t, outcome) with start, wait and backoff of each request."""
+    if not base:
+        slots = stats.rate_schedule(log.select("domain", "id", "t"), gap)
+        return slots.select("domain", "id", "t", "start", "wait", F.lit(0.0).alias("backoff"))
+    return _trace(log, lambda: Limiter(gap, base, cap), _limited, LIMITED)
 
 
 def breaker_trace(log: DataFrame, threshold: int, recovery: float, strict: bool = False) -> DataFrame:
     """log (domain, id, t, outcome) with whether each request was admitted."""
-    return log.select("domain", "id", "t", "outcome").groupBy("domain").applyInPandas(lambda pdf: _broken(_sorted(pdf), Breaker(threshold, recovery, strict)), BROKEN)
+    return _trace(log, lambda: Breaker(threshold, recovery, strict), _broken, BROKEN)
 
 
 def breaker_stats(trace: DataFrame) -> DataFrame:
     """One row: times_opened, rejected, open_domains."""
-    from pyspark.sql import functions as F
-
     per = trace.groupBy("domain").agg(F.max("times_opened").alias("opened"), F.max("rejected").alias("rejected"), F.max_by("state", F.struct("t", "id")).alias("state"))
     return per.agg(F.sum("opened").alias("times_opened"), F.sum("rejected").alias("rejected"), F.array_sort(F.collect_list(F.when(F.col("state") == "open", F.col("domain")))).alias("open_domains"))
 
 
-def _stream(machine, fields: list[str], run, schema: str):
+def _stream(machine: Callable, fields: list[str], step: Callable, schema: str) -> Callable:
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def update(key, batches, state: GroupState):
         m = machine()
         if state.exists:
             for f, x in zip(fields, state.get, strict=True):
                 setattr(m, f, x)
-        rows = pd.concat(list(batches))
-        out = run(_sorted(rows), m)
+        rows = pd.concat(list(batches)).sort_values(["t", "id"], kind="stable")
+        told = [None if pd.isna(o) else bool(o) for o in rows["outcome"]]
+        out = pd.DataFrame([step(m, t, o) for t, o in zip(rows["t"], told, strict=True)], columns=names[3:], index=rows.index)
         state.update(tuple(getattr(m, f) for f in fields))
-        yield out
+        yield pd.concat([rows[names[:3]], out], axis=1)
 
     return update
 
@@ -126,7 +172,7 @@ def _stream(machine, fields: list[str], run, schema: str):
 def stream_limiter(log: DataFrame, gap: float, base: float = 0.0, cap: float = 60.0) -> DataFrame:
     """``limiter_trace`` over a stream; rows of a batch are ordered, batches come as they come."""
     update = _stream(lambda: Limiter(gap, base, cap), ["next", "backoff"], _limited, LIMITED)
-    return log.select("domain", "id", "t", "slow").groupBy("domain").applyInPandasWithState(update, LIMITED, "next double, backoff double", "append", GroupStateTimeout.NoTimeout)
+    return log.select("domain", "id", "t", "outcome").groupBy("domain").applyInPandasWithState(update, LIMITED, "next double, backoff double", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_breaker(log: DataFrame, threshold: int, recovery: float, strict: bool = False) -> DataFrame:
@@ -159,10 +205,3 @@ class FirstSeen(StatefulProcessor):
 def stream_unseen(links: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """First row of each ``url`` of a stream (RocksDB state store)."""
     return links.select("url").groupBy("url").transformWithStateInPandas(FirstSeen(ttl_ms), "url string", "append", "none")
-
-
-def parameters(m: Limiter | Breaker) -> dict:
-    return asdict(m)
-
-
-STATE = StructType([StructField("next", DoubleType()), StructField("backoff", DoubleType())])

@@ -122,13 +122,18 @@ def test_policies(spark):
     assert got == [(None, False, 3), ("PermanentError", False, 3), ("TransientError", True, 3), ("RateLimitedError", True, 3), ("TransientError", True, 1), ("TransientError", True, 3), ("NetworkError", True, 2)]
     d = one(spark, a=policy.backoff_delay(F.lit(3), p), b=policy.backoff_delay(F.lit(1), p, F.lit("RateLimitedError"), F.lit(7.0)), c=policy.backoff_delay(F.lit(1), p, F.lit("RateLimitedError"), F.lit(700.0)))
     assert tuple(d) == (2.0, 7.0, 30.0)
+    assert [p.delay(n, e, a) for n, e, a in ((1, "NetworkError", None), (2, "RateLimitedError", None), (1, "RateLimitedError", 7.0), (3, "TransientError", None), (9, "TransientError", None))] == [1.0, 4.0, 7.0, 2.0, 30.0]
+    general = policy.RetryPolicy(retry_on=("TransientError",), max_by_type={"TransientError": 1}, delay_by_type={"CrawlerError": 4.0})
+    assert set(general.retried) == {"TransientError", "RateLimitedError"} and general.retries("RateLimitedError", 429) == 1 and general.delay(1, "ParseError") == 4.0
+    g = rows.select("status", policy.should_retry(F.col("error"), general).alias("again"), policy.max_retries_for(F.col("error"), F.col("status"), general).alias("n"), policy.backoff_delay(F.lit(1), general, F.col("error")).alias("d")).filter("status = 429").first()
+    assert (g["again"], g["n"], g["d"]) == (True, 1, 4.0)
     r = one(spark, a=policy.parse_retry_after(F.lit("5")), b=policy.parse_retry_after(F.lit("-1")), c=policy.parse_retry_after(F.lit("nan")), d=policy.parse_retry_after(F.lit("Wed, 21 Oct 2015")))
     assert tuple(r) == (5.0, 0.0, 0.0, None)
 
 
 def test_formats(spark):
     r = one(spark, a=text.format_int(F.lit(1234567)), b=text.nice_step(F.lit(37.0)), c=text.format_duration(F.lit(3725)), d=text.format_duration(F.lit(65)), e=text.format_seconds(F.lit(90)))
-    assert tuple(r) == ("1 234 567", 50, "1:02:05", "1:05", "1.5 min")
+    assert tuple(r) == ("1 234 567", 50, "1:02:05", "1:05", "1 min 30 s")
     e = progress.estimate(30, 50, 5, 10.0, 60)
     assert (e["percent"], e["speed"], e["eta"]) == (50.0, 3.0, 10.0) and "30/60 50% 3.0/s 0:10" in progress.line(30, e)
 
@@ -153,7 +158,7 @@ def test_retry_statistics(spark):
 
 def test_limiter_and_breaker(spark):
     m = limits.Limiter(0.0, 0.2)
-    assert [m.step(0, s)[2] for s in (True, True, True, False, False)] == [0.2, 0.4, 0.8, 0.0, 0.0]
+    assert [m.step(0, o)[2] for o in (False, False, None, False, True, True)] == [0.2, 0.4, 0.4, 0.8, 0.0, 0.0]
     b = limits.Breaker(3, 0.5)
     assert [b.step(t, o)[0] for t, o in ((0, False), (0.1, False), (0.2, False), (0.3, True), (0.8, True), (0.9, False))] == [True, True, True, False, True, True]
     assert (b.times_opened, b.rejected, b.is_open) == (1, 1, 0)
@@ -164,8 +169,8 @@ def test_limiter_and_breaker(spark):
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
-    rows = [(f"d{i % 3}", i, i * 0.7, i % 4 == 0, None if i % 7 == 0 else i % 3 != 0) for i in range(90)]
-    log = spark.createDataFrame(rows, "domain string, id long, t double, slow boolean, outcome boolean")
+    rows = [(f"d{i % 3}", i, i * 0.7, None if i % 7 == 0 else i % 4 != 0) for i in range(90)]
+    log = spark.createDataFrame(rows, "domain string, id long, t double, outcome boolean")
     for k in range(3):
         log.filter(f"id >= {30 * k} and id < {30 * k + 30}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     import os
@@ -218,7 +223,7 @@ def outcomes(*answers):
 
 def run_one(*answers, **more):
     clock = Clock()
-    o = fetch.FetchOptions(retry=policy.RetryPolicy(base_delay=0.1), **more)
+    o = fetch.FetchOptions(retry=policy.RetryPolicy(base_delay=0.1, delay_by_type={}), **more)
     import itertools
 
     return fetch.fetch_one("http://h.test/", itertools.cycle(["a"]), fetch.Domain(o, "h.test", clock), o, outcomes(*answers), clock.sleep), clock
@@ -234,6 +239,95 @@ def test_retries_of_one_url():
     assert r["error"] == policy.BREAKER and [a["error"] for a in r["attempts"]] == ["TransientError", "TransientError", policy.BREAKER]
 
 
+def test_what_counts_as_a_failure_of_a_domain():
+    def opened(threshold, *answers):
+        clock = Clock()
+        o = fetch.FetchOptions(retry=None, failure_threshold=threshold, recovery_timeout=30)
+        d = fetch.Domain(o, "h.test", clock)
+        got = [fetch.fetch_one("http://h.test/", iter(["a"]), d, o, outcomes(x), clock.sleep)["error"] for x in answers]
+        return got.count(policy.BREAKER), d.state()["times_opened"]
+
+    assert opened(2, 503, 404, 503, 200) == (1, 1)  # 404 is neither success nor failure
+    assert opened(5, 429, 429, 429, 429, 429, 200) == (1, 1)
+    assert opened(2, 503, 200, 503, 200) == (0, 0)
+    assert opened(2, 404, 403, 404, 200) == (0, 0)
+
+
+def test_backoff_of_a_domain():
+    clock = Clock()
+    o = fetch.FetchOptions(retry=None, rate=policy.RatePolicy(error_backoff=0.2))
+    d = fetch.Domain(o, "h.test", clock)
+    waits = [fetch.fetch_one("http://h.test/", iter(["a"]), d, o, outcomes(x), clock.sleep)["wait"] for x in (500, 500, 404, 500, 200, 200)]
+    assert [round(w, 6) for w in waits] == [0.0, 0.2, 0.4, 0.0, 0.8, 0.0]
+
+
+def test_bodies_are_decoded_as_they_say():
+    assert fetch.decode("é".encode("latin-1"), "text/html; charset=ISO-8859-1") == "é"
+    assert fetch.decode('<meta charset="windows-1251">Ж'.encode("cp1251")) == '<meta charset="windows-1251">Ж'
+    assert fetch.decode("é".encode("utf-16")) == "é" and fetch.decode(b"\xef\xbb\xbfa") == "a"
+    assert fetch.decode(b"a\xe9b") == "a\ufffdb" and fetch.decode("é".encode(), "text/html; charset=no-such") == "é" and fetch.decode(None) is None
+
+
+def test_requests_at_once_keep_to_their_limits(spark):
+    """Thirty requests of three domains at 0.05 s each: in parallel, two of a domain at most."""
+    wanted = spark.createDataFrame([(f"http://d{k % 3}.test/{k}",) for k in range(30)], "url string")
+
+    def slow(url, agent, timeout):
+        import time
+
+        time.sleep(0.05)
+        return 200, "text/html", b"ok", None
+
+    rows = fetch.fetch(wanted, fetch.FetchOptions(max_concurrent=8, max_per_domain=2), get=slow).cache()
+    assert rows.filter("error is null").count() == 30
+    peaks = {r["domain"]: r["peak"] for r in stats.peak_concurrency(rows, "domain", "began", "ended").collect()}
+    assert len(peaks) == 3 and max(peaks.values()) == 2
+    total = rows.agg(F.max("ended") - F.min("began")).first()[0]
+    assert total < 30 * 0.05
+
+
+def test_state_of_a_domain_lasts(spark):
+    wanted = spark.createDataFrame([("http://a.test/1",), ("http://b.test/1",)], "url string")
+    down = lambda url, agent, timeout: (503 if "a.test" in url else 200, None, b"", None)
+    o = fetch.FetchOptions(retry=None, failure_threshold=1, recovery_timeout=1000)
+    first = fetch.fetch(wanted, o, get=down).cache()
+    states = fetch.latest_states(first)
+    later = fetch.fetch(spark.createDataFrame([("http://a.test/2",), ("http://b.test/2",)], "url string"), o, get=down, states=states).cache()
+    assert {r["domain"]: r["error"] for r in later.collect()} == {"a.test": policy.BREAKER, "b.test": None}
+    end = fetch.breaker_stats(fetch.latest_states(later, states)).first()
+    assert (end["times_opened"], end["rejected"], end["open_domains"]) == (1, 1, ["a.test"])
+
+
+def test_windows_agree_with_one_pass_over_each_key(spark):
+    """Rows of several days, days without rows, ties, a null key."""
+    import datetime
+    import random
+
+    rng = random.Random(5)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", None]), i, start + datetime.timedelta(seconds=rng.choice([0, 3, 86398, 86401, 3 * 86400, 9 * 86400]) + rng.randrange(5)), rng.random() < 0.3) for i in range(400)]
+    log = spark.createDataFrame(rows, "domain string, id long, ts timestamp, ok boolean").withColumn("t", F.col("ts").cast("double"))
+    got = {name: {r["id"]: r[c] for r in f(log).collect()} for name, c, f in (("gap", "gap", stats.request_gaps), ("recent", "recent", stats.trailing_count), ("streak", "streak", stats.failure_streak), ("start", "start", lambda x: stats.rate_schedule(x, 7.0)))}
+    for key in ("a", "b", None):
+        mine = sorted((ts.timestamp(), i, ok) for k, i, ts, ok in rows if k == key)
+        before, streak, free = None, 0, float("-inf")
+        for t, i, ok in mine:
+            streak = 0 if ok else streak + 1
+            begin = max(t, free)
+            assert got["gap"][i] == (None if before is None else t - before)
+            assert got["recent"][i] == sum(t - 5 <= u <= t for u, _, _ in mine)
+            assert got["streak"][i] == streak and abs(got["start"][i] - begin) < 1e-6
+            before, free = t, begin + 7.0
+
+
+def test_parsing_keeps_rows_and_columns(spark):
+    pages = spark.createDataFrame([(1, "http://h.test/", "<title>a</title>", 7), (2, "http://h.test/", "<title>b</title>", 8), (3, None, None, None)], "page_id int, url string, html string, text int")
+    got = html.parse_html(pages, ("metadata", "text")).orderBy("page_id").collect()
+    assert [(r["page_id"], r["url"], r["title"], r["text"]) for r in got] == [(1, "http://h.test/", "a", "a"), (2, "http://h.test/", "b", "b"), (3, None, "", "")]
+    own = lambda url, page, fields, same_domain: {"text": page.upper() if page else "", "parse_errors": []}
+    assert [r["text"] for r in html.parse_html(pages, ("text",), parser=own).orderBy("page_id").collect()] == ["<TITLE>A</TITLE>", "<TITLE>B</TITLE>", ""]
+
+
 class Server(http.server.BaseHTTPRequestHandler):
     hits: list = []
 
@@ -242,11 +336,11 @@ class Server(http.server.BaseHTTPRequestHandler):
         host = f"http://127.0.0.1:{self.server.server_port}"
         pages = {
             "/robots.txt": "User-agent: *\nDisallow: /private\n", "/": '<title>home</title><a href="/a">a</a><a href="/private/x">p</a><a href="/missing">m</a>',
-            "/a": '<title>A</title><a href="/">home</a><a href="/b#x">b</a>', "/b": "<title>B</title>", "/map.xml": f"<urlset><url><loc>{host}/b</loc></url></urlset>",
+            "/a": '<title>A</title><a href="/">home</a><a href="/b#x">b</a>', "/b": "<title>B é</title>", "/map.xml": f"<urlset><url><loc>{host}/b</loc></url></urlset>",
         }
-        body = pages.get(self.path, "").encode()
+        body = pages.get(self.path, "").encode("latin-1")
         self.send_response(200 if self.path in pages else 404)
-        self.send_header("Content-Type", "text/html")
+        self.send_header("Content-Type", "text/html; charset=iso-8859-1")
         self.end_headers()
         self.wfile.write(body)
 
@@ -271,13 +365,17 @@ def test_crawl_over_http(spark, site, tmp_path):
 
     config = from_dict({"start_urls": [site + "/"], "crawler": {"respect_robots": True}, "storage": {"type": "jsonl", "path": f"{tmp_path}/out.jsonl"}, "output": {"html_report": f"{tmp_path}/r.html"}, "progress": {"enabled": False}})
     engine = CrawlEngine(spark, config)
-    assert {r["title"] for r in engine.crawl().collect()} == {"home", "A", "B"}
+    assert {r["title"] for r in engine.crawl().collect()} == {"home", "A", "B é"}
     engine.close()
     s = engine.get_stats()
     assert (s["totals"]["successful"], s["totals"]["failed"], s["queue"]["skipped"], s["storage"]["saved"]) == (3, 1, 1, 3)
+    assert (s["queue"]["processed"], s["queue"]["failed"], s["peaks"]["total"] >= 1, s["breaker"]["times_opened"], s["partial_parses"]) == (3, 1, True, 0, 0)
+    assert [(e["error"], e["status"], e["attempts"]) for e in s["errors_of"]] == [("PermanentError", 404, 1)] and s["rates"][0]["total"] == 4
+    times = [r["t"] for r in engine.pages.collect()]
+    assert len(set(times)) == 4 and min(times) >= 0
     assert "/private/x" not in Server.hits and Server.hits.count("/robots.txt") == 1 and len(Server.hits) == len(set(Server.hits))
     assert records.read_json(spark, f"{tmp_path}/out.jsonl").count() == 3 and "<svg" in (tmp_path / "r.html").read_text()
     assert main(["--sitemap", site + "/map.xml", "--max-depth", "0", "--no-progress", "--output", f"{tmp_path}/p.db"], spark) == 0
     from harrow.sources import sqlite
 
-    assert [r["title"] for r in sqlite.read_sqlite(spark, f"{tmp_path}/p.db").collect()] == ["B"]
+    assert [r["title"] for r in sqlite.read_sqlite(spark, f"{tmp_path}/p.db").collect()] == ["B é"]
