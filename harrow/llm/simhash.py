@@ -16,10 +16,7 @@ list, or, for lists of more than ``searched`` entries, by the fingerprints half
 way between two linked ones (two differ in 4 bits or fewer exactly if some value
 is within 2 bits of both), which is linear in the length of the list.
 
-For deduplication at a similarity of five-word shingles the same index runs over
-several fingerprints of the distinct words and proposes pairs, which are verified
-on the whole texts; an index of the rarest shingles of each text finds every pair
-that these miss (``similar_pairs``).
+``near`` uses the same index for near-duplicates of a given similarity.
 
 Defined cases: null and empty texts, and texts without a word, have fingerprint
 0 and are linked like any other; texts with fewer words than a shingle are one
@@ -30,17 +27,15 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, packed, release, stretches, table
+from .common import components, cut, stretches, table
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 4
@@ -99,19 +94,6 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return _written(ones, n)
 
 
-def word_prints(text: str | None, count: int) -> list[int]:
-    """``count`` independent fingerprints of a text's distinct words."""
-    seen: set[bytes] = set()
-    for part in stretches(text or ""):
-        seen.update(part.encode("utf-8", "replace").translate(LOWER).split())
-    h, out = np.array([xxhash.xxh64_intdigest(w, 42) for w in seen], np.uint64), []
-    for _ in range(count):
-        out.append(_written(_majority(h), len(h)))
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-    return out
-
-
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 4, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: id, fp (the fingerprint as a signed long)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -255,241 +237,6 @@ def near_groups_of(prints: DataFrame, bits: int = BITS) -> DataFrame:
     return prints.join(dealt, ["fp", "run"])
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes of a text's word shingles (one of all words if there are fewer)."""
-    found, carry, any_ = [], [], False
-    for part in stretches(text or ""):
-        own = carry + [xxhash.xxh64_intdigest(w, 3) for w in part.encode("utf-8", "replace").translate(LOWER).split()]
-        carry = own[max(0, len(own) - words + 1) :]
-        if len(own) >= words:
-            any_ = True
-            found.append(_rolled(np.array(own, np.uint64), words))
-    if not any_ and carry:
-        found.append(_rolled(np.array(carry, np.uint64), len(carry)))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def _rolled(h: np.ndarray, n: int) -> np.ndarray:
-    out = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        out = (out ^ out >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-    return out
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets; two empty ones are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    total = len(a) + len(b) - both
-    return both / total if total else 1.0
-
-
-def _frequent(rows: DataFrame, words: int, docs: int = 5000, least: int = 5) -> np.ndarray:
-    """Shingles of ``least`` or more of about ``docs`` sampled documents, rarest first.
-
-    They only order the index (frequent shingles come last in it); no result depends on them.
-    """
-    every = max(1, rows.count() // docs)
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t.as_py(), words) for t in b.column("text"))]).view(np.int64))], ["s"])
-
-    sampled = rows.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long")
-    got = sampled.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least).toArrow()
-    s, n = got.column("s").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    return s[np.lexsort((s, n))]
-
-
-def prefix(shingles: np.ndarray, least: float, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, so many that two sets of similarity ``least`` share one of them.
-
-    Of n shingles a similar set holds least * n, so it holds one of any n - least * n + 1; with one order
-    for all sets the first that both hold is among the first of each. ``frequent`` is sorted, ``rank`` is its order.
-    """
-    n = len(shingles)
-    if not n:
-        return shingles
-    at = np.minimum(np.searchsorted(frequent, shingles), max(0, len(frequent) - 1))
-    late = np.where(frequent[at] == shingles, rank[at] + 1, 0) if len(frequent) else np.zeros(n, np.int64)
-    return shingles[np.lexsort((shingles, late))[: n - int(np.ceil(least * n - 1e-6)) + 1]]
-
-
-def _tally(shingles: np.ndarray) -> bytes:
-    """How many shingles fall to each of 64 values; two tallies differ by no more than their sets do."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
-
-
-def _shared(batches):
-    """Lists of two or more ids of a stream sorted by shingle (s, id, n), each set of ids once for each task, mostly."""
-    seen, held = set(), None
-
-    def out(s, i, n):
-        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        size = np.diff(np.r_[start, len(s)])
-        h = i.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        x, y = np.add.reduceat(h ^ h >> np.uint64(32), start), np.add.reduceat((h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB), start)
-        keep = size > 1
-        for k in np.flatnonzero(keep):
-            name = (int(x[k]), int(y[k]), int(size[k]))
-            if name in seen:
-                keep[k] = False
-            elif len(seen) < 1 << 20:
-                seen.add(name)
-        mine = np.repeat(keep, size)
-        return pa.RecordBatch.from_arrays([pa.array(c[mine]) for c in (s, i, n)], ["s", "id", "n"])
-
-    for b in batches:
-        now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("s", "id", "n")]
-        if held is not None:
-            now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-        last = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1]) if len(now[0]) else 0
-        held = [x[last:].copy() for x in now]
-        if last:
-            yield out(*(x[:last] for x in now))
-    if held is not None and len(held[0]):
-        yield out(*held)
-
-
-def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, prints: int = 6, pairwise: int = 24, rounds: int = 3) -> DataFrame:
-    """Links (a, b) of ids, whose components are those of all pairs of a similarity of ``least`` or more.
-
-    First, texts of equal shingle sets are linked, and one text stands for each set. Then ``prints``
-    independent fingerprints of the distinct words propose one neighbour within 4 bits for each text and
-    fingerprint: cheap, and enough for most. What they miss, an index of each set's first shingles finds
-    (``prefix``), in which every similar pair shares a list. Lists whose members are in one component are
-    done. In lists that would give many pairs, up to ``rounds`` times all members are tested against one
-    (one with most links that has not yet led); then every pair of a list that is not tested and lies in
-    different components is tested. Pairs whose sizes or tallies rule the similarity out are left away;
-    all others are verified on both whole texts. Neither ``prints``, ``pairwise`` nor ``rounds`` changes the
-    components. Rows without an id are not linked.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    by_count = _frequent(rows, words)
-    order = np.argsort(by_count)
-    shared = rows.sparkSession.sparkContext.broadcast((by_count[order], order))
-    limit = (1 - least) / (1 + least)
-
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
-            fps = np.array([word_prints(t.as_py(), prints) for t in b.column("text")], np.uint64).reshape(-1, prints)
-            cells = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_tally(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cells, *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(prints))], ["id", "sum", "n", "tally", *(f"f{k}" for k in range(prints))])
-
-    def index(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
-            cells = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cells, pa.array([prefix(x, least, *shared.value).view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "sum", "n", "prefix"])
-
-    schema = "id long, sum binary, n long, tally binary, " + ", ".join(f"f{k} long" for k in range(prints))
-    held = cut(rows.mapInArrow(run, schema).withColumn("run", F.spark_partition_id()))
-    least_id = held.groupBy("sum", "run").agg(F.min("id").alias("id"))
-    dealt = cut(least_id.select("sum", "run").join(least_id.groupBy("sum").agg(F.min("id").alias("first")), "sum"))
-    of_sets = held.join(dealt, ["sum", "run"])
-    others = cut(of_sets.filter("id != first").select("id", "sum", "first").distinct())
-    equal = others.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    nodes = cut(of_sets.filter("id = first").dropDuplicates(["id", "sum"]).drop("sum", "run", "first"))
-    tallies = nodes.select("id", "n", "tally")
-    block = max(500_000, 2 * nodes.count())
-
-    def near(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for c in ("s", "t"))
-            keep = np.abs(x - y).sum(axis=1) <= limit * b.column("m").to_numpy() + 1e-6
-            yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    def verify(batches):
-        @lru_cache(64)
-        def known(x: bytes | None) -> np.ndarray:
-            return shingle_set(None if x is None else zstandard.decompress(x).decode(), words)
-
-        for b in batches:
-            keep = [similarity(known(x), known(y)) >= least for x, y in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        blocks, likely = 1 + pairs.count() // block, None
-        for k in range(blocks):  # one after another, so that no disk holds the tallies of all pairs
-            part = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == k)
-            both = part.join(tallies.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tally").alias("s")), "a").join(tallies.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tally").alias("t")), "b")
-            one = cut(both.select("a", "b", "s", "t", (F.col("na") + F.col("nb")).alias("m")).mapInArrow(near, "a long, b long").distinct())
-            likely = one if likely is None else likely.union(one)
-            del part, both, one
-            release(rows.sparkSession)
-        ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        texts = cut(packed(rows).join(ids, "id", "left_semi").dropDuplicates(["id", "text"]))
-        both = likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-        out = cut(both.select("a", "b", "s", "t").mapInArrow(verify, "a long, b long").distinct())
-        del both, likely, ids, texts
-        release(rows.sparkSession)
-        return out
-
-    tried = None
-    for k in range(prints):
-        mine = nodes.select("id", F.col(f"f{k}").alias("fp"))
-        firsts = cut(mine.groupBy("fp").agg(F.min("id").alias("first")))
-        same = mine.join(firsts, "fp").filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-        ends = links(firsts.select("fp"), BITS, pairwise)
-        ends = ends.union(ends.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
-        far = ends.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        one = same.union(far.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
-        tried = cut((one if tried is None else tried.union(one)).filter("a != b").distinct())
-        del mine, firsts, same, ends, far, one
-        release(rows.sparkSession)
-    found = equal.union(verified(tried))
-
-    entries = rows.mapInArrow(index, "id long, sum binary, n long, prefix array<long>").join(others, ["id", "sum"], "left_anti").select(F.explode("prefix").alias("s"), "id", "n")
-    lists = cut(entries.repartition("s").sortWithinPartitions("s", "id").mapInArrow(_shared, "s long, id long, n long"))
-    del entries, held, of_sets
-    release(rows.sparkSession)
-    led = None
-    for r in range(rounds + 1):
-        found = cut(found)
-        group = components(found)
-        ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-        known = group.join(ends, "node", "left").withColumnRenamed("node", "id")
-        of = lists.join(known.select("id", "component"), "id", "left").select("s", "id", "n", F.coalesce("component", "id").alias("of"))
-        at = cut(of.join(of.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low != high").select("s"), "s"))
-        lists = at.select("s", "id", "n")
-        del of
-        release(rows.sparkSession)
-        sizes = at.groupBy("s").agg(F.count("*").alias("size"))
-        square, total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).first()
-        if not total:
-            break
-        last = r == rounds or square <= 16 * total
-        if last:
-            other = at.select("s", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("of").alias("of2"))
-            pairs = at.join(other, "s").filter("id > id2 and of != of2")
-        else:
-            known = known.withColumn("led", F.lit(False)) if led is None else known.join(led, "id", "left")
-            ranked = at.join(known.drop("component"), "id", "left")
-            key = F.struct(F.coalesce("led", F.lit(False)).alias("led"), (-F.coalesce("degree", F.lit(0))).alias("degree"), F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "of")
-            lead = ranked.groupBy("s").agg(F.min(key).alias("lead")).select("s", F.col("lead.id").alias("id2"), F.col("lead.n").alias("n2"), F.col("lead.of").alias("of2"))
-            pairs = at.join(lead, "s").filter("of != of2")
-            now = lead.select(F.col("id2").alias("id"), F.lit(True).alias("led")).distinct()
-            led = cut(now if led is None else led.union(now).distinct())
-        pairs = pairs.filter(F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6).select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
-        pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-        found = found.union(verified(pairs))
-        if last:
-            break
-    return found
-
-
-def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with the smallest id of each group of similar documents; all columns stay.
-
-    Rows with equal ids count as one document; rows without an id all stay.
-    """
-    gone = cut(components(similar_pairs(docs, id_col, text_col, words, least)).filter("node != component").select(F.col("node").alias("_gone")))
-    release(docs.sparkSession)
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-
-
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     prints = cut(fingerprints(table(spark, sf_dir, "documents")).withColumn("run", F.spark_partition_id()))
     return near_groups_of(prints).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
