@@ -2,15 +2,21 @@
 
 Each stage works on all that the stage before kept; all but the last return the
 columns of ``documents``. Near duplicates have a similarity of 0.8 or more on
-five-word shingles; SimHash proposes the pairs, whole texts verify them, and of
-each group the document of smallest id stays.
+five-word shingles: SimHash proposes pairs, an exact index adds what it can't
+guarantee, whole sets of shingles verify them, and of each group the document of
+smallest id stays.
+
+Defined cases: a null text is an empty text in every stage; the classifier scores
+it like any other; of equal texts the longest stays, then the smallest id, null
+ids last; near duplicates likewise by id; empty tables give empty results; columns
+besides doc_id and text pass through the first four stages untouched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harrow.llm import decontam, exact_dedup, packing, quality, simhash
+from harrow.llm import decontam, exact_dedup, near as similar, packing, quality
 from harrow.llm.common import cut, table
 
 
@@ -27,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return simhash.deduplicate(docs)
+    return similar.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
