@@ -1,10 +1,14 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Base spans are fixed patterns with checks; they always stay. Further candidates
-(phone numbers without a country code, spelled-out e-mail addresses) are decided
-by labelers, each of which votes for, against or not at all: the pattern's own
-form, a gazetteer (mail domains, number prefixes, reserved blocks), words of the
-context that speak for the kind, words that speak against. Expectation
+(phone numbers without a country code, spelled-out e-mail addresses, keys and
+tokens, bank account numbers, social security numbers, names of persons) are
+decided by labelers, each of which votes for, against or not at all: the pattern's
+own form (its check digits, its alphabet), a gazetteer (mail domains, number
+prefixes, reserved blocks, countries, given names), words of the context that
+speak for the kind, words that speak against. No labeler decides alone, and equal
+votes for and against leave it to what expectation maximisation and the kind's own
+frequency say. Expectation
 maximisation over the counts of vote patterns estimates how often each labeler
 says what for true and for false spans; the posteriors then train the final
 classifier, a logistic regression on votes and kind, which judges every
@@ -29,15 +33,15 @@ not read.
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SIGN, OTHER_SIGN = "", ""
-KINDS = ["email", "ip", "card", "phone"]
+SIGN, OTHER_SIGN = "\ue000", "\ue001"
+#: Kinds of base spans, and kinds that only the method adds.
+KINDS, ADDED = ["email", "ip", "card", "phone"], ["secret", "iban", "ssn", "name"]
 LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -45,13 +49,25 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+# Given names that a name of a person may start with, and country codes of bank account numbers.
+GIVEN = (
+    "Alice|Andrew|Anna|Anne|Antonio|Barbara|Benjamin|Carlos|Carmen|Charles|Christina|Claire|Daniel|David|Deborah|Edward|Elena|Elizabeth|Emily|Emma|Eric|Fatima|Francesca|Frank|George|Hannah|Hans|Heinrich|Helen|Isabel|"
+    "Jacques|James|Jane|Jean|Jennifer|Jessica|Johann|John|Jonathan|Jose|Joseph|Juan|Julia|Karen|Katharina|Kevin|Klaus|Laura|Linda|Lisa|Louise|Lucia|Luis|Margaret|Maria|Marie|Martin|Mary|Matthew|Michael|Miguel|Mohammed|"
+    "Nancy|Nicolas|Nicole|Olivia|Patricia|Paul|Peter|Philippe|Pierre|Rachel|Richard|Robert|Ryan|Sandra|Sarah|Sophie|Stefan|Stephen|Steven|Susan|Teresa|Thomas|Ursula|Victoria|William|Wolfgang"
+)
+COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR"
+TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? "
 #: Candidates beside the base, by the kind they would be.
 LOOSE = {
+    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,127}[0-9])(?=[0-9+/_-]{0,127}[A-Za-z])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_=@-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "name": rf"(?<![A-Za-z])(?:(?:{TITLE})(?:[A-Z][a-zà-ÿ]+ )?|(?:{GIVEN}) )(?:[A-Z]\. )?[A-Z][a-zà-ÿ]+(?:-[A-Z][a-zà-ÿ]+)?(?![A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z@]|[.-][0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,5}",
 }
 #: What a text must hold to have a match at all.
-NEEDS = {"email": "@", "phone+": "[0-9]{4}", "email+": "(?:[\\[(]at[\\])])"}
+NEEDS = {"email": "@", "phone+": "[0-9]{4}", "email+": "(?:[\\[(]at[\\])])", "secret+": "[A-Za-z0-9+/_-]{20}", "iban+": "[A-Z]{2}[0-9]{2}", "ssn+": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "name+": rf"{TITLE}|(?:{GIVEN}) "}
 AROUND = 40
 #: Gazetteers and context words.
 MAIL_ENDS = r"\.(?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|co|us)$"
@@ -62,8 +78,12 @@ FOR = {
     "ip": r"(?i)\b(?:ip|host|server|address|login|from|client)\b",
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta)\b",
     "phone": r"(?i)\b(?:phone|call|tel|telephone|mobile|cell|fax|text|whatsapp|telefon|t[ée]l[ée]phone|tel[ée]fono)\b",
+    "secret": r"(?i)(?:token|secret|passw|api.?key|access.?key|private.?key|bearer|auth|credential)",
+    "iban": r"(?i)\b(?:iban|account|bank|transfer|konto|compte|cuenta)\b",
+    "ssn": r"(?i)\b(?:ssn|social|security|taxpayer)\b",
+    "name": r"(?i)\b(?:name|dear|signed|sincerely|regards|patient|customer|contact|attn|author|from|by|named|born)\b",
 }
-AGAINST = r"(?i)\b(?:version|release|isbn|issn|doi|order|invoice|ticket|section|figure|table|page|serial|build)\b[^\n]{0,12}$"
+AGAINST = r"(?i)\b(?:version|release|isbn|issn|doi|order|invoice|ticket|section|figure|table|page|serial|build|commit|checksum|sha1|sha256|md5|etag|hash|street|avenue|university|saint)\b[^\n]{0,12}$"
 VOTERS = ["form", "gazetteer", "context", "against"]
 
 
@@ -85,6 +105,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda s, i: s + doubled(i)) % 10 == 0
 
 
+def _mod97(match: Column) -> Column:
+    """Whether an account number's check digits are right: moved to the end, letters as 10 to 35, modulo 97 it is 1."""
+    bare = F.replace(match, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.left(bare, F.lit(4)))
+
+    def step(rest: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (rest * F.when(value < 10, 10).otherwise(100) + value) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(step(rest, c))) == 1
+
+
 def _valid(kind: Column, match: Column) -> Column:
     digits = _digits(match)
     small = F.forall(F.split(match, r"\."), lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "").rlike("^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
@@ -105,9 +137,16 @@ def _votes(kind: Column, match: Column, before: Column) -> dict[str, Column]:
         F.when(kind == "email", match.rlike(MAIL_ENDS))
         .when(kind == "ip", ~match.rlike(OWN_NETS))
         .when(kind == "card", digits.rlike(CARD_STARTS))
+        .when(kind == "secret", match.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-.*)$") | (match.rlike("[a-z]") & match.rlike("[A-Z]") & match.rlike("[0-9].*[0-9].*[0-9]") & ~match.contains("/")))
+        .when(kind == "iban", match.rlike(f"^(?:{COUNTRIES})"))
+        .when(kind == "ssn", ~match.rlike("^(?:000|666|9)|-00-|-0000$"))
+        .when(kind == "name", match.rlike(f"(?:{GIVEN}) "))
         .otherwise(~digits.rlike(r"^(?:0{3}|1{3})|(?:0{7}|1234567)$"))
     )
-    form = F.when(F.col("base"), F.when(F.col("valid"), 1).otherwise(-1)).otherwise(F.when((kind == "phone") & match.rlike(r"^\(?[0-9]{3}\)?[ .-]555|^\([0-9]{3}\) "), 1).when(kind == "email", 1).otherwise(0))
+    form = F.when(F.col("base"), F.when(F.col("valid"), 1).otherwise(-1)).otherwise(F.when((kind == "phone") & match.rlike(r"^\(?[0-9]{3}\)?[ .-]555|^\([0-9]{3}\) "), 1).when(kind == "email", 1)
+        .when(kind == "secret", F.when(match.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") | match.rlike("^(?:AKIA|gh[pousr]_|sk-)"), 1).when(match.rlike("[/]|[A-Za-z]{12}|--"), -1).otherwise(0))
+        .when(kind == "iban", F.when(_mod97(match), 1).otherwise(-1))
+        .when((kind == "name") & match.rlike(f"^{TITLE}"), 1).otherwise(0))
     return {
         "form": form,
         "gazetteer": F.when(known, 1).otherwise(-1),
@@ -172,7 +211,7 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0
     placed = each.select("tag", "kind", "base", "at", "part", (F.sum("part.n").over(order) - F.col("part.n")).alias("start"), F.lag("part.ends").over(order).alias("before")).filter(F.col("part.match").isNotNull())
     spans = placed.select("tag", "kind", "base", F.col("part.match").alias("match"), "start", (F.col("start") + F.col("part.n")).alias("end"), F.coalesce("before", F.lit("")).alias("before"))
     spans = spans.withColumn("valid", F.when(F.col("base"), _valid(F.col("kind"), F.col("match"))).otherwise(True))
-    near = Window.partitionBy("tag", "kind").orderBy("start", "end")
+    near = Window.partitionBy("tag").orderBy("start", "end")
     kept = F.col("base") & F.col("valid")
     spans = spans.withColumns({
         "left": F.max(F.when(kept, F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1)),
@@ -189,28 +228,23 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0
         v = tuple(r[c] for c in votes)
         by_pattern[v] = by_pattern.get(v, 0) + r["count"]
     _, _, post = reliabilities(by_pattern)
-    weights = fit([((*(float(r[c]) for c in votes), *(float(r["kind"] == k) for k in KINDS)), post[tuple(r[c] for c in votes)], r["count"]) for r in counted])
+    weights = fit([((*(float(r[c]) for c in votes), *(float(r["kind"] == k) for k in [*KINDS, *ADDED])), post[tuple(r[c] for c in votes)], r["count"]) for r in counted])
     z = F.lit(weights[-1] if weights else 0.0)
-    for w, x in zip(weights, [*(F.col(c) for c in votes), *((F.col("kind") == k).cast("int") for k in KINDS)], strict=False):
+    for w, x in zip(weights, [*(F.col(c) for c in votes), *((F.col("kind") == k).cast("int") for k in [*KINDS, *ADDED])], strict=False):
         z = z + x * F.lit(w)
-    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    number = F.array_position(F.array(*map(F.lit, [*KINDS, *ADDED])), F.col("kind")).cast("int") - 1
     judged = spans.withColumn("score", 1 / (1 + F.exp(-z))).filter(F.when(F.col("base"), F.col("valid")).otherwise(F.col("score") >= threshold))
     per = judged.groupBy("tag").agg(F.sort_array(F.collect_list(F.struct(number.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "base", "score"))).alias("spans"))
     none = F.array().cast("array<struct<k:int,start:bigint,end:bigint,base:boolean,score:double>>")
     return held.select("id", "tag").join(per, "tag", "left").select("id", F.coalesce("spans", none).alias("spans"))
 
 
-def patterns_of_votes() -> int:
-    """How many vote patterns there can be."""
-    return len(list(product((-1, 0, 1), repeat=len(VOTERS))))
-
-
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
 
     def written(spans: Column) -> Column:
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, [*KINDS, *ADDED])), s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     counts = [F.size(F.filter(base, lambda s: s["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

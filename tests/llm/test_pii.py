@@ -64,3 +64,45 @@ def test_reliabilities_find_the_bad_labeler():
     share, table, post = pii.reliabilities(counts)
     assert abs(share - 0.6) < 0.05 and abs(table[2][1][1] - 0.5) < 0.06 and table[0][1][1] > 0.9
     assert post[(1, 1, -1, 1)] > 0.95 and post[(-1, -1, 1, -1)] < 0.05
+
+
+def test_added_spans_are_right_and_many(spark):
+    """Planted spans of the added kinds among look-alikes: precision and recall of what the method adds."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    filler = lambda: " ".join("".join(rng.choice("aeioustnrlm") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(8, 30)))
+
+    def iban(ok):
+        bare = f"{rng.randint(10**17, 10**18 - 1)}"
+        check = 98 - int(bare + "131400") % 97
+        return f"DE{(check if ok else (check + 5) % 97):02d}{bare}"
+
+    true = [
+        ("secret", lambda: ('token = "', hexes(40), '"')), ("secret", lambda: ("api_key: ", "sk-" + hexes(32), "")), ("secret", lambda: ("password ", "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)), "")),
+        ("iban", lambda: ("IBAN ", iban(True), "")), ("ssn", lambda: ("SSN ", f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", "")),
+        ("name", lambda: ("Dear ", f"Dr. {rng.choice(['Anna', 'Paul', 'Maria'])} {rng.choice(['Smith', 'Keller', 'Moreau'])}", "")), ("phone", lambda: ("call ", f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", "")),
+    ]
+    false = [
+        lambda: ("commit ", hexes(40), ""), lambda: ("see ", "a-very-long-path-of-words-that-is-no-key-1", ""), lambda: ("order ", iban(False), ""), lambda: ("part ", f"000-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", ""),
+        lambda: ("version ", f"{rng.randint(1, 9)}.{rng.randint(1, 9)}", ""), lambda: ("at ", f"{rng.randint(1, 9)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", ""),
+    ]
+    texts, want = [], []
+    for i in range(900):
+        kind, make = true[i % len(true)] if i % 3 else ("", false[i // 3 % len(false)])
+        before, value, after = make()
+        head = filler() + " " + before
+        texts.append(head + value + after + " " + filler())
+        want.append({f"{kind}:{len(head)}:{len(head) + len(value)}"} if kind else set())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = [*pii.KINDS, *pii.ADDED]
+    got = {r["id"]: {f"{names[s['k']]}:{s['start']}:{s['end']}" for s in r["spans"] if not s["base"]} for r in pii.find(docs).collect()}
+    hit = sum(len(got[i] & w) for i, w in enumerate(want))
+    said, planted = sum(map(len, got.values())), sum(map(len, want))
+    by_kind = {k: (sum(len(got[i] & w) for i, w in enumerate(want) if w and next(iter(w)).startswith(k)), sum(1 for w in want if w and next(iter(w)).startswith(k))) for k in names}
+    assert hit >= 0.9 * planted and hit >= 0.9 * said, (hit, planted, said, by_kind)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "mail a@b.com"), (None, "mail a@b.com"), (3, "mail a@b.com"), (3, "mail a@b.com"), (4, None)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"] or 0, len(r["spans"])) for r in got) == [(0, 1), (0, 1), (3, 1), (3, 1), (4, 0)]
