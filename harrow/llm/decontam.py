@@ -9,21 +9,25 @@ block maxima of the lists up to it can still reach the least threshold, else the
 lists move to the end of those blocks. Retrieved pairs are verified by overlap:
 an item has a question part and an answer part (its last sentence, or its last
 third where it has one sentence only), and of both parts at least ``overlap`` of
-the shingles must occur in the document. Parts without a shingle of their own
-are judged by the shingles of the item that end in them.
+the shingles must occur in the document. The question's shingles are those that
+start in it, the answer's those that end in it; a shingle across both counts for
+both, so neither part is ever without one.
 
 The threshold of an item is half of what ``overlap`` of its shingles give if the
 least weighty ones are met (an item may lie across two passages), less in
 proportion where the item is longer than a passage. An item of fewer than five
-words is one shingle and is found only in a document that consists of it.
+words is one shingle of all its words; documents are then read in shingles of that
+length as well, so it is found inside them like any other.
 
 The index holds the test items only. It goes to the executors as a broadcast
-if its items have at most ``max_index_words`` words; a larger benchmark is
-split by item into as many indexes, which are searched one after the other.
+if its items have at most ``max_index_words`` words; a larger benchmark is split
+by item into as many indexes. The driver holds one of them at a time: each is
+searched, its result is kept in the checkpoint folder, and it is let go.
 
 Defined cases: null and empty texts and items match nothing; repeated items each
-match; null ids are kept; repeated rows are reported each; an empty table on
-either side gives an empty result; other columns are not read.
+match; null ids of documents and of items are kept; repeated rows are reported
+each; an empty table on either side gives an empty result; other columns are not
+read by the search and pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -31,14 +35,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import stretches, table
+from .common import cut, stretches, table
 
 WORDS = 5
 BLOCK = 16
@@ -91,6 +97,8 @@ class Index:
         self.overlap, self.ids = overlap, [i for i, _ in items]
         words = [word_hashes(t) for _, t in items]
         every = [shingles(w) for w in words]
+        #: Lengths of the items' shingles, in words.
+        self.sizes = sorted({min(WORDS, len(w)) for w in words if len(w)})
         self.parts = [self._parts(t, w, s) for (_, t), w, s in zip(items, words, every, strict=True)]
         lengths = [max(1, len(s)) for s in every]
         mean = sum(lengths) / max(1, len(lengths))
@@ -113,12 +121,12 @@ class Index:
 
     @staticmethod
     def _parts(text: str | None, words: np.ndarray, own: np.ndarray) -> tuple[frozenset, frozenset]:
-        """Shingles of the question and of the answer."""
+        """Shingles that start in the question, and shingles that end in the answer."""
         sentences = re.findall(r"[^.!?\n]*[.!?\n]*", text or "")
         sentences = [s for s in sentences if len(word_hashes(s))]
-        n = len(word_hashes(sentences[-1])) if len(sentences) > 1 else max(1, len(words) // 3)
-        cut = max(0, len(own) - n)  # shingles that end in the answer are the answer's
-        return frozenset(own[:cut].tolist()), frozenset(own[cut:].tolist())
+        answer = len(word_hashes(sentences[-1])) if len(sentences) > 1 else max(1, len(words) // 3)
+        question = max(1, len(words) - answer)
+        return frozenset(own[:question].tolist()), frozenset(own[max(0, len(own) - answer) :].tolist())
 
     def search(self, terms: list[int]) -> list[int]:
         """Numbers of all items that score at least their threshold, by block-max WAND."""
@@ -170,22 +178,27 @@ class Index:
     def matches(self, text: str | None, passage: int) -> list[tuple[int, float, float]]:
         """(item id, question overlap, answer overlap) of every item in a text."""
         words = word_hashes(text)
-        own = shingles(words)
-        if not len(own) or not len(self.terms):
-            return []
-        found = np.flatnonzero(self._known(own))
+        places, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for size in self.sizes:
+            if len(words) >= size:
+                own = shingles(words, size)
+                places.append(np.flatnonzero(self._known(own)))
+                terms.append(own[places[-1]])
+        found, own = np.concatenate(places), np.concatenate(terms)
         if not len(found):
             return []
+        order = np.argsort(found, kind="stable")
+        found, own = found[order], own[order]
         step = max(1, passage // 2)
         candidates: set[int] = set()
         for p in np.unique(np.concatenate([found // step, np.maximum(found // step - 1, 0)])).tolist():
-            inside = found[np.searchsorted(found, p * step) : np.searchsorted(found, p * step + passage)]
+            inside = own[np.searchsorted(found, p * step) : np.searchsorted(found, p * step + passage)]
             if len(inside):
-                candidates.update(self.search(sorted(set(own[inside].tolist()))))
-        met = set(own[found].tolist())
+                candidates.update(self.search(sorted(set(inside.tolist()))))
+        met = set(own.tolist())
         out = []
         for k in sorted(candidates):
-            shares = [len(met & part) / len(part) if part else 1.0 for part in self.parts[k]]
+            shares = [len(met & part) / len(part) for part in self.parts[k]]
             if min(shares) >= self.overlap:
                 out.append((self.ids[k], *shares))
         return out
@@ -196,25 +209,28 @@ class Index:
         return self.terms[at] == own
 
 
-def indexes(items: DataFrame, id_col="item_id", text_col="text", overlap: float = 0.8, passage: int = 64, max_index_words: int = 2_000_000) -> list[Index]:
-    """Indexes of the test items, each of ``max_index_words`` words at most (one for a usual benchmark)."""
-    out, held, n = [], [], 0
+def indexes(items: DataFrame, id_col="item_id", text_col="text", overlap: float = 0.8, passage: int = 64, max_index_words: int = 2_000_000) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the test items, each of ``max_index_words`` words at most, one after the other, and whether it is the only one."""
+    held, n, before = [], 0, False
     for r in items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy("id").toLocalIterator():
         size = len((r["text"] or "").split())
         if held and n + size > max_index_words:
-            out.append(Index(held, overlap, passage))
-            held, n = [], 0
+            yield Index(held, overlap, passage), False
+            held, n, before = [], 0, True
         held.append((r["id"], r["text"]))
         n += size
-    return [*out, Index(held, overlap, passage)] if held else out
+    if held:
+        yield Index(held, overlap, passage), not before
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 64) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 64, max_index_words: int = 2_000_000) -> DataFrame:
     """One row per document and test item in it: id, item_id, question_overlap, answer_overlap."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    item_type = items.schema[item_col].dataType
+    kind, item_kind = rows.schema["id"].dataType.simpleString(), item_type.simpleString()
+    shape = to_arrow_type(item_type)
     found = None
-    for index in indexes(items, item_col, "text", overlap, passage):
+    for index, only in indexes(items, item_col, "text", overlap, passage, max_index_words):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
@@ -225,19 +241,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
                         took.append(k)
                         said.append(m)
                 cols = list(zip(*said, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(took, pa.int64())), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], ["id", "item_id", "question_overlap", "answer_overlap"])
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(took, pa.int64())), pa.array(cols[0], shape), *(pa.array(c, pa.float64()) for c in cols[1:])], ["id", "item_id", "question_overlap", "answer_overlap"])
 
-        one = rows.mapInArrow(run, f"id {kind}, item_id long, question_overlap double, answer_overlap double")
+        one = rows.mapInArrow(run, f"id {kind}, item_id {item_kind}, question_overlap double, answer_overlap double")
+        if not only:
+            one = cut(one)
+            held.unpersist()
         found = one if found is None else found.unionAll(one)
     if found is None:
-        return rows.limit(0).selectExpr("id", "cast(null as long) as item_id", "cast(null as double) as question_overlap", "cast(null as double) as answer_overlap")
+        return rows.limit(0).selectExpr("id", f"cast(null as {item_kind}) as item_id", "cast(null as double) as question_overlap", "cast(null as double) as answer_overlap")
     return found
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 64) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 64, max_index_words: int = 2_000_000) -> DataFrame:
     """``docs`` without the documents that hold a test item; all columns stay."""
     at_text = docs.columns.index(text_col)
-    for index in indexes(items, item_col, "text", overlap, passage):
+    for index, only in indexes(items, item_col, "text", overlap, passage, max_index_words):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
@@ -245,6 +264,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id"
                 yield b.filter(pa.array([not held.value.matches(t.as_py(), passage) for t in b.column(at_text)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not only:
+            docs = cut(docs)
+            held.unpersist()
     return docs
 
 

@@ -5,7 +5,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from harrow.llm import decontam, quality
+from harrow.llm import quality
+from tests.llm.test_text_operators import plain_contaminated
 
 
 
@@ -50,13 +51,7 @@ def test_stages_match_plain_versions(spark, tiny):
                 if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     root[max(find(a), find(b))] = min(find(a), find(b))
             return {i: kept[i] for i in ids if find(i) == i}
-        shingles = [(set(decontam.shingles(decontam.word_hashes(x)).tolist()), decontam.Index([(k, x)], 0.8, 64).parts[0]) for k, x in items]
-        out = {}
-        for i, t in kept.items():
-            own = set(decontam.shingles(decontam.word_hashes(t)).tolist())
-            if not any(all(not p or len(p & own) / len(p) >= 0.8 for p in parts) for _, parts in shingles):
-                out[i] = t
-        return out
+        return {i: t for i, t in kept.items() if i not in {d for d, _ in plain_contaminated(kept, dict(items))}}
 
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, tiny)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -116,34 +117,57 @@ def test_differencing_is_near_equal():
     assert all(sum(sizes[i] for i in w) <= 4096 for w in packing.fill(sizes, 4096))
 
 
-def brute_overlap(texts, items, overlap=0.8):
-    index = {i: decontam.Index([(i, t)], overlap, 64) for i, t in items.items()}
-    out = set()
+def plain_words(text):
+    """Words as the operator compares them: ASCII lower case, without outer punctuation."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    bare = [re.sub(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$", b"", w) for w in low.encode().split()]
+    return [w for w in bare if w]
+
+
+def plain_item(text):
+    """(words of a shingle, shingles of the question, shingles of the answer)."""
+    words = plain_words(text)
+    n = min(5, len(words))
+    own = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)] if n else []
+    sentences = [s for s in re.findall(r"[^.!?\n]*[.!?\n]*", text or "") if plain_words(s)]
+    answer = len(plain_words(sentences[-1])) if len(sentences) > 1 else max(1, len(words) // 3)
+    return n, set(own[: max(1, len(words) - answer)]), set(own[max(0, len(own) - answer) :])
+
+
+def plain_contaminated(texts, items, overlap=0.8):
+    """(document, item) pairs by comparing every item with every text."""
+    known, out = {i: plain_item(t) for i, t in items.items()}, set()
     for d, t in texts.items():
-        own = set(decontam.shingles(decontam.word_hashes(t)).tolist())
-        for i, x in index.items():
-            if len(x.terms) and all(not p or len(p & own) / len(p) >= overlap for p in x.parts[0]):
-                out.add((d, i))
+        words = plain_words(t)
+        own = {n: {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} for n in {x[0] for x in known.values()} if n}
+        out |= {(d, i) for i, (n, *parts) in known.items() if n and all(len(p & own[n]) >= overlap * len(p) for p in parts)}
     return out
 
 
-def test_decontamination_matches_brute_force(spark, tiny):
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
-    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()}
-    got = {(r["doc_id"], r["item_id"]) for r in decontam.op8_decontamination(spark, tiny).collect()}
-    assert got == brute_overlap(texts, items) and got
+def test_decontamination_matches_brute_force(spark):
+    at = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.op8_decontamination(spark, at).collect()}
+    assert got == plain_contaminated(texts, items) and len(got) >= 20
 
 
 def test_decontamination_odd_rows(spark):
     item = "what is the capital of that far away land. it is the city by the sea"
-    items = {1: item, 2: "", 3: None, 4: "tiny one", 5: item}
+    late = "Why so? because of all the many things that were said before by nobody at all"
+    items = {1: item, 2: "", 3: None, 4: "tiny one", 5: item, 6: late}
     texts = {1: f"some words. {item.upper()}!! more", 2: "what is the capital of that far away land", 3: None, 4: "", 5: "tiny one", 6: "filler " * 300_000 + item, 7: item.replace("far", "near")}
+    texts |= {8: "and a tiny, one more", 9: "a Tiny one. indeed", 10: "because of all the many things that were said before by nobody at all", 11: "well, why so because of all the many things that were said before by nobody at all"}
     docs = spark.createDataFrame([(k, v, k) for k, v in texts.items()], "doc_id long, text string, item_id long")
     tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got = {(r["id"], r["item_id"]) for r in decontam.contaminated(docs, tests).collect()}
-    assert got == {(1, 1), (1, 5), (6, 1), (6, 5), (5, 4)}
-    assert sorted(r["doc_id"] for r in decontam.clean(docs, tests).collect()) == [2, 3, 4, 7]
+    want = {(1, 1), (1, 5), (6, 1), (6, 5), (5, 4), (8, 4), (9, 4), (11, 6)}
+    assert plain_contaminated(texts, items) == want
+    for most in (2_000_000, 20):  # one index, or several one after the other
+        assert {(r["id"], r["item_id"]) for r in decontam.contaminated(docs, tests, max_index_words=most).collect()} == want
+        assert sorted(r["doc_id"] for r in decontam.clean(docs, tests, max_index_words=most).collect()) == [2, 3, 4, 7, 10]
     assert decontam.contaminated(docs, tests.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), tests).count() == 0
+    repeated = spark.createDataFrame([(None, "tiny one"), (7, "tiny one"), (7, "tiny one")], "doc_id long, text string")
+    assert sorted((r["id"] or 0, r["item_id"]) for r in decontam.contaminated(repeated, spark.createDataFrame([(None, "tiny one"), (2, "x")], "item_id long, text string")).collect()) == [(0, None), (7, None), (7, None)]
 
 
 def test_block_max_wand_finds_all_above_threshold():
