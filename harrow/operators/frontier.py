@@ -7,23 +7,15 @@ plans do not grow and a lost executor costs one level at most.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from harrow.checkpoints import cut
 from harrow.functions import text, urls
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the folder of ``spark.checkpoint.dir`` (a local one where none is set)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "_checkpoints"))
-    return df.checkpoint()
-
-
 def follow_filter(url: Column, exclude=(), include=(), domains: list[str] | None = None) -> Column:
     """Whether a link is followed: own domains, no exclude pattern, an include pattern if there are any."""
     ok = F.lit(True) if domains is None else urls.domain_of(url).isin(domains)
