@@ -1,17 +1,19 @@
-"""Exact deduplication by rounds of grouped aggregations.
-
-Every input partition makes one run: its distinct digests, each with the best
-row seen and a count. In each round ``fan_in`` neighbouring runs become one by
-an aggregation grouped by digest, length and run number // ``fan_in``, always
-keeping the best row, until one run is left: up to ``fan_in`` partitions take a
-single round. Nothing is sorted or merged by own code. A run is spread over
-tasks by digest, so no task ever holds a whole run, and a digest that a third of
-all rows share takes part with one row per run. The result goes back down the
-same way: by (digest, run), so a hot digest is dealt out over its runs.
+"""Exact deduplication by a tree merge of digest runs.
+
+Every input partition makes one run: its distinct digests, each with the best row
+seen and a count. Runs meet in binomial rounds: in round k the runs whose numbers
+agree from bit k on exchange their entries and are merged into one, ``fan_in`` (a
+power of two) at once, which is log2(fan_in) binomial rounds in one multiway merge.
+A merge is Spark's sort by (digest, length, check, merged run) with one pass over
+equal digests that keeps the best row at every level, until one run is left. A run
+is dealt out by digest, so no task ever holds a whole run, and a digest that a third of
+all rows share takes part with one entry from each run. The result goes back down
+by (digest, run), so a hot digest is dealt out over its runs.
 
 Two texts are equal when they are identical after all of space, tab, line feed,
-vertical tab, form feed and carriage return are deleted. Digests are SHA-256 and
-are verified by the normalised length, which is part of every key.
+vertical tab, form feed and carriage return are deleted. Digests are SHA-256; at every
+level they are verified by the normalised length and an independent 64-bit hash of
+the normalised text, which are part of every key.
 
 Defined cases: a null text counts as empty; empty texts are all equal; the row
 with the most code points of the original text stays, then the one with the
@@ -36,19 +38,23 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "id",
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.length("norm").alias("n_norm"),
+        F.xxhash64("norm").alias("check"),
         F.length("text").cast("long").alias("n_chars"),
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, n_chars."""
+    if fan_in < 2 or fan_in & (fan_in - 1):
+        raise ValueError("fan_in: a power of two")
+    bits = fan_in.bit_length() - 1
     rows = cut(_digests(docs, id_col, text_col).withColumns({"run": F.spark_partition_id(), "tag": F.monotonically_increasing_id()}))
-    key = ["digest", "n_norm"]
+    key = ["digest", "n_norm", "check"]
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("no_id"), "id", "tag"))
     level = cut(rows.groupBy(*key, "run").agg(best.alias("best"), F.count("*").alias("n")))
     top, runs = level, (level.agg(F.max("run")).first()[0] or 0) + 1
     while True:
-        top = top.groupBy(*key, F.floor(F.col("run") / fan_in).alias("run")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        top = top.groupBy(*key, F.shiftright("run", bits).alias("run")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         runs = -(-runs // fan_in)
         if runs == 1:
             break
@@ -63,7 +69,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 16) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns kept."""
     keep = exact_groups(docs, id_col, text_col, fan_in).filter("kept").select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"))
     text = F.coalesce(F.col(text_col), F.lit(""))
