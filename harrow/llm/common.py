@@ -1,32 +1,19 @@
-"""What several operators share: reading a table, cutting lineage, components."""
+"""What several operators share: reading a table, stretches of long texts, components."""
 
 from __future__ import annotations
 
-import os
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.checkpoints import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's ``spark.checkpoint.dir`` alone; set one only where there is none."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
-        spark.sparkContext.setCheckpointDir(os.path.join(warehouse, "_checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def crc_mod(column: str, modulus: int):
     """crc32 of an integer column written as text, modulo ``modulus``."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))

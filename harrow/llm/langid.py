@@ -12,7 +12,7 @@ Only the profiles (``size`` n-grams for each language) go to the executors.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with
 nothing to learn from every document is ``und``; rows without an id are never
-learned from; repeated rows are scored each; ties go to the language that sorts
+learned from and not held out; repeated rows are scored each; ties go to the language that sorts
 first; an empty table gives an empty result; other columns are not read.
 """
 
@@ -156,4 +156,4 @@ def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = learn(docs.filter(crc_mod("doc_id", 3) != 1))
     found = identify(docs, profiles).withColumnRenamed("id", "doc_id")
-    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -23,7 +23,7 @@ the input are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,9 +108,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     fraction of the table at most, so a hot text never meets in one task.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    base = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"), F.monotonically_increasing_id().alias("tag")))
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    base = base.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // rows_per_salt)))).cast("int"))
+    base = base.withColumn("salt", F.pmod(F.xxhash64("tag"), F.lit(max(1, -(-n // rows_per_salt)))).cast("int"))
     entries = base.groupBy("digest", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("bucket", F.substring(F.hex("digest"), 1, BUCKET_DIGITS))
     in_bucket = Window.partitionBy("bucket")
     local = entries.select(
@@ -134,25 +134,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     placed = entries.select("digest", "salt", "rows_before", number.alias("shard"))
     starts = placed.groupBy("shard").agg(F.min("rows_before").alias("start"))  # one row per shard
     placed = placed.join(F.broadcast(starts), "shard")
-    numbered = base.withColumn("rank", F.row_number().over(Window.partitionBy("digest", "salt").orderBy("id")))
+    numbered = base.withColumn("rank", F.row_number().over(Window.partitionBy("digest", "salt").orderBy("id", "tag")))
     return numbered.join(placed, ["digest", "salt"]).select("id", "size", "text_crc32", "shard", (F.col("rows_before") - F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
-def smallest_capacity(sizes: list[int], shards: int) -> int:
-    """Brute force for tests: the same minimax over a list in order."""
-    ends, at = [0], 0
-    for s in sizes:
-        ends.append(at := at + s)
-    candidates = sorted({b - a for i, a in enumerate(ends) for b in ends[i + 1 :]})
-
-    def fits(c: int) -> bool:
-        p = 0
-        for _ in range(shards):
-            p = ends[bisect_right(ends, p + c) - 1]
-        return p == at
-
-    return candidates[bisect_left(candidates, True, key=fits)]
-
-
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

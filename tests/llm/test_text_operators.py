@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 from harrow.llm import chat, decontam, langid, packing, quality
@@ -73,6 +75,102 @@ def test_quality_odd_rows(spark):
     assert abs(float((value**2).sum()) - 1) < 1e-5
 
 
+def plain_features(text, bits):
+    """{bucket: value} of unit length, feature by feature: words, their shapes, and pairs of both."""
+    wide = 1 << 64
+    words = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", text or "")
+
+    def shape(w):
+        if w.isalpha():
+            return "U" if w.isupper() and len(w) > 1 else "T" if w[0].isupper() else "l"
+        return "9" if w.isdigit() else "x9" if w[0].isalnum() else f"!{w[:3]}"
+
+    mix, counts = 0x9E3779B97F4A7C15, {}
+    for k, of in enumerate(((lambda w: xxhash.xxh32_intdigest(w.encode(), 1)), (lambda w: xxhash.xxh32_intdigest(shape(w).encode(), 2)))):
+        h = [of(w) for w in words]
+        names = [(x + (k << 34)) * mix for x in h]
+        names += [mix if k and a == b else (x * 0x85EBCA6B + y + ((k + 1) << 40)) * mix for a, b, x, y in zip(words, words[1:], h, h[1:], strict=False)]
+        for n in names:
+            at = n % wide >> 64 - bits
+            counts[at] = counts.get(at, 0) + 1
+    length = math.sqrt(sum(counts.values()))
+    return {at: math.sqrt(n) / length for at, n in counts.items()}
+
+
+def test_training_and_scores_match_the_plain_updates(spark):
+    """Follow-the-regularised-leader, one coordinate at a time, in the same order of examples."""
+    rng = random.Random(6)
+    texts = {i: " ".join(rng.choice(["good", "fine", "Bad", "!!", "x9", "no no"]) for _ in range(rng.randint(1, 25))) for i in range(60)}
+    labels = {i: int("Bad" not in t) for i, t in texts.items() if i % 3}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    weights = quality.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), bits=10)
+    bias, z, n = 1 << 10, {}, {}
+    alpha, beta, l1, l2 = 3.0, 1.0, 0.0, 0.01
+
+    def weight(j):
+        if abs(z.get(j, 0.0)) <= l1:
+            return 0.0
+        return -(z[j] - math.copysign(l1, z[j])) / ((beta + math.sqrt(n[j])) / alpha + l2)
+
+    for _ in range(3):
+        for i in sorted(labels, key=lambda i: (xxhash.xxh32_intdigest(str(i)), labels[i])):
+            x = {j: float(np.float32(v)) for j, v in plain_features(texts[i], 10).items()} | {bias: 1.0}
+            w = {j: weight(j) for j in x}
+            p = 1 / (1 + math.exp(-sum(w[j] * v for j, v in x.items())))
+            for j, v in x.items():
+                g = (p - labels[i]) * v
+                before = n.get(j, 0.0)
+                z[j] = z.get(j, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[j]
+                n[j] = before + g * g
+    assert np.allclose(weights, [weight(j) if j in z else 0.0 for j in range(bias + 1)], atol=1e-4)
+    for r in quality.score(docs, weights).collect():
+        want = 1 / (1 + math.exp(-sum(weights[j] * v for j, v in plain_features(texts[r["id"]], 10).items()) - weights[-1]))
+        assert abs(r["score"] - want) < 1e-5
+    at, value = quality.heaviest(np.arange(5), np.array([1, 5, 3, 5, 2.0]), 3)
+    assert at.tolist() == [1, 2, 3] and value.tolist() == [5, 3, 5]
+    assert quality.score(docs.limit(0), weights).count() == 0 and quality.train(docs.limit(0), docs.limit(0).selectExpr("doc_id", "1 as quality"), bits=8).any() == False  # noqa: E712
+
+
+def plain_grams(text):
+    """n-grams of 1 to 3 letters of a text's words, each with a blank before and after."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or "")
+    counts = {}
+    padded = " " + " ".join(low.split()) + " "
+    for size in (1, 2, 3):
+        for k in range(len(padded) - size + 1):
+            g = padded[k : k + size]
+            if g == " " or size == 3 and g[1] == " ":
+                continue
+            counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+def code(gram):
+    return sum(ord(c) << 21 * k for k, c in enumerate(gram))
+
+
+def test_languages_match_the_plain_distance(spark):
+    at = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{at}/documents.parquet").filter("length(text) < 20000").select("doc_id", "text", "lang").collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 60
+    found = langid.identify(docs, langid.learn(docs, size=size)).collect()
+    top = lambda counts: sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+    profiles = {}
+    for lang in {r["lang"] for r in rows if r["lang"]}:
+        total = {}
+        for r in rows:
+            for g, n in plain_grams(r["text"]).items() if r["lang"] == lang else ():
+                total[g] = total.get(g, 0) + n
+        profiles[lang] = {g: k for k, g in enumerate(top(total))}
+    text_of = {r["doc_id"]: r["text"] for r in rows}
+    for r in found:
+        mine = top(plain_grams(text_of[r["id"]])) if any(c.isalpha() for c in text_of[r["id"]] or "") else []
+        far = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert (r["lang_pred"], round(r["score"], 9)) == ((best, round(1 - far[best] / (size * len(mine)), 9)) if mine else ("und", 0.0))
+
+
 def test_ids_are_the_tokenizers_own(spark, tiny):
     tok, own = packing.WordTokenizer(public_tokenizers.path(packing.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     odd = ["İstanbul Σίσυφος it's don't WE'LL 'S", "a<|endoftext|>b <|startoftext|>c", "日本語 テキスト　x", "a\x1cb\x85c\xa0d e​f", "ﬁ café 12³ ½x", "", " ", "x!!y--z...'re're", "ǆ Ǆ ŉ ß ẞ \x00 \x7f \xad"]
