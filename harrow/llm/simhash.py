@@ -11,10 +11,13 @@ pairs below the minimum go, and what is left is verified by its differing bits.
 A pair is reported by the first triple that it shares.
 
 Equal fingerprints are one entry. Lists of more than ``pairwise`` entries do not
-report pairs but a spanning forest of the same components: by search over the
-list, or, for lists of more than ``searched`` entries, by the fingerprints half
-way between two linked ones (two differ in 4 bits or fewer exactly if some value
-is within 2 bits of both), which is linear in the length of the list.
+report pairs but a spanning forest of the same components, found by search. Lists
+of more than ``split`` entries are dealt out anew and never held: what three shared
+positions guarantee of a fourth (a pair must share four) splits the list by each of
+the five other positions; if a list of four shared bytes is still too long, the pair
+shares at least four of the eight half bytes that are left, so it is split by each
+four of these. A list then shares 48 bits and has 65,536 entries at most, whatever
+the number of rows.
 
 ``near`` uses the same index for near-duplicates of a given similarity.
 
@@ -122,49 +125,32 @@ def _forest(fp: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _half_way(fp: np.ndarray, free: list[int], budget: int = 1 << 24) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The same links by values within 2 of the ``free`` bits of two entries (4 bits only).
+def _children(masks: list[int]) -> list[tuple[int, int]]:
+    """(mask, longer mask) for a list that is split: three bytes by a fourth, four bytes by four half bytes."""
+    out = []
+    for m in masks:
+        free = [p for p in range(8) if not m >> 8 * p & 0xFF]
+        if len(free) == 5:
+            out += [(m, m | 0xFF << 8 * p) for p in free]
+        else:
+            halves = [0xF << 8 * p + h for p in free for h in (0, 4)]
+            out += [(m, m | sum(four)) for four in combinations(halves, 4)]
+    return out
 
-    Values are visited in passes by their residue, so that memory is bounded.
-    """
-    one = np.array([1 << b for b in free], np.uint64)
-    flips = np.concatenate([np.zeros(1, np.uint64), one, np.array([a | b for a, b in combinations(one.tolist(), 2)], np.uint64)])
-    passes = -(-len(fp) * len(flips) // budget)
-    root = np.arange(len(fp))
-    for p in range(passes):
-        values, owners = [], []
-        for at in range(0, len(fp), 1 << 13):
-            every = fp[at : at + (1 << 13), None] ^ flips
-            mine = (every * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(passes) == p
-            values.append(every[mine])
-            owners.append(at + np.nonzero(mine)[0])
-        values, owners = np.concatenate(values), np.concatenate(owners)
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], owners[order]
-        same = values[1:] == values[:-1]
-        a, b = owners[:-1][same], owners[1:][same]
-        while True:  # smallest root over the links of this pass
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[b], low)
-            root = root[root]
-            if (root == before).all() and (root[a] == root[b]).all():
-                break
-    while (root != root[root]).any():
-        root = root[root]
-    other = root != np.arange(len(fp))
-    return [(fp[root[other]], fp[other])]
-
-
-def _links_of(t: np.ndarray, k: np.ndarray, fp: np.ndarray, bits: int, pairwise: int, searched: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the lists of a sorted stretch of the index."""
-    start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-    size = np.diff(np.r_[start, len(t)])
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _links_of(m: np.ndarray, k: np.ndarray, fp: np.ndarray, bits: int, pairwise: int, split: int | None):
+    """Links within the lists of a sorted stretch of the index, and the places of lists that are to be split."""
+    start = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (k[1:] != k[:-1])])
+    size = np.diff(np.r_[start, len(m)])
+    long = size > split if split else np.zeros(len(size), bool)
     of = np.repeat(np.arange(len(start)), size)
-    small = (size <= pairwise)[of]
+    small = (size <= pairwise)[of] & ~long[of]
     masks = np.array(MASKS, np.uint64)
-    out = []
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for d in range(1, int(min(size.max(), pairwise))):
         a = np.flatnonzero((of[:-d] == of[d:]) & small[:-d])
         if not len(a):
@@ -173,54 +159,79 @@ def _links_of(t: np.ndarray, k: np.ndarray, fp: np.ndarray, bits: int, pairwise:
         shared = sum((x >> np.uint64(8 * p) & np.uint64(0xFF)) == 0 for p in range(8))
         a, x = a[enough := shared >= 8 - bits], x[enough]
         a, x = a[near := np.bitwise_count(x) <= bits], x[near]
-        first = (x[:, None] & masks == 0).argmax(axis=1)
-        a = a[first == t[a]]
+        first = masks[(x[:, None] & masks == 0).argmax(axis=1)]
+        a = a[(first == m[a]) | ~np.isin(m[a], masks)]  # of several triples one reports a pair
         out.append((fp[a], fp[a + d]))
-    for s in np.flatnonzero(size > pairwise):
-        own = fp[start[s] : start[s] + size[s]]
-        if size[s] <= searched or bits != BITS:
-            out += _forest(own, bits)
-        else:
-            mask = MASKS[t[start[s]]]
-            out += _half_way(own, [b for b in range(64) if not mask >> b & 1])
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+    for s in np.flatnonzero((size > pairwise) & ~long):
+        out += _forest(fp[start[s] : start[s] + size[s]], bits)
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out]), long[of]
 
 
-def links(nodes: DataFrame, bits: int = BITS, pairwise: int = 64, searched: int = 20_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that differ in at most ``bits`` bits."""
-    if not 0 < bits <= BITS:
-        raise ValueError(f"bits must be 1 to {BITS}: the index guarantees no more")
-    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    entries = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "k"))
-    lists = entries.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+def _searched(entries: DataFrame, bits: int, pairwise: int, split: int | None) -> DataFrame:
+    """Lists (m, fp) of fingerprints that share the bits of mask m: links (a, b), and entries (a, m) of lists too long to hold."""
+
+    def rows(a, b=None, m=None):
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) if x is not None else pa.nulls(len(a), pa.int64()) for x in (a, b, m)], ["a", "b", "m"])
+
+    def out(m, k, fp):
+        a, b, long = _links_of(m, k, fp, bits, pairwise, split)
+        yield rows(a, b)
+        if long.any():
+            yield rows(fp[long], None, m[long])
 
     def run(batches):
-        held = None
-        for b in batches:
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "k", "fp")]
+        held, passing = None, None
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("m", "k", "fp")]
+            if passing is not None:  # the list of the batch before goes on
+                n = int(((now[0] == passing[0]) & (now[1] == passing[1])).sum())
+                if n:
+                    yield rows(now[2][:n].copy(), None, now[0][:n].copy())
+                    now = [x[n:] for x in now]
+                if not len(now[0]):
+                    continue
+                passing = None
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            t, k, fp = now
-            last = int(np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])[-1]) if len(t) else 0
-            held = [x[last:].copy() for x in now]
+            m, k, fp = now
+            last = int(np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (k[1:] != k[:-1])])[-1]) if len(m) else 0
             if last:
-                yield out(t[:last], k[:last], fp[:last])
+                yield from out(m[:last], k[:last], fp[:last])
+            held = [x[last:].copy() for x in now]
+            if split and len(held[0]) > split:
+                yield rows(held[2], None, held[0])
+                held, passing = None, (m[-1], k[-1])
         if held is not None and len(held[0]):
-            yield out(*held)
+            yield from out(*held)
 
-    def out(t, k, fp):
-        a, b = _links_of(t, k, fp.view(np.uint64), bits, pairwise, searched)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    keyed = entries.select("m", F.col("fp").bitwiseAND(F.col("m")).alias("k"), "fp")
+    return cut(keyed.repartition("m", "k").sortWithinPartitions("m", "k", "fp").mapInArrow(run, "a long, b long, m long"))
 
-    return lists.mapInArrow(run, "a long, b long")
+
+def links(nodes: DataFrame, bits: int = BITS, pairwise: int = 64, split: int = 8192) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that differ in at most ``bits`` bits."""
+    if not 0 < bits <= BITS:
+        raise ValueError(f"bits must be 1 to {BITS}: the index guarantees no more")
+    found, masks = None, MASKS
+    entries = nodes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("m"))
+    for level in range(3):
+        got = _searched(entries, bits, pairwise, split if level < 2 else None)
+        some = got.filter("b is not null").select("a", "b")
+        found = some if found is None else found.union(some)
+        rest = got.filter("m is not null")
+        if level == 2 or rest.isEmpty():
+            break
+        children = _children(masks)
+        masks = sorted({c for _, c in children})
+        table_ = nodes.sparkSession.createDataFrame([(_signed(m), _signed(c)) for m, c in children], "m long, child long")
+        entries = rest.select(F.col("a").alias("fp"), "m").join(F.broadcast(table_), "m").select("fp", F.col("child").alias("m")).distinct()  # at most 4,900 rows are broadcast
+    return found
 
 
-def near_groups(prints: DataFrame, bits: int = BITS, pairwise: int = 64, searched: int = 20_000) -> DataFrame:
+def near_groups(prints: DataFrame, bits: int = BITS, pairwise: int = 64, split: int = 8192) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of ``prints`` (id, fp)."""
     nodes = prints.groupBy("fp").agg(F.min("id").alias("id"))
-    found = cut(components(links(nodes.select("fp"), bits, pairwise, searched)))
+    found = cut(components(links(nodes.select("fp"), bits, pairwise, split)))
     least = found.join(nodes, found["node"] == nodes["fp"]).groupBy("component").agg(F.min("id").alias("least"))
     linked = found.join(least, "component").select(F.col("node").alias("fp"), "least")
     return nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"))

@@ -37,6 +37,20 @@ def test_every_four_positions_hold_a_triple():
     assert all(any(set(t) <= set(four) for t in simhash.TRIPLES) for four in combinations(range(8), 4))
 
 
+def test_split_lists_keep_every_pair():
+    rng = np.random.default_rng(8)
+    two = simhash._children(simhash.MASKS)
+    three = simhash._children(sorted({c for _, c in two}))
+    assert len({m for m, _ in two}) == 20 and len({m for m, _ in three}) == 70 and all(bin(c).count("1") == 48 for _, c in three)
+    by = {}
+    for m, c in two + three:
+        by.setdefault(m, []).append(c)
+    for _ in range(500):
+        x = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        for t in (m for m in simhash.MASKS if not m & x):
+            assert any(not d & x for c in by[t] if not c & x for d in by[c])
+
+
 def test_fingerprint_is_the_plain_definition():
     for text in ("", " \n", "One", "a b c", "A b C d e É é", "x y z w v " * 40):
         assert simhash.fingerprint(text) == plain_fingerprint(text)
@@ -63,8 +77,8 @@ def test_links_match_brute_force_on_every_path(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "id long, fp long")
     want = dict(zip(signed, brute_components(fps, range(len(fps))), strict=True))
-    for pairwise, searched in ((10_000, 10_000), (4, 10_000), (4, 4)):
-        got = {r["fp"]: r["component_id"] for r in simhash.near_groups(rows, pairwise=pairwise, searched=searched).collect()}
+    for pairwise, split in ((10_000, 10_000), (4, 10_000), (64, 8), (2, 1)):
+        got = {r["fp"]: r["component_id"] for r in simhash.near_groups(rows, pairwise=pairwise, split=split).collect()}
         assert got == want
 
 
