@@ -35,6 +35,21 @@ def stretches(text: str, limit: int = 1 << 20):
         yield text[at:]
 
 
+def forgetful(forget, run):
+    """``run`` for mapInArrow, whose memory of words ends with its task: workers live on, other operators need the room.
+
+    forget: a module's function, so that it reaches the worker's own memory and not a copy.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return whole
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b, never null).
 

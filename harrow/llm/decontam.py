@@ -44,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, stretches, table
+from .common import cut, forgetful, stretches, table
 
 WORDS = 5
 BLOCK = 16
-REMEMBER = 500_000
+REMEMBER = 200_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 EDGES = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
@@ -67,6 +67,10 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+
+
+def forget() -> None:
+    _WORDS.clear()
 _F = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -243,7 +247,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
                 cols = list(zip(*said, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(took, pa.int64())), pa.array(cols[0], shape), *(pa.array(c, pa.float64()) for c in cols[1:])], ["id", "item_id", "question_overlap", "answer_overlap"])
 
-        one = rows.mapInArrow(run, f"id {kind}, item_id {item_kind}, question_overlap double, answer_overlap double")
+        one = rows.mapInArrow(forgetful(forget, run), f"id {kind}, item_id {item_kind}, question_overlap double, answer_overlap double")
         if not only:
             one = cut(one)
             held.unpersist()
@@ -263,7 +267,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id"
             for b in batches:
                 yield b.filter(pa.array([not held.value.matches(t.as_py(), passage) for t in b.column(at_text)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(forgetful(forget, run), docs.schema)
         if not only:
             docs = cut(docs)
             held.unpersist()

@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, release, stretches
+from .common import components, cut, forgetful, release, stretches
 from .simhash import BITS, LOWER, links
 
 #: Distinct words whose hashes a worker remembers.
@@ -71,6 +71,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
 def _rolled(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of every ``n`` neighbours."""
     out = h[: len(h) - n + 1].copy()
@@ -146,7 +150,7 @@ def _hot(rows: DataFrame, words: int, docs: int) -> np.ndarray:
             many = n >= max(2, len(sets) // (2 * HOT_SHARE))
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], ["s", "n"])
 
-    heavy = rows.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(32, docs // (2 * HOT_SHARE)))
+    heavy = rows.select("text").mapInArrow(forgetful(forget, run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(32, docs // (2 * HOT_SHARE)))
     got = heavy.orderBy(F.desc("n"), "s").limit(HOT_MOST).select("s").toArrow().column("s")
     return np.sort(got.to_numpy().view(np.uint64))
 
@@ -205,7 +209,7 @@ def _summaries(rows: DataFrame, words: int, hot: np.ndarray, ranges: int) -> Dat
             base += len(sets)
 
     names_of = [c.strip().split(" ")[0] for c in schema.split(", ")]
-    return cut(rows.mapInArrow(run, schema))
+    return cut(rows.mapInArrow(forgetful(forget, run), schema))
 
 
 def _settle(block: pa.Table) -> pa.Table:
@@ -311,7 +315,7 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
                 yield pa.RecordBatch.from_arrays([part.column("tag"), pa.array(found, pa.binary())], ["tag", "set"])
 
     wanted = lists.select("tag").union(proposed.select("a")).union(proposed.select("b")).distinct()
-    sets = cut(every.select("tag", "z").join(wanted, "tag", "left_semi").mapInArrow(sets_of, "tag long, set binary"))
+    sets = cut(every.select("tag", "z").join(wanted, "tag", "left_semi").mapInArrow(forgetful(forget, sets_of), "tag long, set binary"))
     slim = cut(every.select("tag", "id", "h"))
     del every, held, in_run, dealt, of_sets, firsts, same, ends, far, wanted
     release(spark)

@@ -30,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stretches, table
+from .common import crc_mod, forgetful, stretches, table
 
 TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 #: Distinct words whose hashes a worker remembers.
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 
 def _shape(token: str) -> str:
@@ -56,6 +56,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    _HASHES.clear()
+
+
 def features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted buckets of a text and their values (unit length)."""
     size = 1 << bits
@@ -138,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([x.astype(np.uint32).tobytes() for x, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["id", "label", "at", "value"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    held = [(r["id"], r["label"], np.frombuffer(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in rows.select("id", "label", "text").mapInArrow(vectors, f"id {kind}, label int, at binary, value binary").collect()]
+    held = [(r["id"], r["label"], np.frombuffer(r["at"], np.uint32).astype(np.int64), np.frombuffer(r["value"], np.float32)) for r in rows.select("id", "label", "text").mapInArrow(forgetful(forget, vectors), f"id {kind}, label int, at binary, value binary").collect()]
     held.sort(key=lambda r: (xxhash.xxh32_intdigest(str(r[0])), r[1]))
     for _ in range(epochs):
         for _, label, at, value in held:
@@ -161,7 +165,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col="doc_id", text_col="text"
                 out.append(1 / (1 + np.exp(-float(w[at] @ value + w[-1]))))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], ["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(forgetful(forget, run), f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text_col="text") -> DataFrame:
@@ -179,7 +183,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, text
                 keep.append(1 / (1 + np.exp(-float(w[at] @ value + w[-1]))) >= threshold)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(forgetful(forget, run), docs.schema)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
