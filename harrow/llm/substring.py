@@ -16,11 +16,15 @@ their words, which settles which of them also start in a document of smaller id.
 Before each exchange a task keeps one entry for each name, that of its smallest
 id: for all others of the task the answer is known already. So a passage that a
 third of all documents share sends one entry from each task, and an entry is 8
-to 15 bytes in a packed block. Texts are compressed before a join moves them.
+to 15 bytes in a packed block. Texts are compressed before a join moves them; the joins
+sort, so they spill where a partition is larger than memory. Over all documents
+windows are told apart by 96 bits; which windows of one document these are, by 64.
 
 Defined cases: a null text has no words; a null id counts as larger than all
-others; rows with equal ids count as one document for the rule (neither is
-smaller), each gets its own result; windows never cross documents; a very long
+others and no null id as smaller than another (such rows travel under one of
+``NULLS`` numbers, by their text, so they never meet in one task); rows with equal ids
+count as one document for the rule (neither is smaller), each gets its own result;
+windows never cross documents; a very long
 text is handled in overlapping segments with the same result; an empty table
 gives an empty result; other columns are not read.
 """
@@ -29,18 +33,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, release, stretches, table, unpacked
+from .common import cut, forgetful, packed, release, stretches, table, unpacked
 
 ROUNDS = 4
 #: Words of one segment, and about how many are handled at once.
 SEGMENT, GROUP = 1 << 18, 1 << 19
-REMEMBER = 500_000
-NO_ID = (1 << 63) - 1
+REMEMBER = 200_000
+#: Numbers that stand for a null id: NO_ID and those below it.
+NULLS, NO_ID = 4096, (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -56,6 +62,15 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
+def _rank(ids: np.ndarray) -> np.ndarray:
+    """Ids as the rule compares them: all null ids alike."""
+    return np.minimum(ids, NO_ID - NULLS)
+
+
 def words_of(text: str | None):
     """The words of a text, in lists of bounded size."""
     for part in stretches(text or ""):
@@ -116,7 +131,9 @@ def window_names(words: np.ndarray, wall: np.ndarray, window: int) -> tuple[np.n
     """The starts of all windows without a wall, and the name of the symbol each takes."""
     walls = np.r_[0, np.cumsum(wall)]
     starts = np.flatnonzero(walls[window:] == walls[:-window]) if len(words) >= window else np.zeros(0, np.int64)
-    open_ = np.zeros(max(0, len(words) - window + 1), bool)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    open_ = np.zeros(len(words) - window + 1, bool)
     open_[starts] = True
     chosen = np.zeros(len(open_), np.uint64)
     for name, lo, hi in reversed(list(levels(words, wall))):
@@ -204,7 +221,7 @@ def _sent(keys: list[np.ndarray], ids: np.ndarray, buckets: int, all_shared: boo
     if not len(ids):
         return
     size = np.diff(np.r_[np.flatnonzero(new), len(ids)])
-    told = np.repeat(size > 1, size) & (True if all_shared else ~new)
+    told = np.repeat(size > 1, size) & (True if all_shared else _rank(ids) > np.repeat(_rank(ids[new]), size))
     for i, blob in _by_id(keys[0][told], ids[told], widths[0]):
         yield int(i % buckets), True, i, blob
     keys, ids, bucket = [k[new] for k in keys], ids[new], bucket[new]
@@ -237,7 +254,7 @@ def _met(blobs: list[bytes], widths: list[int], all_shared: bool):
         most = np.repeat(ids[np.r_[first[1:], len(ids)] - 1], size)
         told = most > least
     else:
-        told = ids > least
+        told = _rank(ids) > _rank(least)
     yield from _by_id(keys[0][told], ids[told], widths[0])
 
 
@@ -250,22 +267,18 @@ def _rows(items) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["bucket", "known", "id", "data"])
 
 
-def _exchange(sent: DataFrame, buckets: int, widths: list[int], all_shared: bool) -> DataFrame:
+def _exchange(sent: DataFrame, widths: list[int], all_shared: bool) -> DataFrame:
     """(id, data): what each document is told, its blocks of one document together."""
 
-    def settle(batches):
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            known = b.column("known").to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(known)).select(["id", "data"])
-            for bucket, k, data in zip(b.column("bucket").to_pylist(), known, b.column("data"), strict=True):
-                if not k:
-                    held.setdefault(bucket, []).append(data.as_py())
-        for blobs in held.values():
-            found = list(_met(blobs, widths, all_shared))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], ["id", "data"])
-
-    met = sent.repartition(buckets, "bucket").mapInArrow(settle, "id long, data binary")
+    def settle(block: pa.Table) -> pa.Table:
+        known = block.filter(block.column("known")).select(["id", "data"])
+        blobs = block.filter(pc.invert(block.column("known"))).column("data").to_pylist()
+        found = list(_met(blobs, widths, all_shared)) if blobs else []
+        met = pa.table({"id": pa.array([i for i, _ in found], pa.int64()), "data": pa.array([d for _, d in found], pa.binary())})
+        return pa.concat_tables([known, met])
+
+    # one bucket after the other; Spark sorts them and spills
+    met = sent.groupBy("bucket").applyInArrow(settle, "id long, data binary")
     return cut(met.groupBy("id").agg(F.collect_list("data").alias("told")))
 
 
@@ -273,16 +286,17 @@ def _told(cell, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unplaned(x, [width])[0] for x in cell.as_py() or [])]))
 
 
-def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13, bucket_mb: int = 32, least_buckets: int = 32) -> DataFrame:
+def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13, bucket_mb: tuple[int, int] = (8, 32), most_small: int = 1024) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept (the words left, one space between).
 
     A word goes when a window that covers it also starts in a document of smaller id.
-    bucket_mb: text for one bucket of an exchange, which bounds a task's memory;
-    least_buckets: so many at least, that a small input is spread as well.
+    bucket_mb: text for one bucket of an exchange, which bounds a task's memory: the
+    first up to ``most_small`` buckets, then they grow up to the second.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("oid"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64(F.col(text_col)), F.lit(NULLS))).alias("oid"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(least_buckets, -(-total // (bucket_mb << 20)))
+    small, large = (-(-total // (mb << 20)) for mb in bucket_mb)
+    buckets = max(12, min(small, most_small), large)
     # a shared name only proposes windows, so it may be cut to some bits more than it takes to number all words
     name_width = min(8, -(-(int(total).bit_length() + 8) // 8))
 
@@ -295,7 +309,7 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
                 fresh = np.r_[True, (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
                 yield _rows(_sent([name[fresh]], ids[fresh], buckets, True, [name_width]))
 
-    shared = _exchange(rows.select("oid", "text").mapInArrow(names, _SCHEMA), buckets, [name_width], True)
+    shared = _exchange(rows.select("oid", "text").mapInArrow(forgetful(forget, names), _SCHEMA), [name_width], True)
     release(docs.sparkSession)
 
     def windows(batches):
@@ -317,8 +331,8 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
                 ids = np.array([key[1] for key, _ in held], np.int64)[place]
                 yield _rows(_sent([window_hash(words, starts, window, f) for f in FACTORS], ids, buckets, False, WIDTHS))
 
-    both = packed(rows.select("oid", "text")).join(shared.withColumnRenamed("id", "oid").hint("shuffle_hash"), "oid")
-    found = _exchange(both.mapInArrow(windows, _SCHEMA), buckets, WIDTHS, False)
+    both = packed(rows.select("oid", "text")).join(shared.withColumnRenamed("id", "oid"), "oid")
+    found = _exchange(both.mapInArrow(forgetful(forget, windows), _SCHEMA), WIDTHS, False)
     release(docs.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -329,8 +343,8 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
                 out.append(without(unpacked(t), _told(told, WIDTHS[0]) if told.is_valid else None, window))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    last = packed(rows).join(found.withColumnRenamed("id", "oid").hint("shuffle_hash"), "oid", "left").select("id", "text", "told")
-    return last.mapInArrow(remove, f"id {kind}, n_words long, n_removed long, kept string")
+    last = packed(rows).join(found.withColumnRenamed("id", "oid"), "oid", "left").select("id", "text", "told")
+    return last.mapInArrow(forgetful(forget, remove), f"id {kind}, n_words long, n_removed long, kept string")
 
 
 #: Odd factors of the two window hashes, and the bytes of each that are compared (96 bits).

@@ -64,3 +64,14 @@ def test_odd_rows_and_segments(spark, monkeypatch):
     nulls = spark.createDataFrame([(None, phrase), (5, phrase), (5, phrase)], "doc_id long, text string")
     assert sorted((r["id"] or 0, r["n_removed"]) for r in substring.repeats(nulls).collect()) == [(0, 30), (5, 0), (5, 0)]
     assert substring.repeats(docs.limit(0)).count() == 0
+    shared = " ".join(f"s{k}" for k in range(20))  # no null id is smaller than another, a number is smaller than all of them
+    mixed = [(None, shared + " one"), (None, shared + " two"), (None, "three " + shared)]
+    got = lambda rows: sorted((r["id"] or 0, r["n_removed"]) for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got(mixed) == [(0, 0)] * 3 and got([*mixed, (9, shared)]) == [(0, 20)] * 3 + [(9, 0)]
+
+
+def test_words_of_long_texts_are_cut_at_contract_blanks_only(spark):
+    for odd in ("\u00a0", "\u3000", "\x1c", "\x85"):
+        text = "x" * ((1 << 20) - 1) + odd + "y" * 10 + " z"
+        row = substring.repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert (row["n_words"], row["n_removed"], row["kept"]) == (2, 0, text)
