@@ -12,6 +12,7 @@ from harrow.sources import sinks
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="python -m harrow", description="Crawl a site, store its pages, count what happened.")
+    # fixed values: the flags of the command line
     yes_no = {"action": argparse.BooleanOptionalAction, "default": None}
     for flag, more in (
         ("--urls", {"nargs": "+"}), ("--config", {}), ("--max-pages", {"type": int}), ("--max-depth", {"type": int}), ("--output", {}), ("--respect-robots", yes_no), ("--rate-limit", {"type": float}), ("--concurrency", {"type": int}),

@@ -18,6 +18,7 @@ class ConfigError(ValueError):
     pass
 
 
+# Names and defaults below are the contract of the configuration file.
 @dataclass
 class Limits:
     max_pages: int = 100

@@ -117,6 +117,8 @@ class CrawlEngine:
             allow = lambda rows: robots.allowed(rows, self._robots(rows), self.agents[0])
         seeds = self.spark.createDataFrame([(u, k) for k, u in enumerate(start)], "url string, seq long")
         self.pages, self.seen = frontier.crawl(seeds, self._fetch, lim.max_pages, lim.max_depth, fil.same_domain_only, fil.exclude_patterns, fil.include_patterns, allow)
+        if self.sink is not None:
+            self.sink.flush()
         self.duration = time.time() - self.began
         if self.reporter:
             self.reporter.update(self.done, final=True)

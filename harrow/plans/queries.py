@@ -584,10 +584,13 @@ def sql_group(spark, d):
 STORED = f"WITH t AS ({TEXT_SQL}), l AS (SELECT page_id, count(*) AS n FROM ({ABSOLUTE}) GROUP BY 1) SELECT url, {TITLE} AS title, md5(t.text) AS text_md5, coalesce(l.n, 0) AS n_links, (200 + p.page_id % 2 * 204)::INT AS status_code FROM pages p JOIN t USING (page_id) LEFT JOIN l USING (page_id)"
 
 
-def _records(spark, d):
+def _stored_of(pages: DataFrame) -> DataFrame:
     h = F.col("html")
-    pages = table(spark, d, "pages").select("url", html.quick_title(h).alias("title"), html.quick_text(h).alias("text"), html.quick_links(F.col("url"), h).alias("links"), (200 + F.col("page_id") % 2 * 204).alias("status_code"), F.lit("text/html").alias("content_type"))
-    return records.to_record(pages)
+    return pages.select("url", html.quick_title(h).alias("title"), html.quick_text(h).alias("text"), html.quick_links(F.col("url"), h).alias("links"), (200 + F.col("page_id") % 2 * 204).alias("status_code"), F.lit("text/html").alias("content_type"))
+
+
+def _records(spark, d):
+    return records.to_record(_stored_of(table(spark, d, "pages")))
 
 
 def _shown(stored: DataFrame) -> DataFrame:
@@ -620,6 +623,55 @@ def sqlite_roundtrip(spark, d):
     return _shown(sqlite.read_sqlite(spark, path))
 
 
+@query(STORED)
+def json_array_roundtrip(spark, d):
+    path = _place(spark, "array").removeprefix("file:") + ".json"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    records.write_json_array(_records(spark, d), path)
+    return _shown(records.read_json(spark, path))
+
+
+@query(f"SELECT * FROM ({STORED}) UNION ALL SELECT * FROM ({STORED})")
+def sinks_roundtrip(spark, d):
+    """Two sinks at once, each in batches of 40 rows with the rest written at the end."""
+    from harrow.sources import sinks
+
+    one, two = sinks.JsonLines(_place(spark, "one"), batch_size=40), sinks.Csv(_place(spark, "two"), encoding="utf-8-sig", batch_size=40)
+    both = sinks.Multi(one, two)
+    both.save(_records(spark, d))
+    both.close()
+    return _shown(records.read_json(spark, one.path)).unionByName(_shown(records.read_csv(spark, two.path, encoding="utf-8-sig")))
+
+
+@query("SELECT count(*) AS saved, 0::BIGINT AS failed, ceil(count(*) / 40)::BIGINT AS batches, 0::BIGINT AS buffered, (count(*) // 40)::BIGINT AS batches_before, (count(*) % 40)::BIGINT AS buffered_before FROM pages")
+def sink_batches(spark, d):
+    from harrow.sources import sinks
+
+    sink = sinks.JsonLines(_place(spark, "batches"), batch_size=40)
+    sink.save(_records(spark, d))
+    before = sink.stats()
+    sink.close()
+    after = sink.stats()
+    row = (after["saved"], after["failed"], after["batches"], after["buffered"], before["batches"], before["buffered"])
+    return spark.createDataFrame([row], "saved long, failed long, batches long, buffered long, batches_before long, buffered_before long")
+
+
+@query(STORED)
+def stream_to_sink(spark, d):
+    """Micro-batches of a stream into a sink; a hook that raises does no harm."""
+    from harrow.sources import sinks
+
+    def hook(batch):
+        raise ValueError("swallowed")
+
+    sink, pages = sinks.JsonLines(_place(spark, "stream_sink"), batch_size=40), table(spark, d, "pages")
+    stream = _stored_of(spark.readStream.schema(pages.schema).parquet(f"{d}/pages.parq*et"))
+    run = stream.writeStream.foreachBatch(sinks.for_each_batch(sink, hook)).option("checkpointLocation", sink.path + "_state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    sink.close()
+    return _shown(records.read_json(spark, sink.path))
+
+
 # ---- state machines
 
 OUTCOME = "CASE WHEN error IS NULL THEN true WHEN error IN ('TransientError', 'NetworkError', 'RateLimitedError') THEN false END"
@@ -763,6 +815,42 @@ def fetch_retry_stats(spark, d):
     return stats.retry_stats(tries).select("retries", "recovered", "exhausted")
 
 
+def _engine(spark, d):
+    """A crawl of the link graph by the whole engine: robots, fetching, parsing, depth limit, statistics."""
+    from harrow import config
+    from harrow.engine import CrawlEngine
+
+    n = table(spark, d, "pages").count()
+
+    def get(url, agent, timeout):
+        if url.endswith("/robots.txt"):
+            return 200, "text/plain", b"User-agent: *\nDisallow: /7\n", None
+        k = int(url.rsplit("/", 1)[1] or 0)
+        links = "".join(f'<a href="/{(k * 7 + j * 13 + 1) % n}">x</a>' for j in range(3))
+        return (404 if k % 10 == 3 else 200), "text/html", f"<title>page {k}</title>{links}".encode(), None
+
+    said = {"start_urls": ["http://g.test/0"], "limits": {"max_pages": 1 << 40, "max_depth": 3}, "crawler": {"respect_robots": True}, "progress": {"enabled": False}}
+    engine = CrawlEngine(spark, config.from_dict(said), get=get)
+    engine.crawl()
+    return engine
+
+
+ENGINE = f"""WITH RECURSIVE e AS ({EDGES}), w(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3 AND w.node % 10 <> 3 AND NOT starts_with(w.node::VARCHAR, '7')),
+m AS (SELECT node, min(depth)::INT AS depth, starts_with(node::VARCHAR, '7') AS blocked, node % 10 = 3 AS lost FROM w GROUP BY 1)"""
+
+
+@query(f"{ENGINE} SELECT 'http://g.test/' || node AS url, depth, CASE WHEN lost THEN 404 ELSE 200 END::INT AS status, CASE WHEN lost THEN 'PermanentError' END AS error, CASE WHEN lost THEN '' ELSE 'page ' || node END AS title FROM m WHERE NOT blocked")
+def engine_pages(spark, d):
+    return _engine(spark, d).pages.select("url", "depth", "status", "error", "title")
+
+
+@query(f"{ENGINE} SELECT count(*) FILTER (NOT blocked) AS total, count(*) FILTER (NOT blocked AND NOT lost) AS successful, count(*) FILTER (NOT blocked AND lost) AS failed, count(*) FILTER (blocked) AS skipped, count(*) AS seen FROM m")
+def engine_totals(spark, d):
+    s = _engine(spark, d).get_stats()
+    row = (s["totals"]["total"], s["totals"]["successful"], s["totals"]["failed"], s["queue"]["skipped"], s["queue"]["seen"])
+    return spark.createDataFrame([row], "total long, successful long, failed long, skipped long, seen long")
+
+
 def queries() -> dict:
     return dict(Q)
 

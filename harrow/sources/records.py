@@ -72,8 +72,10 @@ CSV = {"header": "true", "multiLine": "true", "escape": '"', "ignoreLeadingWhite
 
 
 def write_csv(records: DataFrame, path: str, mode: str = "overwrite", delimiter: str = ",", encoding: str = "utf-8") -> None:
-    """CSV files; encodings that Spark's writer has not (a byte order mark, Windows code pages) are streamed by the driver to one file."""
+    """CSV files, with "utf-8-sig" each with a byte order mark before its header; encodings that Spark's writer has not are streamed by the driver to one file."""
     rows = flat(records)
+    if encoding.lower() == "utf-8-sig":
+        rows, encoding = rows.withColumnRenamed("url", "\ufeffurl"), "utf-8"
     if encoding.lower() in ("utf-8", "utf8"):
         rows.fillna("").write.mode(mode).options(**CSV, sep=delimiter, emptyValue="").csv(path)
         return
@@ -87,7 +89,7 @@ def write_csv(records: DataFrame, path: str, mode: str = "overwrite", delimiter:
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
     schema = ", ".join(f"{c} string" for c in FIELDS)
-    if encoding.lower() in ("utf-8", "utf8"):
+    if encoding.lower() in ("utf-8", "utf8", "utf-8-sig"):  # the header, mark and all, is not read
         return unflat(spark.read.schema(schema).options(**CSV, sep=delimiter).csv(path))
     with open(path, encoding=encoding, newline="") as f:
         rows = [[x or None for x in r] for r in csv.reader(io.StringIO(f.read()), delimiter=delimiter)][1:]

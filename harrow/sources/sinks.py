@@ -10,20 +10,30 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from harrow.checkpoints import cut
+from harrow.operators.frontier import rank_rows
 
 from . import records as rec
 from .sqlite import write_sqlite
 
+# Storage types and what file names mean, as the settings file has them.
 TYPES = ("none", "json", "jsonl", "csv", "sqlite")
 BY_EXTENSION = {".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".db": "sqlite", ".sqlite": "sqlite", ".sqlite3": "sqlite"}
 
 
 class Sink:
-    """Writes whole DataFrames as batches. Subclasses give ``_write`` and, if need be, ``_close``."""
+    """Writes DataFrames in batches of ``batch_size`` rows. Subclasses give ``_write`` and, if need be, ``_close``.
+
+    All whole batches of what has been saved are one distributed write; the rest,
+    less than a batch, waits in the checkpoint folder for more or for ``flush``.
+    """
 
-    def __init__(self, path: str | None = None, retries: int = 2, delay: float = 0.2):
-        self.path, self.retries, self.delay = path, retries, delay
-        self.saved = self.failed = self.batches = self.write_errors = 0
+    def __init__(self, path: str | None = None, batch_size: int = 50, retries: int = 2, delay: float = 0.2):
+        self.path, self.batch_size, self.retries, self.delay = path, batch_size, retries, delay
+        self.saved = self.failed = self.batches = self.write_errors = self.buffered = 0
+        self._held: DataFrame | None = None
 
     def _write(self, batch: DataFrame) -> None:
         raise NotImplementedError
@@ -32,29 +42,46 @@ class Sink:
         pass
 
     def save(self, pages: DataFrame) -> bool:
-        """Writes what is no failure; True if it got there."""
-        batch = rec.to_record(pages.filter("error is null") if "error" in pages.columns else pages).persist()
-        try:
-            n = batch.count()
-            for k in range(self.retries + 1):
-                try:
-                    self._write(batch)
-                    self.saved, self.batches = self.saved + n, self.batches + 1
-                    return True
-                except Exception:
-                    self.write_errors += 1
-                    if k < self.retries:
-                        time.sleep(self.delay * 2**k)
-            self.failed += n
-            return False
-        finally:
-            batch.unpersist()
+        """Takes what is no failure; False if a write was wanted and failed."""
+        fresh = rec.to_record(pages.filter("error is null") if "error" in pages.columns else pages)
+        rows = cut(fresh if self._held is None else self._held.unionByName(fresh))
+        n = rows.count()
+        whole = n // self.batch_size * self.batch_size
+        if not whole:
+            self._held, self.buffered = rows, n
+            return True
+        if whole == n:
+            self._held, self.buffered = None, 0
+            return self._tried(rows, n)
+        ranked = rank_rows(rows, ["crawled_at", "url"], "_rank")
+        self._held, self.buffered = cut(ranked.filter(F.col("_rank") > whole).drop("_rank")), n - whole
+        return self._tried(ranked.filter(F.col("_rank") <= whole).drop("_rank"), whole)
+
+    def flush(self) -> bool:
+        """Writes what waits."""
+        held, n = self._held, self.buffered
+        self._held, self.buffered = None, 0
+        return self._tried(held, n) if n else True
+
+    def _tried(self, rows: DataFrame, n: int) -> bool:
+        for k in range(self.retries + 1):
+            try:
+                self._write(rows)
+                self.saved, self.batches = self.saved + n, self.batches + -(-n // self.batch_size)
+                return True
+            except Exception:
+                self.write_errors += 1
+                if k < self.retries:
+                    time.sleep(self.delay * 2**k)
+        self.failed += n
+        return False
 
     def close(self) -> None:
+        self.flush()
         self._close()
 
     def stats(self) -> dict:
-        return {"saved": self.saved, "failed": self.failed, "batches": self.batches, "write_errors": self.write_errors}
+        return {"saved": self.saved, "failed": self.failed, "batches": self.batches, "write_errors": self.write_errors, "buffered": self.buffered}
 
 
 class JsonLines(Sink):
@@ -80,19 +107,15 @@ class JsonArray(Sink):
 
 
 class Csv(Sink):
-    def __init__(self, path, delimiter=",", **more):
+    def __init__(self, path, delimiter=",", encoding="utf-8", **more):
         super().__init__(path, **more)
-        self.delimiter = delimiter
+        self.delimiter, self.encoding = delimiter, encoding
 
     def _write(self, batch):
-        rec.write_csv(batch, self.path, mode="append", delimiter=self.delimiter)
+        rec.write_csv(batch, self.path, mode="append", delimiter=self.delimiter, encoding=self.encoding)
 
 
 class Sqlite(Sink):
-    def __init__(self, path, batch_size=50, **more):
-        super().__init__(path, **more)
-        self.batch_size = batch_size
-
     def _write(self, batch):
         write_sqlite(batch, self.path, self.batch_size, retries=0)
 
@@ -111,6 +134,9 @@ class Multi(Sink):
         finally:
             held.unpersist()
 
+    def flush(self):
+        return all([s.flush() for s in self.sinks])
+
     def close(self):
         for s in self.sinks:
             s.close()
@@ -135,7 +161,9 @@ def make_sink(kind: str, path: str | None, batch_size: int = 50, overwrite: bool
     if overwrite:
         for p in (Path(path), Path(path + ".parts")):
             shutil.rmtree(p) if p.is_dir() else p.unlink(missing_ok=True)
-    return {"json": JsonArray, "jsonl": JsonLines, "csv": Csv}[kind](path) if kind != "sqlite" else Sqlite(path, batch_size)
+    if kind == "csv":
+        return Csv(path, encoding="utf-8-sig", batch_size=batch_size)
+    return {"json": JsonArray, "jsonl": JsonLines, "sqlite": Sqlite}[kind](path, batch_size=batch_size)
 
 
 def write_stats_json(stats: dict, path: str, **extra) -> None:

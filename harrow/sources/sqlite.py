@@ -106,14 +106,15 @@ def register(spark: SparkSession) -> None:
 
 
 def write_sqlite(records: DataFrame, path: str, batch_size: int = 500, overwrite: bool = False, retries: int = 2, delay: float = 0.2) -> int:
-    """Upserts records (the last of a URL counts, by ``crawled_at``); returns failed write attempts. Tries again with doubled delays."""
+    """Upserts records (the last of a URL counts: by ``crawled_at``, then by place); returns failed write attempts. Tries again with doubled delays."""
     register(records.sparkSession)
     if overwrite:
         with sqlite3.connect(path) as c:
             c.execute("DROP TABLE IF EXISTS pages")
     init_schema(path)
-    last = Window.partitionBy("url").orderBy(F.desc("crawled_at"))
-    rows = flat(records.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")).orderBy("crawled_at", "url").coalesce(1)
+    last = Window.partitionBy("url").orderBy(F.desc("crawled_at"), F.desc("_seq"))
+    placed = records.withColumn("_seq", F.monotonically_increasing_id())
+    rows = flat(placed.withColumn("_n", F.row_number().over(last)).filter("_n = 1").orderBy("crawled_at", "_seq")).coalesce(1)
     for k in range(retries + 1):
         try:
             rows.write.format("harrow_sqlite").option("path", path).option("batchsize", batch_size).mode("append").save()

@@ -55,9 +55,46 @@ def test_a_failing_sink_counts_and_goes_on(spark, stored):
         def _write(self, batch):
             pass
 
-    both = sinks.Multi(Bad(delay=0.0), Good())
+    both = sinks.Multi(Bad(delay=0.0, batch_size=3), Good(batch_size=2))
     assert both.save(stored) is False
-    assert both.stats()["sinks"] == [{"saved": 0, "failed": 3, "batches": 0, "write_errors": 3}, {"saved": 3, "failed": 0, "batches": 1, "write_errors": 0}]
+    assert both.stats()["sinks"] == [{"saved": 0, "failed": 3, "batches": 0, "write_errors": 3, "buffered": 0}, {"saved": 2, "failed": 0, "batches": 1, "write_errors": 0, "buffered": 1}]
+    both.close()
+    assert both.stats()["sinks"][1] == {"saved": 3, "failed": 0, "batches": 2, "write_errors": 0, "buffered": 0}
+
+
+def test_batches_wait_until_they_are_full(spark, tmp_path):
+    rows = spark.range(25).selectExpr("concat('http://h.test/', id) as url")
+    sink = sinks.JsonLines(f"{tmp_path}/j", batch_size=10)
+    sink.save(rows)
+    assert (sink.stats()["batches"], sink.stats()["saved"], sink.stats()["buffered"]) == (2, 20, 5)
+    sink.save(rows.limit(3))
+    assert (sink.stats()["batches"], sink.stats()["buffered"]) == (2, 8)
+    sink.close()
+    assert (sink.stats()["batches"], sink.stats()["saved"], sink.stats()["buffered"]) == (3, 28, 0)
+    assert records.read_json(spark, f"{tmp_path}/j").count() == 28
+
+
+def test_csv_of_the_factory_has_a_byte_order_mark(spark, stored, tmp_path):
+    sink = sinks.make_sink("csv", f"{tmp_path}/c", batch_size=2)
+    sink.save(stored)
+    sink.close()
+    parts = list((tmp_path / "c").glob("part-*"))
+    assert parts and all(p.read_bytes().startswith(b"\xef\xbb\xbfurl,") for p in parts)
+    assert same(records.read_csv(spark, f"{tmp_path}/c", encoding="utf-8-sig"), stored, content=False)
+
+
+def test_last_of_equal_times_wins_in_sqlite(spark, stored, tmp_path):
+    twice = stored.limit(1).unionByName(stored.limit(1).selectExpr("url", "'later' as title", *records.FIELDS[2:])).coalesce(1)
+    sqlite.write_sqlite(twice, f"{tmp_path}/p.db")
+    assert [r["title"] for r in sqlite.read_sqlite(spark, f"{tmp_path}/p.db").collect()] == ["later"]
+
+
+def test_public_names():
+    import harrow
+
+    assert all(getattr(harrow, name) is not None for name in harrow.__all__)
+    with pytest.raises(AttributeError):
+        harrow.no_such_name  # noqa: B018
 
 
 def test_sink_factory(spark, stored, tmp_path):
@@ -67,6 +104,7 @@ def test_sink_factory(spark, stored, tmp_path):
     s = sinks.make_sink("json", f"{tmp_path}/e.json", overwrite=True)
     s.close()
     assert (tmp_path / "e.json").read_text() == "[]"
+    s = sinks.make_sink("json", f"{tmp_path}/e.json", overwrite=True)
     s.save(stored)
     s.save(stored)
     s.close()
