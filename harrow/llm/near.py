@@ -196,7 +196,10 @@ def _summaries(rows: DataFrame, words: int, hot: np.ndarray, ranges: int) -> Dat
             of, name, owner = of[~is_hot], name[~is_hot].astype(np.uint32), owner[~is_hot]
             order = np.argsort(of.astype(np.uint32), kind="stable")
             of, name, owner = of[order], name[order], owner[order]
-            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+            if not len(of):  # no text with a word, or nothing but hot shingles
+                base += len(sets)
+                continue
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             blocks = [(int(of[a]), name[a:b].tobytes(), squeeze(np.diff(owner[a:b], prepend=np.uint32(0)).tobytes())) for a, b in zip(start, np.r_[start[1:], len(of)].astype(int), strict=True)]
             none = pa.nulls(len(blocks), pa.int64())
             yield pa.RecordBatch.from_arrays(

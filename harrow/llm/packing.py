@@ -35,9 +35,9 @@ VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a worker remembers.
 REMEMBER = 400_000
 #: Texts with these go to the tokenizer as they are: it may see white space otherwise than Python does.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏    -⁤　﻿]")
+ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 #: Words of other characters than these (or that may hold an added token) go to the tokenizer as they are.
-PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7e\xa1-ɏ])+")
+PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7e\xa1-\u024f])+")
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 

@@ -180,7 +180,7 @@ def test_ids_are_the_tokenizers_own(spark, tiny):
 
 def test_packing_keeps_every_id_once(spark, tiny):
     own = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "twice"), (902, "twice")], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "twice"), (902, "twice"), (None, "no id"), (903, "w " * 600_000)], "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     rows = packing.pack(packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY)), windows_per_block=16).collect()
     windows, parts = {}, {}
