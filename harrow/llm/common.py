@@ -57,7 +57,7 @@ def components(links: DataFrame) -> DataFrame:
     steps alternate until nothing changes: each is one aggregation and one join,
     which adaptive execution can split where a node has very many links.
     """
-    links = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = compact(cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     last = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,11 +67,23 @@ def components(links: DataFrame) -> DataFrame:
         down = links.join(least, "a")
         links = cut(down.select("a", F.col("m").alias("b")).union(down.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        links = links.coalesce(_tasks(now[0]))
+        del both, least, down
+        release(links.sparkSession)
         if now == last:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         last = now
 
 
+def _tasks(rows: int) -> int:
+    return max(2, -(-rows // 100_000))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``df``, which is in the checkpoint folder, to be read by no more tasks than its small rows are worth."""
+    return df.coalesce(_tasks(df.count()))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished steps, which it does once the driver has dropped them."""
     import gc

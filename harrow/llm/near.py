@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forgetful, release, stretches
+from .common import compact, components, cut, forgetful, release, stretches
 from .simhash import BITS, LOWER, links
 
 #: Distinct words whose hashes a worker remembers.
@@ -236,6 +236,15 @@ def _room(n: Column, other: Column, least: float) -> Column:
     return n - F.ceil(F.lit(least / (1 + least)) * (n + other) - 1e-6) + 1
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` in the checkpoint folder; what was shuffled on the way there is let go."""
+    spark = df.sparkSession
+    out = compact(cut(df))
+    del df
+    release(spark)
+    return out
+
+
 class _Verifier:
     """Tests pairs of rows on their whole sets, each pair once."""
 
@@ -251,8 +260,8 @@ class _Verifier:
         """The pairs (a, b) of ``pairs`` that are similar and were not tested before."""
         least, limit = self.least, (1 - self.least) / (1 + self.least)
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-        pairs = cut(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"))
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        pairs = _kept(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"))
+        self.tried = pairs if self.tried is None else _kept(self.tried.union(pairs))
 
         def near(batches):
             for b in batches:
@@ -266,11 +275,8 @@ class _Verifier:
                 keep = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least - 1e-9 for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)]
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        likely = self._both(pairs, self.sizes, ["n", "tally"]).select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(near, "a long, b long")
-        found = cut(self._both(likely, self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
-        del likely
-        release(pairs.sparkSession)
-        return found
+        likely = _kept(self._both(pairs, self.sizes, ["n", "tally"]).select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(near, "a long, b long"))
+        return _kept(self._both(likely, self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
 
 
 def _index(held: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -282,7 +288,7 @@ def _index(held: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6) + 1
     sets = sets.withColumns({"alone": alone, "more": (first - alone).cast("int")}).filter("more > 0")
     names = F.slice(F.concat(F.transform("shared", lambda x: x["s"]), F.col("hot")), F.lit(1), F.col("more"))
-    return cut(sets.select("tag", "n", "alone", F.posexplode(names).alias("k", "s")).select("s", "tag", "n", (F.col("alone") + F.col("k") + 1).alias("place")))
+    return _kept(sets.select("tag", "n", "alone", F.posexplode(names).alias("k", "s")).select("s", "tag", "n", (F.col("alone") + F.col("k") + 1).alias("place")))
 
 
 def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -296,10 +302,13 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     # equal sets, by way of the partition that a row is from, so that no task gets all rows of a hot one
     run = F.shiftright("tag", 33).alias("run")
     in_run = every.groupBy("sum", run).agg(F.min("tag").alias("tag"))
-    dealt = cut(in_run.select("sum", "run").join(in_run.groupBy("sum").agg(F.min("tag").alias("first")), "sum"))
+    dealt = in_run.select("sum", "run").join(in_run.groupBy("sum").agg(F.min("tag").alias("first")), "sum")
     of_sets = every.select("tag", "sum", run).join(dealt, ["sum", "run"]).select("tag", "first")
-    equal = cut(of_sets.filter("tag != first").select(F.col("tag").alias("a"), F.col("first").alias("b")))
+    equal = _kept(of_sets.filter("tag != first").select(F.col("tag").alias("a"), F.col("first").alias("b")))
     nodes = cut(every.join(equal.select(F.col("a").alias("tag")), "tag", "left_anti").select("tag", "n", "tally", "fp", "hot"))
+    slim = cut(every.select("tag", "id", "h"))
+    del in_run, dealt, of_sets
+    release(spark)
     lists = _index(held, nodes, least)
 
     # SimHash: one neighbour for each fingerprint and each row
@@ -307,7 +316,9 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     same = nodes.join(firsts, "fp").filter("tag != first").select(F.col("tag").alias("a"), F.col("first").alias("b"))
     ends = links(firsts.select("fp"), BITS).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
     far = ends.join(firsts.select(F.col("fp").alias("x"), F.col("first").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), F.col("first").alias("b")), "y").select("a", "b")
-    proposed = cut(same.union(far).distinct())
+    proposed = _kept(same.union(far).distinct())
+    del firsts, same, ends, far
+    release(spark)
 
     def sets_of(batches):
         unzip = zstandard.ZstdDecompressor().decompress
@@ -319,14 +330,13 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
 
     wanted = lists.select("tag").union(proposed.select("a")).union(proposed.select("b")).distinct()
     sets = cut(every.select("tag", "z").join(wanted, "tag", "left_semi").mapInArrow(forgetful(forget, sets_of), "tag long, set binary"))
-    slim = cut(every.select("tag", "id", "h"))
-    del every, held, in_run, dealt, of_sets, firsts, same, ends, far, wanted
+    del every, held, wanted
     release(spark)
     verified = _Verifier(nodes, sets, least)
-    found = cut(equal.union(verified(proposed)))
+    found = _kept(equal.union(verified(proposed)))
     led = None
     for r in range(rounds + 1):
-        group = components(found)
+        group = _kept(components(found))
         ends = found.select(F.col("a").alias("tag")).union(found.select(F.col("b").alias("tag"))).groupBy("tag").agg(F.count("*").alias("degree"))
         known = group.withColumnRenamed("node", "tag").join(ends, "tag", "left")
         known = known if led is None else known.join(led, "tag", "full")
@@ -334,9 +344,10 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
         of = lists.join(known, "tag", "left").withColumn("of", F.coalesce("component", "tag"))
         bounds = of.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("n").alias("small")).filter("low != high").select("s", "small")
         open_ = of.join(bounds, "s").filter(F.col("place") <= _room(F.col("n"), F.greatest("small", F.ceil(F.lit(least) * F.col("n") - 1e-6)), least))
-        lists = cut(open_.select("s", "tag", "n", "place", "of", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("led", F.lit(False)).alias("led")))
+        lists = _kept(open_.select("s", "tag", "n", "place", "of", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("led", F.lit(False)).alias("led")))
         sizes = lists.groupBy("s").agg(F.count("*").alias("size"))
         square, total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).first()
+        del group, ends, known, of, bounds, open_, sizes
         if not total:
             break
         last = r == rounds or square <= 8 * total
@@ -347,11 +358,11 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
             key = F.struct("led", (-F.col("degree")).alias("degree"), F.xxhash64("tag", F.lit(r)).alias("x"), "tag", "n", "place", "of")
             other = lists.groupBy("s").agg(F.min(key).alias("lead")).select("s", "lead.tag", "lead.n", "lead.place", "lead.of")
             now = other.select("tag", F.lit(True).alias("led")).distinct()
-            led = cut(now if led is None else led.union(now).distinct())
+            led = _kept(now if led is None else led.union(now).distinct())
         other = other.select("s", *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of")])
         fits = (F.col("of") != F.col("of2")) & (F.col("place") <= _room(F.col("n"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n"), least))
         pairs = mine.join(other, "s").filter(fits & (F.col("tag") > F.col("tag2")) if last else fits)
-        found = cut(found.union(verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")))))
+        found = _kept(found.union(verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")))))
         lists = lists.select("s", "tag", "n", "place")
         if last:
             break
