@@ -138,6 +138,20 @@ def test_formats(spark):
     assert (e["percent"], e["speed"], e["eta"]) == (50.0, 3.0, 10.0) and "30/60 50% 3.0/s 0:10" in progress.line(30, e)
 
 
+def test_listener_feeds_the_reporter():
+    import io
+    from types import SimpleNamespace
+
+    out = io.StringIO()
+    out.isatty = lambda: False
+    listener = progress.ProgressListener(progress.Reporter(20, 0.0, out))
+    for n in (4, 6):
+        listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=n)))
+    listener.onQueryTerminated(None)
+    lines = out.getvalue().splitlines()
+    assert " 4/4 " in lines[0] and " 10/10 " in lines[-1]
+
+
 def test_statistics_of_six_rows(spark):
     rows = [(0.5, "http://a.test/1", 200, None, 0, "abcd"), (0.9, "http://a.test/2", 200, None, 1, "ab"), (1.2, "http://b.test/1", 404, "PermanentError", 1, None), (2.5, "http://b.test/2", 200, None, 1, "abc"), (3.1, "http://a.test/3", None, "NetworkError", 2, None), (4.0, "http://c.test/1", 200, None, 2, "abc")]
     log = spark.createDataFrame(rows, "t double, url string, status int, error string, depth int, text string")
