@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -84,12 +87,16 @@ def compact(df: DataFrame) -> DataFrame:
     return df.coalesce(_tasks(df.count()))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished steps, which it does once the driver has dropped them."""
-    import gc
+_RELEASED = [0.0]
 
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps, which it does once the driver has dropped them; once a second at most."""
+    if time.monotonic() - _RELEASED[0] < 1:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _RELEASED[0] = time.monotonic()
 
 
 def packed(rows: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ from .simhash import BITS, LOWER, links
 #: Distinct words whose hashes a worker remembers.
 REMEMBER = 200_000
 #: Shingles that a worker gathers before it hands on blocks, and shingles that a range of hashes should hold.
-CHUNK, RANGE = 1 << 20, 1 << 22
+CHUNK, RANGE = 1 << 19, 1 << 21
 #: A shingle of this share of all documents is hot; so many are known to every worker at most.
 HOT_SHARE, HOT_MOST = 400, 1_000_000
 SUMMARY = "tag long, h long, n long, sum binary, tally binary, fp long, hot array<long>, z binary"
@@ -272,7 +272,8 @@ class _Verifier:
 
         def verify(batches):
             for b in batches:
-                keep = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least - 1e-9 for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)]
+                sides = [b.column(c) for c in ("set_a", "set_b")]
+                keep = [similarity(*(np.frombuffer(c[k].as_buffer(), np.uint64) for c in sides)) >= least - 1e-9 for k in range(len(b))]
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         likely = _kept(self._both(pairs, self.sizes, ["n", "tally"]).select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(near, "a long, b long"))
@@ -291,8 +292,8 @@ def _index(held: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return _kept(sets.select("tag", "n", "alone", F.posexplode(names).alias("k", "s")).select("s", "tag", "n", (F.col("alone") + F.col("k") + 1).alias("place")))
 
 
-def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has tag, id and h (hash of the text) of each row; links (a, b) of tags join all that are similar."""
+def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows has tag, id and h (hash of the text) of each row; groups (node, component) of all tags that are linked."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     count, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
@@ -334,9 +335,8 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
     release(spark)
     verified = _Verifier(nodes, sets, least)
     found = _kept(equal.union(verified(proposed)))
-    led = None
+    group, led = _kept(components(found)), None
     for r in range(rounds + 1):
-        group = _kept(components(found))
         ends = found.select(F.col("a").alias("tag")).union(found.select(F.col("b").alias("tag"))).groupBy("tag").agg(F.count("*").alias("degree"))
         known = group.withColumnRenamed("node", "tag").join(ends, "tag", "left")
         known = known if led is None else known.join(led, "tag", "full")
@@ -347,7 +347,7 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
         lists = _kept(open_.select("s", "tag", "n", "place", "of", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("led", F.lit(False)).alias("led")))
         sizes = lists.groupBy("s").agg(F.count("*").alias("size"))
         square, total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).first()
-        del group, ends, known, of, bounds, open_, sizes
+        del ends, known, of, bounds, open_, sizes
         if not total:
             break
         last = r == rounds or square <= 8 * total
@@ -362,17 +362,20 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", words: int
         other = other.select("s", *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of")])
         fits = (F.col("of") != F.col("of2")) & (F.col("place") <= _room(F.col("n"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n"), least))
         pairs = mine.join(other, "s").filter(fits & (F.col("tag") > F.col("tag2")) if last else fits)
-        found = _kept(found.union(verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")))))
+        new = verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")))
+        if not new.isEmpty():  # on from the groups so far, which are stars
+            found = _kept(found.union(new))
+            group = _kept(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
         lists = lists.select("s", "tag", "n", "place")
         if last:
             break
-    return slim, found
+    return slim, group
 
 
 def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(tag, id, h, keep) for each row in a group of two or more: keep has the id and h of the row that stays."""
-    rows, found = similar_links(docs, id_col, text_col, words, least)
-    members = components(found).join(rows.withColumnRenamed("tag", "node"), "node")
+    rows, group = linked(docs, id_col, text_col, words, least)
+    members = group.join(rows.withColumnRenamed("tag", "node"), "node")
     best = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("keep"))
     return members.join(best, "component").select(F.col("node").alias("tag"), "id", "h", "keep")
 
