@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, packing, pii, quality, sharding, simhash, substring
+from . import chat, decontam, exact_dedup, langid, packing, pii, quality, search, sharding, simhash, substring
 
 
 def queries():
     return {
         "op10_pii": pii.op10_pii,
+        "op11_ranked_search": search.op11_ranked_search,
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -21,4 +22,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL, "op5_substring_dedup": substring.SQL}
+    return {"op11_ranked_search": search.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL, "op5_substring_dedup": substring.SQL}
