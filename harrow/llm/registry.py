@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, packing, pii, quality, search, sharding, simhash, substring
+from . import chat, decontam, exact_dedup, langid, packing, periodic, pii, quality, search, sharding, simhash, substring
 
 
 def queries():
     return {
         "op10_pii": pii.op10_pii,
         "op11_ranked_search": search.op11_ranked_search,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
@@ -22,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op11_ranked_search": search.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL, "op5_substring_dedup": substring.SQL}
+    return {"op11_ranked_search": search.SQL, "op12_periodic_runs": periodic.SQL, "op3_exact_dedup": exact_dedup.SQL, "op4_chat_formatting": chat.SQL, "op5_substring_dedup": substring.SQL}
