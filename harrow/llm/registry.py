@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, exact_dedup, langid, packing, periodic, pii, quality, search, sharding, simhash, substring
+from . import bestfit, chat, decontam, exact_dedup, langid, packing, periodic, pii, quality, search, sharding, simhash, substring
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op10_pii": pii.op10_pii,
         "op11_ranked_search": search.op11_ranked_search,
         "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_best_fit_packing": bestfit.op13_best_fit_packing,
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_packing": packing.op2_packing,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
