@@ -169,8 +169,8 @@ def _covering(names: Names, starts: list[int], exponent: int, shortest: int) ->
     low, q = np.r_[h[of_end + 1] - back, h[of_start]], np.r_[back, on]
     inside = low + q < names.n
     low, q = low[inside], q[inside]
-    # to one side at least q words agree, so those of the greatest power of two within q do
-    level = np.log2(q).astype(np.int64)
+    # all but one of the periods agree, so to one side at least half of these words do, and the greatest power of two within them
+    level = np.log2(np.maximum(1, ((exponent - 1) * q + 1) // 2)).astype(np.int64)
     likely = np.zeros(len(q), bool)
     for k in range(min(int(level.max(initial=-1)) + 1, len(names.levels))):
         own = np.flatnonzero(level == k)
