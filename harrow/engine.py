@@ -63,9 +63,11 @@ class CrawlEngine:
         self.states = frontier.cut(fetch.latest_states(results, self.states))
 
     def _fetch(self, wanted: DataFrame) -> DataFrame:
+        paced = wanted
         if self.rules is not None:
-            self.options.crawl_delay = {r["domain"]: r["crawl_delay"] for r in robots.crawl_delays(self.rules, self.agents[0]).filter("crawl_delay > 0").toLocalIterator()}
-        got = frontier.cut(fetch.fetch(wanted, self.options, get=self.get, states=self.states).drop("body"))
+            delays = robots.crawl_delays(self.rules, self.agents[0]).filter("crawl_delay > 0").withColumnRenamed("domain", "_domain")
+            paced = wanted.withColumn("_domain", urls.domain_of(F.col("url"))).join(delays, "_domain", "left").drop("_domain")
+        got = frontier.cut(fetch.fetch(paced, self.options, get=self.get, states=self.states).drop("body"))
         self._remember(got)
         rows = wanted.join(got.drop("state"), "url").withColumn("t", F.col("ended") - self.began)
         out = frontier.cut(html.parse_html(rows, self.fields, parser=self.parser).withColumn("run_id", F.lit(self.run_id)))

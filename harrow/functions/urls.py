@@ -10,27 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: scheme, authority, path, parameters and query without the fragment (RFC 3986, appendix B).
-_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: Links that are no pages, by scheme.
 SKIPPED_SCHEMES = ["mailto", "tel", "javascript", "data", "about"]
 
 
 def scheme_of(url: Column) -> Column:
     """Lower-cased scheme, "" if there is none."""
-    return F.lower(F.regexp_extract(url, _SPLIT, 1))
+    return F.lower(F.regexp_extract(url, SPLIT, 1))
 
 
 def domain_of(url: Column) -> Column:
     """Lower-cased authority with port and user, "" if there is none."""
-    return F.lower(F.regexp_extract(url, _SPLIT, 2))
+    return F.lower(F.regexp_extract(url, SPLIT, 2))
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(url, _SPLIT, 3)
+    return F.regexp_extract(url, SPLIT, 3)
 
 
 def query_of(url: Column) -> Column:
-    return F.regexp_extract(url, _SPLIT, 4)
+    return F.regexp_extract(url, SPLIT, 4)
 
 
 def normalize(url: Column) -> Column:

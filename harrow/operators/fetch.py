@@ -1,17 +1,22 @@
 """Fetching pages over HTTP inside tasks, with retries, rate slots and a breaker for each domain.
 
 URLs are dealt by domain, so the limits of a domain hold inside one task without
-coordination. Each task has its share of ``max_concurrent`` threads and takes
-URLs of its domains in turn, never more of one domain than ``max_per_domain`` at
-a time, so a slow domain does not hold up the others. What limiter and breaker
+coordination. Each task has its share of ``max_concurrent`` threads and starts
+URLs in the order of their ``rank`` (where there is one), passing over those whose
+domain has ``max_per_domain`` under way, so a slow domain does not hold up the
+others. Of a task's URLs ``AHEAD`` are in memory at once. What limiter and breaker
 know of a domain comes back with every row (``state``) and is handed to the next
 fetch (``states``), so it lasts for a whole crawl. With one rate for all domains
 each task takes its share of the rate. Every outcome is a row, never an exception.
+
+``fetch`` runs inside a plan; ``harrow.sources.http`` reads the same rows as a data
+source, which deals domains by size.
 """
 
 from __future__ import annotations
 
 import codecs
+import heapq
 import http.client
 import itertools
 import random
@@ -22,14 +27,14 @@ import time
 import urllib.error
 import urllib.request
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions import policy, urls
@@ -38,8 +43,8 @@ from harrow.streaming.limits import Breaker, Limiter
 STATE = "next:double,backoff:double,streak:int,opened:double,is_open:int,probing:int,times_opened:long,rejected:long"
 RESULT = f"url string, status int, content_type string, body binary, html string, error string, reason string, began double, ended double, wait double, attempts array<struct<attempt:int,status:int,error:string,delay:double>>, domain string, state struct<{STATE}>"
 STATES = f"domain string, state struct<{STATE}>"
-#: Rows that a task hands on at once.
-ROWS = 64
+#: Rows that a task hands on at once, and URLs that it looks at ahead.
+ROWS, AHEAD = 64, 4096
 
 
 class Timeouts(NamedTuple):
@@ -161,9 +166,9 @@ def wait_seconds(value: str | None) -> float | None:
 class Domain:
     """Limiter and breaker of one domain, for the threads of one task; ``known`` is an earlier ``state``."""
 
-    def __init__(self, options: FetchOptions, name: str, clock=time.time, known=None, share: float = 1.0):
+    def __init__(self, options: FetchOptions, name: str, clock=time.time, known=None, share: float = 1.0, delay: float = 0.0):
         r = options.rate
-        gap = max(share / r.requests_per_second if r.requests_per_second else 0.0, r.min_delay, options.crawl_delay.get(name, 0.0))
+        gap = max(share / r.requests_per_second if r.requests_per_second else 0.0, r.min_delay, options.crawl_delay.get(name, 0.0), delay)
         self.limiter = Limiter(gap, r.error_backoff, r.max_backoff)
         self.breaker = Breaker(options.failure_threshold, options.recovery_timeout) if options.failure_threshold else None
         self.clock, self.jitter, self.lock = clock, r.jitter, threading.Lock()
@@ -241,71 +246,94 @@ def bytes_of_one(url: str, agents, state: Domain, options: FetchOptions, get=htt
     return {"url": url, "status": status, "body": body, "reason": reason, "began": began, "ended": state.clock(), "wait": slot}
 
 
-def _in_turn(todo: dict[str, deque], threads: int, per_domain: int, one: Callable[[str, str], dict]) -> Iterator[dict]:
-    """Results as they come; a domain has ``per_domain`` requests under way at most, all together ``threads``."""
-    active, busy = dict.fromkeys(todo, 0), {}
+def _in_turn(rows: Iterable[tuple], threads: int, per_domain: int, one: Callable[..., dict]) -> Iterator[dict]:
+    """Results as they come of rows (domain, url, ...), started in their order where the domain allows.
+
+    A domain has ``per_domain`` requests under way at most, all together ``threads``.
+    ``ready`` has, of every domain that may start one, the place of its next row.
+    """
+    rows, waiting, active, ready, busy, held, place = iter(rows), {}, {}, [], {}, 0, 0
     with ThreadPoolExecutor(threads) as pool:
-        while todo or busy:
-            for name in list(todo):
-                while todo[name] and len(busy) < threads and active[name] < per_domain:
-                    busy[pool.submit(one, name, todo[name].popleft())] = name
-                    active[name] += 1
-                if not todo[name]:
-                    del todo[name]
-                if len(busy) == threads:
-                    break
+        while True:
+            while held < AHEAD and (row := next(rows, None)) is not None:
+                own = waiting.setdefault(row[0], deque())
+                own.append((place, row))
+                if len(own) == 1 and active.get(row[0], 0) < per_domain:
+                    heapq.heappush(ready, (place, row[0]))
+                held, place = held + 1, place + 1
+            while ready and len(busy) < threads:
+                name = heapq.heappop(ready)[1]
+                busy[pool.submit(one, *waiting[name].popleft()[1])] = name
+                active[name], held = active.get(name, 0) + 1, held - 1
+                if waiting[name] and active[name] < per_domain:
+                    heapq.heappush(ready, (waiting[name][0][0], name))
+            if not busy:
+                return
             for f in wait(busy, return_when=FIRST_COMPLETED).done:
-                active[busy.pop(f)] -= 1
+                name = busy.pop(f)
+                active[name] -= 1
+                if waiting[name] and active[name] == per_domain - 1:
+                    heapq.heappush(ready, (waiting[name][0][0], name))
+                elif not waiting[name] and not active[name]:
+                    del waiting[name], active[name]
                 yield f.result()
 
 
-def _fetched(wanted: DataFrame, options: FetchOptions, url_col: str, get: Callable, one: Callable, states: DataFrame | None, text: bool) -> DataFrame:
-    each = wanted.select(F.col(url_col).alias("url")).distinct().withColumn("domain", urls.domain_of(F.col("url")))
-    if states is not None:
-        each = each.join(states, "domain", "left")
-    else:
-        each = each.withColumn("state", F.lit(None).cast(f"struct<{STATE}>"))
-    tasks = min(options.max_concurrent, each.sparkSession.sparkContext.defaultParallelism)
-    turn = F.row_number().over(Window.partitionBy("domain").orderBy("url"))
-    dealt = each.repartition(tasks, "domain").withColumn("turn", turn).sortWithinPartitions("turn", "domain")
+def fetched_rows(rows: Iterable[tuple], options: FetchOptions, get: Callable, one: Callable, tasks: int, text: bool) -> Iterator[dict]:
+    """Result rows (see ``RESULT``) of one task's rows (domain, url, state, delay), as they come."""
     threads = max(1, options.max_concurrent // tasks)
-    per_domain, share = options.max_per_domain or threads, 1.0 if options.rate.per_domain else float(tasks)
+    share = 1.0 if options.rate.per_domain else float(tasks)
+    domains, agents, lock = {}, itertools.cycle(options.user_agents), threading.Lock()
+
+    def agent():
+        while True:
+            with lock:
+                name = next(agents)
+            yield name
+
+    def do(name, url, known, delay):
+        key = name if options.rate.per_domain else ""
+        with lock:
+            if key not in domains:
+                domains[key] = Domain(options, name, known=known, share=share, delay=delay or 0.0)
+        state = domains[key]
+        got = dict.fromkeys(RESULT_FIELDS) | one(url, agent(), state, options, get) | {"domain": name, "state": state.state()}
+        if text:
+            got["html"] = decode(got["body"], got["content_type"])
+        return got
+
+    yield from _in_turn(rows, threads, options.max_per_domain or threads, do)
 
-    def run(batches):
-        domains, agents, lock = {}, itertools.cycle(options.user_agents), threading.Lock()
-        names = [c.split(" ")[0] for c in RESULT.split(", ")]
 
-        def agent():
-            while True:
-                with lock:
-                    name = next(agents)
-                yield name
+RESULT_FIELDS = [c.split(" ")[0] for c in RESULT.split(", ")]
 
-        def shown(rows):
-            out = pd.DataFrame(rows, columns=names)
+
+def wanted_rows(wanted: DataFrame, url_col: str = "url", states: DataFrame | None = None) -> DataFrame:
+    """domain, url, state, delay, rank of each distinct URL: what limiter and breaker know is joined as a column.
+
+    rank and delay (seconds between requests of the domain) come from ``wanted``
+    where it has such columns; else the order is that of a hash, which mixes domains.
+    """
+    have = set(wanted.columns)
+    rank = F.min("rank").cast("long") if "rank" in have else F.min(F.xxhash64(url_col))
+    delay = F.max("crawl_delay").cast("double") if "crawl_delay" in have else F.lit(None).cast("double")
+    each = wanted.groupBy(F.col(url_col).alias("url")).agg(rank.alias("rank"), delay.alias("delay")).withColumn("domain", urls.domain_of(F.col("url")))
+    each = each.join(states, "domain", "left") if states is not None else each.withColumn("state", F.lit(None).cast(f"struct<{STATE}>"))
+    return each.select("domain", "url", "state", "delay", "rank")
+
+
+def _fetched(wanted: DataFrame, options: FetchOptions, url_col: str, get: Callable, one: Callable, states: DataFrame | None, text: bool) -> DataFrame:
+    each = wanted_rows(wanted, url_col, states)
+    tasks = min(options.max_concurrent, each.sparkSession.sparkContext.defaultParallelism)
+    dealt = each.repartition(tasks, "domain").sortWithinPartitions("rank", "url")
+
+    def run(batches):
+        rows = ((name, url, None if known is None else dict(known), None if pd.isna(delay) else delay) for b in batches for name, url, known, delay in zip(b["domain"], b["url"], b["state"], b["delay"], strict=True))
+        got = fetched_rows(rows, options, get, one, tasks, text)
+        while part := list(itertools.islice(got, ROWS)):
+            out = pd.DataFrame(part, columns=RESULT_FIELDS)
             out["status"] = out["status"].astype("Int32")
-            return out
-
-        def do(name, url):
-            state = domains[name if options.rate.per_domain else ""]
-            got = dict.fromkeys(names) | one(url, agent(), state, options, get) | {"domain": name, "state": state.state()}
-            if text:
-                got["html"] = decode(got["body"], got["content_type"])
-            return got
-
-        for b in batches:
-            todo, rows = {}, []
-            for name, url, known in zip(b["domain"], b["url"], b["state"], strict=True):
-                todo.setdefault(name, deque()).append(url)
-                key = name if options.rate.per_domain else ""
-                if key not in domains:
-                    domains[key] = Domain(options, name, known=None if known is None else dict(known), share=share)
-            for got in _in_turn(todo, threads, per_domain, do):
-                rows.append(got)
-                if len(rows) == ROWS:
-                    yield shown(rows)
-                    rows = []
-            yield shown(rows)
+            yield out
 
     return dealt.mapInPandas(run, RESULT)
 
@@ -313,8 +341,9 @@ def _fetched(wanted: DataFrame, options: FetchOptions, url_col: str, get: Callab
 def fetch(wanted: DataFrame, options: FetchOptions | None = None, url_col: str = "url", get: Callable = http_get, states: DataFrame | None = None) -> DataFrame:
     """A result row for each distinct URL; successes have ``error`` null and ``html`` decoded.
 
-    began and ended are seconds since the epoch, wait is for rate slots. states:
-    (domain, state) of an earlier fetch, see ``latest_states``.
+    began and ended are seconds since the epoch, wait is for rate slots. wanted may
+    have rank (the order in which URLs start) and crawl_delay. states: (domain, state)
+    of an earlier fetch, see ``latest_states``.
     """
     return _fetched(wanted, options or FetchOptions(), url_col, get, fetch_one, states, text=True)
 
