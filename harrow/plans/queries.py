@@ -564,6 +564,22 @@ def upsert_latest(spark, d):
     return stats.upsert_latest(old, new).select("id", "url", "version")
 
 
+@query(f"""WITH all_ AS (SELECT url, {TITLE} AS title, html FROM pages),
+two AS (SELECT url, title || ' (again)' AS title FROM all_ WHERE html LIKE '%<table%' UNION ALL SELECT url || '?new', title FROM all_ WHERE html LIKE '%<table%')
+SELECT coalesce(two.url, all_.url) AS url, coalesce(two.title, all_.title) AS title, all_.url IS NOT NULL AS kept_id FROM all_ FULL JOIN two USING (url)""")
+def upsert_table(spark, d):
+    """All pages are stored; then pages with a table come again with another title and as a new URL. kept_id: the id is that of the first time."""
+    from harrow.sources.table import PageTable
+
+    stored = PageTable(spark, _place(spark, "upsert"), folders=16)
+    pages = table(spark, d, "pages").select("url", html.quick_title(F.col("html")).alias("title"), F.col("html").contains("<table").alias("again"))
+    stored.upsert(pages)
+    first = frontier.cut(stored.read().select("url", F.col("id").alias("first_id")))
+    again = pages.filter("again")
+    stored.upsert(again.withColumn("title", F.concat("title", F.lit(" (again)"))).unionByName(again.withColumn("url", F.concat("url", F.lit("?new")))))
+    return stored.read().join(first, "url", "left").select("url", "title", F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)).alias("kept_id"))
+
+
 @query("SELECT url FROM pages WHERE url LIKE 'https%'")
 def sql_like(spark, d):
     return spark.sql("SELECT url FROM {pages} WHERE url LIKE 'https%'", pages=table(spark, d, "pages"))
@@ -672,6 +688,19 @@ def stream_to_sink(spark, d):
     return _shown(records.read_json(spark, sink.path))
 
 
+@query(STORED)
+def stream_committed(spark, d):
+    """A stream into the sink that commits whole micro-batches."""
+    from harrow.sources import stream
+
+    stream.register(spark)
+    pages, path = table(spark, d, "pages"), _place(spark, "stream_committed")
+    rows = records.to_record(_stored_of(spark.readStream.schema(pages.schema).parquet(f"{d}/pages.parq*et")))
+    run = rows.writeStream.format(stream.FORMAT).option("path", path).option("batch", 40).option("checkpointLocation", path + "_state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return _shown(stream.read(spark, path, records.DDL))
+
+
 # ---- state machines
 
 OUTCOME = "CASE WHEN error IS NULL THEN true WHEN error IN ('TransientError', 'NetworkError', 'RateLimitedError') THEN false END"
