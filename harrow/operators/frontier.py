@@ -2,7 +2,8 @@
 
 Only the number of links of a level comes to the driver; frontiers, seen URLs
 and results stay distributed. Each level is cut with a reliable checkpoint, so
-plans do not grow and a lost executor costs one level at most.
+plans do not grow and a lost executor costs one level at most. What earlier levels
+have seen is not read again for a new URL (``harrow.operators.seen``).
 """
 
 from __future__ import annotations
@@ -12,9 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.checkpoints import cut
+from harrow.checkpoints import cut, shared_folder
 from harrow.functions import text, urls
 
+from .seen import SeenSet
+
+#: So many rows are numbered in one task; more by ranges.
+FEW = 50_000
+
 
 def follow_filter(url: Column, exclude=(), include=(), domains: list[str] | None = None) -> Column:
     """Whether a link is followed: own domains, no exclude pattern, an include pattern if there are any."""
@@ -29,6 +35,13 @@ def follow_filter(url: Column, exclude=(), include=(), domains: list[str] | None
     return ok
 
 
+def rank_few(df: DataFrame, order: list, count: int, name: str = "rank") -> DataFrame:
+    """``rank_rows`` of ``count`` rows, in one task if these are few."""
+    if count > FEW:
+        return rank_rows(df, order, name)
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def rank_rows(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """``df`` with a gapless global rank from 1 without bringing all rows to one task.
 
@@ -52,6 +65,7 @@ def crawl(
     exclude=(),
     include=(),
     allow: Callable[[DataFrame], DataFrame] | None = None,
+    folders: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first crawl from ``start`` (url, seq): (pages, frontier).
 
@@ -63,25 +77,25 @@ def crawl(
     counts, so the result does not depend on timing.
 
     frontier: url, depth, rank, state (fetched, blocked, over_limit), one row per URL
-    ever added; duplicates: how many more times it was offered at its level.
+    ever added; duplicates: how many more times it was offered at its level. folders:
+    into how many the seen URLs are dealt, by default as many as shuffle partitions.
     """
     level = start.select(urls.normalize(F.col("url")).alias("url"), F.col("seq").cast("double").alias("key"), F.lit(0).alias("pos"))
     domains = level.select(urls.domain_of(F.col("url")).alias("domain")).distinct()
-    seen, pages, left = None, None, max_pages
+    spark, pages, left = start.sparkSession, None, max_pages
+    seen = SeenSet(spark, shared_folder(spark, "seen"), folders or int(spark.conf.get("spark.sql.shuffle.partitions")))
     for depth in range(max_depth + 1):
         offered = level.groupBy("url").agg(F.min(F.struct("key", "pos")).alias("at"), F.count("*").alias("offered"))
-        fresh = offered if seen is None else offered.join(seen.select("url"), "url", "left_anti")
-        fresh = fresh.select("url", F.col("at.key").alias("key"), F.col("at.pos").alias("pos"), (F.col("offered") - 1).alias("duplicates"))
-        fresh = allow(fresh) if allow else fresh.withColumn("allowed", F.lit(True))
-        fresh = rank_rows(fresh, [F.desc("allowed"), "key", "pos", "url"])
+        fresh = seen.unseen(offered).select("url", F.col("at.key").alias("key"), F.col("at.pos").alias("pos"), (F.col("offered") - 1).alias("duplicates"))
+        fresh = cut(allow(fresh) if allow else fresh.withColumn("allowed", F.lit(True)))
+        fresh = rank_few(fresh, [F.desc("allowed"), "key", "pos", "url"], fresh.count())
         state = F.when(~F.col("allowed"), "blocked").when(F.col("rank") <= left, "fetched").otherwise("over_limit")
-        fresh = cut(fresh.select("url", F.lit(depth).alias("depth"), "rank", state.alias("state"), "duplicates"))
-        seen = fresh if seen is None else seen.unionByName(fresh)
-        taken = fresh.filter("state = 'fetched'")
+        fresh = seen.add(fresh.select("url", F.lit(depth).alias("depth"), "rank", state.alias("state"), "duplicates"))
+        taken = fresh.filter("state = 'fetched'").select("url", "depth", "rank")
         n = taken.count()
         if not n:
             break
-        got = cut(fetch(taken.select("url", "depth", "rank")))
+        got = cut(fetch(taken))
         pages = got if pages is None else pages.unionByName(got)
         left -= n
         if left <= 0 or depth == max_depth:
@@ -92,7 +106,8 @@ def crawl(
         if same_domain_only:
             out = out.join(domains, urls.domain_of(F.col("url")) == domains["domain"], "left_semi")
         level = out.select("url", "key", "pos")
-    return (pages if pages is not None else fetch(seen.filter("false").select("url", "depth", "rank"))), seen
+    every = seen.read().select("url", "depth", "rank", "state", "duplicates")
+    return (pages if pages is not None else fetch(every.filter("false").select("url", "depth", "rank"))), every
 
 
 def corpus_fetch(corpus: DataFrame, url_col: str = "url", links_col: str = "links") -> Callable[[DataFrame], DataFrame]:
