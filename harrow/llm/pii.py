@@ -22,7 +22,9 @@ another of the same length. Only part lengths, matches and a few characters
 around them are kept, never the text.
 
 Patterns never look at one stretch of characters twice: quantifiers are
-possessive and a match starts a stretch or follows the match before.
+possessive and a match starts a stretch or follows the match before. Base spans may
+have any length; of the candidates beside them a key has 20 to 128 characters, and the
+parts of a spelled-out address at most 64: what is longer is no candidate.
 
 Defined cases: null and empty texts have no spans; null ids are kept; repeated
 rows are reported each; spans of different kinds may overlap; an added span never
@@ -57,17 +59,19 @@ GIVEN = (
 )
 COUNTRIES = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR"
 TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? "
+#: The start of a capitalised word; asked first, so that names are compared at such places only.
+CAPITAL = r"(?=[A-Z])(?<![A-Za-z])"
 #: Candidates beside the base, by the kind they would be.
 LOOSE = {
-    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_-]{0,127}[0-9])(?=[0-9+/_-]{0,127}[A-Za-z])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_=@-])",
+    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]{0,127}+[0-9])(?=[0-9+/_-]{0,127}+[A-Za-z])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_=@-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "name": rf"(?<![A-Za-z])(?:(?:{TITLE})(?:[A-Z][a-zà-ÿ]+ )?|(?:{GIVEN}) )(?:[A-Z]\. )?[A-Z][a-zà-ÿ]+(?:-[A-Z][a-zà-ÿ]+)?(?![A-Za-z])",
+    "name": rf"{CAPITAL}(?:(?:{TITLE})(?:[A-Z][a-zà-ÿ]+ )?|(?:{GIVEN}) )(?:[A-Z]\. )?[A-Z][a-zà-ÿ]+(?:-[A-Z][a-zà-ÿ]+)?(?![A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z@]|[.-][0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,5}",
 }
 #: What a text must hold to have a match at all.
-NEEDS = {"email": "@", "phone+": "[0-9]{4}", "email+": "(?:[\\[(]at[\\])])", "secret+": "[A-Za-z0-9+/_-]{20}", "iban+": "[A-Z]{2}[0-9]{2}", "ssn+": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "name+": rf"{TITLE}|(?:{GIVEN}) "}
+NEEDS = {"email": "@", "phone+": "[0-9]{4}", "email+": "(?:[\\[(]at[\\])])", "secret+": "[A-Za-z0-9+/_-]{20}", "iban+": "[A-Z]{2}[0-9]{2}", "ssn+": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "name+": rf"{CAPITAL}(?:{TITLE}|(?:{GIVEN}) )"}
 AROUND = 40
 #: Gazetteers and context words.
 MAIL_ENDS = r"\.(?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|co|us)$"
@@ -211,11 +215,13 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0
     placed = each.select("tag", "kind", "base", "at", "part", (F.sum("part.n").over(order) - F.col("part.n")).alias("start"), F.lag("part.ends").over(order).alias("before")).filter(F.col("part.match").isNotNull())
     spans = placed.select("tag", "kind", "base", F.col("part.match").alias("match"), "start", (F.col("start") + F.col("part.n")).alias("end"), F.coalesce("before", F.lit("")).alias("before"))
     spans = spans.withColumn("valid", F.when(F.col("base"), _valid(F.col("kind"), F.col("match"))).otherwise(True))
-    near = Window.partitionBy("tag").orderBy("start", "end")
+    # both windows run from one end on: each row adds itself to what was before
+    sides = ["start", "end", "kind", "base"]
+    ahead, back = Window.partitionBy("tag").orderBy(*sides), Window.partitionBy("tag").orderBy(*map(F.desc, sides))
     kept = F.col("base") & F.col("valid")
     spans = spans.withColumns({
-        "left": F.max(F.when(kept, F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1)),
-        "right": F.min(F.when(kept, F.col("start"))).over(near.rowsBetween(1, Window.unboundedFollowing)),
+        "left": F.max(F.when(kept, F.col("end"))).over(ahead.rowsBetween(Window.unboundedPreceding, -1)),
+        "right": F.min(F.when(kept, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1)),
     })
     free = (F.coalesce("left", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("right") >= F.col("end"), F.lit(True))
     spans = spans.filter(F.col("base") | free)
