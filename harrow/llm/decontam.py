@@ -1,23 +1,23 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then overlap.
 
-Test items are indexed by their word shingles (five words). Every document is
-cut into overlapping passages, and every passage is a query: its shingles that
-the index has are its terms, and all items whose BM25 score reaches the item's
-threshold are retrieved by WAND with block maxima: posting lists lie in blocks
-of item numbers, each with its largest score; a pivot item is scored only if the
-block maxima of the lists up to it can still reach the least threshold, else the
-lists move to the end of those blocks. Retrieved pairs are verified by overlap:
-an item has a question part and an answer part (its last sentence, or its last
-third where it has one sentence only), and of both parts at least ``overlap`` of
-the shingles must occur in the document. The question's shingles are those that
-start in it, the answer's those that end in it; a shingle across both counts for
-both, so neither part is ever without one.
-
-The threshold of an item is half of what ``overlap`` of its shingles give if the
-least weighty ones are met (an item may lie across two passages), less in
-proportion where the item is longer than a passage. An item of fewer than five
-words is one shingle of all its words; documents are then read in shingles of that
-length as well, so it is found inside them like any other.
+Test items are indexed by their word shingles (five words). Every training text is
+read passage by passage for shingles that the index has; together these are its
+query, since an item may lie in a text in any number of pieces. All items whose BM25
+score reaches the item's threshold are retrieved by WAND with block maxima: posting
+lists lie in blocks of item numbers, each with its largest score; a pivot item is
+scored only if the block maxima of the lists up to it can still reach the least
+threshold, else the lists move to the end of those blocks. Retrieved pairs are
+verified by overlap: an item has a question part and an answer part (its last
+sentence, or its last third where it has one sentence only), and of both parts at
+least ``overlap`` of the shingles must occur in the document. The question's shingles
+are those that start in it, the answer's those that end in it; a shingle across both
+counts for both, so neither part is ever without one.
+
+The threshold of an item follows from that rule, so retrieval loses nothing that
+verification would accept: it is what the least weighty shingles that satisfy the
+rule give, for the question or for the answer, whichever is more. An item of fewer
+than five words is one shingle of all its words; documents are then read in shingles
+of that length as well, so it is found inside them like any other.
 
 The index holds the test items only. It goes to the executors as a broadcast
 if its items have at most ``max_index_words`` words; a larger benchmark is split
@@ -94,10 +94,15 @@ def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     return out
 
 
+def needed(n: int, overlap: float) -> int:
+    """How many of ``n`` shingles are a share of ``overlap``, one at least."""
+    return max(1, math.ceil(overlap * n - 1e-9))
+
+
 class Index:
     """Posting lists of the items' shingles, in blocks with their largest scores."""
 
-    def __init__(self, items: list[tuple[int, str]], overlap: float, passage: int):
+    def __init__(self, items: list[tuple[int, str]], overlap: float):
         self.overlap, self.ids = overlap, [i for i, _ in items]
         words = [word_hashes(t) for _, t in items]
         every = [shingles(w) for w in words]
@@ -110,17 +115,17 @@ class Index:
         for k, s in enumerate(every):
             for term, n in Counter(s.tolist()).items():
                 where[term].append((k, n))
-        self.lists, weights = {}, defaultdict(list)
+        self.lists, weights = {}, [{} for _ in items]
         for term, found in where.items():
             idf = math.log(1 + (len(items) - len(found) + 0.5) / (len(found) + 0.5))
             scores = [idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[k] / mean)) for k, n in found]
             for (k, _), x in zip(found, scores, strict=True):
-                weights[k].append(x)
+                weights[k][term] = x
             blocks = [(found[min(a + BLOCK, len(found)) - 1][0], max(scores[a : a + BLOCK])) for a in range(0, len(found), BLOCK)]
             self.lists[term] = ([k for k, _ in found], scores, blocks, max(scores))
         self.terms = np.sort(np.array(list(self.lists), np.uint64))
-        # what must be met of an item at least, in one passage of two at worst when it spans several
-        self.least = [0.5 * sum(sorted(weights[k])[: max(1, math.ceil(overlap * len(weights[k])))]) * min(1.0, passage / lengths[k]) if weights[k] else math.inf for k in range(len(items))]
+        # what an item that passes the rule scores at least
+        self.least = [max((sum(sorted(w[t] for t in part)[: needed(len(part), overlap)]) for part in parts), default=0.0) * (1 - 1e-9) if w else math.inf for w, parts in zip(weights, self.parts, strict=True)]
         self.lowest = min(self.least, default=math.inf)
 
     @staticmethod
@@ -182,28 +187,20 @@ class Index:
     def matches(self, text: str | None, passage: int) -> list[tuple[int, float, float]]:
         """(item id, question overlap, answer overlap) of every item in a text."""
         words = word_hashes(text)
-        places, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        own = [np.zeros(0, np.uint64)]
         for size in self.sizes:
-            if len(words) >= size:
-                own = shingles(words, size)
-                places.append(np.flatnonzero(self._known(own)))
-                terms.append(own[places[-1]])
-        found, own = np.concatenate(places), np.concatenate(terms)
-        if not len(found):
+            for at in range(0, max(0, len(words) - size + 1), passage):
+                found = shingles(words[at : at + passage + size - 1], size)
+                own.append(found[self._known(found)])
+        own = np.concatenate(own)
+        if not len(own):
             return []
-        order = np.argsort(found, kind="stable")
-        found, own = found[order], own[order]
-        step = max(1, passage // 2)
-        candidates: set[int] = set()
-        for p in np.unique(np.concatenate([found // step, np.maximum(found // step - 1, 0)])).tolist():
-            inside = own[np.searchsorted(found, p * step) : np.searchsorted(found, p * step + passage)]
-            if len(inside):
-                candidates.update(self.search(sorted(set(inside.tolist()))))
+        candidates = self.search(np.unique(own).tolist())
         met = set(own.tolist())
         out = []
         for k in sorted(candidates):
             shares = [len(met & part) / len(part) for part in self.parts[k]]
-            if min(shares) >= self.overlap:
+            if all(len(met & part) >= needed(len(part), self.overlap) for part in self.parts[k]):
                 out.append((self.ids[k], *shares))
         return out
 
@@ -213,28 +210,28 @@ class Index:
         return self.terms[at] == own
 
 
-def indexes(items: DataFrame, id_col="item_id", text_col="text", overlap: float = 0.8, passage: int = 64, max_index_words: int = 2_000_000) -> Iterator[tuple[Index, bool]]:
+def indexes(items: DataFrame, id_col="item_id", text_col="text", overlap: float = 0.8, max_index_words: int = 2_000_000) -> Iterator[tuple[Index, bool]]:
     """Indexes of the test items, each of ``max_index_words`` words at most, one after the other, and whether it is the only one."""
     held, n, before = [], 0, False
     for r in items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).orderBy("id").toLocalIterator():
         size = len((r["text"] or "").split())
         if held and n + size > max_index_words:
-            yield Index(held, overlap, passage), False
+            yield Index(held, overlap), False
             held, n, before = [], 0, True
         held.append((r["id"], r["text"]))
         n += size
     if held:
-        yield Index(held, overlap, passage), not before
+        yield Index(held, overlap), not before
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 64, max_index_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 4096, max_index_words: int = 2_000_000) -> DataFrame:
     """One row per document and test item in it: id, item_id, question_overlap, answer_overlap."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     item_type = items.schema[item_col].dataType
     kind, item_kind = rows.schema["id"].dataType.simpleString(), item_type.simpleString()
     shape = to_arrow_type(item_type)
     found = None
-    for index, only in indexes(items, item_col, "text", overlap, passage, max_index_words):
+    for index, only in indexes(items, item_col, "text", overlap, max_index_words):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
@@ -257,21 +254,30 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="t
     return found
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 64, max_index_words: int = 2_000_000) -> DataFrame:
-    """``docs`` without the documents that hold a test item; all columns stay."""
-    at_text = docs.columns.index(text_col)
-    for index, only in indexes(items, item_col, "text", overlap, passage, max_index_words):
+def clean(docs: DataFrame, items: DataFrame, text_col="text", item_col="item_id", overlap: float = 0.8, passage: int = 4096, max_index_words: int = 2_000_000) -> DataFrame:
+    """``docs`` without the documents that hold a test item; all columns stay.
+
+    With more than one index the documents are kept once, under tags, and each index
+    only adds the tags of those in which it finds an item.
+    """
+    tag, rows, hits = "_tag", docs, None
+    for index, only in indexes(items, item_col, "text", overlap, max_index_words):
         held = docs.sparkSession.sparkContext.broadcast(index)
+        if not only and hits is None:
+            rows = cut(docs.withColumn(tag, F.monotonically_increasing_id()))
+        at_text = rows.columns.index(text_col)
 
-        def run(batches, held=held):
+        def run(batches, held=held, wanted=only, at_text=at_text):
             for b in batches:
-                yield b.filter(pa.array([not held.value.matches(t.as_py(), passage) for t in b.column(at_text)], pa.bool_()))
-
-        docs = docs.mapInArrow(forgetful(forget, run), docs.schema)
-        if not only:
-            docs = cut(docs)
-            held.unpersist()
-    return docs
+                found = b.filter(pa.array([bool(held.value.matches(t.as_py(), passage)) != wanted for t in b.column(at_text)], pa.bool_()))
+                yield found if wanted else found.select([len(found.schema) - 1])
+
+        if only:
+            return docs.mapInArrow(forgetful(forget, run), docs.schema)
+        one = cut(rows.mapInArrow(forgetful(forget, run), f"{tag} long"))
+        held.unpersist()
+        hits = one if hits is None else hits.union(one)
+    return docs if hits is None else rows.join(hits.distinct(), tag, "left_anti").drop(tag)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

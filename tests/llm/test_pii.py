@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from harrow.llm import pii
 
 PATTERNS = {
@@ -66,8 +68,9 @@ def test_reliabilities_find_the_bad_labeler():
     assert post[(1, 1, -1, 1)] > 0.95 and post[(-1, -1, 1, -1)] < 0.05
 
 
-def test_added_spans_are_right_and_many(spark):
-    """Planted spans of the added kinds among look-alikes: precision and recall of what the method adds."""
+@pytest.mark.parametrize(("cues", "least"), [(True, 0.9), (False, 0.8)])
+def test_added_spans_are_right_and_many(spark, cues, least):
+    """Planted spans of the added kinds among look-alikes, with words of their context and without: precision and recall of what the method adds."""
     rng = random.Random(4)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     filler = lambda: " ".join("".join(rng.choice("aeioustnrlm") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(8, 30)))
@@ -90,7 +93,7 @@ def test_added_spans_are_right_and_many(spark):
     for i in range(900):
         kind, make = true[i % len(true)] if i % 3 else ("", false[i // 3 % len(false)])
         before, value, after = make()
-        head = filler() + " " + before
+        head = filler() + " " + (before if cues else "")
         texts.append(head + value + after + " " + filler())
         want.append({f"{kind}:{len(head)}:{len(head) + len(value)}"} if kind else set())
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -99,10 +102,17 @@ def test_added_spans_are_right_and_many(spark):
     hit = sum(len(got[i] & w) for i, w in enumerate(want))
     said, planted = sum(map(len, got.values())), sum(map(len, want))
     by_kind = {k: (sum(len(got[i] & w) for i, w in enumerate(want) if w and next(iter(w)).startswith(k)), sum(1 for w in want if w and next(iter(w)).startswith(k))) for k in names}
-    assert hit >= 0.9 * planted and hit >= 0.9 * said, (hit, planted, said, by_kind)
+    print(f"cues {cues}: recall {hit / planted:.3f}, precision {hit / said:.3f}", by_kind)
+    assert hit >= least * planted and hit >= least * said, (hit, planted, said, by_kind)
 
 
 def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "mail a@b.com"), (None, "mail a@b.com"), (3, "mail a@b.com"), (3, "mail a@b.com"), (4, None)]
     got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["id"] or 0, len(r["spans"])) for r in got) == [(0, 1), (0, 1), (3, 1), (3, 1), (4, 0)]
+
+
+def test_many_spans_in_one_text(spark, tmp_path):
+    text = " ".join(f"u{k}@mail{k % 97}.com +1 415 555 {k % 10000:04d}" for k in range(15_000))
+    spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check(pii.op10_pii(spark, str(tmp_path)).collect(), {1: text, 2: "none"})

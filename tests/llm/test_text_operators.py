@@ -268,11 +268,32 @@ def test_decontamination_odd_rows(spark):
     assert sorted((r["id"] or 0, r["item_id"]) for r in decontam.contaminated(repeated, spark.createDataFrame([(None, "tiny one"), (2, "x")], "item_id long, text string")).collect()) == [(0, None), (7, None), (7, None)]
 
 
+def test_items_in_pieces_are_found_all_over_a_text(spark):
+    """Items of 30 to 120 words in 2 to 6 pieces, 200 other words between; some of them lose too much to pass."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    items, texts = {}, {}
+    for i, (n, cuts) in enumerate((n, cuts) for n in (30, 60, 100, 120) for cuts in (2, 3, 4, 5, 6)):
+        own = [word() for _ in range(n)]
+        own[2 * n // 3] += "."
+        items[i] = " ".join(own)
+        at = sorted(rng.sample(range(6, n - 6), cuts - 1))
+        parts = [own[a:b] for a, b in zip([0, *at], [*at, n], strict=True)]
+        texts[i] = " ".join(" ".join(p) + " " + " ".join(word() for _ in range(200)) for p in parts)
+        texts[100 + i] = " ".join(" ".join(p) + " " + " ".join(word() for _ in range(200)) for p in parts[1:])
+    want = plain_contaminated(texts, items)
+    assert 5 <= len(want) < 20, sorted(want)
+    docs, tests = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for passage, most in ((4096, 2_000_000), (64, 500)):
+        assert {(r["id"], r["item_id"]) for r in decontam.contaminated(docs, tests, passage=passage, max_index_words=most).collect()} == want
+        assert {r["doc_id"] for r in decontam.clean(docs, tests, passage=passage, max_index_words=most).collect()} == set(texts) - {d for d, _ in want}
+
+
 def test_block_max_wand_finds_all_above_threshold():
     rng = random.Random(9)
     words = [f"w{k}" for k in range(40)]
     items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(6, 30)))) for i in range(300)]
-    index = decontam.Index(items, 0.8, 64)
+    index = decontam.Index(items, 0.8)
     for _ in range(200):
         terms = sorted(set(rng.sample(list(index.lists), 6) + list(decontam.shingles(decontam.word_hashes(items[rng.randrange(300)][1])).tolist())))
         want = {}
