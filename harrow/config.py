@@ -121,6 +121,7 @@ def _value(kind, value, at: str):
             return None
         kind = next(k for k in typing.get_args(kind) if k is not type(None))
     if typing.get_origin(kind) is list:
+        value = [value] if isinstance(value, str) else value  # one string is a list of one
         if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
             raise ConfigError(f"{at}: a list of strings is wanted, not {value!r}")
         return list(value)
@@ -190,7 +191,7 @@ def validate(c: Config) -> list[str]:
     elif c.storage.type != "none" and not c.storage.path:
         out.append("storage.path: wanted for this storage type")
     for at, x in (("logging.level", c.logging.level), ("logging.console_level", c.logging.console_level)):
-        if x not in LEVELS:
+        if x.upper() not in LEVELS:
             out.append(f"{at}: one of {', '.join(LEVELS)}")
     if c.logging.format not in ("text", "json"):
         out.append("logging.format: text or json")
@@ -200,7 +201,9 @@ def validate(c: Config) -> list[str]:
                 re.compile(p)
             except re.error as e:
                 out.append(f"{at}: {p!r}: {e}")
+    if any(not x.strip() for x in c.crawler.user_agents):
+        out.append("crawler.user_agents: no blank ones")
     for u in [*c.start_urls, *c.sitemaps]:
-        if not re.match(r"https?://[^/]", u):
+        if not u.startswith(("http://", "https://")):
             out.append(f"{u!r}: an http or https address is wanted")
     return out

@@ -39,7 +39,7 @@ class CrawlEngine:
         self.rules = self.pages = self.seen = self.states = None
         self.run_id = 0
 
-    #: Failed URLs that the statistics list one by one.
+    #: Rows of each list that ``get_stats`` holds in memory; ``tables`` and the JSON file have them all.
     MOST = 1000
 
     @classmethod
@@ -83,15 +83,15 @@ class CrawlEngine:
             self.reporter.update(self.done)
         return out
 
-    def sitemap_urls(self) -> list[str]:
-        """Addresses from configured sitemaps and, if asked for, those the start sites name."""
+    def sitemap_urls(self) -> DataFrame | None:
+        """(url, rank) from configured sitemaps and, if asked for, those the start sites name; None if there are no sitemaps."""
         roots = list(self.config.sitemaps)
         if self.config.use_sitemap and self.config.start_urls:
             start = self.spark.createDataFrame([(u,) for u in self.config.start_urls], "url string")
             sites = start.select(urls.domain_of(F.col("url")).alias("domain"), urls.scheme_of(F.col("url")).alias("scheme")).distinct()
             roots += [r["sitemap"] for r in robots.sitemaps_of(sites, self._robots(start)).collect()]
         if not roots:
-            return []
+            return None
         frame = self.spark.createDataFrame(list(enumerate(dict.fromkeys(roots))), "seq long, sitemap string")
         files, known = None, frame.select(F.col("sitemap").alias("url"))
         for _ in range(4):  # indexes are read before their files, three levels deep
@@ -104,20 +104,22 @@ class CrawlEngine:
             known = frontier.cut(inner.join(files.select(F.col("sitemap").alias("url")), "url", "left_anti"))
             if known.isEmpty():
                 break
-        return [r["url"] for r in found.orderBy("rank").collect()]
+        return found
 
     def crawl(self) -> DataFrame:
         """Successful pages of a run; a second call is a new run with fresh statistics into the same sink."""
         self.run_id, self.began, self.done, self.states = self.run_id + 1, time.time(), 0, None
-        start = list(dict.fromkeys([*self.config.start_urls, *self.sitemap_urls()]))
-        if not start:
+        start = list(dict.fromkeys(self.config.start_urls))
+        seeds, found = self.spark.createDataFrame([(u, k) for k, u in enumerate(start)], "url string, seq long"), self.sitemap_urls()
+        if found is not None:
+            seeds = frontier.cut(seeds.unionByName(found.select("url", (F.col("rank") + len(start)).alias("seq"))))
+        if not start and (found is None or seeds.isEmpty()):
             raise conf.ConfigError("start_urls: at least one address or sitemap is wanted")
         p, lim, fil = self.config.progress, self.config.limits, self.config.filters
         self.reporter = Reporter(lim.max_pages, p.interval) if p.enabled else None
         allow = None
         if self.config.crawler.respect_robots:
             allow = lambda rows: robots.allowed(rows, self._robots(rows), self.agents[0])
-        seeds = self.spark.createDataFrame([(u, k) for k, u in enumerate(start)], "url string, seq long")
         self.pages, self.seen = frontier.crawl(seeds, self._fetch, lim.max_pages, lim.max_depth, fil.same_domain_only, fil.exclude_patterns, fil.include_patterns, allow)
         if self.sink is not None:
             self.sink.flush()
@@ -130,27 +132,38 @@ class CrawlEngine:
             self.export_to_html_report(self.config.output.html_report)
         return self.pages.filter("error is null")
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The parts of the statistics that grow with the crawl, whole."""
+        p = self.pages
+        return {
+            "permanent_urls": stats.permanent_urls(p).select("url"),
+            "errors_of": p.filter("error is not null").select("url", "error", "status", "reason", F.size("attempts").alias("attempts")).orderBy("url"),
+            "rates": stats.rate_stats(p.withColumns({"ts": F.timestamp_seconds("began"), "id": F.col("url")}), time.time(), wait=F.col("wait")).orderBy("domain"),
+            "backoff": self.states.filter("state.backoff > 0").select("domain", "state.backoff").orderBy("domain"),
+            "peaks_by_domain": stats.peak_concurrency(p, "domain", "began", "ended").orderBy("domain"),
+        }
+
     def get_stats(self, top_n: int = 10) -> dict:
+        """The statistics; of each of ``tables`` the first ``MOST`` rows."""
         rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
         p = self.pages
+        head = {name: rows(df.limit(self.MOST)) for name, df in self.tables().items()}
         attempts = p.select("url", F.explode("attempts").alias("a")).select("url", "a.*")
         t = rows(stats.totals(p, self.duration))[0]
         t |= {"success_rate": round(t["success_rate"], 1), "pages_per_second": round(t["pages_per_second"], 2), "duration": round(t["duration"], 3)}
         return {
             "start_urls": list(self.config.start_urls), "totals": t, "status": rows(stats.status_histogram(p).orderBy(*stats.status_order())),
             "top_domains": rows(stats.top_domains(p, top_n)), "errors": rows(stats.errors_by_type(p).orderBy(F.desc("pages"))), "depth": rows(stats.depth_distribution(p).orderBy("depth")),
-            "timeline": rows(stats.timeline(p, max(self.duration, 0.001)).orderBy("bin")), "failures": rows(stats.failures_head(p)), "permanent_urls": [r["url"] for r in rows(stats.permanent_urls(p))],
+            "timeline": rows(stats.timeline(p, max(self.duration, 0.001)).orderBy("bin")), "failures": rows(stats.failures_head(p)), "permanent_urls": [r["url"] for r in head["permanent_urls"]],
             "queue": rows(stats.queue_stats(self.seen, p))[0], "retries": rows(stats.retry_stats(attempts))[0] | {"errors": rows(stats.attempt_errors(attempts).orderBy("error"))},
-            "errors_of": rows(p.filter("error is not null").select("url", "error", "status", "reason", F.size("attempts").alias("attempts")).orderBy("url").limit(self.MOST)),
-            "rates": rows(stats.rate_stats(p.withColumns({"ts": F.timestamp_seconds("began"), "id": F.col("url")}), time.time(), wait=F.col("wait")).orderBy("domain")),
-            "backoff": rows(self.states.filter("state.backoff > 0").select("domain", "state.backoff").orderBy("domain")), "breaker": rows(fetch.breaker_stats(self.states))[0],
-            "peaks": {"total": rows(stats.peak_concurrency(p.withColumn("all", F.lit("")), "all", "began", "ended"))[0]["peak"], "by_domain": rows(stats.peak_concurrency(p, "domain", "began", "ended").orderBy("domain"))},
+            "errors_of": head["errors_of"], "rates": head["rates"], "backoff": head["backoff"], "breaker": rows(fetch.breaker_stats(self.states))[0],
+            "peaks": {"total": rows(stats.peak_concurrency(p.withColumn("all", F.lit("")), "all", "began", "ended"))[0]["peak"], "by_domain": head["peaks_by_domain"]},
             "partial_parses": p.filter("error is null and size(parse_errors) > 0").count(), "skipped_by_depth": rows(stats.skipped_by_depth(p, self.config.limits.max_depth))[0]["skipped"],
             "storage": self.sink.stats() if self.sink else None,
         }
 
     def export_to_json(self, path: str) -> None:
-        sinks.write_stats_json(self.get_stats(), path)
+        sinks.write_stats_json(self.get_stats(), path, self.tables())
 
     def export_to_html_report(self, path: str) -> None:
         report.write(self.get_stats(), path)

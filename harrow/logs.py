@@ -25,13 +25,13 @@ def setup(level="INFO", console_level="WARNING", file=None, max_bytes=1_000_000,
     log.setLevel("DEBUG")
     log.propagate = False
     console = logging.StreamHandler()
-    console.setLevel(console_level)
+    console.setLevel(console_level.upper())
     console.setFormatter(logging.Formatter("%(levelname)s %(name)s: %(message)s"))
     log.addHandler(console)
     if file:
         Path(file).parent.mkdir(parents=True, exist_ok=True)
         out = logging.handlers.RotatingFileHandler(file, maxBytes=max_bytes, backupCount=backup_count, encoding="utf-8")
-        out.setLevel(level)
+        out.setLevel(level.upper())
         out.setFormatter(JsonFormatter() if format == "json" else logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
         log.addHandler(out)
     return log

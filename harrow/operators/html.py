@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -312,6 +313,26 @@ def quick_links(base: Column, html: Column) -> Column:
     return F.array_distinct(F.filter(joined, lambda u: u.isNotNull()))
 
 
+#: An anchor whose href ``quick_hrefs`` doesn't see or ``quick_links`` can't resolve: not in double quotes, relative to the path or the scheme, or with an entity that is not in ``ENTITIES``.
+_OTHER_HREF = (
+    r"(?is)<a\s(?:[^>]*?\s)?href(?:\s+=|=[^\"])|<a\s[^>]*?[^\s>]href\s*="
+    r"|<a\s[^>]*?href=\"\s*(?!(?:https?://|/(?!/)|#|\"|[a-z][a-z0-9+.-]*:))[^\"]"
+    r"|<a\s[^>]*?href=\"[^\"]*?(?:\.\./|/\./|&(?!(?:" + "|".join(k[1:] for k in ENTITIES) + r"))#?[a-z0-9]+;)"
+)
+
+
+def with_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``pages`` with ``links``: by expressions where every href has one of the usual forms, by the parser for other pages."""
+    other = F.coalesce(F.col(html_col).rlike(_OTHER_HREF), F.lit(False))
+    quick = pages.filter(~other).withColumn("links", F.coalesce(quick_links(F.col(url_col), F.col(html_col)), F.array().cast("array<string>")))
+    return quick.unionByName(pages.filter(other).withColumn("links", _parsed_links(F.col(url_col), F.col(html_col))))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _parsed_links(url: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([links(tree(h), u or "") for u, h in zip(url, html, strict=True)], dtype=object)
+
+
 def quick_text(html: Column) -> Column:
     """Visible text: hidden elements, comments and tags away, pieces stripped and joined by one blank."""
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", "\u0001")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import urls
 
-RULES = "domain string, mode string, agent string, kind string, pattern string, crawl_delay double, sitemap string"
+RULES = "domain string, mode string, agent string, kind string, pattern string, crawl_delay double, sitemap string, line int"
 
 
 def mode_of(status: int | None) -> str:
@@ -19,9 +19,9 @@ def mode_of(status: int | None) -> str:
 
 
 def parse_text(text: str) -> list[tuple]:
-    """(agent, kind, pattern, crawl_delay, sitemap) rows; each agent has a row of kind "agent"."""
+    """(agent, kind, pattern, crawl_delay, sitemap, line) rows; each agent has a row of kind "agent"."""
     out, agents, fresh = [], [], False
-    for raw in text.splitlines():
+    for line, raw in enumerate(text.splitlines(), 1):
         name, colon, value = raw.split("#", 1)[0].strip().partition(":")
         name, value = name.strip().lower(), value.strip()
         if not colon:
@@ -29,16 +29,16 @@ def parse_text(text: str) -> list[tuple]:
         if name == "user-agent":
             agents = [*agents, value.lower()] if fresh else [value.lower()]
             fresh = True
-            out.append((value.lower(), "agent", None, None, None))
+            out.append((value.lower(), "agent", None, None, None, line))
             continue
         fresh = False
         if name == "sitemap":
-            out.append((None, "sitemap", None, None, value))
+            out.append((None, "sitemap", None, None, value, line))
         elif name in ("allow", "disallow") and value:
-            out += [(a, name, value, None, None) for a in agents]
+            out += [(a, name, value, None, None, line) for a in agents]
         elif name == "crawl-delay":
             try:
-                out += [(a, "delay", None, float(value), None) for a in agents]
+                out += [(a, "delay", None, float(value), None, line) for a in agents]
             except ValueError:
                 pass
     return out
@@ -52,7 +52,7 @@ def parse_robots(files: DataFrame) -> DataFrame:
             rows = []
             for domain, status, text in zip(b["domain"], b["status"], b["text"], strict=True):
                 mode = mode_of(None if pd.isna(status) else int(status))
-                rows.append((domain, mode, None, "site", None, None, None))
+                rows.append((domain, mode, None, "site", None, None, None, 0))
                 if mode == "rules":
                     rows += [(domain, mode, *r) for r in parse_text(text or "")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RULES.split(", ")]).astype({"crawl_delay": float})
@@ -100,7 +100,7 @@ def allowed(pages: DataFrame, rules: DataFrame, user_agent: str = "*", url_col:
 
 def crawl_delays(rules: DataFrame, user_agent: str = "*") -> DataFrame:
     """(domain, crawl_delay) of the chosen group, 0 where it names none (the last line counts)."""
-    delays = rules.filter("kind = 'delay'").groupBy("domain", "agent").agg(F.last("crawl_delay").alias("crawl_delay"))
+    delays = rules.filter("kind = 'delay'").groupBy("domain", "agent").agg(F.max_by("crawl_delay", "line").alias("crawl_delay"))
     sites = rules.filter("kind = 'site'").select("domain").distinct()
     chosen = pick_groups(rules, user_agent).join(delays, ["domain", "agent"], "left")
     return sites.join(chosen, "domain", "left").select("domain", F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"))

@@ -102,12 +102,20 @@ def raw_links(spark, d):
 
 @query(ABSOLUTE)
 def links_absolute(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(html.quick_links(F.col("url"), F.col("html"))).alias("link"))
+    return html.with_links(table(spark, d, "pages")).select("page_id", F.explode("links").alias("link"))
+
+
+@query(ABSOLUTE)
+def links_any(spark, d):
+    """Pages whose root-relative hrefs are in single quotes and climb above the root instead: the parser's links are the same."""
+    other = F.regexp_replace("html", r'(?i)(<a\s[^>]*?)href="/([^"/\'][^"\']*)"', "$1href='../../../../../../../../$2'")
+    pages = table(spark, d, "pages").select("page_id", "url", other.alias("html"))
+    return html.with_links(pages).select("page_id", F.explode("links").alias("link"))
 
 
 @query(f"SELECT p.page_id, count(a.link) AS n_links FROM pages p LEFT JOIN ({ABSOLUTE}) a USING (page_id) GROUP BY 1")
 def link_counts(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(html.quick_links(F.col("url"), F.col("html"))).cast("long").alias("n_links"))
+    return html.with_links(table(spark, d, "pages")).select("page_id", F.size("links").cast("long").alias("n_links"))
 
 
 TITLE = rf"trim(regexp_replace({unescaped(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))}, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', ' ', 'g'))"
@@ -413,6 +421,14 @@ def robots_allowed(spark, d):
     return robots.allowed(table(spark, d, "pages").select("page_id", "url"), site_rules(spark, d), "AnyBot/1.0").select("page_id", "allowed")
 
 
+@query(f"SELECT domain, CASE WHEN {SITE} % 7 = 0 OR {SITE} % 11 = 0 THEN 0 ELSE {SITE} % 5 + 0.5 END::DOUBLE AS crawl_delay FROM ({DOMAINS})")
+def robots_last_delay(spark, d):
+    """Files whose group names the delay again below: the last line counts, wherever its row lies."""
+    rules = site_rules(spark, d)
+    again = rules.filter("kind = 'delay'").withColumns({"crawl_delay": F.col("crawl_delay") + 0.5, "line": F.col("line") + 100})
+    return robots.crawl_delays(again.unionByName(rules).repartition(7, "line", "domain"), "AnyBot/1.0")
+
+
 @query(f"SELECT domain, CASE WHEN {SITE} % 7 = 0 OR {SITE} % 11 = 0 THEN 0 ELSE {SITE} % 5 END::DOUBLE AS crawl_delay FROM ({DOMAINS})")
 def robots_delay(spark, d):
     return robots.crawl_delays(site_rules(spark, d), "AnyBot/1.0")
@@ -457,6 +473,21 @@ def bfs_whole(spark, d):
     return pages.select("url", "depth")
 
 
+CRAWLED = f"""WITH p AS (SELECT page_id, {NORMALIZED} AS url FROM pages), k AS (SELECT url, min(page_id) AS page_id FROM p GROUP BY 1),
+l AS (SELECT DISTINCT {NORMALIZED.replace("url", "link")} AS url FROM ({ABSOLUTE}))
+SELECT url, 0 AS depth, NULL AS error FROM k UNION ALL SELECT url, 1 AS depth, 'PermanentError' AS error FROM l WHERE url NOT IN (SELECT url FROM k)"""
+
+
+@query(CRAWLED)
+def crawl_pages(spark, d):
+    """A crawl of the stored pages by the links in their HTML, from all of them on; what is not stored fails."""
+    pages = table(spark, d, "pages")
+    start = pages.select("url", F.col("page_id").alias("seq"))
+    corpus = html.with_links(pages.select("page_id", urls.normalize(F.col("url")).alias("url"), "html")).groupBy("url").agg(F.min_by("links", "page_id").alias("links"))
+    got, _ = frontier.crawl(start, frontier.corpus_fetch(corpus), max_pages=1 << 40, max_depth=50)
+    return got.select("url", "depth", "error")
+
+
 @query(f"{BFS_ALL} SELECT least(15, count(DISTINCT node)) AS pages, least(15, count(DISTINCT node)) AS started FROM w")
 def crawl_limited(spark, d):
     pages, seen = _crawl(spark, d, max_pages=15, max_depth=10)
@@ -750,7 +781,7 @@ def breaker_totals(spark, d):
     return limits.breaker_stats(limits.breaker_trace(_outcomes(spark, d), 2, 3600.0)).select("times_opened", "rejected", F.size("open_domains").cast("long").alias("open_now"))
 
 
-def _streamed(spark, d, name: str, build, *aggregate) -> DataFrame:
+def _streamed(spark, d, name: str, build) -> DataFrame:
     """What a stream over a table's file gives, run to its end into the warehouse, which all executors share."""
     stream = spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parq*et")
     out = _place(spark, f"stream_{name}")
@@ -762,7 +793,13 @@ def _streamed(spark, d, name: str, build, *aggregate) -> DataFrame:
 @query("SELECT DISTINCT url FROM pages")
 def stream_seen(spark, d):
     """Each URL of a stream once (streaming state that lasts)."""
-    return _streamed(spark, d, "pages", lambda s: s.select("url").dropDuplicates(["url"]))
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        return _streamed(spark, d, "pages", lambda s: limits.stream_unseen(s.select("url")))
+    finally:
+        spark.conf.set(key, before)
 
 
 @query("SELECT domain, id, state, times_opened, rejected FROM (" + BREAKER + ")")

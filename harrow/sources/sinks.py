@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import shutil
 import time
@@ -30,9 +31,14 @@ class Sink:
     less than a batch, waits in the checkpoint folder for more or for ``flush``.
     """
 
+    #: Batches that may be lost in a row before the rest of a save is not tried any more.
+    GIVE_UP = 8
+    _in_row = 0
+
     def __init__(self, path: str | None = None, batch_size: int = 50, retries: int = 2, delay: float = 0.2):
         self.path, self.batch_size, self.retries, self.delay = path, batch_size, retries, delay
         self.saved = self.failed = self.batches = self.write_errors = self.buffered = 0
+        self.closed = False
         self._held: DataFrame | None = None
 
     def _write(self, batch: DataFrame) -> None:
@@ -50,12 +56,12 @@ class Sink:
         if not whole:
             self._held, self.buffered = rows, n
             return True
-        if whole == n:
+        if whole == n == self.batch_size:
             self._held, self.buffered = None, 0
             return self._tried(rows, n)
         ranked = rank_rows(rows, ["crawled_at", "url"], "_rank")
-        self._held, self.buffered = cut(ranked.filter(F.col("_rank") > whole).drop("_rank")), n - whole
-        return self._tried(ranked.filter(F.col("_rank") <= whole).drop("_rank"), whole)
+        self._held, self.buffered = (cut(ranked.filter(F.col("_rank") > whole).drop("_rank")), n - whole) if whole < n else (None, 0)
+        return self._parted(ranked, 1, whole)
 
     def flush(self) -> bool:
         """Writes what waits."""
@@ -63,22 +69,50 @@ class Sink:
         self._held, self.buffered = None, 0
         return self._tried(held, n) if n else True
 
-    def _tried(self, rows: DataFrame, n: int) -> bool:
-        for k in range(self.retries + 1):
+    def _tried(self, rows: DataFrame, n: int, lost: bool = True) -> bool:
+        """One write with its retries. lost: what fails for good is lost, and not to be tried again in parts."""
+        for k in range(self.retries + 1 if lost else 1):
             try:
                 self._write(rows)
                 self.saved, self.batches = self.saved + n, self.batches + -(-n // self.batch_size)
+                self._in_row = 0
                 return True
             except Exception:
                 self.write_errors += 1
-                if k < self.retries:
+                if lost and k < self.retries:
                     time.sleep(self.delay * 2**k)
-        self.failed += n
+        if lost:
+            self.failed += n
+            self._in_row += 1
         return False
 
+    def _parted(self, ranked: DataFrame, first: int, last: int) -> bool:
+        """Whole batches of ranks ``first`` to ``last`` in one write; if that fails, by halves, so that a bad row costs its batch alone.
+
+        After ``GIVE_UP`` lost batches in a row the rest is lost untried: then the place itself is bad.
+        """
+        n = last - first + 1
+        rows = ranked.filter(F.col("_rank").between(first, last)).drop("_rank")
+        if n <= self.batch_size:
+            return self._tried(rows, n)
+        if self._in_row >= self.GIVE_UP:
+            self.failed += n
+            return False
+        if self._tried(rows, n, lost=False):
+            return True
+        half = first + -(-n // self.batch_size) // 2 * self.batch_size - 1
+        return all([self._parted(ranked, first, half), self._parted(ranked, half + 1, last)])
+
     def close(self) -> None:
+        """Writes what waits and closes, once; what goes wrong then is only logged."""
+        if self.closed:
+            return
         self.flush()
-        self._close()
+        try:
+            self._close()
+        except Exception:
+            logging.getLogger("harrow").exception("closing %s", type(self).__name__)
+        self.closed = True
 
     def stats(self) -> dict:
         return {"saved": self.saved, "failed": self.failed, "batches": self.batches, "write_errors": self.write_errors, "buffered": self.buffered}
@@ -166,9 +200,25 @@ def make_sink(kind: str, path: str | None, batch_size: int = 50, overwrite: bool
     return {"json": JsonArray, "jsonl": JsonLines, "sqlite": Sqlite}[kind](path, batch_size=batch_size)
 
 
-def write_stats_json(stats: dict, path: str, **extra) -> None:
+def write_stats_json(stats: dict, path: str, tables: dict[str, DataFrame] | None = None, **extra) -> None:
+    """One JSON object. tables: lists that come row by row from Spark, whole, in place of those of these names."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(stats | extra, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    tables = tables or {}
+    said = {k: v for k, v in (stats | extra).items() if k not in tables}
+    text = json.dumps(said, ensure_ascii=False, indent=2, default=str)
+    if not tables:
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(text[:-1].rstrip() + "," * bool(said))
+        for k, (name, rows) in enumerate(tables.items()):
+            out.write("," * bool(k) + f"\n  {json.dumps(name)}: [")
+            one = len(rows.columns) == 1
+            for j, r in enumerate(rows.toLocalIterator()):
+                cell = r[0] if one else r.asDict(recursive=True)
+                out.write("," * bool(j) + "\n    " + json.dumps(cell, ensure_ascii=False, default=str))
+            out.write("\n  ]")
+        out.write("\n}")
 
 
 def for_each_batch(sink: Sink, hook: Callable[[DataFrame], None] | None = None):
