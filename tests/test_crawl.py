@@ -109,6 +109,25 @@ def test_robots_matrix(spark):
     assert {r["sitemap"] for r in robots.sitemaps_of(sites, rules).collect()} == {"http://h.test/s.xml", "https://x.test/sitemap.xml"}
 
 
+def test_last_delay_line_counts_wherever_its_row_lies(spark):
+    said = "User-agent: *\nCrawl-delay: 9\nDisallow: /x\nCrawl-delay: 2\nUser-agent: good\nCrawl-delay: 1\nCrawl-delay: bad\nCrawl-delay: 4\n"
+    rules = robots.parse_robots(spark.createDataFrame([("h.test", 200, said)], "domain string, status int, text string"))
+    for n in range(1, 5):
+        for order in (F.desc("line"), F.asc("line")):
+            dealt = rules.repartition(n, "crawl_delay", "line").sortWithinPartitions(order)
+            assert [robots.crawl_delays(dealt, a).first()["crawl_delay"] for a in ("any", "goodbot")] == [2.0, 4.0]
+
+
+def test_links_of_any_form_equal_those_of_the_parser(spark):
+    anchors = ['<a href="/root">', "<a href='../x'>", "<a href=bare>", '<a href="rel">', '<a href="//cdn.test/y">', '<a class="b" href="?q=1">', '<a HREF = "/spaced">', '<a href="/a/../b">', '<a href="/caf&eacute;">', '<a href="/and&amp;">', '<a href="#x">', '<a href="">', '<a href="mailto:a@b">', '<a data-href="/no" href="/yes">', '<a href="http://o.test/p#f">', "<a name=x>", '<a href=" /pad ">', "<b>"]
+    pages = [(k, "http://h.test/d/e/f", f"<p>{a}t</a>") for k, a in enumerate(anchors)] + [(99, "http://h.test/d/e/f", "".join(anchors)), (100, "http://h.test/", None), (101, None, '<a href="/x">')]
+    got = {r["k"]: r["links"] for r in html.with_links(spark.createDataFrame(pages, "k long, url string, html string")).collect()}
+    assert len(got) == len(pages) and got[100] == []
+    for k, url, page in pages:
+        if url and page:
+            assert got[k] == html.parse_page(url, page)["links"], (k, page)
+
+
 def test_sitemap_bodies():
     assert text.sitemap_locations(b"<urlset><url><loc> a </loc><x>1</x></url></urlset>") == ("urlset", ["a"], None)
     assert text.sitemap_locations(gzip.compress(b"<sitemapindex><sitemap><loc>b</loc></sitemap></sitemapindex>"))[:2] == ("sitemapindex", ["b"])

@@ -138,3 +138,51 @@ def test_log_lines(tmp_path):
     said = json.loads((tmp_path / "l.log").read_text())
     assert said["level"] == "ERROR" and said["message"] == "bad" and "KeyError" in said["exception"]
     logs.setup()
+
+
+def test_lenient_settings(tmp_path):
+    c = config.from_dict({"start_urls": "http://h.test/", "logging": {"level": "info"}, "crawler": {"user_agents": ["a"]}})
+    assert c.start_urls == ["http://h.test/"]
+    logs.setup(level=c.logging.level, console_level="error", file=f"{tmp_path}/l.log")
+    logs.setup()
+    for wrong in ({"crawler": {"user_agents": ["a", " "]}}, {"start_urls": ["ftp://h.test/"]}, {"start_urls": [1]}):
+        with pytest.raises(config.ConfigError):
+            config.from_dict(wrong)
+
+
+class Picky(sinks.JsonLines):
+    """Refuses batches with certain URLs; closing fails."""
+
+    def _write(self, batch):
+        if batch.filter("url like '%bad%'").count():
+            raise OSError("refused")
+        super()._write(batch)
+
+    def _close(self):
+        raise OSError("cannot close")
+
+
+def test_a_bad_row_costs_its_batch_alone(spark, tmp_path):
+    rows = spark.range(40).selectExpr("concat('http://h.test/', lpad(id, 3, '0'), case when id in (7, 30) then '-bad' else '' end) as url", "timestamp'2024-01-01' as crawled_at")
+    sink = Picky(f"{tmp_path}/j", batch_size=5, retries=1, delay=0.0)
+    assert sink.save(rows) is False
+    assert (sink.stats()["saved"], sink.stats()["failed"], sink.stats()["batches"]) == (30, 10, 6)
+    sink.close()
+    sink.close()  # once is enough, and neither raises
+    got = {r["url"][14:17] for r in records.read_json(spark, f"{tmp_path}/j").collect()}
+    assert len(got) == 30 and "007" not in got and "008" not in got and "004" in got
+    none = Picky(f"{tmp_path}/k", batch_size=1, retries=0, delay=0.0)
+    none.GIVE_UP = 3
+    none.save(spark.range(40).selectExpr("concat('bad', id) as url"))
+    assert (none.stats()["saved"], none.stats()["failed"]) == (0, 40) and none.write_errors < 20
+
+
+def test_statistics_file_has_whole_lists(spark, tmp_path):
+    many = spark.range(3000).selectExpr("concat('u', lpad(id, 4, '0')) as url").orderBy("url")
+    pairs = spark.createDataFrame([("a", 1.5), ("b", None)], "domain string, backoff double")
+    sinks.write_stats_json({"totals": {"n": 1}, "permanent_urls": ["u0"]}, f"{tmp_path}/s.json", {"permanent_urls": many, "backoff": pairs, "none": pairs.limit(0)})
+    said = json.loads((tmp_path / "s.json").read_text())
+    assert said["totals"] == {"n": 1} and len(said["permanent_urls"]) == 3000 and said["permanent_urls"][2999] == "u2999"
+    assert said["backoff"] == [{"domain": "a", "backoff": 1.5}, {"domain": "b", "backoff": None}] and said["none"] == []
+    sinks.write_stats_json({}, f"{tmp_path}/t.json", {"none": pairs.limit(0)})
+    assert json.loads((tmp_path / "t.json").read_text()) == {"none": []}
