@@ -24,11 +24,18 @@ and come last in the order, in which no range has to count them.
 In a list of the index, only pairs count whose place in both sets leaves room for
 the overlap that their sizes ask for; sets for which no partner of the list's sizes
 leaves room go first. Then, ``rounds`` times, all members of a list are tested
-against one (that of most links which has not yet led), and lists whose members
-are in one component are done: a hub and its copies never become a square. Of what
-is left every pair of different components is tested. Pairs whose tallies rule the
-similarity out are left away; all others are verified on both whole sets. None of
-``HOT_SHARE``, ``rounds``, the blocks or the fingerprints changes the result.
+against one (that of most links which has not yet led, at last one by chance), and
+lists whose members are in one component are done: a hub and its copies never become a square.
+
+What is left is settled by pivots: that of a text is the one of most links among
+itself and those that it is linked to. The shingles that two texts do not share, of
+those that any other text has, are a distance, so what two pivots lack in common
+bounds from below what their texts lack. In a list only pairs of pivots meet; these
+are tested on whole sets, and only where the bound leaves room do the texts behind
+them meet. Many copies of a few texts that share a template thus cost no more than
+the few. Pairs whose tallies rule the similarity out are left away; all others are
+verified on both whole sets. None of ``HOT_SHARE``, ``rounds``, the blocks, the
+pivots or the fingerprints changes the result.
 
 Defined cases: a null text is an empty one; texts without a word are equal; texts
 with fewer words than a shingle are one shingle; of a group the smallest id stays,
@@ -57,6 +64,8 @@ REMEMBER = 200_000
 CHUNK, RANGE = 1 << 19, 1 << 21
 #: A shingle of this share of all documents is hot; so many are known to every worker at most.
 HOT_SHARE, HOT_MOST = 400, 1_000_000
+#: Leaders that a group of lists with the same members may get in one round.
+LEADERS = 8
 SUMMARY = "tag long, h long, n long, sum binary, tally binary, fp long, hot array<long>, z binary"
 
 
@@ -280,8 +289,66 @@ class _Verifier:
         return _kept(self._both(likely, self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
 
 
+    def differences(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) with apart: how many shingles one of the two has and the other not, of those that any other text has (``shared``: tag, m)."""
+
+        def count(batches):
+            for b in batches:
+                sides = [b.column(c) for c in ("set_a", "set_b")]
+                both = [len(np.intersect1d(*(np.frombuffer(c[k].as_buffer(), np.uint64) for c in sides), assume_unique=True)) for k in range(len(b))]
+                yield b.select(["a", "b"]).append_column("both", pa.array(both, pa.int64()))
+
+        counted = self._both(pairs.select("a", "b"), self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(count, "a long, b long, both long")
+        return _kept(self._both(counted, shared, ["m"]).select("a", "b", (F.col("m_a") + F.col("m_b") - 2 * F.col("both")).alias("apart")))
+
+    def least_apart(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
+        """``pairs`` with apart as their tallies bound it from below, without their sets."""
+
+        def count(batches):
+            for b in batches:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for c in ("tally_a", "tally_b"))
+                yield b.select(["a", "b"]).append_column("apart", pa.array(np.abs(x - y).sum(axis=1)))
+
+        counted = self._both(pairs.select("a", "b"), self.sizes, ["n", "tally"]).select("a", "b", "tally_a", "tally_b").mapInArrow(count, "a long, b long, apart long")
+        alone = self._both(self._both(counted, self.sizes, ["n"]), shared, ["m"])
+        return alone.select("a", "b", (F.col("apart") - (F.col("n_a") - F.col("m_a")) - (F.col("n_b") - F.col("m_b"))).alias("apart"))
+
+
+def _pivots(tags: DataFrame, found: DataFrame) -> DataFrame:
+    """(tag, pivot) for each tag: of itself and what it is linked to the one of most links."""
+    both = found.select("a", "b").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
+    best = both.join(degree, "b").groupBy(F.col("a").alias("tag")).agg(F.max(F.struct("degree", F.col("b").alias("tag"))).alias("other"))
+    own = tags.join(degree.withColumnRenamed("b", "tag"), "tag", "left").join(best, "tag", "left")
+    mine = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "tag")
+    return own.select("tag", F.greatest(mine, F.coalesce("other", mine))["tag"].alias("pivot"))
+
+
+def _by_pivots(lists: DataFrame, found: DataFrame, shared: DataFrame, verified: _Verifier, least: float) -> DataFrame:
+    """New similar pairs of the open lists (s, tag, n, m, place, of). shared: (tag, m) of the whole index, in which the pivots lie."""
+    share = 2 * least / (1 + least)
+    pivots = _pivots(lists.select("tag").distinct(), found).filter("tag != pivot").join(shared.select(F.col("tag").alias("pivot")), "pivot", "left_semi")
+    away = _kept(pivots.select(F.col("tag").alias("a"), F.col("pivot").alias("b")))
+    radius = verified.differences(away, shared).select(F.col("a").alias("tag"), F.col("b").alias("pivot"), F.col("apart").alias("radius"))
+    rows = lists.join(radius, "tag", "left").withColumns({"pivot": F.coalesce("pivot", "tag"), "room": F.col("m") + F.coalesce("radius", F.lit(0)) - share * F.col("n")})
+    rows = _kept(rows.select("s", "tag", "n", "place", "of", "pivot", "room"))
+    groups = _kept(rows.groupBy("s", "pivot").agg(F.max("room").alias("room"), F.min("of").alias("of")))
+    other = groups.select("s", *[F.col(c).alias(f"{c}2") for c in ("pivot", "room", "of")])
+    meet = groups.join(other, "s").filter((F.col("pivot") > F.col("pivot2")) & (F.col("of") != F.col("of2")) & (F.col("room") + F.col("room2") >= -1e-6))
+    meet = meet.groupBy(F.col("pivot").alias("a"), F.col("pivot2").alias("b")).agg(F.max(F.col("room") + F.col("room2")).alias("room"))
+    meet = _kept(meet)
+    likely = _kept(meet.join(verified.least_apart(meet, shared), ["a", "b"]).filter(F.col("room") >= F.col("apart") - 1e-6).select("a", "b", "room"))
+    apart = verified.differences(likely, shared)
+    close = _kept(likely.join(apart, ["a", "b"]).filter(F.col("room") >= F.col("apart") - 1e-6).select("a", "b", "apart"))
+    left = rows.select("s", F.col("pivot").alias("a"), *[F.col(c).alias(f"{c}1") for c in ("tag", "n", "place", "of", "room")])
+    right = rows.select("s", F.col("pivot").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of", "room")])
+    pairs = left.join(close, "a").join(right, ["s", "b"]).filter(F.col("room1") + F.col("room2") >= F.col("apart") - 1e-6)
+    fits = (F.col("of1") != F.col("of2")) & (F.col("place1") <= _room(F.col("n1"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n1"), least))
+    return verified(pairs.filter(fits).select(F.col("tag1").alias("a"), F.col("tag2").alias("b")))
+
+
 def _index(held: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Lists (s, tag, n, place): the shared shingles in the first part of each set."""
+    """Lists (s, tag, n, m, place): the shared shingles in the first part of each set, m of which other texts have."""
     settled = held.filter("range >= 0").select("range", "tag", "sum", "z").groupBy("range").applyInArrow(_settle, "tag long, s long, df int")
     shared = settled.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
     sets = nodes.select("tag", "n", "hot").join(shared, "tag", "left").withColumn("shared", F.coalesce("shared", F.array()))
@@ -289,10 +356,10 @@ def _index(held: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6) + 1
     sets = sets.withColumns({"alone": alone, "more": (first - alone).cast("int")}).filter("more > 0")
     names = F.slice(F.concat(F.transform("shared", lambda x: x["s"]), F.col("hot")), F.lit(1), F.col("more"))
-    return _kept(sets.select("tag", "n", "alone", F.posexplode(names).alias("k", "s")).select("s", "tag", "n", (F.col("alone") + F.col("k") + 1).alias("place")))
+    return _kept(sets.select("tag", "n", "alone", F.posexplode(names).alias("k", "s")).select("s", "tag", "n", (F.col("n") - F.col("alone")).alias("m"), (F.col("alone") + F.col("k") + 1).alias("place")))
 
 
-def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has tag, id and h (hash of the text) of each row; groups (node, component) of all tags that are linked."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -311,6 +378,7 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, le
     del in_run, dealt, of_sets
     release(spark)
     lists = _index(held, nodes, least)
+    shared = _kept(lists.select("tag", "m").distinct())
 
     # SimHash: one neighbour for each fingerprint and each row
     firsts = cut(nodes.groupBy("fp").agg(F.min("tag").alias("first")))
@@ -344,29 +412,30 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, le
         of = lists.join(known, "tag", "left").withColumn("of", F.coalesce("component", "tag"))
         bounds = of.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("n").alias("small")).filter("low != high").select("s", "small")
         open_ = of.join(bounds, "s").filter(F.col("place") <= _room(F.col("n"), F.greatest("small", F.ceil(F.lit(least) * F.col("n") - 1e-6)), least))
-        lists = _kept(open_.select("s", "tag", "n", "place", "of", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("led", F.lit(False)).alias("led")))
+        lists = _kept(open_.select("s", "tag", "n", "m", "place", "of", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("led", F.lit(False)).alias("led")))
         sizes = lists.groupBy("s").agg(F.count("*").alias("size"))
         square, total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).first()
         del ends, known, of, bounds, open_, sizes
         if not total:
             break
         last = r == rounds or square <= 8 * total
-        mine = lists.select("s", "tag", "n", "place", "of")
         if last:
-            other = mine
+            new = _by_pivots(lists.select("s", "tag", "n", "m", "place", "of"), found, shared, verified, least)
         else:
-            key = F.struct("led", (-F.col("degree")).alias("degree"), F.xxhash64("tag", F.lit(r)).alias("x"), "tag", "n", "place", "of")
+            # most links first, for hubs; in the last of these rounds by chance and not the same one in all lists of a group, for groups that nobody leads yet
+            by = -F.col("degree") if r < rounds - 1 else F.lit(0)
+            key = F.struct("led", by.alias("degree"), F.xxhash64("tag", F.lit(r), F.pmod("s", F.lit(LEADERS)) if r == rounds - 1 else F.lit(0)).alias("x"), "tag", "n", "place", "of")
             other = lists.groupBy("s").agg(F.min(key).alias("lead")).select("s", "lead.tag", "lead.n", "lead.place", "lead.of")
             now = other.select("tag", F.lit(True).alias("led")).distinct()
             led = _kept(now if led is None else led.union(now).distinct())
-        other = other.select("s", *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of")])
-        fits = (F.col("of") != F.col("of2")) & (F.col("place") <= _room(F.col("n"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n"), least))
-        pairs = mine.join(other, "s").filter(fits & (F.col("tag") > F.col("tag2")) if last else fits)
-        new = verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")))
+            other = other.select("s", *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of")])
+            fits = (F.col("of") != F.col("of2")) & (F.col("place") <= _room(F.col("n"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n"), least))
+            pairs = lists.select("s", "tag", "n", "place", "of").join(other, "s").filter(fits)
+            new = verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")))
         if not new.isEmpty():  # on from the groups so far, which are stars
             found = _kept(found.union(new))
             group = _kept(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
-        lists = lists.select("s", "tag", "n", "place")
+        lists = lists.select("s", "tag", "n", "m", "place")
         if last:
             break
     return slim, group

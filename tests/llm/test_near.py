@@ -105,6 +105,47 @@ def test_copies_of_every_kind_are_found(spark):
     assert links >= 1000 and got == want
 
 
+def template_group(n, seed=5):
+    """A template of 80 words between two blocks of 20, each of ten, and a word of its own in each text: 0.85 to 0.95 with the same blocks, about 0.7 with others."""
+    rng = np.random.default_rng(seed)
+    out = {}
+    for i in range(n):
+        h, t = rng.integers(0, 10, 2)
+        words = [f"h{h}_{k}" for k in range(20)] + [f"t{k}" for k in range(80)] + [f"e{t}_{k}" for k in range(20)]
+        words[int(rng.integers(0, 120))] = f"own{i}"
+        out[i] = " ".join(words)
+    return out
+
+
+def test_copies_of_a_template_are_compared_in_proportion(spark, monkeypatch):
+    """Every text meets a bounded number of others: leaders of its lists and pivots, whatever the number of texts that share the template."""
+    rows = []
+    call, differences = near._Verifier.__call__, near._Verifier.differences
+
+    def counted(self, pairs):
+        pairs = near.cut(pairs)
+        rows.append(pairs.count())
+        return call(self, pairs)
+
+    def measured(self, pairs, shared):
+        rows.append(pairs.count())
+        return differences(self, pairs, shared)
+
+    monkeypatch.setattr(near._Verifier, "__call__", counted)
+    monkeypatch.setattr(near._Verifier, "differences", measured)
+    took = {}
+    for n in (500, 2000, 4000):
+        texts = template_group(n)
+        rows.clear()
+        got = got_components(spark, texts)
+        took[n] = sum(rows)
+        print(n, rows)
+        if n == 500:
+            want, _ = similar_components(texts)
+            assert got == want
+    assert max(took[n] / n for n in took) < 150 and took[4000] < 3 * took[2000], took
+
+
 def test_equal_words_in_another_order_hide_no_copy(spark):
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(200)]
