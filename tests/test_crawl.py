@@ -109,6 +109,22 @@ def test_robots_matrix(spark):
     assert {r["sitemap"] for r in robots.sitemaps_of(sites, rules).collect()} == {"http://h.test/s.xml", "https://x.test/sitemap.xml"}
 
 
+def test_many_rules_of_a_domain_equal_the_rules_one_by_one(spark, monkeypatch):
+    """A thousand rules of one domain, by prefixes and by trying every rule; another domain has few."""
+    import random
+
+    rng = random.Random(8)
+    part = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    lines = [f"{rng.choice(['Allow', 'Disallow'])}: /{'/'.join(part() for _ in range(rng.randint(1, 3)))}{rng.choice(['', '', '', '$', '*', '*b$', '/*/a', '$x'])}" for _ in range(1000)]
+    said = "User-agent: *\n" + "\n".join([*lines, "Allow: *aab", "Disallow: /"])
+    rules = robots.parse_robots(spark.createDataFrame([("big.test", 200, said), ("small.test", 200, "User-agent: *\nDisallow: /a\n")], "domain string, status int, text string")).cache()
+    pages = spark.createDataFrame([(k, f"http://{rng.choice(['big', 'small', 'other'])}.test/{'/'.join(part() for _ in range(rng.randint(1, 4)))}{rng.choice(['', '$x', '?q=aab', ';p'])}") for k in range(600)] + [(900, "http://big.test"), (901, "http://big.test/robots.txt")], "k long, url string")
+    got = {r["k"]: r["allowed"] for r in robots.allowed(pages, rules).collect()}
+    monkeypatch.setattr(robots, "FEW_RULES", 10_000)
+    want = {r["k"]: r["allowed"] for r in robots.allowed(pages, rules).collect()}
+    assert len(got) == 602 and got == want and 20 < sum(got.values()) < 580 and got[901] and not got[900]
+
+
 def test_last_delay_line_counts_wherever_its_row_lies(spark):
     said = "User-agent: *\nCrawl-delay: 9\nDisallow: /x\nCrawl-delay: 2\nUser-agent: good\nCrawl-delay: 1\nCrawl-delay: bad\nCrawl-delay: 4\n"
     rules = robots.parse_robots(spark.createDataFrame([("h.test", 200, said)], "domain string, status int, text string"))
