@@ -1,4 +1,4 @@
-"""Exact deduplication by a tree merge of digest runs.
+"""Exact deduplication by a tree merge of digest runs; each merge is a grouped aggregation by digest.
 
 Every input partition makes one run: its distinct digests, each with the best row
 seen and a count. Runs meet in binomial rounds: in round k the runs whose numbers
