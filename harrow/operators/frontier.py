@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harrow.checkpoints import cut, shared_folder
+from harrow.checkpoints import cut, cut_counted, shared_folder
 from harrow.functions import text, urls
 
 from .seen import SeenSet
@@ -87,8 +87,8 @@ def crawl(
     for depth in range(max_depth + 1):
         offered = level.groupBy("url").agg(F.min(F.struct("key", "pos")).alias("at"), F.count("*").alias("offered"))
         fresh = seen.unseen(offered).select("url", F.col("at.key").alias("key"), F.col("at.pos").alias("pos"), (F.col("offered") - 1).alias("duplicates"))
-        fresh = cut(allow(fresh) if allow else fresh.withColumn("allowed", F.lit(True)))
-        fresh = rank_few(fresh, [F.desc("allowed"), "key", "pos", "url"], fresh.count())
+        fresh, count = cut_counted(allow(fresh) if allow else fresh.withColumn("allowed", F.lit(True)))
+        fresh = rank_few(fresh, [F.desc("allowed"), "key", "pos", "url"], count)
         state = F.when(~F.col("allowed"), "blocked").when(F.col("rank") <= left, "fetched").otherwise("over_limit")
         fresh = seen.add(fresh.select("url", F.lit(depth).alias("depth"), "rank", state.alias("state"), "duplicates"))
         taken = fresh.filter("state = 'fetched'").select("url", "depth", "rank")

@@ -23,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from harrow.functions import urls
 
+from .selectors import compile_selector, select
+
 # Tag names as HTML defines them.
 HIDDEN = {"script", "style", "noscript", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -212,35 +214,6 @@ def parse_page(url: str, html: str | None, fields=tuple(FIELDS), same_domain: bo
     return out | {"parse_errors": errors}
 
 
-_STEP = re.compile(r"^([A-Za-z][A-Za-z0-9]*|\*)?((?:[.#][\w-]+)*)$")
-
-
-def select(root: Node, selector: str) -> list[Node]:
-    """Elements for a selector of tags, .classes, #ids, descendants and comma lists."""
-    found: dict[int, Node] = {}
-    for one in selector.split(","):
-        steps = one.split()
-        if not steps or not all(_STEP.match(s) for s in steps):
-            raise ValueError(f"selector not supported: {one.strip()!r}")
-
-        def fits(node: Node, step: str) -> bool:
-            tag, rest = _STEP.match(step).groups()
-            marks = re.findall(r"([.#])([\w-]+)", rest or "")
-            return (not tag or tag == "*" or node.name == tag.lower()) and all(v in node.attrs.get("class", "").split() if k == "." else node.attrs.get("id") == v for k, v in marks)
-
-        for n in root.walk():
-            if not fits(n, steps[-1]):
-                continue
-            left, up = steps[:-1], n.up
-            while left and up is not None:
-                if fits(up, left[-1]):
-                    left = left[:-1]
-                up = up.up
-            if not left:
-                found[id(n)] = n
-    return [n for n in root.walk() if id(n) in found]
-
-
 def parse_html(pages: DataFrame, fields=tuple(FIELDS), url_col="url", html_col="html", same_domain: bool = False, parser: Callable = parse_page) -> DataFrame:
     """``pages`` without the HTML, with the asked fields of each page (title comes with metadata).
 
@@ -266,7 +239,8 @@ def parse_html(pages: DataFrame, fields=tuple(FIELDS), url_col="url", html_col="
 
 
 def select_text(pages: DataFrame, selector: str, html_col="html") -> DataFrame:
-    """``pages`` without the HTML, with ``text``: that of the elements a selector finds, one to a line; "" if none."""
+    """``pages`` without the HTML, with ``text``: that of the elements a selector finds, one to a line; "" if none. See ``harrow.operators.selectors``."""
+    compile_selector(selector)  # an error here, not in a task
     kept = [c for c in pages.columns if c not in (html_col, "text")]
     shape = T.StructType([*(pages.schema[c] for c in kept), T.StructField("text", T.StringType())])
     own = to_arrow_schema(shape)

@@ -185,6 +185,16 @@ def selector_text(spark, d):
     return html.select_text(_marked(spark, d), "p.mark").select("page_id", "text")
 
 
+@query(f"""SELECT page_id, {trimmed(unescaped("regexp_replace(regexp_extract(html, '(?is)<nav><ul><li>.*?</li><li><a href=.[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g')"))} AS second,
+regexp_matches(html, '(?is)<article><h1>.*?</h1><p>') AS found FROM pages WHERE regexp_matches(html, '(?is)<nav><ul><li>.*?</li><li><a href=')""")
+def selector_steps(spark, d):
+    """Child, sibling and nth-child steps."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    second = html.select_text(pages, 'nav > ul > li:nth-child(2) > a[href^="/"]').withColumnRenamed("text", "second")
+    after = html.select_text(pages, "article > h1 + p, article > h1 ~ p").select("page_id", (F.col("text") != "").alias("found"))
+    return second.join(after, "page_id").filter("second <> ''")
+
+
 @query(f"SELECT page_id, link FROM ({ABSOLUTE}) WHERE NOT regexp_matches(link, '\\.(jpg|png|pdf)$') AND regexp_matches(link, '/[a-m]')")
 def link_filter(spark, d):
     links = table(spark, d, "pages").select("page_id", F.explode(html.quick_links(F.col("url"), F.col("html"))).alias("link"))

@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.checkpoints import cut
+from harrow.checkpoints import cut, cut_counted
 from harrow.operators.frontier import rank_rows
 
 from . import records as rec
@@ -50,8 +50,7 @@ class Sink:
     def save(self, pages: DataFrame) -> bool:
         """Takes what is no failure; False if a write was wanted and failed."""
         fresh = rec.to_record(pages.filter("error is null") if "error" in pages.columns else pages)
-        rows = cut(fresh if self._held is None else self._held.unionByName(fresh))
-        n = rows.count()
+        rows, n = cut_counted(fresh if self._held is None else self._held.unionByName(fresh))
         whole = n // self.batch_size * self.batch_size
         if not whole:
             self._held, self.buffered = rows, n

@@ -144,6 +144,25 @@ def test_links_of_any_form_equal_those_of_the_parser(spark):
             assert got[k] == html.parse_page(url, page)["links"], (k, page)
 
 
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [
+        ("ul > li", "abcd"), ("ul li", "abcd"), ("li + li", "bcd"), ("li.on ~ li", "cd"), ("li:first-child", "ax"), ("ul > li:last-child", "d"), ("ul > li:nth-child(2n+1)", "ac"), ("ul > li:nth-child(even)", "bd"), ("ul > li:nth-child(-n+2)", "ab"),
+        ("ul > li:nth-last-child(2)", "c"), ("li[data-k]", "bc"), ('li[data-k="v w"]', "b"), ("li[data-k~=w]", "b"), ("li[data-k^='v']", "bc"), ("li[data-k$=W i]", "b"), ("li[data-k*=-]", "c"), ("li[data-k|=v]", "c"), ("#top > ul > li.on.two", "b"),
+        ("li:not(.on):not(:last-child)", "acx"[:2]), ("ol li, ul>li:nth-child(1)", "ax"), ("div > li", ""), ("li:only-child", "x"), ("ol > *", "x"), ("nothing, li[data-k='v, w']", ""),
+    ],
+)
+def test_selectors(selector, want):
+    page = "<div id=top><ul><li>a<li class='on two' data-k='v w'>b<li data-k=v-u>c<li>d</ul></div><ol><li>x</li></ol>"
+    assert [html.plain(n) for n in html.select(html.tree(page), selector)] == list(want)
+
+
+@pytest.mark.parametrize("selector", ["", "a,", "a >", "> a", "a:hover", "a[", "li:nth-child(x)", "a..b", "::before"])
+def test_selectors_that_are_not_known(selector):
+    with pytest.raises(ValueError, match="selector not supported"):
+        html.select(html.tree("<p>"), selector)
+
+
 def test_sitemap_bodies():
     assert text.sitemap_locations(b"<urlset><url><loc> a </loc><x>1</x></url></urlset>") == ("urlset", ["a"], None)
     assert text.sitemap_locations(gzip.compress(b"<sitemapindex><sitemap><loc>b</loc></sitemap></sitemapindex>"))[:2] == ("sitemapindex", ["b"])
