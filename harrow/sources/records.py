@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import codecs
 import csv
-import io
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,9 +87,9 @@ def write_csv(records: DataFrame, path: str, mode: str = "overwrite", delimiter:
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    schema = ", ".join(f"{c} string" for c in FIELDS)
-    if encoding.lower() in ("utf-8", "utf8", "utf-8-sig"):  # the header, mark and all, is not read
-        return unflat(spark.read.schema(schema).options(**CSV, sep=delimiter).csv(path))
-    with open(path, encoding=encoding, newline="") as f:
-        rows = [[x or None for x in r] for r in csv.reader(io.StringIO(f.read()), delimiter=delimiter)][1:]
-    return unflat(spark.createDataFrame(rows, schema))
+    """CSV files in any encoding that Java has, each read by a task of its own."""
+    schema, options = ", ".join(f"{c} string" for c in FIELDS), dict(CSV)
+    if encoding.lower() not in ("utf-8", "utf8", "utf-8-sig"):  # the header, mark and all, is not read
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # code pages as well
+        options["encoding"] = codecs.lookup(encoding).name
+    return unflat(spark.read.schema(schema).options(**options, sep=delimiter).csv(path))

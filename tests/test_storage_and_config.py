@@ -2,6 +2,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from harrow import cli, config, logs
 from harrow.sources import records, sinks, sqlite
@@ -186,3 +187,13 @@ def test_statistics_file_has_whole_lists(spark, tmp_path):
     assert said["backoff"] == [{"domain": "a", "backoff": 1.5}, {"domain": "b", "backoff": None}] and said["none"] == []
     sinks.write_stats_json({}, f"{tmp_path}/t.json", {"none": pairs.limit(0)})
     assert json.loads((tmp_path / "t.json").read_text()) == {"none": []}
+
+
+def test_code_page_files_are_read_in_parallel(spark, stored, tmp_path):
+    """Two files in windows-1251 with line breaks, quotes and delimiters inside cells."""
+    (tmp_path / "c").mkdir()
+    odd = stored.withColumn("title", F.lit('Заголовок; "да"\nвторая строка'))
+    for k in range(2):
+        records.write_csv(odd.withColumn("url", F.concat("url", F.lit(f"#{k}"))), f"{tmp_path}/c/{k}.csv", delimiter=";", encoding="cp1251")
+    got = records.read_csv(spark, f"{tmp_path}/c", delimiter=";", encoding="cp1251")
+    assert got.count() == 2 * stored.count() and {r["title"] for r in got.collect()} == {'Заголовок; "да"\nвторая строка'} and got.rdd.getNumPartitions() == 2
