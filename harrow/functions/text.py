@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
 import html
+import itertools
 import xml.etree.ElementTree as ET
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,27 +69,57 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def unzip(data: bytes | None) -> bytes | None:
-    if data is None or bytes(data[:2]) != b"\x1f\x8b":
-        return data
-    try:
-        return gzip.decompress(data)
-    except (OSError, EOFError, zlib.error):
-        return None
+def unzipped(data: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
+    """A body in pieces; gzip, known by its first bytes, is undone on the way. A broken one raises."""
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        yield from (bytes(view[k : k + piece]) for k in range(0, len(view), piece))
+        return
+    rest = bytes(view)
+    while rest:  # gzip files may follow each other
+        member, fed = zlib.decompressobj(31), rest
+        while not member.eof:
+            out = member.decompress(fed, piece)
+            fed = member.unconsumed_tail
+            if out:
+                yield out
+            elif not fed and not member.eof:
+                raise EOFError("gzip ends early")
+        rest = member.unused_data.lstrip(b"\0")
 
 
 def sitemap_locations(data: bytes | None) -> tuple[str, list[str], str | None]:
-    """(kind, locations, error) of a sitemap or a sitemap index; namespaces do not matter."""
-    plain = unzip(data)
-    if not plain:
+    """(kind, locations, error) of a sitemap or a sitemap index; namespaces do not matter.
+
+    The file is read in pieces and entries are forgotten when they end, so neither the
+    whole text nor a tree is ever in memory. A file that breaks anywhere is an error and
+    has no locations.
+    """
+    if not data:
         return "urlset", [], "empty or broken body"
+    bare = lambda tag: tag.rsplit("}", 1)[-1].lower()
+    parser, depth, root, found = ET.XMLPullParser(("start", "end")), 0, None, []
     try:
-        root = ET.fromstring(plain)
+        for part in itertools.chain(unzipped(data), [None]):
+            parser.feed(part) if part is not None else parser.close()
+            for event, node in parser.read_events():
+                if event == "start":
+                    depth += 1
+                    root = node if root is None else root
+                    continue
+                if depth == 3 and bare(node.tag) == "loc" and node.text and node.text.strip():
+                    found.append(node.text.strip())
+                if depth == 2:
+                    root.clear()
+                depth -= 1
+    except (OSError, EOFError, zlib.error):
+        return "urlset", [], "empty or broken body"
     except ET.ParseError as e:
         return "urlset", [], f"ParseError: {e}"
-    bare = lambda tag: tag.rsplit("}", 1)[-1].lower()
-    found = [c.text.strip() for entry in root for c in entry if bare(c.tag) == "loc" and c.text and c.text.strip()]
-    return ("sitemapindex" if bare(root.tag) == "sitemapindex" else "urlset"), found, None
+    kind = bare(root.tag)
+    if kind not in ("urlset", "sitemapindex"):
+        return "urlset", [], f"ParseError: unknown root element <{kind}>"
+    return kind, found, None
 
 
 @F.pandas_udf(T.StructType().add("kind", "string").add("locations", T.ArrayType(T.StringType())).add("error", "string"))

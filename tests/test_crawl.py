@@ -169,6 +169,25 @@ def test_sitemap_bodies():
     assert text.sitemap_locations(b"<urlset>")[2] and text.sitemap_locations(None)[2] and text.sitemap_locations(b"\x1f\x8bxx")[2]
 
 
+def test_large_sitemap_is_never_a_tree():
+    import tracemalloc
+
+    def body(n):
+        return b"<urlset xmlns='x'>" + b"".join(b"<url><loc>http://h.test/%d</loc><lastmod>2024-01-01</lastmod><changefreq>daily</changefreq></url>\n" % k for k in range(n)) + b"</urlset>"
+
+    n = 100_000
+    for data in (body(n), gzip.compress(body(n)), gzip.compress(b"<urlset>") + gzip.compress(b"<url><loc>http://h.test/0</loc></url></urlset>") + b"\0\0"):
+        tracemalloc.start()
+        kind, found, error = text.sitemap_locations(data)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (kind, error, found[0]) == ("urlset", None, "http://h.test/0") and len(found) in (1, n)
+        assert peak < 2.5 * 100 * len(found) + 3_000_000 + len(data)  # the locations and a few pieces
+    assert text.sitemap_locations(gzip.compress(body(1000))[:-30])[1:] == ([], "empty or broken body")
+    assert text.sitemap_locations(body(1000)[:-40])[1] == [] and "ParseError" in text.sitemap_locations(body(1000)[:-40])[2]
+    assert "unknown root" in text.sitemap_locations(b"<html><url><loc>a</loc></url></html>")[2]
+
+
 def test_policies(spark):
     p = policy.RetryPolicy()
     rows = spark.createDataFrame([(200,), (404,), (408,), (429,), (500,), (503,), (None,)], "status int").withColumn("error", policy.classify_status(F.col("status")))
