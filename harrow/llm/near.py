@@ -24,7 +24,7 @@ and come last in the order, in which no range has to count them.
 In a list of the index, only pairs count whose place in both sets leaves room for
 the overlap that their sizes ask for; sets for which no partner of the list's sizes
 leaves room go first. Then, ``rounds`` times, all members of a list are tested
-against one (that of most links, in later rounds a few by chance that have not yet led), and
+against one (that of most links which has not yet led), and
 lists whose members are in one component are done: a hub and its copies never become a square.
 
 What is left is settled by pivots: that of a text is the one of most links among
@@ -64,8 +64,6 @@ REMEMBER = 200_000
 CHUNK, RANGE = 1 << 19, 1 << 21
 #: A shingle of this share of all documents is hot; so many are known to every worker at most.
 HOT_SHARE, HOT_MOST = 400, 1_000_000
-#: Leaders by chance that a list gets in one round.
-LEADERS = 4
 SUMMARY = "tag long, h long, n long, sum binary, tally binary, fp long, hot array<long>, z binary"
 
 
@@ -359,7 +357,7 @@ def _index(held: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return _kept(sets.select("tag", "n", "alone", F.posexplode(names).alias("k", "s")).select("s", "tag", "n", (F.col("n") - F.col("alone")).alias("m"), (F.col("alone") + F.col("k") + 1).alias("place")))
 
 
-def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has tag, id and h (hash of the text) of each row; groups (node, component) of all tags that are linked."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -422,11 +420,8 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, le
         if last:
             new = _by_pivots(lists.select("s", "tag", "n", "m", "place", "of"), found, shared, verified, least)
         else:
-            # first that of most links, for hubs; then some by chance, other ones in lists of the same members, for groups that nobody leads yet
-            by = [-F.col("degree")] if r == 0 else [F.xxhash64("tag", F.lit(r), F.lit(j), F.pmod("s", F.lit(8))) for j in range(LEADERS)]
-            keys = [F.min(F.struct("led", x.alias("by"), F.xxhash64("tag").alias("x"), "tag", "n", "place", "of")) for x in by]
-            other = lists.groupBy("s").agg(F.array_distinct(F.transform(F.array(*keys), lambda x: F.struct(*[x[c].alias(c) for c in ("tag", "n", "place", "of")]))).alias("leads"))
-            other = other.select("s", F.explode("leads").alias("lead")).select("s", "lead.*")
+            key = F.struct("led", (-F.col("degree")).alias("degree"), F.xxhash64("tag", F.lit(r)).alias("x"), "tag", "n", "place", "of")
+            other = lists.groupBy("s").agg(F.min(key).alias("lead")).select("s", "lead.tag", "lead.n", "lead.place", "lead.of")
             now = other.select("tag", F.lit(True).alias("led")).distinct()
             led = _kept(now if led is None else led.union(now).distinct())
             other = other.select("s", *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of")])
