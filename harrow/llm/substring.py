@@ -16,7 +16,8 @@ their words, which settles which of them also start in a document of smaller id.
 Before each exchange a task keeps one entry for each name, that of its smallest
 id: for all others of the task the answer is known already. So a passage that a
 third of all documents share sends one entry from each task, and an entry is 8
-to 15 bytes in a packed block. Texts are compressed before a join moves them; the joins
+to 15 bytes in a packed block. What a bucket has settled goes on in blocks as well, one for
+each range of documents, so the number of blocks is that of buckets and ranges, not of documents. Texts are compressed before a join moves them; the joins
 sort, so they spill where a partition is larger than memory. Over all documents
 windows are told apart by 96 bits; which windows of one document these are, by 64.
 
@@ -205,11 +206,11 @@ def _low(x: np.ndarray, width: int) -> np.ndarray:
     return x if width == 8 else x & np.uint64((1 << 8 * width) - 1)
 
 
-def _sent(keys: list[np.ndarray], ids: np.ndarray, buckets: int, all_shared: bool, widths: list[int]):
+def _sent(keys: list[np.ndarray], ids: np.ndarray, buckets: int, ranges: int, all_shared: bool, widths: list[int]):
     """Blocks to exchange for entries (keys, id): what this task knows already, and one entry for each key.
 
     all_shared: every document of a key that several have is told; else only those that are not the smallest.
-    widths: how many low bytes of each key are kept. Yields (bucket, known, id, data).
+    widths: how many low bytes of each key are kept. Yields (bucket, range, ids, data); range -1: not settled yet.
     """
     bucket = (keys[0] >> np.uint64(11)) % np.uint64(buckets)
     keys = [_low(k, w) for k, w in zip(keys, widths, strict=True)]
@@ -222,26 +223,48 @@ def _sent(keys: list[np.ndarray], ids: np.ndarray, buckets: int, all_shared: boo
         return
     size = np.diff(np.r_[np.flatnonzero(new), len(ids)])
     told = np.repeat(size > 1, size) & (True if all_shared else _rank(ids) > np.repeat(_rank(ids[new]), size))
-    for i, blob in _by_id(keys[0][told], ids[told], widths[0]):
-        yield int(i % buckets), True, i, blob
+    for of, owners, blob in _by_range(keys[0][told], ids[told], ranges, widths[0]):
+        yield of % buckets, of, owners, blob
     keys, ids, bucket = [k[new] for k in keys], ids[new], bucket[new]
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
     for a, b in zip(edges, np.r_[edges[1:], len(order)], strict=True):
         own = order[a:b]
-        yield int(bucket[own[0]]), False, 0, _planes([*((k[own], w) for k, w in zip(keys, widths, strict=True)), (ids[own], 8)])
+        yield int(bucket[own[0]]), -1, None, _planes([*((k[own], w) for k, w in zip(keys, widths, strict=True)), (ids[own], 8)])
 
 
-def _by_id(keys: np.ndarray, ids: np.ndarray, width: int):
-    order = np.argsort(ids, kind="stable")
-    keys, ids = keys[order], ids[order]
-    edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
-    for a, b in zip(edges, np.r_[edges[1:], len(ids)] if len(ids) else [], strict=True):
-        yield int(ids[a]), _planes([(np.sort(keys[a:b]), width)])
-
-
-def _met(blobs: list[bytes], widths: list[int], all_shared: bool):
-    """(id, keys) of what an exchange bucket settles."""
+def _by_range(keys: np.ndarray, ids: np.ndarray, ranges: int, width: int):
+    """(range, ids, data): one block for each range of documents, whose ids and numbers of keys are in ``ids``."""
+    if not len(ids):
+        return
+    of = (_mixed(ids.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((keys, ids, of))
+    keys, ids, of = keys[order], ids[order], of[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = ids[a:b]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        yield int(of[a]), _planes([(own[first], 8), (np.diff(np.r_[first, b - a]), 8)]), _planes([(keys[a:b], width)])
+
+
+def _gathered(block: pa.Table, width: int) -> pa.Table:
+    """(id, told) of one range of documents: the keys of each, sorted."""
+    owners, keys = [], []
+    for who, data in zip(block.column("ids").to_pylist(), block.column("data").to_pylist(), strict=True):
+        ids, n = _unplaned(who, [8, 8])
+        owners.append(np.repeat(ids.view(np.int64), n.astype(np.int64)))
+        keys.append(_unplaned(data, [width])[0])
+    ids, keys = np.concatenate(owners), np.concatenate(keys)
+    del owners
+    order = np.lexsort((keys, ids))
+    ids, keys = ids[order], keys[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]), len(ids)]
+    told = [_planes([(keys[a:b], width)]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"id": pa.array(ids[edges[:-1]], pa.int64()), "told": pa.array(told, pa.binary())})
+
+
+def _met(blobs: list[bytes], ranges: int, widths: list[int], all_shared: bool):
+    """(range, ids, data) of what an exchange bucket settles."""
     *keys, ids = (np.concatenate(c) for c in zip(*(_unplaned(data, [*widths, 8]) for data in blobs), strict=True))
     ids = ids.view(np.int64)
     order = np.lexsort((ids, *reversed(keys)))
@@ -255,35 +278,35 @@ def _met(blobs: list[bytes], widths: list[int], all_shared: bool):
         told = most > least
     else:
         told = _rank(ids) > _rank(least)
-    yield from _by_id(keys[0][told], ids[told], widths[0])
+    yield from _by_range(keys[0][told], ids[told], ranges, widths[0])
 
 
-_SCHEMA = "bucket int, known boolean, id long, data binary"
+_SCHEMA = "bucket int, range int, ids binary, data binary"
 
 
 def _rows(items) -> pa.RecordBatch:
-    items = list(items)
-    cols = list(zip(*items, strict=True)) if items else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["bucket", "known", "id", "data"])
+    cols = list(zip(*items, strict=True)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "range", "ids", "data"])
 
 
-def _exchange(sent: DataFrame, widths: list[int], all_shared: bool) -> DataFrame:
-    """(id, data): what each document is told, its blocks of one document together."""
+def _exchange(sent: DataFrame, ranges: int, widths: list[int], all_shared: bool) -> DataFrame:
+    """(id, told): what each document is told. A bucket answers with one block for each range of documents, not one for each document."""
 
     def settle(block: pa.Table) -> pa.Table:
-        known = block.filter(block.column("known")).select(["id", "data"])
-        blobs = block.filter(pc.invert(block.column("known"))).column("data").to_pylist()
-        found = list(_met(blobs, widths, all_shared)) if blobs else []
-        met = pa.table({"id": pa.array([i for i, _ in found], pa.int64()), "data": pa.array([d for _, d in found], pa.binary())})
+        fresh = pc.less(block.column("range"), 0)
+        known = block.filter(pc.invert(fresh)).select(["range", "ids", "data"])
+        blobs = block.filter(fresh).column("data").to_pylist()
+        found = list(zip(*_met(blobs, ranges, widths, all_shared), strict=True)) if blobs else []
+        met = pa.table([pa.array(c, t) for c, t in zip(found or [[], [], []], (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["range", "ids", "data"])
         return pa.concat_tables([known, met])
 
     # one bucket after the other; Spark sorts them and spills
-    met = sent.groupBy("bucket").applyInArrow(settle, "id long, data binary")
-    return cut(met.groupBy("id").agg(F.collect_list("data").alias("told")))
+    met = sent.groupBy("bucket").applyInArrow(settle, "range int, ids binary, data binary")
+    return cut(met.groupBy("range").applyInArrow(lambda block: _gathered(block, widths[0]), "id long, told binary"))
 
 
 def _told(cell, width: int) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unplaned(x, [width])[0] for x in cell.as_py() or [])]))
+    return _unplaned(cell.as_py(), [width])[0]
 
 
 def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13, bucket_mb: tuple[int, int] = (8, 32), most_small: int = 1024) -> DataFrame:
@@ -297,6 +320,7 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     small, large = (-(-total // (mb << 20)) for mb in bucket_mb)
     buckets = max(12, min(small, most_small), large)
+    ranges = max(12, large)
     # a shared name only proposes windows, so it may be cut to some bits more than it takes to number all words
     name_width = min(8, -(-(int(total).bit_length() + 8) // 8))
 
@@ -307,9 +331,9 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
                 starts, name = window_names(words, wall, window)
                 ids = np.array([i for i, _ in held], np.int64)[of[starts]]
                 fresh = np.r_[True, (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])] if len(ids) else np.zeros(0, bool)
-                yield _rows(_sent([name[fresh]], ids[fresh], buckets, True, [name_width]))
+                yield _rows(_sent([name[fresh]], ids[fresh], buckets, ranges, True, [name_width]))
 
-    shared = _exchange(rows.select("oid", "text").mapInArrow(forgetful(forget, names), _SCHEMA), [name_width], True)
+    shared = _exchange(rows.select("oid", "text").mapInArrow(forgetful(forget, names), _SCHEMA), ranges, [name_width], True)
     release(docs.sparkSession)
 
     def windows(batches):
@@ -329,10 +353,10 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 13,
                     some[a:z] = np.isin(_low(name[a:z], name_width), known[k])
                 starts, place = starts[some], place[some]
                 ids = np.array([key[1] for key, _ in held], np.int64)[place]
-                yield _rows(_sent([window_hash(words, starts, window, f) for f in FACTORS], ids, buckets, False, WIDTHS))
+                yield _rows(_sent([window_hash(words, starts, window, f) for f in FACTORS], ids, buckets, ranges, False, WIDTHS))
 
     both = packed(rows.select("oid", "text")).join(shared.withColumnRenamed("id", "oid"), "oid")
-    found = _exchange(both.mapInArrow(forgetful(forget, windows), _SCHEMA), WIDTHS, False)
+    found = _exchange(both.mapInArrow(forgetful(forget, windows), _SCHEMA), ranges, WIDTHS, False)
     release(docs.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
 

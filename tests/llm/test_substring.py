@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from harrow.llm import substring
 
@@ -75,3 +76,28 @@ def test_words_of_long_texts_are_cut_at_contract_blanks_only(spark):
         text = "x" * ((1 << 20) - 1) + odd + "y" * 10 + " z"
         row = substring.repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
         assert (row["n_words"], row["n_removed"], row["kept"]) == (2, 0, text)
+
+
+def test_an_exchange_answers_with_a_block_for_each_range_of_documents():
+    rng = np.random.default_rng(3)
+    ids, keys = rng.integers(0, 5_000, 40_000), substring._mixed(rng.integers(0, 6_000, 40_000).astype(np.uint64))
+    blocks = [x for part in np.array_split(np.arange(len(ids)), 5) for x in substring._sent([keys[part]], ids[part], 4, 7, True, [8])]
+    rows = [x for x in blocks if x[1] >= 0]
+    for b in range(4):
+        met = list(substring._met([data for at, of, _, data in blocks if at == b and of < 0], 7, [8], True))
+        assert len(met) <= 7
+        rows += [(b, *x) for x in met]
+    assert len(rows) <= (5 + 4) * 7
+    told = {}
+    for of in range(7):
+        mine = [x for x in rows if x[1] == of]
+        got = substring._gathered(pa.table({"range": [of] * len(mine), "ids": [x[2] for x in mine], "data": [x[3] for x in mine]}), 8).to_pydict()
+        told |= {i: set(substring._unplaned(t, [8])[0].tolist()) for i, t in zip(got["id"], got["told"], strict=True)}
+    owners = {}
+    for i, k in zip(ids.tolist(), keys.tolist(), strict=True):
+        owners.setdefault(k, set()).add(i)
+    want = {}
+    for k, of in owners.items():
+        for i in of if len(of) > 1 else ():
+            want.setdefault(i, set()).add(k)
+    assert told == want
