@@ -332,15 +332,19 @@ def _by_pivots(lists: DataFrame, found: DataFrame, shared: DataFrame, verified:
     rows = _kept(rows.select("s", "tag", "n", "place", "of", "pivot", "room"))
     groups = _kept(rows.groupBy("s", "pivot").agg(F.max("room").alias("room"), F.min("of").alias("of")))
     other = groups.select("s", *[F.col(c).alias(f"{c}2") for c in ("pivot", "room", "of")])
-    meet = groups.join(other, "s").filter((F.col("pivot") > F.col("pivot2")) & (F.col("of") != F.col("of2")) & (F.col("room") + F.col("room2") >= -1e-6))
-    meet = meet.groupBy(F.col("pivot").alias("a"), F.col("pivot2").alias("b")).agg(F.max(F.col("room") + F.col("room2")).alias("room"))
-    meet = _kept(meet)
+    in_list = groups.join(other, "s").filter((F.col("pivot") > F.col("pivot2")) & (F.col("of") != F.col("of2")) & (F.col("room") + F.col("room2") >= -1e-6))
+    in_list = _kept(in_list.select("s", F.col("pivot").alias("a"), F.col("pivot2").alias("b"), F.col("room").alias("room_a"), F.col("room2").alias("room_b")))
+    meet = _kept(in_list.groupBy("a", "b").agg(F.max(F.col("room_a") + F.col("room_b")).alias("room")))
     likely = _kept(meet.join(verified.least_apart(meet, shared), ["a", "b"]).filter(F.col("room") >= F.col("apart") - 1e-6).select("a", "b", "room"))
     apart = verified.differences(likely, shared)
     close = _kept(likely.join(apart, ["a", "b"]).filter(F.col("room") >= F.col("apart") - 1e-6).select("a", "b", "apart"))
     left = rows.select("s", F.col("pivot").alias("a"), *[F.col(c).alias(f"{c}1") for c in ("tag", "n", "place", "of", "room")])
     right = rows.select("s", F.col("pivot").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of", "room")])
-    pairs = left.join(close, "a").join(right, ["s", "b"]).filter(F.col("room1") + F.col("room2") >= F.col("apart") - 1e-6)
+    # close pivots count list by list: a text meets those of its own lists alone, and only where the most room behind them is enough
+    here = _kept(in_list.join(close, ["a", "b"]).filter(F.col("room_a") + F.col("room_b") >= F.col("apart") - 1e-6).select("s", "a", "b", "room_b", "apart"))
+    here = here.withColumnsRenamed({"s": "s_", "a": "a_"})
+    some = left.join(here, (F.col("s") == F.col("s_")) & (F.col("a") == F.col("a_")) & (F.col("room1") + F.col("room_b") >= F.col("apart") - 1e-6)).drop("s_", "a_")
+    pairs = some.join(right, ["s", "b"]).filter(F.col("room1") + F.col("room2") >= F.col("apart") - 1e-6)
     fits = (F.col("of1") != F.col("of2")) & (F.col("place1") <= _room(F.col("n1"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n1"), least))
     return verified(pairs.filter(fits).select(F.col("tag1").alias("a"), F.col("tag2").alias("b")))
 
