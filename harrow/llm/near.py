@@ -27,15 +27,17 @@ leaves room go first. Then, ``rounds`` times, all members of a list are tested
 against one (that of most links which has not yet led), and
 lists whose members are in one component are done: a hub and its copies never become a square.
 
-What is left is settled by pivots: that of a text is the one of most links among
-itself and those that it is linked to. The shingles that two texts do not share, of
-those that any other text has, are a distance, so what two pivots lack in common
-bounds from below what their texts lack. In a list only pairs of pivots meet; these
-are tested on whole sets, and only where the bound leaves room do the texts behind
-them meet. Many copies of a few texts that share a template thus cost no more than
-the few. Pairs whose tallies rule the similarity out are left away; all others are
+What is left in large lists is told apart by differences. Two sets differ by just
+what their differences to any third set differ by. The reference of all that
+large lists connect is what most of a few of these hold; many copies of one text differ from it by little, and two of
+them are similar only if their differences are (nearly) the same to a known part. So the
+same index is made once more, within each list, of differences instead of sets:
+finer lists, in which again only those meet whose place leaves room, and which are
+told apart again if many still fit. Sets whose differences alone are small enough
+are similar to that of the least, which links them. Small lists meet as they are.
+Pairs whose tallies rule the similarity out are left away; all others are
 verified on both whole sets. None of ``HOT_SHARE``, ``rounds``, the blocks, the
-pivots or the fingerprints changes the result.
+references or the fingerprints changes the result.
 
 Defined cases: a null text is an empty one; texts without a word are equal; texts
 with fewer words than a shingle are one shingle; of a group the smallest id stays,
@@ -64,6 +66,11 @@ REMEMBER = 200_000
 CHUNK, RANGE = 1 << 19, 1 << 21
 #: A shingle of this share of all documents is hot; so many are known to every worker at most.
 HOT_SHARE, HOT_MOST = 400, 1_000_000
+#: A list is dealt out by what tells its members from a reference if it has more than ``SMALL`` members and one for each
+#: ``WORTH`` shingles that a member holds there, so many times over; about ``SAMPLE`` members choose a reference.
+#: Pairs of finer lists that average no more than ``LOOK`` members are counted before more is done.
+SMALL, WORTH, SAMPLE, LEVELS, LOOK = 16, 8, 24, 2, 1000
+EPS = 1e-6
 SUMMARY = "tag long, h long, n long, sum binary, tally binary, fp long, hot array<long>, z binary"
 
 
@@ -234,15 +241,11 @@ def _settle(block: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
     size = np.diff(np.r_[start, len(name)])
     mine = np.repeat(size > 1, size)
-    s = (np.int64(block.column("range")[0].as_py()) << 32) | name[mine].astype(np.int64)
+    again = np.r_[False, (name[1:] == name[:-1]) & (tag[1:] == tag[:-1])]  # two shingles of one text by one name
+    s = (again[mine].astype(np.int64) << 61) | (np.int64(block.column("range")[0].as_py()) << 32) | name[mine].astype(np.int64)
     return pa.table({"tag": tag[mine], "s": s, "df": np.repeat(size, size)[mine].astype(np.int32)})
 
 
-def _room(n: Column, other: Column, least: float) -> Column:
-    """How many places at the front of a set of ``n`` shingles a similar set of ``other`` must meet."""
-    return n - F.ceil(F.lit(least / (1 + least)) * (n + other) - 1e-6) + 1
-
-
 def _kept(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the checkpoint folder; what was shuffled on the way there is let go."""
     spark = df.sparkSession
@@ -287,81 +290,99 @@ class _Verifier:
         return _kept(self._both(likely, self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
 
 
-    def differences(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
-        """``pairs`` (a, b) with apart: how many shingles one of the two has and the other not, of those that any other text has (``shared``: tag, m)."""
+    def differences(self, rows: DataFrame, bases: DataFrame) -> DataFrame:
+        """``rows`` (s, tag, n, rm, of, own) with own as what one of own and the reference of the list s has and the other not (``bases``: s, base), in one order for each list."""
 
-        def count(batches):
+        def apart(batches):
             for b in batches:
-                sides = [b.column(c) for c in ("set_a", "set_b")]
-                both = [len(np.intersect1d(*(np.frombuffer(c[k].as_buffer(), np.uint64) for c in sides), assume_unique=True)) for k in range(len(b))]
-                yield b.select(["a", "b"]).append_column("both", pa.array(both, pa.int64()))
+                found = []
+                for own, base in zip(b.column("own"), b.column("base"), strict=True):
+                    own, base = (np.asarray(v.values) if v.is_valid else np.zeros(0, np.int64) for v in (own, base))
+                    found.append(np.concatenate([own[~np.isin(own, base)], base[~np.isin(base, own)]]))
+                ends = np.cumsum([0, *map(len, found)])
+                yield b.select(["s", "tag", "n", "rm", "of"]).append_column("own", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64())))
 
-        counted = self._both(pairs.select("a", "b"), self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(count, "a long, b long, both long")
-        return _kept(self._both(counted, shared, ["m"]).select("a", "b", (F.col("m_a") + F.col("m_b") - 2 * F.col("both")).alias("apart")))
+        return _kept(rows.join(bases, "s", "left").select("s", "tag", "n", "rm", "of", "own", "base").mapInArrow(apart, "s long, tag long, n long, rm double, of long, own array<long>"))
 
-    def least_apart(self, pairs: DataFrame, shared: DataFrame) -> DataFrame:
-        """``pairs`` with apart as their tallies bound it from below, without their sets."""
 
-        def count(batches):
-            for b in batches:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for c in ("tally_a", "tally_b"))
-                yield b.select(["a", "b"]).append_column("apart", pa.array(np.abs(x - y).sum(axis=1)))
-
-        counted = self._both(pairs.select("a", "b"), self.sizes, ["n", "tally"]).select("a", "b", "tally_a", "tally_b").mapInArrow(count, "a long, b long, apart long")
-        alone = self._both(self._both(counted, self.sizes, ["n"]), shared, ["m"])
-        return alone.select("a", "b", (F.col("apart") - (F.col("n_a") - F.col("m_a")) - (F.col("n_b") - F.col("m_b"))).alias("apart"))
-
-
-def _pivots(tags: DataFrame, found: DataFrame) -> DataFrame:
-    """(tag, pivot) for each tag: of itself and what it is linked to the one of most links."""
-    both = found.select("a", "b").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
-    best = both.join(degree, "b").groupBy(F.col("a").alias("tag")).agg(F.max(F.struct("degree", F.col("b").alias("tag"))).alias("other"))
-    own = tags.join(degree.withColumnRenamed("b", "tag"), "tag", "left").join(best, "tag", "left")
-    mine = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "tag")
-    return own.select("tag", F.greatest(mine, F.coalesce("other", mine))["tag"].alias("pivot"))
-
-
-def _by_pivots(lists: DataFrame, found: DataFrame, shared: DataFrame, verified: _Verifier, least: float) -> DataFrame:
-    """New similar pairs of the open lists (s, tag, n, m, place, of). shared: (tag, m) of the whole index, in which the pivots lie."""
-    share = 2 * least / (1 + least)
-    pivots = _pivots(lists.select("tag").distinct(), found).filter("tag != pivot").join(shared.select(F.col("tag").alias("pivot")), "pivot", "left_semi")
-    away = _kept(pivots.select(F.col("tag").alias("a"), F.col("pivot").alias("b")))
-    radius = verified.differences(away, shared).select(F.col("a").alias("tag"), F.col("b").alias("pivot"), F.col("apart").alias("radius"))
-    rows = lists.join(radius, "tag", "left").withColumns({"pivot": F.coalesce("pivot", "tag"), "room": F.col("m") + F.coalesce("radius", F.lit(0)) - share * F.col("n")})
-    rows = _kept(rows.select("s", "tag", "n", "place", "of", "pivot", "room"))
-    groups = _kept(rows.groupBy("s", "pivot").agg(F.max("room").alias("room"), F.min("of").alias("of")))
-    other = groups.select("s", *[F.col(c).alias(f"{c}2") for c in ("pivot", "room", "of")])
-    in_list = groups.join(other, "s").filter((F.col("pivot") > F.col("pivot2")) & (F.col("of") != F.col("of2")) & (F.col("room") + F.col("room2") >= -1e-6))
-    in_list = _kept(in_list.select("s", F.col("pivot").alias("a"), F.col("pivot2").alias("b"), F.col("room").alias("room_a"), F.col("room2").alias("room_b")))
-    meet = _kept(in_list.groupBy("a", "b").agg(F.max(F.col("room_a") + F.col("room_b")).alias("room")))
-    likely = _kept(meet.join(verified.least_apart(meet, shared), ["a", "b"]).filter(F.col("room") >= F.col("apart") - 1e-6).select("a", "b", "room"))
-    apart = verified.differences(likely, shared)
-    close = _kept(likely.join(apart, ["a", "b"]).filter(F.col("room") >= F.col("apart") - 1e-6).select("a", "b", "apart"))
-    left = rows.select("s", F.col("pivot").alias("a"), *[F.col(c).alias(f"{c}1") for c in ("tag", "n", "place", "of", "room")])
-    right = rows.select("s", F.col("pivot").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of", "room")])
-    # close pivots count list by list: a text meets those of its own lists alone, and only where the most room behind them is enough
-    here = _kept(in_list.join(close, ["a", "b"]).filter(F.col("room_a") + F.col("room_b") >= F.col("apart") - 1e-6).select("s", "a", "b", "room_b", "apart"))
-    here = here.withColumnsRenamed({"s": "s_", "a": "a_"})
-    some = left.join(here, (F.col("s") == F.col("s_")) & (F.col("a") == F.col("a_")) & (F.col("room1") + F.col("room_b") >= F.col("apart") - 1e-6)).drop("s_", "a_")
-    pairs = some.join(right, ["s", "b"]).filter(F.col("room1") + F.col("room2") >= F.col("apart") - 1e-6)
-    fits = (F.col("of1") != F.col("of2")) & (F.col("place1") <= _room(F.col("n1"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n1"), least))
-    return verified(pairs.filter(fits).select(F.col("tag1").alias("a"), F.col("tag2").alias("b")))
-
-
-def _index(held: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Lists (s, tag, n, m, place): the shared shingles in the first part of each set, m of which other texts have."""
+def _bases(rows: DataFrame) -> DataFrame:
+    """(s, base): what most of about ``SAMPLE`` members of a list have in own, what most of these lack least last. Any reference is right, a good one is fast."""
+
+    def most(batches):
+        for b in batches:
+            found = []
+            for owns in b.column("owns"):
+                own, n = np.unique(np.asarray(owns.values.flatten()), return_counts=True)
+                order = np.lexsort((own, -n))
+                found.append(own[order][n[order] * 2 > len(owns)])
+            ends = np.cumsum([0, *map(len, found)])
+            yield b.select(["s"]).append_column("base", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64())))
+
+    some = rows.filter(F.pmod(F.xxhash64("tag", "s"), F.col("size")) < SAMPLE)
+    return some.groupBy("s").agg(F.collect_list("own").alias("owns")).mapInArrow(most, "s long, base array<long>")
+
+
+def _step(value: Column) -> Column:
+    return F.floor(4 * F.log2(F.greatest(value, F.lit(1.0))))
+
+
+def _fits(least: float) -> Column:
+    """Whether two entries of a list, the second's columns with a 2, leave room for the overlap that their sizes ask for."""
+    sizes = F.col("n") * least - 1e-6 <= F.col("n2")
+    need = F.col("e") + F.col("e2") - 2 * EPS
+    return (F.col("of") != F.col("of2")) & sizes & (F.col("n2") * least - 1e-6 <= F.col("n")) & (need > 0) & (need <= 2 * F.least("rem", "rem2"))
+
+
+def _all_pairs(lists: DataFrame, least: float) -> DataFrame:
+    rows = lists.select("s", "tag", "n", "e", "rem", "of")
+    other = rows.select("s", *[F.col(c).alias(f"{c}2") for c in rows.columns[1:]])
+    return rows.join(other, "s").filter((F.col("tag") > F.col("tag2")) & _fits(least)).select(F.col("tag").alias("a"), F.col("tag2").alias("b")).distinct()
+
+
+def _finer(lists: DataFrame, own: DataFrame, verified: _Verifier, least: float, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, lists, own): pairs of small lists and of what is similar for certain, and finer lists of the large ones with what their members hold there.
+
+    whole: the lists are of whole sets; all that such lists connect then has one reference.
+    """
+    held = F.col("e") + F.col("rm")
+    sizes = lists.groupBy("s").agg(F.count("*").alias("size"), F.avg(held).alias("held"))
+    marked = _kept(lists.join(sizes, "s").withColumn("large", F.col("size") > F.greatest(F.lit(SMALL), F.col("held") / WORTH)))
+    rows = marked.filter("large")
+    if whole:  # a text is in many lists of whole sets: once is enough
+        firsts = rows.groupBy("s").agg(F.min("tag").alias("b"))
+        group = _kept(components(rows.join(firsts, "s").select(F.col("tag").alias("a"), "b")))
+        rows = rows.drop("s", "size").dropDuplicates(["tag"]).join(group.select(F.col("node").alias("tag"), F.col("component").alias("s")), "tag")
+        rows = rows.join(group.groupBy(F.col("component").alias("s")).agg(F.count("*").alias("size")), "s")
+    rows = _kept(rows.join(own, ["parent", "tag"]).select("s", "tag", "n", "rm", "of", "size", "own"))
+    apart = verified.differences(rows, _bases(rows)).withColumn("e", F.size("own") - F.col("rm"))
+    steps = apart.groupBy("s", _step(F.size("own") + F.col("rm") + 2 * EPS).alias("at")).agg(F.min("e").alias("e"), F.min(F.struct("e", "tag", "of")).alias("low"))
+    stairs = steps.groupBy("s").agg(F.collect_list(F.struct("at", "e")).alias("stairs"), F.min("low").alias("low"))
+    apart = _kept(apart.join(stairs, "s"))
+    certain = apart.filter((F.col("of") != F.col("low.of")) & (F.col("e") + F.col("low.e") <= 2 * EPS)).select(F.col("tag").alias("a"), F.col("low.tag").alias("b"))
+    # of those that can have enough of what a text has, the one that asks for least
+    partner = F.array_min(F.transform(F.filter("stairs", lambda x: x["at"] >= _step(F.col("e"))), lambda x: x["e"]))
+    first = (F.size("own") - F.greatest(F.ceil((F.col("e") + partner) / 2 - EPS), F.lit(1)) + 1).cast("int")
+    told = apart.withColumn("first", first).filter("first > 0").select("s", "tag", "n", "rm", "e", F.size("own").alias("size"), F.posexplode(F.slice("own", F.lit(1), F.col("first"))).alias("k", "x"))
+    finer = told.select(F.xxhash64("s", "x").alias("s"), F.col("s").alias("parent"), "tag", "n", "rm", "e", (F.col("size") - F.col("k")).alias("rem"))
+    return _all_pairs(marked.filter("not large"), least).union(certain), finer, apart.select(F.col("s").alias("parent"), "tag", "own")
+
+
+def _index(held: DataFrame, nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(lists, own): lists (s, parent, tag, n, rm, e, rem) of the shared shingles in the first part of each set; own (parent, tag, own) has all shared ones, rarest first."""
     settled = held.filter("range >= 0").select("range", "tag", "sum", "z").groupBy("range").applyInArrow(_settle, "tag long, s long, df int")
     shared = settled.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
     sets = nodes.select("tag", "n", "hot").join(shared, "tag", "left").withColumn("shared", F.coalesce("shared", F.array()))
     alone = F.col("n") - F.size("shared") - F.size("hot")
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6) + 1
     sets = sets.withColumns({"alone": alone, "more": (first - alone).cast("int")}).filter("more > 0")
-    names = F.slice(F.concat(F.transform("shared", lambda x: x["s"]), F.col("hot")), F.lit(1), F.col("more"))
-    return _kept(sets.select("tag", "n", "alone", F.posexplode(names).alias("k", "s")).select("s", "tag", "n", (F.col("n") - F.col("alone")).alias("m"), (F.col("alone") + F.col("k") + 1).alias("place")))
+    own = F.concat(F.transform("shared", lambda x: x["s"]), F.transform("hot", lambda x: -1 - x))
+    sets = _kept(sets.select(F.lit(0).cast("long").alias("parent"), "tag", "n", "more", own.alias("own")))
+    m, e = F.size("own"), F.lit(2 * least / (1 + least)) * F.col("n")
+    lists = sets.select(F.posexplode(F.slice("own", F.lit(1), F.col("more"))).alias("k", "s"), "parent", "tag", "n", (m - e).alias("rm"), e.alias("e"), m.alias("m"))
+    return _kept(lists.select("s", "parent", "tag", "n", "rm", "e", (F.col("m") - F.col("k")).alias("rem"))), sets.select("parent", "tag", "own")
 
 
-def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has tag, id and h (hash of the text) of each row; groups (node, component) of all tags that are linked."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -379,8 +400,7 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, le
     slim = cut(every.select("tag", "id", "h"))
     del in_run, dealt, of_sets
     release(spark)
-    lists = _index(held, nodes, least)
-    shared = _kept(lists.select("tag", "m").distinct())
+    lists, own = _index(held, nodes, least)
 
     # SimHash: one neighbour for each fingerprint and each row
     firsts = cut(nodes.groupBy("fp").agg(F.min("tag").alias("first")))
@@ -405,37 +425,42 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, le
     release(spark)
     verified = _Verifier(nodes, sets, least)
     found = _kept(equal.union(verified(proposed)))
-    group, led = _kept(components(found)), None
-    for r in range(rounds + 1):
+    group, led, level, r = _kept(components(found)), None, 0, 0
+    while True:
         ends = found.select(F.col("a").alias("tag")).union(found.select(F.col("b").alias("tag"))).groupBy("tag").agg(F.count("*").alias("degree"))
         known = group.withColumnRenamed("node", "tag").join(ends, "tag", "left")
         known = known if led is None else known.join(led, "tag", "full")
         known = known if led is not None else known.withColumn("led", F.lit(False))
         of = lists.join(known, "tag", "left").withColumn("of", F.coalesce("component", "tag"))
-        bounds = of.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("n").alias("small")).filter("low != high").select("s", "small")
-        open_ = of.join(bounds, "s").filter(F.col("place") <= _room(F.col("n"), F.greatest("small", F.ceil(F.lit(least) * F.col("n") - 1e-6)), least))
-        lists = _kept(open_.select("s", "tag", "n", "m", "place", "of", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("led", F.lit(False)).alias("led")))
+        bounds = of.groupBy("s").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("e").alias("e2")).filter("low != high").select("s", "e2")
+        other = F.col("e2") if level else F.greatest("e2", 2 * least / (1 + least) * F.ceil(F.lit(least) * F.col("n") - 1e-6))
+        open_ = of.join(bounds, "s").filter(F.col("e") + other - 2 * EPS <= 2 * F.col("rem"))
+        lists = _kept(open_.select("s", "parent", "tag", "n", "rm", "e", "rem", "of", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("led", F.lit(False)).alias("led")))
         sizes = lists.groupBy("s").agg(F.count("*").alias("size"))
         square, total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size")), F.sum("size")).first()
         del ends, known, of, bounds, open_, sizes
         if not total:
             break
-        last = r == rounds or square <= 8 * total
+        few = square <= 8 * total or level and square <= LOOK * total and _all_pairs(lists, least).count() <= 2 * total
+        last = few or level == LEVELS and r == 1
+        columns = ["s", "parent", "tag", "n", "rm", "e", "rem"]
         if last:
-            new = _by_pivots(lists.select("s", "tag", "n", "m", "place", "of"), found, shared, verified, least)
+            new = verified(_all_pairs(lists, least))
+        elif r == (1 if level else rounds):
+            pairs, lists, own = _finer(lists, own, verified, least, level == 0)
+            new, level, r = verified(pairs), level + 1, 0
         else:
-            key = F.struct("led", (-F.col("degree")).alias("degree"), F.xxhash64("tag", F.lit(r)).alias("x"), "tag", "n", "place", "of")
-            other = lists.groupBy("s").agg(F.min(key).alias("lead")).select("s", "lead.tag", "lead.n", "lead.place", "lead.of")
+            key = F.struct("led", (-F.col("degree")).alias("degree"), F.xxhash64("tag", F.lit(r)).alias("x"), "tag", "n", "e", "rem", "of")
+            other = lists.groupBy("s").agg(F.min(key).alias("lead")).select("s", "lead.tag", "lead.n", "lead.e", "lead.rem", "lead.of")
             now = other.select("tag", F.lit(True).alias("led")).distinct()
             led = _kept(now if led is None else led.union(now).distinct())
-            other = other.select("s", *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "place", "of")])
-            fits = (F.col("of") != F.col("of2")) & (F.col("place") <= _room(F.col("n"), F.col("n2"), least)) & (F.col("place2") <= _room(F.col("n2"), F.col("n"), least))
-            pairs = lists.select("s", "tag", "n", "place", "of").join(other, "s").filter(fits)
-            new = verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")))
+            other = other.select("s", *[F.col(c).alias(f"{c}2") for c in ("tag", "n", "e", "rem", "of")])
+            pairs = lists.join(other, "s").filter(_fits(least))
+            new, r = verified(pairs.select(F.col("tag").alias("a"), F.col("tag2").alias("b")).distinct()), r + 1
         if not new.isEmpty():  # on from the groups so far, which are stars
             found = _kept(found.union(new))
             group = _kept(components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
-        lists = lists.select("s", "tag", "n", "m", "place")
+        lists = lists.select(*columns)
         if last:
             break
     return slim, group

@@ -146,6 +146,40 @@ def test_most_copies_of_a_template_never_meet(spark, monkeypatch):
     assert all(took[n] < min(100 * n, n * n / 10) for n in took), took
 
 
+def edited_group(n, seed=6):
+    """Copies of a text of 150 words with one to seven words changed anywhere: similarities on both sides of 0.8, a third to no other."""
+    rng = np.random.default_rng(seed)
+    out = {}
+    for i in range(n):
+        words = [f"w{k}" for k in range(150)]
+        for k in rng.choice(150, int(rng.integers(1, 8)), replace=False):
+            words[int(k)] = f"x{rng.integers(0, 3 * n)}"
+        out[i] = " ".join(words)
+    return out
+
+
+def test_copies_edited_all_over_meet_few_others(spark, monkeypatch):
+    rows, call = [], near._Verifier.__call__
+
+    def counted(self, pairs):
+        pairs = near.cut(pairs.distinct())
+        rows.append(pairs.count())
+        return call(self, pairs)
+
+    monkeypatch.setattr(near._Verifier, "__call__", counted)
+    took = {}
+    for n in (200,):
+        texts = edited_group(n)
+        rows.clear()
+        got = got_components(spark, texts)
+        took[n] = sum(rows)
+        print(n, rows)
+        if n == 200:
+            want, _ = similar_components(texts)
+            assert len(set(want.values())) > 20 and got == want
+    assert all(took[n] < 12 * n for n in took), took
+
+
 def test_equal_words_in_another_order_hide_no_copy(spark):
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(200)]
