@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .packing import VOCABULARY, pieces
 
 #: One bin of so many is passed on to the next level, if it has a gap; a block has this number of pieces at most, about.
@@ -123,7 +123,8 @@ def _placed(window: int, at_length: int, level: int, last: bool):
 
 def pack(cut_pieces: DataFrame, window: int = 4096, windows_per_block: int = 1024) -> DataFrame:
     """``cut_pieces`` (with a column length) with sequence_id and offset, each sequence gapless from 0."""
-    rest = cut(cut_pieces.withColumns({"tag": F.monotonically_increasing_id(), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
+    with small_batches(cut_pieces.sparkSession):
+        rest = cut(cut_pieces.withColumns({"tag": F.monotonically_increasing_id(), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
     shape, closed, level, blocks = rest.schema, None, 0, None
     while True:
         total, rows = rest.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()

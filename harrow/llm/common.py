@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
+from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
@@ -38,6 +40,42 @@ def stretches(text: str, limit: int = 1 << 20):
         yield text[at:]
 
 
+def tidy() -> None:
+    """Gives the machine back what this worker has freed; Arrow's pool and the C library would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidied(run):
+    """``run`` for mapInArrow, whose task starts without what earlier ones have freed and leaves nothing such behind."""
+
+    def whole(batches):
+        tidy()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """What is computed inside goes to workers in Arrow batches of at most ``rows`` rows: Spark and the worker both hold a batch, whole texts and all."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None or not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def forgetful(forget, run):
     """``run`` for mapInArrow, whose memory of words ends with its task: workers live on, other operators need the room.
 
@@ -50,7 +88,7 @@ def forgetful(forget, run):
         finally:
             forget()
 
-    return whole
+    return tidied(whole)
 
 
 def components(links: DataFrame) -> DataFrame:

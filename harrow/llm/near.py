@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, components, cut, forgetful, release, stretches
+from .common import compact, components, cut, forgetful, release, small_batches, stretches, tidied, tidy
 from .simhash import BITS, LOWER, links
 
 #: Distinct words whose hashes a worker remembers.
@@ -231,6 +231,7 @@ def _summaries(rows: DataFrame, words: int, hot: np.ndarray, ranges: int) -> Dat
 
 def _settle(block: pa.Table) -> pa.Table:
     """Of one range of hashes those that more than one row has: (tag, s, df), a row for each of their rows."""
+    tidy()
     unzip = zstandard.ZstdDecompressor().decompress
     names = [np.frombuffer(x, np.uint32) for x in block.column("sum").to_pylist()]
     tags = [base + np.cumsum(np.frombuffer(unzip(z), np.uint32), dtype=np.int64) for base, z in zip(block.column("tag").to_pylist(), block.column("z").to_pylist(), strict=True)]
@@ -286,8 +287,8 @@ class _Verifier:
                 keep = [similarity(*(np.frombuffer(c[k].as_buffer(), np.uint64) for c in sides)) >= least - 1e-9 for k in range(len(b))]
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        likely = _kept(self._both(pairs, self.sizes, ["n", "tally"]).select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(near, "a long, b long"))
-        return _kept(self._both(likely, self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"))
+        likely = _kept(self._both(pairs, self.sizes, ["n", "tally"]).select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(tidied(near), "a long, b long"))
+        return _kept(self._both(likely, self.sets, ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(tidied(verify), "a long, b long"))
 
 
     def differences(self, rows: DataFrame, bases: DataFrame) -> DataFrame:
@@ -302,7 +303,7 @@ class _Verifier:
                 ends = np.cumsum([0, *map(len, found)])
                 yield b.select(["s", "tag", "n", "rm", "of"]).append_column("own", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64())))
 
-        return _kept(rows.join(bases, "s", "left").select("s", "tag", "n", "rm", "of", "own", "base").mapInArrow(apart, "s long, tag long, n long, rm double, of long, own array<long>"))
+        return _kept(rows.join(bases, "s", "left").select("s", "tag", "n", "rm", "of", "own", "base").mapInArrow(tidied(apart), "s long, tag long, n long, rm double, of long, own array<long>"))
 
 
 def _bases(rows: DataFrame) -> DataFrame:
@@ -319,7 +320,7 @@ def _bases(rows: DataFrame) -> DataFrame:
             yield b.select(["s"]).append_column("base", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64())))
 
     some = rows.filter(F.pmod(F.xxhash64("tag", "s"), F.col("size")) < SAMPLE)
-    return some.groupBy("s").agg(F.collect_list("own").alias("owns")).mapInArrow(most, "s long, base array<long>")
+    return some.groupBy("s").agg(F.collect_list("own").alias("owns")).mapInArrow(tidied(most), "s long, base array<long>")
 
 
 def _step(value: Column) -> Column:
@@ -468,7 +469,8 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, le
 
 def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(tag, id, h, keep) for each row in a group of two or more: keep has the id and h of the row that stays."""
-    rows, group = linked(docs, id_col, text_col, words, least)
+    with small_batches(docs.sparkSession):
+        rows, group = linked(docs, id_col, text_col, words, least)
     members = group.join(rows.withColumnRenamed("tag", "node"), "node")
     best = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("keep"))
     return members.join(best, "component").select(F.col("node").alias("tag"), "id", "h", "keep")

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stretches, table
+from .common import cut, small_batches, stretches, table, tidied
 
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers.
-REMEMBER = 400_000
+#: Distinct words and parts of words whose ids a worker remembers lately, and the bytes that either take; as many again are remembered from before.
+REMEMBER, REMEMBER_PARTS, REMEMBER_BYTES = 150_000, 50_000, 16 << 20
 #: Texts with these go to the tokenizer as they are: it may see white space otherwise than Python does.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 #: Words of other characters than these (or that may hold an added token) go to the tokenizer as they are.
@@ -58,29 +58,27 @@ class WordTokenizer:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.as_char = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.parts = regex.compile(PARTS)
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words, self.known = _Recent(), _Recent()
 
     def _direct(self, text: str) -> bytes:
         return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Adds the ids of words that are not yet in memory."""
 
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        self.known.turn(REMEMBER_PARTS)
         split = {}
         for w in new:
             if PLAIN.fullmatch(w):
                 split[w] = self.parts.findall(w.lower())
             else:
-                self.words[w] = self._direct(w)
-        bpe, known = self.own.model, self.known
-        for p in {p for ps in split.values() for p in ps if p not in known}:
+                self.words.add(w, self._direct(w))
+        bpe, known = self.own.model, self.known.new
+        for p in self.known.unknown({p for ps in split.values() for p in ps if p not in known}):
             seen = p if p.isascii() else p.encode().decode("latin-1").translate(self.as_char)
-            known[p] = array("I", [t.id for t in bpe.tokenize(seen)]).tobytes()
+            self.known.add(p, array("I", [t.id for t in bpe.tokenize(seen)]).tobytes())
         for w, ps in split.items():
-            self.words[w] = b"".join([self.known[p] for p in ps])
+            self.words.add(w, b"".join([known[p] for p in ps]))
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -89,14 +87,43 @@ class WordTokenizer:
                 out.append(self._direct(part))
                 continue
             words = part.split()
-            if len(self.words) > REMEMBER:
-                self.words.clear()
-            if new := {w for w in words if w not in self.words}:
+            self.words.turn(REMEMBER)
+            known = self.words.new
+            if (new := {w for w in words if w not in known}) and (new := self.words.unknown(new)):
                 self._learn(new)
-            out.append(b"".join([self.words[w] for w in words]))
+            out.append(b"".join([known[w] for w in words]))
         return b"".join(out)
 
 
+class _Recent:
+    """Ids by word in two generations: when the new one is full it becomes the old one, and what is asked for again goes on into the next."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def turn(self, most: int) -> None:
+        """Makes room if the new generation is full."""
+        if len(self.new) > most or self.bytes > REMEMBER_BYTES:
+            self.new, self.old, self.bytes = {}, self.new, 0
+
+    def add(self, word: str, ids: bytes) -> None:
+        self.new[word] = ids
+        self.bytes += len(word) + len(ids)
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """Those of ``words`` (not in the new generation) that the old one does not have either; the others are in the new one from here on."""
+        out = []
+        for w in words:
+            ids = self.old.get(w)
+            if ids is None:
+                out.append(w)
+            else:
+                self.add(w, ids)
+        return out
+
+
 @cache
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -173,12 +200,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int =
                 out = [ids.take(pa.array(took, pa.int32())), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals)), *[pa.array(held, pa.binary())] * keep_ids]
                 yield pa.RecordBatch.from_arrays(out, ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(out)])
 
-    return rows.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
+    return rows.mapInArrow(tidied(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 
 
 def pack(cut_pieces: DataFrame, window: int = 4096, windows_per_block: int = 96) -> DataFrame:
     """``cut_pieces`` with sequence_id and offset, each sequence gapless from 0."""
-    held = cut(cut_pieces.withColumn("tag", F.monotonically_increasing_id()))
+    with small_batches(cut_pieces.sparkSession):
+        held = cut(cut_pieces.withColumn("tag", F.monotonically_increasing_id()))
     total = held.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // (window * windows_per_block)))
     held = held.withColumn("block", F.pmod(F.xxhash64("tag"), F.lit(blocks)))
