@@ -33,11 +33,11 @@ from .common import cut, small_batches, stretches, table, tidied
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words and parts of words whose ids a worker remembers lately, and the bytes that either take; as many again are remembered from before.
-REMEMBER, REMEMBER_PARTS, REMEMBER_BYTES = 150_000, 50_000, 16 << 20
+REMEMBER, REMEMBER_PARTS, REMEMBER_BYTES = 150_000, 150_000, 16 << 20
 #: Texts with these go to the tokenizer as they are: it may see white space otherwise than Python does.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 #: Words of other characters than these (or that may hold an added token) go to the tokenizer as they are.
-PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7e\xa1-\u024f])+")
+PLAIN, ADDED = re.compile(r"[\x21-\x7e\xa1-\u024f]+"), "<|"
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -69,7 +69,9 @@ class WordTokenizer:
         self.known.turn(REMEMBER_PARTS)
         split = {}
         for w in new:
-            if PLAIN.fullmatch(w):
+            if w.isascii() and w.isalpha():  # one run of letters
+                split[w] = [w.lower()]
+            elif ADDED not in w and PLAIN.fullmatch(w):
                 split[w] = self.parts.findall(w.lower())
             else:
                 self.words.add(w, self._direct(w))
