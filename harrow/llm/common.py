@@ -9,10 +9,10 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.checkpoints import cut
+from harrow.checkpoints import cut, cut_counted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +61,10 @@ def tidied(run):
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1024):
-    """What is computed inside goes to workers in Arrow batches of at most ``rows`` rows: Spark and the worker both hold a batch, whole texts and all."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, key: str, value):
+    """``key`` is ``value`` inside, and what it was before afterwards."""
     before = spark.conf.get(key, None)
-    if before is None or not 0 < int(before) <= rows:
-        spark.conf.set(key, rows)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -76,6 +74,20 @@ def small_batches(spark: SparkSession, rows: int = 1024):
             spark.conf.set(key, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """What is computed inside goes to workers in Arrow batches of at most ``rows`` rows: Spark and the worker both hold a batch, whole texts and all."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    with _setting(spark, key, before if before is not None and 0 < int(before) <= rows else rows):
+        yield
+
+
+def unsent(spark: SparkSession):
+    """Joins of what was shuffled stay joins inside: adaptive execution would bring small sides to the driver, each by a job and a thread that lives on for a minute."""
+    return _setting(spark, "spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
+
+
 def forgetful(forget, run):
     """``run`` for mapInArrow, whose memory of words ends with its task: workers live on, other operators need the room.
 
@@ -98,31 +110,40 @@ def components(links: DataFrame) -> DataFrame:
     steps alternate until nothing changes: each is one aggregation and one join,
     which adaptive execution can split where a node has very many links.
     """
-    links = compact(cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    spark = links.sparkSession
+    links = compact(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        links = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
-        down = links.join(least, "a")
-        links = cut(down.select("a", F.col("m").alias("b")).union(down.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        with unsent(spark):
+            links, now = _starred(links)
         links = links.coalesce(_tasks(now[0]))
-        del both, least, down
-        release(links.sparkSession)
+        release(spark)
         if now == last:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         last = now
 
 
+def _starred(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """``links`` after a large-star and a small-star step, and how many they are with a hash of them, observed on the way to the checkpoint folder."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    links = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # a row for each link: equal ones wait for the end of the step
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    ends = F.when(F.col("b") == F.col("m"), F.array("a")).otherwise(F.array("a", "b"))
+    seen = Observation()
+    links = links.join(least, "a").select(F.explode(ends).alias("a"), F.col("m").alias("b")).distinct()
+    links = cut(links.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")))
+    return links, (seen.get["n"], seen.get["x"])
+
+
 def _tasks(rows: int) -> int:
     return max(2, -(-rows // 100_000))
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """``df``, which is in the checkpoint folder, to be read by no more tasks than its small rows are worth."""
-    return df.coalesce(_tasks(df.count()))
+    """The rows of ``df``, computed once and kept in the checkpoint folder, to be read by no more tasks than these small rows are worth."""
+    kept, n = cut_counted(df)
+    return kept.coalesce(_tasks(n))
 
 
 _RELEASED = [0.0]

@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, components, cut, forgetful, release, small_batches, stretches, tidied, tidy
+from .common import compact, components, cut, forgetful, release, small_batches, stretches, tidied, tidy, unsent
 from .simhash import BITS, LOWER, links
 
 #: Distinct words whose hashes a worker remembers.
@@ -250,7 +250,7 @@ def _settle(block: pa.Table) -> pa.Table:
 def _kept(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the checkpoint folder; what was shuffled on the way there is let go."""
     spark = df.sparkSession
-    out = compact(cut(df))
+    out = compact(df)
     del df
     release(spark)
     return out
@@ -469,7 +469,7 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, le
 
 def similar_groups(docs: DataFrame, id_col="doc_id", text_col="text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(tag, id, h, keep) for each row in a group of two or more: keep has the id and h of the row that stays."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), unsent(docs.sparkSession):
         rows, group = linked(docs, id_col, text_col, words, least)
     members = group.join(rows.withColumnRenamed("tag", "node"), "node")
     best = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("keep"))

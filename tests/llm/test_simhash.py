@@ -110,3 +110,18 @@ def test_long_texts_are_cut_only_after_contract_blanks():
     assert text[(1 << 20) - 1] == "\u00a0"
     assert [w for part in stretches(text) for w in part.encode().split()] == [w.encode() for w in words]
     assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_components_ask_little_of_the_driver(spark):
+    """Every job and exchange costs the driver a plan and a thread; none goes into counting rows or into bringing a side of a join to the driver."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    tracker, group = spark.sparkContext.statusTracker(), "components_ask_little"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = components(links)
+        jobs = len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert {(r["node"], r["component"]) for r in got.collect()} == {(k, 0) for k in range(41)}
+    assert jobs <= 60
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
