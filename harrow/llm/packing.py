@@ -24,6 +24,7 @@ import re
 import zlib
 from array import array
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ REMEMBER, REMEMBER_PARTS, REMEMBER_BYTES = 150_000, 150_000, 16 << 20
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u2064\u3000\ufeff]")
 #: Words of other characters than these (or that may hold an added token) go to the tokenizer as they are.
 PLAIN, ADDED = re.compile(r"[\x21-\x7e\xa1-\u024f]+"), "<|"
+#: Such words, joined by blanks.
+PLAIN_LINE = re.compile(r"[\x20-\x7e\xa1-\u024f]+")
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -67,20 +70,19 @@ class WordTokenizer:
         """Adds the ids of words that are not yet in memory."""
 
         self.known.turn(REMEMBER_PARTS)
-        split = {}
-        for w in new:
-            if w.isascii() and w.isalpha():  # one run of letters
-                split[w] = [w.lower()]
-            elif ADDED not in w and PLAIN.fullmatch(w):
-                split[w] = self.parts.findall(w.lower())
-            else:
-                self.words.add(w, self._direct(w))
-        bpe, known = self.own.model, self.known.new
-        for p in self.known.unknown({p for ps in split.values() for p in ps if p not in known}):
-            seen = p if p.isascii() else p.encode().decode("latin-1").translate(self.as_char)
-            self.known.add(p, array("I", [t.id for t in bpe.tokenize(seen)]).tobytes())
-        for w, ps in split.items():
-            self.words.add(w, b"".join([known[p] for p in ps]))
+        if ADDED in (line := " ".join(new)) or not PLAIN_LINE.fullmatch(line):
+            odd = [w for w in new if ADDED in w or not PLAIN.fullmatch(w)]
+            self.words.add(odd, [self._direct(w) for w in odd])
+            if len(odd) == len(new):
+                return
+            line = " ".join(new := list(set(new).difference(odd)))
+        findall = self.parts.findall
+        split = [[w] if w.isalpha() else findall(w) for w in line.lower().split(" ")]  # letters alone are one run
+        bpe, ids_of = self.own.model.tokenize, self.known.new.__getitem__
+        if fresh := self.known.unknown(set(chain.from_iterable(split)).difference(self.known.new)):
+            seen = [p if p.isascii() else p.encode().decode("latin-1").translate(self.as_char) for p in fresh]
+            self.known.add(fresh, [array("I", [t.id for t in bpe(p)]).tobytes() for p in seen])
+        self.words.add(new, [ids_of(ps[0]) if len(ps) == 1 else b"".join(map(ids_of, ps)) for ps in split])
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -91,9 +93,9 @@ class WordTokenizer:
             words = part.split()
             self.words.turn(REMEMBER)
             known = self.words.new
-            if (new := {w for w in words if w not in known}) and (new := self.words.unknown(new)):
+            if (new := set(words).difference(known)) and (new := self.words.unknown(new)):
                 self._learn(new)
-            out.append(b"".join([known[w] for w in words]))
+            out.append(b"".join(map(known.__getitem__, words)))
         return b"".join(out)
 
 
@@ -110,20 +112,15 @@ class _Recent:
         if len(self.new) > most or self.bytes > REMEMBER_BYTES:
             self.new, self.old, self.bytes = {}, self.new, 0
 
-    def add(self, word: str, ids: bytes) -> None:
-        self.new[word] = ids
-        self.bytes += len(word) + len(ids)
+    def add(self, words: list[str], ids: list[bytes]) -> None:
+        self.new.update(zip(words, ids, strict=True))
+        self.bytes += sum(map(len, words)) + sum(map(len, ids))
 
     def unknown(self, words: set[str]) -> list[str]:
         """Those of ``words`` (not in the new generation) that the old one does not have either; the others are in the new one from here on."""
-        out = []
-        for w in words:
-            ids = self.old.get(w)
-            if ids is None:
-                out.append(w)
-            else:
-                self.add(w, ids)
-        return out
+        if back := list(self.old.keys() & words):
+            self.add(back, list(map(self.old.__getitem__, back)))
+        return list(words.difference(back))
 
 
 @cache

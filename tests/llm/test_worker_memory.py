@@ -60,3 +60,21 @@ def test_remembered_words_are_bounded_and_ids_right(monkeypatch):
         held = [x for kind in (tok.words, tok.known) for x in (kind.new, kind.old)]
         assert all(len(x) <= 60 and sum(map(len, [*x, *x.values()])) <= 3500 for x in held)
     assert "always:" in tok.words.new or "always:" in tok.words.old
+
+
+def test_words_of_letters_are_not_split_and_ids_are_the_vocabularys(monkeypatch):
+    """Splitting words one by one took much of packing's CPU time; words of letters alone, accented ones too, are their own part."""
+    tok, asked = packing.WordTokenizer(public_tokenizers.path(packing.VOCABULARY)), []
+
+    class Parts:
+        @staticmethod
+        def findall(word, own=tok.parts):
+            asked.append(word)
+            return own.findall(word)
+
+    tok.parts = Parts
+    monkeypatch.setattr(packing, "REMEMBER", 3)
+    monkeypatch.setattr(packing, "REMEMBER_PARTS", 2)
+    for text in ("Éclair über naïve words", "it's İstanbul x<|endoftext|>y 語 a1-b2 Straße", "über Éclair again", "", " \t"):
+        assert tok.encode(text) == tok._direct(text)
+    assert set(asked) == {"it's", "i̇stanbul", "a1-b2"}
